@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.words import MULT, chunks, mix, utf8
 
-BITS, DIM, ORDERS = 18, 16, (2, 3, 4)
+BITS, DIM, ORDERS, LAGS = 18, 16, (2, 3, 4), (1, 2, 3)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = np.uint64(0x5851F42D4C957F2D)  # odd, so it has an inverse modulo 2^64
@@ -24,7 +24,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 def features(texts: list[bytes]):
     """``(owner, bucket)`` of every feature of the texts, whole and with case and marks: words, and byte n-grams of
-    :data:`ORDERS` that touch a word's edge at most from outside."""
+    :data:`ORDERS` that touch a word's edge at most from outside, and repeats of a word :data:`LAGS` words later."""
     joined = b" " + b" ".join(texts) + b"     "
     raw = np.frombuffer(joined, np.uint8)
     n = len(raw)
@@ -53,6 +53,10 @@ def features(texts: list[bytes]):
     h = (total[last] - total[first]) * back[first]
     what.append(mix(h + np.uint64(99)) >> np.uint64(64 - BITS))
     who.append(owner[first])
+    for lag in LAGS:  # a word n-gram that says only that a word comes again after so many words
+        again = np.flatnonzero((h[lag:] == h[:-lag]) & (owner[first[lag:]] == owner[first[:-lag]])) + lag
+        what.append(np.full(len(again), mix(np.array([lag], np.uint64) * MULT)[0] >> np.uint64(64 - BITS), np.uint64))
+        who.append(owner[first[again]])
     return np.concatenate(who), np.concatenate(what).astype(np.int64)
 
 

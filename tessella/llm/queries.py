@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontamination, language, quality
+from pyspark.sql import functions as F
+
+from tessella.llm import decontamination, language, nearest, quality
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,7 +26,11 @@ def op8_language_id(spark, sf_dir):
     return language.digest(language.identify(docs, language.learn_profiles(docs)))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_classifier, op6_benchmark_decontamination, op8_language_id)}
+def op9_exact_top_k(spark, sf_dir):
+    return nearest.top_k(nearest.integer_vectors(_t(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op4_quality_classifier, op6_benchmark_decontamination, op8_language_id, op9_exact_top_k)}
 
 ORACLE = {
     "op6_benchmark_decontamination": rf"""
@@ -41,4 +47,10 @@ its AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids FROM
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(cov.n, 0) > 0 AS contaminated
 FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op9_exact_top_k": """
+WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
 }
