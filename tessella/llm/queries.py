@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.llm import decontamination, language, nearest, quality
+from tessella.llm import decontamination, language, nearest, pii, quality
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -13,6 +13,10 @@ def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pii(spark, sf_dir):
+    return pii.digest(pii.find_pii(_t(spark, sf_dir, "documents")))
+
+
 def op4_quality_classifier(spark, sf_dir):
     return quality.digest(quality.classify(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")))
 
@@ -30,9 +34,44 @@ def op9_exact_top_k(spark, sf_dir):
     return nearest.top_k(nearest.integer_vectors(_t(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_classifier, op6_benchmark_decontamination, op8_language_id, op9_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op3_pii, op4_quality_classifier, op6_benchmark_decontamination, op8_language_id, op9_exact_top_k)}
+
+#: RE2 spells of the patterns: the same matches without possessive repeats and look-behinds.
+_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "secret": r"(?:token|secret|password|passwd|api_key|apikey)[\x22\x27]?[ ]{0,2}[=:][ ]{0,2}[\x22\x27]?[A-Za-z0-9_/+.-]{16,}",
+}
+_DIG = "regexp_replace(v, '[^0-9]', '', 'g')"
+_ALONE = "NOT regexp_matches(b, '[A-Za-z0-9]$') AND NOT regexp_matches(a, '^[A-Za-z0-9]')"
+_PII_CHECK = f"""CASE kind WHEN 'email' THEN true
+WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda p: NOT regexp_matches(regexp_replace(p, '^0+', ''), '^([0-9]{{0,2}}|1[0-9]{{2}}|2[0-4][0-9]|25[0-5])$'))) = 0
+WHEN 'card' THEN length({_DIG}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length({_DIG}) + 1), lambda i:
+  CASE WHEN (length({_DIG}) - i) % 2 = 0 THEN ascii({_DIG}[i]) - 48 ELSE (ascii({_DIG}[i]) - 48) * 2 - CASE WHEN ascii({_DIG}[i]) >= 53 THEN 9 ELSE 0 END END)) % 10 = 0
+WHEN 'phone' THEN length({_DIG}) BETWEEN 10 AND 15
+WHEN 'iban' THEN {_ALONE} AND list_reduce(list_prepend(0, list_transform(string_split(v[5:] || v[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)),
+  lambda r, c: CASE WHEN c < 10 THEN (r * 10 + c) % 97 ELSE (r * 100 + c) % 97 END) = 1
+WHEN 'ssn' THEN {_ALONE} AND NOT regexp_matches(v, '^(000|666|9)') AND NOT regexp_matches(v, '-00-') AND NOT regexp_matches(v, '0000$')
+  AND regexp_matches(lower(t[greatest(1, st - 39):st]), 'ssn|social|security|tax')
+ELSE true END"""
 
 ORACLE = {
+    "op3_pii": "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), m AS ("
+    + " UNION ALL ".join(
+        f"SELECT r, t, {i} AS k, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS vs, regexp_split_to_array(t, '{p}') AS ps FROM d" for i, (kind, p) in enumerate(_PII.items())
+    )
+    + f"""),
+u AS (SELECT r, t, k, kind, vs[i] AS v, ps[i] AS b, ps[i + 1] AS a, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(vs[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS st
+      FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS i FROM m WHERE len(vs) > 0)),
+s AS (SELECT r, k, kind, CASE WHEN kind = 'secret' THEN st + length(v) - length(regexp_extract(v, '[A-Za-z0-9_/+.-]{{16,}}$')) ELSE st END AS st, st + length(v) AS en FROM u WHERE {_PII_CHECK}),
+g AS (SELECT r, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+      string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, k) FILTER (k < 4) AS base, string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, k) AS spans FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)""",
     "op6_benchmark_decontamination": rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
