@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.llm import decontamination, language, nearest, pii, quality
+from tessella.llm import decontamination, language, near_duplicates, nearest, pii, quality
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -13,6 +13,10 @@ def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_duplicates(spark, sf_dir):
+    return near_duplicates.near_duplicate_groups(_t(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark, sf_dir):
     return pii.digest(pii.find_pii(_t(spark, sf_dir, "documents")))
 
@@ -34,7 +38,7 @@ def op9_exact_top_k(spark, sf_dir):
     return nearest.top_k(nearest.integer_vectors(_t(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op4_quality_classifier, op6_benchmark_decontamination, op8_language_id, op9_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_pii, op4_quality_classifier, op6_benchmark_decontamination, op8_language_id, op9_exact_top_k)}
 
 #: RE2 spells of the patterns: the same matches without possessive repeats and look-behinds.
 _PII = {
@@ -60,6 +64,18 @@ WHEN 'ssn' THEN {_ALONE} AND NOT regexp_matches(v, '^(000|666|9)') AND NOT regex
 ELSE true END"""
 
 ORACLE = {
+    "op2_near_duplicates": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(3, len(ws)) - 1], chr(10)) AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least(3, len(ws)) + 2)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r(doc_id, o) AS (SELECT u, u FROM e UNION SELECT e.v, r.o FROM r JOIN e ON e.u = r.doc_id),
+c AS (SELECT doc_id, min(o) AS o FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.o, w.doc_id) AS component_id, coalesce(c.o, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "op3_pii": "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), m AS ("
     + " UNION ALL ".join(
         f"SELECT r, t, {i} AS k, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS vs, regexp_split_to_array(t, '{p}') AS ps FROM d" for i, (kind, p) in enumerate(_PII.items())
