@@ -129,3 +129,28 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("hit_words") > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_bytes: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of the benchmark occurs; see :func:`decontaminate`."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null and t <> ''")
+    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    shards = max(1, -(-total // shard_bytes))
+    for shard in range(shards):
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == shard)
+        own = sorted((r.i, r.t.encode("utf-8")) for r in part.toLocalIterator())
+        docs = docs.mapInArrow(_clean(own, window), docs.schema)
+        if shard < shards - 1:
+            docs = materialize(docs)
+    return docs
+
+
+def _clean(items: list[tuple[str, bytes]], window: int):
+    def run(batches):
+        vocabulary, machine = _automaton(items, window)
+        get = vocabulary.get
+        for batch in batches:
+            texts = utf8(batch.column("text"))
+            yield batch.filter(pa.array([machine is None or not t or next(machine.iter(tuple(map(get, words, repeat(0)))), None) is None if (words := words_of(t)) else True for t in texts], pa.bool_()))
+
+    return run

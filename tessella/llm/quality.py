@@ -147,3 +147,15 @@ def digest(scored: DataFrame, threshold: float = 0.3) -> DataFrame:
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, sample: int = 4000) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least ``threshold``; see :func:`classify`."""
+    texts, ys = training_sample(docs, labels, label, sample)
+    table, bias = fit(texts, ys)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(score_texts(utf8(batch.column("text")), table, bias) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

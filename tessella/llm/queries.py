@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.llm import decontamination, language, near_duplicates, nearest, pii, quality
+import corpus_pipeline
+from tessella.llm import decontamination, language, line_dedup, mixing, near_duplicates, nearest, pii, quality
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,6 +26,10 @@ def op4_quality_classifier(spark, sf_dir):
     return quality.digest(quality.classify(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")))
 
 
+def op5_line_dedup(spark, sf_dir):
+    return line_dedup.digest(line_dedup.dedup_lines(_t(spark, sf_dir, "documents")))
+
+
 def op6_benchmark_decontamination(spark, sf_dir):
     return decontamination.digest(decontamination.decontaminate(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")))
 
@@ -38,7 +43,15 @@ def op9_exact_top_k(spark, sf_dir):
     return nearest.top_k(nearest.integer_vectors(_t(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_pii, op4_quality_classifier, op6_benchmark_decontamination, op8_language_id, op9_exact_top_k)}
+def op10_mix_sources(spark, sf_dir):
+    return mixing.mix(_t(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_pii, op4_quality_classifier, op5_line_dedup, op6_benchmark_decontamination, op8_language_id, op9_exact_top_k, op10_mix_sources, pipeline)}
 
 #: RE2 spells of the patterns: the same matches without possessive repeats and look-behinds.
 _PII = {
@@ -108,4 +121,19 @@ WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op10_mix_sources": """
+WITH RECURSIVE n AS (SELECT source, sqrt(count(*)) AS w FROM documents GROUP BY source),
+sh AS (SELECT source, row_number() OVER (ORDER BY coalesce(source, '')) AS s, greatest(1, CAST(round(w / sum(w) OVER () * 1000) AS BIGINT)) AS a FROM n),
+g AS (SELECT list(a ORDER BY s) AS a, CAST(sum(a) AS BIGINT) AS total FROM sh),
+edf(t, got, pick) AS (
+  SELECT CAST(-1 AS BIGINT), list_transform(a, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM g
+  UNION ALL
+  SELECT t, list_transform(got, lambda x, i: x + CASE WHEN i = p THEN 1 ELSE 0 END), p FROM (
+    SELECT edf.t + 1 AS t, got, CAST(list_min(list_filter(list_transform(got, lambda x, i: CASE WHEN x < a[i] AND x * total // a[i] <= edf.t + 1
+      THEN {'d': ((x + 1) * total + a[i] - 1) // a[i], 's': i} END), lambda y: y IS NOT NULL)).s AS BIGINT) AS p
+    FROM edf, g WHERE edf.t + 1 < total)),
+k AS (SELECT pick AS s, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM edf WHERE t >= 0),
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('mix:' || CAST(doc_id AS VARCHAR))) - 1 AS r FROM documents)
+SELECT doc_id, d.source, r // 16 // sh.a * total + k.slot AS slot, CAST(r % 16 AS INTEGER) AS slot_row
+FROM d JOIN sh ON sh.source IS NOT DISTINCT FROM d.source JOIN k ON k.s = sh.s AND k.k = r // 16 % sh.a CROSS JOIN g""",
 }
