@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import decontamination, language, line_dedup, mixing, near_duplicates, nearest, pii, quality
+from tessella.llm import decontamination, language, line_dedup, mixing, near_duplicates, nearest, pii, quality, substring_dedup
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,6 +34,10 @@ def op6_benchmark_decontamination(spark, sf_dir):
     return decontamination.digest(decontamination.decontaminate(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup.digest(substring_dedup.dedup_substrings(_t(spark, sf_dir, "documents")))
+
+
 def op8_language_id(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
     return language.digest(language.identify(docs, language.learn_profiles(docs)))
@@ -51,7 +55,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_pii, op4_quality_classifier, op5_line_dedup, op6_benchmark_decontamination, op8_language_id, op9_exact_top_k, op10_mix_sources, pipeline)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_pii, op4_quality_classifier, op5_line_dedup, op6_benchmark_decontamination, op7_substring_dedup, op8_language_id, op9_exact_top_k, op10_mix_sources, pipeline)}
 
 #: RE2 spells of the patterns: the same matches without possessive repeats and look-behinds.
 _PII = {
