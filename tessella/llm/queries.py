@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import decontamination, language, line_dedup, mixing, near_duplicates, nearest, pii, quality, substring_dedup
+from tessella.llm import decontamination, html_extraction, language, line_dedup, mixing, near_duplicates, nearest, pii, quality, substring_dedup
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -14,6 +14,10 @@ def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark, sf_dir):
+    return html_extraction.extract_main_text(_t(spark, sf_dir, "pages"))
+
+
 def op2_near_duplicates(spark, sf_dir):
     return near_duplicates.near_duplicate_groups(_t(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_pii, op4_quality_classifier, op5_line_dedup, op6_benchmark_decontamination, op7_substring_dedup, op8_language_id, op9_exact_top_k, op10_mix_sources, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_near_duplicates, op3_pii, op4_quality_classifier, op5_line_dedup, op6_benchmark_decontamination, op7_substring_dedup, op8_language_id, op9_exact_top_k, op10_mix_sources, pipeline)}
 
 #: RE2 spells of the patterns: the same matches without possessive repeats and look-behinds.
 _PII = {
