@@ -72,7 +72,7 @@ def view_divergence(target, observer1, observer2) -> Column:
     a = F.zip_with(col(observer1), col(target), lambda x, t: x - t)
     b = F.zip_with(col(observer2), col(target), lambda x, t: x - t)
     c = dot(a, b) / (norm(a) * norm(b))
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))))
+    return F.when(c.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))))  # greatest and least skip nulls
 
 
 def solar_incidence(lat, lon, sun_lat, sun_lon) -> Column:

@@ -46,7 +46,7 @@ def _errors(h: np.ndarray, src: np.ndarray, ref: np.ndarray) -> np.ndarray:
 
 
 def _consensus(threshold: float, tries: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("match_idx")
         src, ref = pdf[["src_x", "src_y"]].to_numpy(float), pdf[["ref_x", "ref_y"]].to_numpy(float)
         best = None
