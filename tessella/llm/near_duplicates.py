@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.words import MULT, chunks, mix, shingles, utf8
 from tessella.operators.graph import connected_components
 from tessella.session import materialize
 
-#: 20 bands of 4: a pair at similarity 0.85 shares no band with probability 4e-7, at 0.8 with 3e-5.
-BANDS, ROWS = 20, 4
+#: 28 bands of 5: a pair at similarity 0.85 shares no band with probability 7e-8, at 0.8 with 2e-5.
+BANDS, ROWS = 28, 5
+#: Longs that hold one bit of each slot; standard deviations below its expected agreement at which a pair is passed over.
+LONGS, SIGMAS = -(-BANDS * ROWS // 64), 5.0
 _LEVEL = np.int64(48)
 
 
@@ -54,7 +56,7 @@ def _signed(texts_to_sets, k: int):
         for batch in batches:
             texts = utf8(batch.column("text"))
             n, lo, hi, bands = (np.zeros(len(texts), np.int64) for _ in range(4))
-            bands = np.zeros((len(texts), BANDS), np.uint64)
+            bands, bits = np.zeros((len(texts), BANDS), np.uint64), np.zeros((len(texts), LONGS), np.int64)
             for a, b in chunks([len(t or b"") // 6 + 1 for t in texts], 100_000):
                 sets = [texts_to_sets(t, k) for t in texts[a:b]]
                 n[a:b] = [len(s) for s in sets]
@@ -63,15 +65,19 @@ def _signed(texts_to_sets, k: int):
                     total = np.zeros(b - a, np.uint64)
                     np.add.at(total, owner, mix(values ^ np.uint64(salt * 0x5851F42D4C957F2D)))
                     out[a:b] = total.view(np.int64)
-                sig = superminhash(values, owner, b - a).view(np.uint64).reshape(b - a, BANDS, ROWS)
+                sig = superminhash(values, owner, b - a).view(np.uint64)
+                odd = np.zeros((b - a, LONGS * 64), np.uint8)
+                odd[:, : BANDS * ROWS] = mix(sig) & np.uint64(1)
+                bits[a:b] = np.packbits(odd, axis=1).view(np.int64)
+                sig = sig.reshape(b - a, BANDS, ROWS)
                 h = np.full((b - a, BANDS), 0, np.uint64) + np.arange(BANDS, dtype=np.uint64)
                 for i in range(ROWS):
                     h = mix(h * MULT + sig[:, :, i])
                 bands[a:b] = h
             lists = [r if m else [] for r, m in zip(bands.view(np.int64).tolist(), n)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(lo), pa.array(hi), pa.array(lists, pa.list_(pa.int64()))],
-                ["doc_id", "n", "lo", "hi", "bands"],
+                [batch.column("doc_id"), pa.array(n), pa.array(lo), pa.array(hi), pa.array(lists, pa.list_(pa.int64())), pa.array(list(bits), pa.list_(pa.int64()))],
+                ["doc_id", "n", "lo", "hi", "bands", "bits"],
             )
 
     return run
@@ -105,30 +111,69 @@ def _linked(k: int, percent: int):
     return run
 
 
+def _differences(k: int, percent: int):
+    """Each class against the hub of its group: whether they are linked, and the shingles that only one of them has."""
+
+    def run(batches):
+        hubs: dict = {}
+        for batch in batches:
+            tu, tv, vs = utf8(batch.column("tu")), utf8(batch.column("tv")), batch.column("v").to_pylist()
+            rows: tuple[list, list, list, list] = ([], [], [], [])
+            for a, b, v in zip(tu, tv, vs):
+                if v not in hubs:
+                    if len(hubs) > 500:
+                        hubs.clear()
+                    hubs[v] = shingles(b, k)
+                x, y = shingles(a, k), hubs[v]
+                delta = np.setxor1d(x, y, assume_unique=True)
+                union = (len(x) + len(y) + len(delta)) // 2
+                far = 2 * len(delta) > union
+                rows[0].append(len(y))
+                rows[1].append(100 * (union - len(delta)) >= percent * union)
+                rows[2].append(far)
+                rows[3].append([] if far else delta.view(np.int64))
+            kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), *[pa.array(r, t) for r, t in zip(rows, kinds)]], ["rep", "hub", "hub_n", "linked", "far", "delta"])
+
+    return run
+
+
 def near_duplicate_groups(docs: DataFrame, k: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
     Documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of distinct k-word shingles (see
     ``words.shingles``); a component is what links reach, named by its smallest id. Documents of equal sets form a class
     that is compared once. Classes that share a band of their signatures are candidates, and every link is confirmed on the
-    full sets. In each shared bucket all classes are first compared with the smallest and then the largest id in it;
-    whatever is by then in one component needs no further look, and every pair of a bucket that is still in two is compared
-    too, so large groups cost a few comparisons a document and no link of a bucket is left out.
+    full sets. In each shared bucket all classes are first compared with the smallest id in it, then with the hub of their group;
+    whatever is by then in one component needs no further look, and every pair of a bucket that is still in two is looked at
+    too. In a dense group, classes are described by what sets them apart from one hub, and only those that share a shingle in
+    a rare-first prefix of it are compared; that is exact, so large groups cost a few comparisons a document. Before texts are fetched, a pair is passed over if its sizes rule
+    a link out, or if one bit of each signature slot agrees SIGMAS standard deviations less than at the threshold: with
+    probability below 1e-6 for a pair that is a link, and none at all for most pairs that only share a passage.
 
     Empty and null texts, and rows of null ids, are linked with nothing; a null id has no component and is kept. Rows that
     repeat an id are one document. Ids are integers. Other columns are not read.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sig = materialize(docs.mapInArrow(_signed(shingles, k), "doc_id long, n long, lo long, hi long, bands array<long>"))
+    sig = materialize(docs.mapInArrow(_signed(shingles, k), "doc_id long, n long, lo long, hi long, bands array<long>, bits array<long>"))
     some = sig.where("n > 0 and doc_id is not null")
-    classes = materialize(some.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    banded = classes.select("rep", "n", F.explode("bands").alias("band"))
-    hub = banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("a"), F.max(F.struct("rep", "n")).alias("z")).where("a.rep < z.rep")
-    shared = materialize(banded.join(hub.hint("merge"), "band").select("band", "rep", "n", "a", "z"))
+    classes = materialize(some.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
+    words = [f"x{i}" for i in range(LONGS)]
+    of = F.struct("rep", "n", *words)
+    banded = classes.select("rep", "n", *[F.col("bits")[i].alias(w) for i, w in enumerate(words)], F.explode("bands").alias("band"))
+    hub = banded.groupBy("band").agg(F.min(of).alias("a"), F.max("rep").alias("z")).where("a.rep < z")
+    shared = materialize(banded.join(hub.hint("merge"), "band").select("band", "rep", "n", *words, "a"))
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialize(docs.where("doc_id is not null").join(wanted.hint("merge"), "doc_id"))
 
-    near = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
+    size = BANDS * ROWS
+    agree = (1 + percent / 100) / 2
+    differ = int(size * (1 - agree) + SIGMAS * (size * agree * (1 - agree)) ** 0.5) + 1
+
+    def near(x: str, y: str) -> str:
+        """By size and by signature bits, two classes may be similar enough."""
+        bits = " + ".join(f"bit_count({x.format(w)} ^ {y.format(w)})" for w in words)
+        return f"100 * least({x.format('n')}, {y.format('n')}) >= {percent} * greatest({x.format('n')}, {y.format('n')}) and {bits} <= {differ}"
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct()
@@ -137,23 +182,54 @@ def near_duplicate_groups(docs: DataFrame, k: int = 3, percent: int = 85, doc_id
         both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "tu", "tv")
         return materialize(both.mapInArrow(_linked(k, percent), "u long, v long"))
 
-    def still_apart(rows: DataFrame, links: DataFrame) -> DataFrame:
-        """The rows of buckets whose classes are in several components."""
+    def still_apart(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows of buckets whose classes are in several components, and the components."""
         comp = connected_components(links)
         own = rows.drop("comp").join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")).hint("merge"), "rep", "left")
         own = own.withColumn("comp", F.coalesce("c", "rep")).drop("c")
         split = own.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("band")
-        return materialize(own.join(split.hint("merge"), "band"))
-
-    links = confirm(shared.where("rep <> a.rep and " + near("n", "a.n")).select(F.col("rep").alias("u"), F.col("a.rep").alias("v")))
-    apart = still_apart(shared.select("band", "rep", "n"), links)
-    ends = apart.groupBy("band").agg(F.max(F.struct("rep", "n", "comp")).alias("z"))
-    second = apart.join(ends.hint("merge"), "band").where("comp <> z.comp and " + near("n", "z.n"))
-    links = materialize(links.unionByName(confirm(second.select(F.col("rep").alias("u"), F.col("z.rep").alias("v")))))
-    apart = still_apart(apart, links)
-    other = apart.select("band", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    rest = apart.hint("merge").join(other, "band").where("rep > rep2 and comp <> comp2 and " + near("n", "n2"))
-    links = links.unionByName(confirm(rest.select(F.col("rep").alias("u"), F.col("rep2").alias("v"))))
+        return materialize(own.join(split.hint("merge"), "band")), comp
+
+    links = confirm(shared.where("rep <> a.rep and " + near("{}", "a.{}")).select(F.col("rep").alias("u"), F.col("a.rep").alias("v")))
+    apart, _ = still_apart(shared.drop("a"), links)
+    # Dense groups: a class and the hub of its group differ in few shingles, D. For a link, two classes of one hub must
+    # share so much of their D that a rare-first prefix of each D holds a common shingle; most edits are unique.
+    crowd = apart.groupBy("band").agg(F.count("*").alias("c"))
+    weight = apart.join(crowd.hint("merge"), "band").groupBy("rep").agg(F.sum("c").alias("weight"))
+    heavy = apart.join(weight.hint("merge"), "rep")
+    ends = heavy.groupBy("band").agg(F.max(F.struct("weight", "rep")).alias("z"))
+    hubs = apart.join(ends.hint("merge"), "band").groupBy("rep").agg(F.max("z").alias("z")).select(F.col("rep").alias("u"), F.col("z.rep").alias("v")).where("u <> v")
+    left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu"))
+    right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
+    both = hubs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "tu", "tv")
+    diffs = materialize(both.mapInArrow(_differences(k, percent), "rep long, hub long, hub_n long, linked boolean, far boolean, delta array<long>").dropDuplicates(["rep"]))
+    links = materialize(links.unionByName(diffs.where("linked").select(F.col("rep").alias("u"), F.col("hub").alias("v"))))
+    apart, comp = still_apart(apart, links)
+    own = apart.groupBy("rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
+    comp = comp.select(F.col("node").alias("hub"), F.col("component").alias("hub_comp"))
+    d = diffs.where("not far").join(own.hint("merge"), "rep").join(comp.hint("merge"), "hub", "left")
+    share = (100 - percent) / (100 + percent)  # a link means: at most this share of both sizes together in one set only
+    inside = F.col("comp") == F.coalesce("hub_comp", "hub")
+    # a partner outside the hub's component differs from the hub in more than share * sizes; any partner in one shingle at least
+    overlap = F.when(inside, F.floor((F.size("delta") + share * (F.col("hub_n") - F.col("n"))) / 2 - 1e-9) + 1).otherwise(
+        F.ceil((F.size("delta") + 1 - share * F.col("n") * (1 + 100 / percent)) / 2 - 1e-9)
+    )
+    e = materialize(d.select("rep", "hub", "n", "comp", F.size("delta").alias("m"), (F.size("delta") - F.greatest(overlap, F.lit(1)) + 1).alias("prefix"), F.explode("delta").alias("x")))
+    often = e.groupBy("hub", "x").agg(F.count("*").alias("f"))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("f", "x"))
+    pre = e.join(often.hint("merge"), ["hub", "x"]).withColumn("r", rank).where("r <= prefix and f > 1").select("rep", "hub", "n", "comp", "m", "r", "x")
+    pre = materialize(pre)
+    other = pre.select("hub", "x", *[F.col(c).alias(f"{c}_2") for c in ("rep", "n", "comp", "m", "r")])
+    # what comes after the first common shingle in both must suffice for the overlap that a link needs
+    enough = f"1 + least(m - r, m_2 - r_2) >= (m + m_2 - {share!r} * (n + n_2)) / 2 - 1e-9"
+    sized = f"100 * least(n, n_2) >= {percent} * greatest(n, n_2)"
+    dense = pre.hint("merge").join(other, ["hub", "x"]).where("rep > rep_2 and comp <> comp_2 and " + sized + " and " + enough).select("rep", "rep_2")
+    # all other pairs of a bucket
+    mine = apart.join(diffs.where("not far").select("rep", "hub").hint("merge"), "rep", "left").withColumn("hub", F.coalesce("hub", -F.col("rep") - 1))
+    other = mine.select("band", *[F.col(c).alias(f"{c}_2") for c in ("rep", "n", "comp", "hub", *words)])
+    rest = mine.hint("merge").join(other, "band").where("rep > rep_2 and comp <> comp_2 and hub <> hub_2 and " + near("{}", "{}_2"))
+    last = rest.select("rep", "rep_2").unionByName(dense)
+    links = links.unionByName(confirm(last.select(F.col("rep").alias("u"), F.col("rep_2").alias("v"))))
     # copies of a class hang on its representative
     copies = some.join(classes.select("lo", "hi", "n", "rep").hint("merge"), ["lo", "hi", "n"]).where("doc_id <> rep")
     comp = connected_components(links.unionByName(copies.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
