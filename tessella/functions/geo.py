@@ -16,6 +16,11 @@ def col(x) -> Column:
     return x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lon360(lon) -> Column:
     return F.pmod(col(lon), F.lit(360.0))
 
@@ -117,9 +122,11 @@ def _mean(values: Column) -> Column:
 
 def ring_centroid(ring, drop_closing: bool = True) -> Column:
     """The mean vertex, longitudes unwrapped to the first one."""
-    r = open_ring(ring) if drop_closing else col(ring)
-    lon = F.transform(r, lambda p: unwrap_lon(p["lon"], r[0]["lon"]))
-    return F.struct(_mean(F.transform(r, lambda p: p["lat"])).alias("lat"), lon360(_mean(lon)).alias("lon"))
+    def of(r: Column) -> Column:
+        lon = F.transform(r, lambda p: unwrap_lon(p["lon"], r[0]["lon"]))
+        return F.struct(_mean(F.transform(r, lambda p: p["lat"])).alias("lat"), lon360(_mean(lon)).alias("lon"))
+
+    return let(open_ring(ring) if drop_closing else col(ring), of)
 
 
 def to_local_km(ring, ref_lat, ref_lon) -> Column:
@@ -135,13 +142,12 @@ def to_local_km(ring, ref_lat, ref_lon) -> Column:
 
 def ring_area_km2(ring) -> Column:
     """Shoelace area on the tangent plane at the mean vertex; null below 3 vertices."""
-    c = ring_centroid(ring)
-    p = to_local_km(open_ring(ring), c["lat"], c["lon"])
-    n = F.size(p)
-    twice = F.aggregate(
-        F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + p[i]["x"] * p[F.pmod(i + 1, n)]["y"] - p[F.pmod(i + 1, n)]["x"] * p[i]["y"]
-    )
-    return F.when(n >= 3, F.abs(twice) / 2)
+    def of(p: Column) -> Column:
+        following = F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1))
+        twice = F.aggregate(F.zip_with(p, following, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, x: s + x)
+        return F.when(F.size(p) >= 3, F.abs(twice) / 2)
+
+    return let(ring_centroid(ring), lambda c: let(to_local_km(open_ring(ring), c["lat"], c["lon"]), of))
 
 
 def ring_bbox(ring) -> Column:
@@ -171,29 +177,40 @@ def bilinear_lonlat(corners, line, sample, lines, samples) -> Column:
 def inverse_bilinear(corners, lon, lat, lines, samples) -> Column:
     """(line, sample, residual): where in a frame a place lies, clamped to the frame, and the squared distance in degrees
     that the clamped place misses it by. Closed form: the bilinear map is quadratic in the line fraction."""
-    c, x, y = col(corners), col(lon), col(lat)
-    e = [c[2][k] - c[0][k] for k in ("lon", "lat")]
-    f = [c[1][k] - c[0][k] for k in ("lon", "lat")]
-    g = [c[0][k] - c[1][k] - c[2][k] + c[3][k] for k in ("lon", "lat")]
-    h = [x - c[0]["lon"], y - c[0]["lat"]]
-    cross = lambda a, b: a[0] * b[1] - a[1] * b[0]
-    k2, k1, k0 = cross(g, f), cross(e, f) + cross(h, g), cross(h, e)
-    root = F.sqrt(F.greatest(k1 * k1 - 4 * k0 * k2, F.lit(0.0)))
-    flat = F.abs(k2) < 1e-12
-    v1 = F.when(flat, -k0 / k1).otherwise((-k1 - root) / (2 * k2))
-    v2 = F.when(flat, -k0 / k1).otherwise((-k1 + root) / (2 * k2))
-
-    def u_of(v):
-        d0, d1 = e[0] + g[0] * v, e[1] + g[1] * v
-        return F.when(F.abs(d0) > F.abs(d1), (h[0] - f[0] * v) / d0).otherwise((h[1] - f[1] * v) / d1)
+    def parts(c: Column) -> Column:
+        at = {"lon": col(lon), "lat": col(lat)}
+        both = [(k, i, f) for i, f in enumerate("xy") for k in ("lon", "lat") if (k == "lon") == (i == 0)]
+        vals = []
+        for k, _, f in both:
+            vals += [(c[2][k] - c[0][k]).alias(f"e{f}"), (c[1][k] - c[0][k]).alias(f"f{f}"), (c[0][k] - c[1][k] - c[2][k] + c[3][k]).alias(f"g{f}"), (at[k] - c[0][k]).alias(f"h{f}")]
+        return F.struct(*vals)
+
+    def cross(q: Column, a: str, b: str) -> Column:
+        return q[f"{a}x"] * q[f"{b}y"] - q[f"{a}y"] * q[f"{b}x"]
+
+    def roots(q: Column) -> Column:
+        def solve(k: Column) -> Column:
+            root = F.sqrt(F.greatest(k["k1"] * k["k1"] - 4 * k["k0"] * k["k2"], F.lit(0.0)))
+            flat = F.abs(k["k2"]) < 1e-12
+            return F.array(*[F.when(flat, -k["k0"] / k["k1"]).otherwise((-k["k1"] + sign * root) / (2 * k["k2"])) for sign in (-1, 1)])
+
+        return let(F.struct(cross(q, "g", "f").alias("k2"), (cross(q, "e", "f") + cross(q, "h", "g")).alias("k1"), cross(q, "h", "e").alias("k0")), solve)
 
     clamp = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    out = []
-    for v in (v1, v2):
-        u, w = clamp(u_of(v)), clamp(v)
-        miss = [c[0][k] + e[i] * u + f[i] * w + g[i] * u * w - t for i, (k, t) in enumerate((("lon", x), ("lat", y)))]
-        out.append(F.struct((miss[0] * miss[0] + miss[1] * miss[1]).alias("residual"), (u * (col(lines) - 1)).alias("line"), (w * (col(samples) - 1)).alias("sample")))
-    return F.least(*out)
+
+    def place(q: Column, v: Column) -> Column:
+        def at(d: Column) -> Column:
+            u = F.when(F.abs(d["x"]) > F.abs(d["y"]), (q["hx"] - q["fx"] * v) / d["x"]).otherwise((q["hy"] - q["fy"] * v) / d["y"])
+            return F.struct(clamp(u).alias("u"), clamp(v).alias("w"))
+
+        def miss(t: Column) -> Column:
+            mx, my = (q[f"e{k}"] * t["u"] + q[f"f{k}"] * t["w"] + q[f"g{k}"] * t["u"] * t["w"] - q[f"h{k}"] for k in "xy")
+            return F.struct((mx * mx + my * my).alias("residual"), (t["u"] * (col(lines) - 1)).alias("line"), (t["w"] * (col(samples) - 1)).alias("sample"))
+
+        d = F.struct((q["ex"] + q["gx"] * v).alias("x"), (q["ey"] + q["gy"] * v).alias("y"))
+        return let(let(d, at), miss)
+
+    return let(let(col(corners), parts), lambda q: F.array_min(F.transform(roots(q), lambda v: place(q, v))))
 
 
 def line_fraction(lat, lat_first, lat_last) -> Column:

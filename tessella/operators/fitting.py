@@ -76,7 +76,8 @@ def fit_robust(points: DataFrame, threshold: float = 3.0, tries: int = 300) -> D
 def phase_shift(a: np.ndarray, b: np.ndarray, upsample: int = 50) -> tuple[float, float]:
     """(dy, dx) that moves patch b onto patch a, to 1/upsample of a pixel: the peak of the cross-power spectrum, then a matrix DFT around it."""
     cross = np.fft.fft2(a - a.mean()) * np.conj(np.fft.fft2(b - b.mean()))
-    cross /= np.maximum(np.abs(cross), 1e-12)
+    size = np.abs(cross)
+    cross /= size + 1e-4 * max(size.max(), 1e-12)  # phases of frequencies that a patch hardly has are noise
     peak = np.array(np.unravel_index(np.abs(np.fft.ifft2(cross)).argmax(), a.shape), float)
     shape = np.array(a.shape)
     peak = np.where(peak > shape // 2, peak - shape, peak)

@@ -15,7 +15,7 @@ TELEMETRY_TAG, TELEMETRY_TOKENS = "ORBTATTD", 19
 
 
 def _texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", "true").text(path).withColumn("path", F.input_file_name())
+    return spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
 
 
 def pds4_labels(spark: SparkSession, path: str) -> DataFrame:
