@@ -211,11 +211,12 @@ def test_substring_dedup_brute_force(spark):
         runs = sum(1 for i, x in enumerate(gone) if x and (i == 0 or not gone[i - 1]))
         want[d] = (len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, x in zip(b, gone) if not x)).hexdigest())
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for many in (400, 3):
+    usual = substring_dedup.MANY
+    for many in (usual, 3):
         substring_dedup.MANY = many
         got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.digest(substring_dedup.dedup_substrings(frame)).collect()}
         assert got == want
-    substring_dedup.MANY = 400
+    substring_dedup.MANY = usual
 
 
 def test_substring_dedup_edges(docs, empty):
