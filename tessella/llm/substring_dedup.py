@@ -16,10 +16,10 @@ from tessella.session import materialize
 #: Length of the strings, of the grams that sample them, and so how many grams each string holds.
 LENGTH, GRAM = 100, 36
 SPAN = LENGTH - GRAM + 1
-#: Text of one shard of the suffix sort; text whose records share a bucket; segments of one gram that would outgrow a shard,
-#: so that the gram is resolved window by window.
+#: Text of one shard of the suffix sort; text whose records share a bucket; different segments of one gram from which on the
+#: gram is resolved window by window: several such grams can meet in a shard, so it is a small share of one.
 SHARD_BYTES, BUCKET_BYTES = 3_000_000, 16_000_000
-MANY = SHARD_BYTES // (LENGTH + SPAN)
+MANY = 400
 _A, _B = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95)
 _CODES = mix(np.arange(1, 257, dtype=np.uint64) * MULT)
 _POWERS: dict = {}
