@@ -20,7 +20,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go; a document of which nothing is left goes with them. ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs).where("lines_removed = 0 or trim(text) <> ''")
+    out = line_dedup.dedup_windows(docs).where("lines_removed = 0 or trim(text) <> ''")
     return out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

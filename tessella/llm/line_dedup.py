@@ -1,4 +1,4 @@
-"""Line dedup: winnowed line fingerprints, joined on their first place, extended both ways."""
+"""Line dedup: fingerprints of whole repeated windows of lines, or winnowed line fingerprints extended both ways."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.words import utf8, word_hashes
+from tessella.llm.words import MULT, mix, utf8, word_hashes
 from tessella.session import materialize
 
 #: A repeated run goes if it has so many lines, or a line of so many words.
@@ -50,6 +50,56 @@ def repeated_runs(h: list[int], long: list[bool], source: list[int], anchors: li
     return out
 
 
+def windows(h: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(first, last, hash, second hash)`` of every window that is large enough to go and holds no smaller one at its first
+    or at its last line: any line of a repeated run that is large enough lies in such a window inside that run."""
+    u, out, large = h.view(np.uint64), [(np.zeros(0, np.int64), 0, np.zeros((2, 0), np.uint64))], {}
+    total = np.concatenate([[0], np.cumsum(long)])
+    for k in range(1, min(LINES, len(u)) + 1):
+        n = len(u) - k + 1
+        large[k] = (total[k:] - total[:-k] >= 1) | (k == LINES)
+        left, right = large[k].copy(), large[k].copy()
+        for j in range(1, k):
+            left &= ~large[j][:n]
+            right &= ~large[j][k - j : k - j + n]
+        at = np.flatnonzero(left | right)
+        g = np.full((2, len(at)), k, np.uint64)
+        g[1] += MULT
+        for i in range(k):
+            g = mix(g * MULT + u[at + i])
+        out.append((at, k, g))
+    first, g = np.concatenate([x[0] for x in out]), np.concatenate([x[2] for x in out], axis=1).view(np.int64)
+    return first, np.concatenate([x[0] + x[1] - 1 for x in out]), g[0], g[1]
+
+
+def _windows(batches):
+    for batch in batches:
+        got = []
+        for text in utf8(batch.column("text")):
+            h, line, long = line_units(text)
+            first, last, f, g = windows(h, long)
+            after = np.append(line[1:], line[-1:] + 1)
+            got.append((line[first], line[last], after[last], f, g))
+        if got:
+            at = pa.array(np.repeat(np.arange(len(got)), [len(x[0]) for x in got]))
+            a, z, e, f, g = (pa.array(np.concatenate([x[i] for x in got])) for i in range(5))
+            yield pa.RecordBatch.from_arrays([batch.column("d").take(at), batch.column("t").take(at), a, z, e, f, g], ["d", "t", "a", "z", "e", "f", "g"])
+
+
+def _merged(batches):
+    for batch in batches:
+        cuts = []
+        for c in batch.column("cuts").to_pylist():
+            runs = []
+            after = -1
+            for a, z, e in sorted((x["a"], x["z"], x["e"]) for x in c):
+                if a > after:
+                    runs.append({"a": a, "z": z})
+                runs[-1]["z"], after = max(z, runs[-1]["z"]), max(e, after)
+            cuts.append(runs)
+        yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), pa.array(cuts, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))], ["d", "t", "cuts"])
+
+
 def _units(batches):
     for batch in batches:
         got = [line_units(t) for t in utf8(batch.column("text"))]
@@ -69,8 +119,30 @@ def _cuts(batches):
         yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), pa.array(cuts, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))], ["d", "t", "cuts"])
 
 
+def _keys(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
+    key = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).where("d is not null and text is not null")
+    return key, f"d {docs.schema[doc_id].dataType.simpleString()}, t long"
+
+
+def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As :func:`dedup_lines`, but whole: a line goes if it lies in any run, large enough to go, that stands at an earlier place too;
+    blank lines go if the lines before and after them go.
+
+    The context decides, not one line's first place: every window of :func:`windows` is its own fingerprint (winnowing in
+    which the least match is as long as the match that is guaranteed), and goes everywhere but at its first place.
+    """
+    docs = docs.drop("lines_before", "lines_removed")
+    key, kind = _keys(docs, doc_id, text)
+    places = materialize(key.mapInArrow(_windows, f"{kind}, a int, z int, e int, f long, g long"))
+    first = places.groupBy("f", "g").agg(F.min(F.struct("d", "t", "a")).alias("x"), F.count("*").alias("n")).where("n > 1").select("f", "g", "x")
+    later = places.join(first.hint("merge"), ["f", "g"]).where("not (d = x.d and t = x.t and a = x.a)")
+    cuts = later.groupBy("d", "t").agg(F.collect_list(F.struct("a", "z", "e")).alias("cuts")).mapInArrow(_merged, f"{kind}, cuts array<struct<a:int,z:int>>")
+    return _without(docs, materialize(cuts), doc_id, text)
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``text`` cleaned, and two more columns: ``lines_before`` and ``lines_removed``.
+    A line is compared with its first place only; :func:`dedup_windows` finds all repeated runs.
 
     Documents are taken in order of id. A fingerprint's first place (least id, then position) keeps its lines; at every
     other place the match with the first is extended line by line both ways, and the run goes if it has at least LINES
@@ -82,8 +154,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     lines_before and lines_removed are replaced.
     """
     docs = docs.drop("lines_before", "lines_removed")
-    key = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).where("d is not null and text is not null")
-    kind = f"d {docs.schema[doc_id].dataType.simpleString()}, t long"
+    key, kind = _keys(docs, doc_id, text)
     units = materialize(key.mapInArrow(_units, f"{kind}, h array<long>, line array<int>, long array<boolean>, fp array<int>").where("size(fp) > 0").dropDuplicates(["d", "t"]))
     fps = units.select("d", "t", F.explode("fp").alias("p"), "h").select("d", "t", "p", F.expr("h[p]").alias("f"))
     first = fps.groupBy("f").agg(F.min(F.struct("d", "t", "p")).alias("x"), F.count("*").alias("n")).where("n > 1").select("f", F.col("x.d").alias("sd"), F.col("x.t").alias("st"), F.col("x.p").alias("s"))
@@ -93,6 +164,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     both = pairs.join(units.select("d", "t", "h", "line", "long").hint("merge"), ["d", "t"]).join(source.hint("merge"), ["sd", "st"])
     cuts = both.select("d", "t", "h", "line", "long", "source", "anchors").mapInArrow(_cuts, f"{kind}, cuts array<struct<a:int,z:int>>")
     cuts = materialize(cuts.where("size(cuts) > 0").groupBy("d", "t").agg(F.flatten(F.collect_list("cuts")).alias("cuts")))
+    return _without(docs, cuts, doc_id, text)
+
+
+def _without(docs: DataFrame, cuts: DataFrame, doc_id: str, text: str) -> DataFrame:
     joined = docs.withColumn("__t", F.xxhash64(text)).join(cuts.hint("merge"), (F.col(doc_id) == F.col("d")) & (F.col("__t") == F.col("t")), "left")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("cuts", lambda c: (i >= c.a) & (i <= c.z)))

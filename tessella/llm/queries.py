@@ -31,7 +31,7 @@ def op4_quality_classifier(spark, sf_dir):
 
 
 def op5_line_dedup(spark, sf_dir):
-    return line_dedup.digest(line_dedup.dedup_lines(_t(spark, sf_dir, "documents")))
+    return line_dedup.digest(line_dedup.dedup_windows(_t(spark, sf_dir, "documents")))
 
 
 def op6_benchmark_decontamination(spark, sf_dir):

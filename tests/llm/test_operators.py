@@ -169,6 +169,36 @@ def test_line_dedup_brute_force(spark):
     assert any(want.values())
 
 
+def _direct(rows, large):
+    """Lines left by a search of every window of lines that an earlier place has too."""
+    seen, out = set(), {}
+    for d, text in rows:
+        at = [(i, tuple(x.lower().split())) for i, x in enumerate(text.split("\n")) if x.split()]
+        gone = set()
+        for p in range(len(at)):
+            for q in range(p + 1, min(len(at), p + 8) + 1):
+                run = tuple(x for _, x in at[p:q])
+                if large(run):
+                    if run in seen:
+                        gone.update(range(p, q))
+                    seen.add(run)
+        lines = [i for p in gone for i in range(at[p][0], at[p + 1][0] if p + 1 in gone else at[p][0] + 1)]
+        out[d] = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in lines)
+    return out
+
+
+def test_line_dedup_finds_runs_by_context(spark):
+    block = ["one two", "three four", "five six", "seven eight"]
+    rows = [(i, f"{x}\nalone {i}") for i, x in enumerate(block)] + [(10, "\n".join(["a"] + block)), (11, "\n".join(block + ["b"]))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {11: "b"}
+    rng = random.Random(8)
+    pool = ["common line"] + [f"l{i} x" for i in range(5)] + [" ".join(f"v{i}_{j}" for j in range(55)) for i in range(2)]
+    rows = [(d, "\n".join(rng.choice([*pool, "", f"u{rng.random()}"]) for _ in range(rng.randrange(1, 30)))) for d in range(80)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_windows(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == _direct(rows, lambda run: len(run) >= line_dedup.LINES or any(len(x) >= line_dedup.WORDS for x in run))
+
+
 def test_decontamination_edges(spark, docs, empty):
     bench = spark.createDataFrame([(1, " ".join(f"tok{i}" for i in range(20, 40))), (2, "Card 4111"), (3, None), (None, "x"), (4, "..")], "item_id long, text string")
     rows = decontamination.digest(decontamination.decontaminate(docs, bench)).collect()
