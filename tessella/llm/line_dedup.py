@@ -14,12 +14,18 @@ from tessella.session import materialize
 LINES, WORDS = 4, 50
 
 
-def line_units(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(hash, line number, is long)`` of the lines that aren't blank; case of A-Z and white space around and between words don't count."""
+def line_words(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(hash, line number, words)`` of the lines that aren't blank; case of A-Z and white space around and between words don't count."""
     rows = [(i, line.lower().split()) for i, line in enumerate(text.split(b"\n"))] if text else []
     rows = [(i, words) for i, words in rows if words]
     h = word_hashes([b" ".join(w) for _, w in rows])
-    return h.view(np.int64), np.array([i for i, _ in rows], np.int32), np.array([len(w) >= WORDS for _, w in rows], bool)
+    return h.view(np.int64), np.array([i for i, _ in rows], np.int32), np.array([len(w) for _, w in rows], np.int64)
+
+
+def line_units(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(hash, line number, is long)`` of the lines that :func:`line_words` gives."""
+    h, line, words = line_words(text)
+    return h, line, words >= WORDS
 
 
 def fingerprints(h: np.ndarray, long: np.ndarray, window: int = LINES) -> np.ndarray:
@@ -50,14 +56,14 @@ def repeated_runs(h: list[int], long: list[bool], source: list[int], anchors: li
     return out
 
 
-def windows(h: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(first, last, hash, second hash)`` of every window that is large enough to go and holds no smaller one at its first
+def windows(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(first, last, hash, second hash)`` of every window of LINES lines, or of WORDS words together, that holds no smaller one at its first
     or at its last line: any line of a repeated run that is large enough lies in such a window inside that run."""
     u, out, large = h.view(np.uint64), [(np.zeros(0, np.int64), 0, np.zeros((2, 0), np.uint64))], {}
-    total = np.concatenate([[0], np.cumsum(long)])
+    total = np.concatenate([[0], np.cumsum(words)])
     for k in range(1, min(LINES, len(u)) + 1):
         n = len(u) - k + 1
-        large[k] = (total[k:] - total[:-k] >= 1) | (k == LINES)
+        large[k] = (total[k:] - total[:-k] >= WORDS) | (k == LINES)
         left, right = large[k].copy(), large[k].copy()
         for j in range(1, k):
             left &= ~large[j][:n]
@@ -76,8 +82,8 @@ def _windows(batches):
     for batch in batches:
         got = []
         for text in utf8(batch.column("text")):
-            h, line, long = line_units(text)
-            first, last, f, g = windows(h, long)
+            h, line, words = line_words(text)
+            first, last, f, g = windows(h, words)
             after = np.append(line[1:], line[-1:] + 1)
             got.append((line[first], line[last], after[last], f, g))
         if got:
@@ -126,7 +132,7 @@ def _keys(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
 
 def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """As :func:`dedup_lines`, but whole: a line goes if it lies in any run, large enough to go, that stands at an earlier place too;
-    blank lines go if the lines before and after them go.
+    a run is large enough with LINES lines, or with WORDS words in all its lines together; blank lines go if the lines before and after them go.
 
     The context decides, not one line's first place: every window of :func:`windows` is its own fingerprint (winnowing in
     which the least match is as long as the match that is guaranteed), and goes everywhere but at its first place.

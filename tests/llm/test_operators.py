@@ -199,6 +199,18 @@ def test_line_dedup_finds_runs_by_context(spark):
     assert got == _direct(rows, lambda run: len(run) >= line_dedup.LINES or any(len(x) >= line_dedup.WORDS for x in run))
 
 
+def test_line_dedup_counts_words_of_a_run(spark):
+    part = [" ".join(f"w{i}_{j}" for j in range(n)) for i, n in enumerate((20, 24, 6, 30))]
+    rows = [(1, "\n".join(["a", *part[:3], "b"])), (2, "\n".join(["c", *part[:2], "", part[2], "d"])), (3, "\n".join(part[:2])), (4, part[3]), (5, "\n".join(["e", part[3], part[1]])), (6, "\n".join([part[3], part[1], "f"]))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {2: "c\nd", 6: "f"}
+    rng = random.Random(9)
+    pool = [" ".join(f"v{i}_{j}" for j in range(rng.randrange(1, 40))) for i in range(9)]
+    rows = [(d, "\n".join(rng.choice([*pool, "", f"u{rng.random()}"]) for _ in range(rng.randrange(1, 30)))) for d in range(80)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_windows(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == _direct(rows, lambda run: len(run) >= line_dedup.LINES or sum(map(len, run)) >= line_dedup.WORDS)
+
+
 def test_decontamination_edges(spark, docs, empty):
     bench = spark.createDataFrame([(1, " ".join(f"tok{i}" for i in range(20, 40))), (2, "Card 4111"), (3, None), (None, "x"), (4, "..")], "item_id long, text string")
     rows = decontamination.digest(decontamination.decontaminate(docs, bench)).collect()
