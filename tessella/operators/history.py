@@ -58,9 +58,19 @@ def result_field(runs: DataFrame, path: str, name: str) -> DataFrame:
     return runs.withColumn(name, F.get_json_object("result_json", path))
 
 
-def enrich_with_products(runs: DataFrame, products: DataFrame) -> DataFrame:
-    """Adds the first product (by ``ord``) whose id occurs in a run's source path; runs without one stay."""
-    hit = runs.select("id", "src_path").join(F.broadcast(products.limit(10_000)), F.contains("src_path", "product_id"))
+def enrich_with_products(runs: DataFrame, products: DataFrame, broadcast_rows: int = 10_000) -> DataFrame:
+    """Adds the first product (by ``ord``) whose id occurs in a run's source path; runs without one stay.
+
+    Up to ``broadcast_rows`` products are broadcast; more are joined by key with the paths' substrings of the ids' lengths.
+    """
+    paths = runs.select("id", "src_path")
+    if products.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        hit = paths.join(F.broadcast(products), F.contains("src_path", "product_id"))
+    else:
+        sizes = products.agg(F.collect_set(F.length("product_id")).alias("sizes"))  # one row
+        sized = paths.crossJoin(F.broadcast(sizes)).select("id", "src_path", F.explode("sizes").alias("n")).where(F.col("n") <= F.length("src_path"))
+        at = sized.select("id", "src_path", "n", F.explode(F.sequence(F.lit(1), F.length("src_path") - F.col("n") + 1)).alias("i"))
+        hit = at.select("id", F.expr("substring(src_path, i, n)").alias("product_id")).join(products.hint("merge"), "product_id")
     best = hit.groupBy("id").agg(F.min_by("product_id", "ord").alias("product_id"))
     return runs.join(best, "id", "left")
 

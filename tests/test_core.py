@@ -226,3 +226,15 @@ def test_feature_cache(spark):
     first = history.compute_missing(f, spark.createDataFrame([], "key string, v int"), lambda d: d.select("key", F.lit(1).alias("v")), "p=1")
     again = history.compute_missing(f, first, lambda d: d.select("key", F.lit(2).alias("v")), "p=1")
     assert [r.v for r in again.collect()] == [1, 1] and len({r.key for r in first.collect()}) == 2
+
+
+def test_products_beyond_the_broadcast(spark):
+    products = spark.range(10_050).select(F.format_string("p%05dx", "id").alias("product_id"), (-F.col("id")).alias("ord"))
+    rows = [(1, "/data/p10049x/p00001x.img"), (2, "/data/p00002x_p00003x.img"), (3, "/data/none.img"), (4, None), (5, "p10000x")]
+    runs = spark.createDataFrame(rows, "id long, src_path string")
+    want = {1: "p10049x", 2: "p00003x", 3: None, 4: None, 5: "p10000x"}
+    assert {r.id: r.product_id for r in history.enrich_with_products(runs, products).collect()} == want
+    few = products.where("ord in (-1, -2, -3, -10000, -10049)").unionByName(spark.createDataFrame([("data", 7), ("", 9), (None, -99999)], "product_id string, ord long"))
+    want |= {3: "data"}
+    assert {r.id: r.product_id for r in history.enrich_with_products(runs, few).collect()} == want
+    assert {r.id: r.product_id for r in history.enrich_with_products(runs, few, 2).collect()} == want
