@@ -43,8 +43,33 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table made by :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if folder.getName().startswith("table-"):
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(df.sparkSession, file.rpartition("/")[0])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getName().startswith("table-"):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Tables:
+    """Intermediate tables of one job in the shared folder; all but its result are deleted at the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out = materialize(df)
+        self.kept.append(out)
+        return out
+
+    def done(self, result: DataFrame, *folders: str) -> DataFrame:
+        """The result, written; further ``folders`` named table-... are deleted with the kept tables."""
+        result = materialize(result)
+        for df in self.kept:
+            discard(df)
+        for folder in folders:
+            _delete(self.spark, folder)
+        self.kept = []
+        return result
