@@ -1,25 +1,25 @@
-"""Exact removal of repeated byte strings: sampled candidates, then suffix sorting of what may differ."""
+"""Exact removal of repeated byte strings: sampled candidates, then external suffix sorting of what may differ."""
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.induced_sort import suffixes
+from tessella.llm.induced_sort import visit_suffixes
 from tessella.llm.words import MULT, chunks, mix, utf8
-from tessella.session import materialize
+from tessella.session import Tables, shared_dir
 
 #: Length of the strings, of the grams that sample them, and so how many grams each string holds.
 LENGTH, GRAM = 100, 36
 SPAN = LENGTH - GRAM + 1
 #: Text of one shard of the suffix sort; text whose records share a bucket; different segments of one gram from which on the
-#: gram is resolved window by window: several such grams can meet in a shard, so it is a small share of one.
-SHARD_BYTES, BUCKET_BYTES = 3_000_000, 16_000_000
-MANY = 400
+#: gram's strings are dealt to many tasks, since its segments would fill a shard of their own.
+SHARD_BYTES, BUCKET_BYTES, MANY = 4_000_000, 8_000_000, 50_000
 _A, _B = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95)
 _CODES = mix(np.arange(1, 257, dtype=np.uint64) * MULT)
 _POWERS: dict = {}
@@ -174,53 +174,69 @@ def _resolve(table: pa.Table) -> pa.Table:
 def _cut_out(batches):
     """The bytes of the segments that are left to compare."""
     for batch in batches:
-        out: dict[str, list] = {"doc_id": [], "at": [], "anchor": [], "bytes": []}
+        out: dict[str, list] = {"doc_id": [], "at": [], "anchor": [], "kind": [], "bytes": []}
         for d, raw, todo in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("todo").to_pylist()):
             for t in todo:
                 s0, size = t["at"] >> 7, t["at"] & 127
-                for k, v in zip(out, (d, t["at"], t["anchor"], raw[s0 : s0 + size + LENGTH - 1])):
+                for k, v in zip(out, (d, t["at"], t["anchor"], t["kind"], raw[s0 : s0 + size + LENGTH - 1])):
                     out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["at"], pa.int64()), pa.array(out["anchor"], pa.int64()), pa.array(out["bytes"], pa.binary())], list(out))
+        yield pa.RecordBatch.from_arrays([*[pa.array(out[k], pa.int64()) for k in ("doc_id", "at", "anchor")], pa.array(out["kind"], pa.int8()), pa.array(out["bytes"], pa.binary())], list(out))
 
 
-def _compare(table: pa.Table) -> pa.Table:
+class _Repeats:
+    """Gets all suffixes of a shard in order; of those that share LENGTH characters all but the first in the text are repeats.
+    A group that goes on in the next piece keeps only its first one, so memory doesn't grow with a group."""
+
+    def __init__(self, inside):
+        self.inside, self.open, self.found = inside, np.zeros(0, np.int32), []
+
+    def seen(self, pos: np.ndarray, lcp: np.ndarray) -> None:
+        pos, new = np.concatenate([self.open, pos]), np.concatenate([np.ones(len(self.open), bool), lcp < LENGTH])
+        head = np.flatnonzero(new) if len(self.open) or new[0] else np.concatenate([[0], np.flatnonzero(new)])
+        least = np.minimum.reduceat(pos, head)
+        again = pos[pos != np.repeat(least, np.diff(np.append(head, len(pos))))]
+        self.found.append(again[self.inside(again)])
+        self.open = least[-1:]
+
+
+def _compare(folder: str):
     """One shard: suffix-sorts its segments; of the strings that share 100 bytes all but the first are repeats."""
-    parts = table.column("bytes").to_pylist()
-    at, doc = table.column("at").to_numpy(), table.column("doc_id").to_numpy()
-    text = np.frombuffer(b"".join(p + b"\xff" for p in parts), np.uint8) + np.uint8(1)  # UTF-8 has no byte 255: gaps become 0
-    sizes = at & 127
-    begin = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])[:-1]]).astype(np.int64)
-    pos, lcp = suffixes(text, LENGTH)
-    group = np.cumsum(lcp < LENGTH)
-    owner = np.searchsorted(begin, pos, side="right") - 1
-    offset = pos - begin[owner]
-    valid = np.flatnonzero(offset < sizes[owner])
-    group, owner, offset = group[valid], owner[valid], offset[valid]
-    start = (at[owner] >> 7) + offset
-    order = np.lexsort((start, doc[owner], group))
-    again = order[_later(_first_of_runs(group[order]), doc[owner[order]], start[order])]
-    d, s = doc[owner[again]], start[again]
-    order = np.lexsort((s, d))
-    d, s = d[order], s[order]
-    head = np.flatnonzero(_first_of_runs(d) | np.concatenate([[True], s[1:] != s[:-1] + 1])[: len(s)]) if len(s) else np.zeros(0, np.int64)
-    n = np.diff(np.concatenate([head, [len(s)]]))
-    return pa.table({"doc_id": d[head].astype(np.int64), "first": s[head].astype(np.int64), "n": n.astype(np.int64)})
+
+    def run(table: pa.Table) -> pa.Table:
+        at, doc = table.column("at").to_numpy(), table.column("doc_id").to_numpy()
+        order = np.lexsort((at, doc))  # places in the text are in order of places in the corpus
+        order = order[_first_of_runs(doc[order], at[order])]
+        at, doc = at[order], doc[order]
+        parts = table.column("bytes").to_pylist()
+        parts = [parts[i] for i in order.tolist()]
+        sizes, begin = at & 127, np.cumsum([0] + [len(p) + 1 for p in parts])[:-1]
+        # UTF-8 has no byte above 244: bytes are moved up by 2, gaps become 1, and one 0 ends the text
+        text = np.frombuffer(b"\xff".join([*parts, b""]) + b"\xfe", np.uint8) + np.uint8(2)
+        del parts, table
+
+        def inside(pos: np.ndarray) -> np.ndarray:
+            owner = np.searchsorted(begin, pos, side="right") - 1
+            return pos - begin[owner] < sizes[owner]
+
+        repeats = _Repeats(inside)
+        visit_suffixes(text, repeats.seen, LENGTH, folder)
+        pos = np.sort(np.concatenate(repeats.found))
+        owner = np.searchsorted(begin, pos, side="right") - 1
+        d, s = doc[owner], (at[owner] >> 7) + pos - begin[owner]
+        head = np.flatnonzero(_first_of_runs(d) | np.concatenate([[True], s[1:] != s[:-1] + 1])[: len(s)]) if len(s) else np.zeros(0, np.int64)
+        n = np.diff(np.concatenate([head, [len(s)]]))
+        return pa.table({"doc_id": d[head].astype(np.int64), "first": s[head].astype(np.int64), "n": n.astype(np.int64)})
+
+    return run
 
 
 def _windows(batches):
-    """Each string of the segments of very common anchors by two hashes."""
+    """Each string of the segments of very common anchors."""
     for batch in batches:
-        out: list[tuple] = []
         for d, at, raw in zip(batch.column("doc_id").to_pylist(), batch.column("at").to_pylist(), batch.column("bytes").to_pylist()):
-            arr = np.frombuffer(raw, np.uint8)
             n = at & 127
-            h = []
-            for base in (_A, _B):
-                total, back = _prefix(arr, base)
-                h.append(mix((total[LENGTH : LENGTH + n] - total[:n]) * back[:n]).view(np.int64))
-            out.append((h[0], h[1], np.full(n, d, np.int64), (at >> 7) + np.arange(n)))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h1", "h2", "doc_id", "first"])
+            strings = pa.array([raw[i : i + LENGTH] for i in range(n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([strings, pa.array(np.full(n, d, np.int64)), pa.array((at >> 7) + np.arange(n))], ["string", "doc_id", "first"])
 
 
 def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -261,40 +277,47 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     A byte goes if a 100-byte string of its document's UTF-8 bytes covers it that also starts earlier: in a document of
     smaller id, or before in the same one. Strings are judged on the input and never cross documents.
 
-    1. Every string is assigned to the gram of least hash in it, so equal strings meet; about 3 % of positions are anchors.
-    2. Of equal segments around an anchor all but the first are repeats: partial in each batch, then per bucket of anchors.
-    3. Anchors whose segments differ, the edges of repeats, go to shards that are suffix-sorted by induction
-       (``induced_sort``); strings sharing 100 bytes are repeats of the first. Anchors of more than MANY different segments
-       are resolved by grouping their strings' 128-bit hashes, so a passage in very many contexts needs no single shard.
+    1. Every string is assigned to the gram of least hash in it, so equal strings meet; about 3 % of positions are anchors. A
+       string of an anchor that is nowhere else has no copy.
+    2. Of wholly equal segments around an anchor (by a 128-bit name) all but the first are repeats: partial in each batch,
+       then per bucket of anchors.
+    3. Anchors whose segments differ, the edges of repeats, go to shards that are suffix-sorted on disk by recursive induction
+       (``induced_sort``); strings sharing 100 bytes are repeats of the first. The strings of an anchor that would fill a
+       shard alone (MANY segments) are dealt to many tasks and compared there by their bytes: the result is the same.
 
     Null and empty texts, and those below 100 bytes, lose nothing. Rows of null ids neither lose nor remove. Ids must be
     integers. Rows that repeat an id and a text are one document: its strings don't repeat themselves, and each row shows its
-    result. Rows that share an id must not differ in text. Other columns are not read.
+    result. Of rows that share an id but not the text, the text of least hash is the document; the others neither lose nor
+    remove. Other columns are not read.
     """
+    spark, tables = docs.sparkSession, Tables(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     own = docs.where("doc_id is not null and text is not null")
+    none = docs.where("doc_id is null or text is null")
+    mixed = tables.keep(own.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi")).where("lo < hi"))
+    if not mixed.isEmpty():
+        judged = own.join(mixed.select("doc_id", "lo").hint("merge"), "doc_id", "left").withColumn("one", F.coalesce(F.xxhash64("text") == F.col("lo"), F.lit(True)))
+        own, none = judged.where("one").select("doc_id", "text"), none.unionByName(judged.where("not one").select("doc_id", "text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(8, total // BUCKET_BYTES + 1))
     sent = own.where(F.octet_length("text") >= LENGTH).mapInArrow(_send(buckets), "bucket int, known boolean, blob binary")
-    found = materialize(sent.groupBy("bucket").applyInArrow(_resolve, "doc_id long, at long, anchor long, kind byte"))
+    found = tables.keep(sent.groupBy("bucket").applyInArrow(_resolve, "doc_id long, at long, anchor long, kind byte"))
     todo = found.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor", "kind")).alias("todo"))
-    left = found.where("kind > 0").agg(F.sum(F.expr(f"(at & 127) + {LENGTH}"))).first()[0] or 0
-    shards = int(left // SHARD_BYTES + 1)
-    cut = lambda k: (
-        own.join(todo.withColumn("todo", F.filter("todo", lambda t: t.kind == k)).where("size(todo) > 0").hint("shuffle_hash"), "doc_id")
-        .select("doc_id", "text", "todo")
-        .mapInArrow(_cut_out, "doc_id long, at long, anchor long, bytes binary")
-    )
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
-    repeats = cut(1).select(shard, "doc_id", "at", "bytes").groupBy("shard").applyInArrow(_compare, "doc_id long, first long, n long")
-    strings = cut(2).mapInArrow(_windows, "h1 long, h2 long, doc_id long, first long")
-    best = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "first")).alias("b"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "b")
-    common = strings.join(best.hint("merge"), ["h1", "h2"]).where("not (doc_id = b.doc_id and first = b.first)").select("doc_id", "first", F.lit(1).cast("long").alias("n"))
+    cut = own.join(todo.hint("merge"), "doc_id").select("doc_id", "text", "todo").mapInArrow(_cut_out, "doc_id long, at long, anchor long, kind byte, bytes binary")
+    cut = tables.keep(cut)
+    left = cut.where("kind = 1").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(int(left // SHARD_BYTES + 1))).alias("shard")
+    spill = f"{shared_dir(spark).rstrip('/')}/table-spill-{uuid.uuid4().hex}"
+    repeats = cut.where("kind = 1").select(shard, "doc_id", "at", "bytes").groupBy("shard").applyInArrow(_compare(spill), "doc_id long, first long, n long")
+    strings = cut.where("kind = 2").mapInArrow(_windows, "string binary, doc_id long, first long")
+    best = strings.groupBy("string").agg(F.min(F.struct("doc_id", "first")).alias("b"), F.count("*").alias("c")).where("c > 1").select("string", "b")
+    common = strings.join(best.hint("merge"), "string").where("not (doc_id = b.doc_id and first = b.first)").select("doc_id", "first", F.lit(1).cast("long").alias("n"))
     known = found.where("kind = 0").select("doc_id", F.expr("shiftright(at, 7)").alias("first"), F.expr("at & 127").alias("n"))
-    cuts = known.unionByName(repeats).unionByName(common).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("cuts"))
-    joined = own.join(cuts.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "cuts")
-    none = docs.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast("array<struct<first:bigint,n:bigint>>").alias("cuts"))
-    return joined.unionByName(none).mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<struct<start:bigint,end:bigint>>")
+    cuts = tables.keep(known.unionByName(repeats).unionByName(common).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("cuts")))
+    joined = own.join(cuts.hint("merge"), "doc_id", "left").select("doc_id", "text", "cuts")
+    none = none.select("doc_id", "text", F.lit(None).cast("array<struct<first:bigint,n:bigint>>").alias("cuts"))
+    out = joined.unionByName(none).mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<struct<start:bigint,end:bigint>>")
+    return tables.done(out, spill)
 
 
 def digest(found: DataFrame) -> DataFrame:

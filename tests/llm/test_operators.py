@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tessella.llm import decontamination, html_extraction, language, line_dedup, mixing, near_duplicates, nearest, pii, quality, substring_dedup
 from tessella.llm.html_blocks import blocks
-from tessella.llm.induced_sort import suffixes
+from tessella.llm import induced_sort
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 911}x{i % 37}" for i in range(20_000))
@@ -226,7 +226,7 @@ def test_decontamination_edges(spark, docs, empty):
     assert ROWS[7][1][span.start : span.end] == "card 4111"
 
 
-def test_substring_dedup_brute_force(spark):
+def test_substring_dedup_brute_force(spark, monkeypatch):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 7)))
     common = " ".join(word() for _ in range(60))
@@ -253,12 +253,12 @@ def test_substring_dedup_brute_force(spark):
         runs = sum(1 for i, x in enumerate(gone) if x and (i == 0 or not gone[i - 1]))
         want[d] = (len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, x in zip(b, gone) if not x)).hexdigest())
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    usual = substring_dedup.MANY
-    for many in (usual, 3):
-        substring_dedup.MANY = many
+    for many, shard, memory in ((50_000, 4_000_000, 2_000_000), (3, 2_000, 2_000_000), (50_000, 4_000_000, 500)):
+        monkeypatch.setattr(substring_dedup, "MANY", many)
+        monkeypatch.setattr(substring_dedup, "SHARD_BYTES", shard)
+        monkeypatch.setattr(induced_sort, "MEMORY", memory)
         got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.digest(substring_dedup.dedup_substrings(frame)).collect()}
         assert got == want
-    substring_dedup.MANY = usual
 
 
 def test_substring_dedup_edges(docs, empty):
@@ -267,21 +267,35 @@ def test_substring_dedup_edges(docs, empty):
     by = {r.doc_id: r for r in got}
     assert by[1].n_removed == by[None].n_removed == by[5].n_removed == 0 and by[8].n_removed == by[8].n_bytes
     assert substring_dedup.dedup_substrings(empty).count() == 0
-
-
-def test_induced_suffixes():
-    rng = np.random.default_rng(2)
+    two = docs.where("doc_id is not null").unionByName(docs.where("doc_id = 8").withColumn("text", F.lit("z" * 300)))
+    got = substring_dedup.dedup_substrings(two).where("doc_id = 8").collect()
+    assert sorted(r.n_bytes for r in got) == sorted([300, len(BASE)]) and len([r for r in got if r.n_removed]) == 1
+
+
+def _check_order(t: bytes, **more):
+    s, got = np.append(np.frombuffer(t, np.uint8), np.uint8(0)), []
+    spilled = induced_sort.visit_suffixes(s, lambda p, v: got.append((p.copy(), v.copy())), **more)
+    pos, lcp, b = *(np.concatenate(x).tolist() for x in zip(*got)), s.tobytes()
+    assert sorted(pos) == list(range(len(s)))
+    for i in range(1, len(pos)):
+        x, y = b[pos[i - 1] : pos[i - 1] + 100], b[pos[i] : pos[i] + 100]
+        assert x >= y
+        assert min(lcp[i], 100) == next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+    return spilled
+
+
+@pytest.mark.parametrize(("base", "chunk", "memory"), [(4_000_000, 1 << 16, None), (3, 1 << 16, None), (4_000_000, 16, 64), (3, 16, 64)])
+def test_induced_sort(tmp_path, monkeypatch, base, chunk, memory):
+    """Against direct sorting; with recursion down to 3 ranks, and with so little memory that nearly all tuples pass through files."""
+    monkeypatch.setattr(induced_sort, "BASE", base)
+    monkeypatch.setattr(induced_sort, "CHUNK", chunk)
+    rng, spilled = np.random.default_rng(2), 0
     for trial in range(60):
         t = (rng.integers(0, rng.integers(1, 5), rng.integers(1, 250)) + 97).astype(np.uint8)
         t = np.tile(t[:17], 14) if trial % 4 == 0 else t
-        b = t.tobytes()
-        pos, lcp = suffixes(t)
-        assert sorted(pos.tolist()) == list(range(len(t)))
-        for i in range(1, len(pos)):
-            x, y = b[pos[i - 1] : pos[i - 1] + 100], b[pos[i] : pos[i] + 100]
-            assert x <= y
-            same = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
-            assert min(lcp[i], 100) == same
+        t = np.concatenate([t, np.full(150, 97, np.uint8), t]) if trial % 9 == 0 else t
+        spilled += _check_order(t.tobytes(), folder=f"file://{tmp_path}/spill" if memory else None, memory=memory)
+    assert (spilled > 0) == bool(memory) and not list(tmp_path.rglob("queue-*"))
 
 
 def test_language(docs, empty, spark):
