@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import discard, materialize
+from tessella.session import Tables, discard, materialize
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -22,11 +22,12 @@ def _small_star(e: DataFrame) -> DataFrame:
     return near.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, tables: Tables | None = None) -> DataFrame:
     """``edges(u, v)`` -> ``(node, component)``: the smallest node reachable, for every node that has an edge.
 
     Alternating large-star and small-star rounds until the edge set stands still. A node with very many edges
-    costs one partial minimum, never a group in one task. Null ends and self-loops are ignored.
+    costs one partial minimum, never a group in one task. Null ends and self-loops are ignored. The result's table is one of
+    ``tables``, if given.
     """
     e = materialize(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -43,6 +44,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         mark = now
     else:
         raise RuntimeError("components did not settle")
+    if tables is not None:
+        tables.kept.append(e)
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))

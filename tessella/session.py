@@ -34,9 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Writes a table to the shared folder and reads it back: it cuts lineage, survives lost executors, and gives later joins true sizes."""
+    """Writes a table to the shared folder and reads it back: it cuts lineage, survives lost executors, and gives later joins true
+    sizes. It goes with the session at the latest."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -64,11 +67,12 @@ class Tables:
         self.kept.append(out)
         return out
 
-    def done(self, result: DataFrame, *folders: str) -> DataFrame:
-        """The result, written; further ``folders`` named table-... are deleted with the kept tables."""
+    def done(self, result: DataFrame, *folders: str, keep: list | None = None) -> DataFrame:
+        """The result, written; further ``folders`` named table-... are deleted with the kept tables, but not the tables in ``keep``."""
         result = materialize(result)
         for df in self.kept:
-            discard(df)
+            if not any(df is k for k in keep or ()):
+                discard(df)
         for folder in folders:
             _delete(self.spark, folder)
         self.kept = []
