@@ -33,7 +33,8 @@ def top_ranks(codes: np.ndarray, counts: np.ndarray, most: int = RANKS) -> np.nd
 
 def learn_profiles(docs: DataFrame, per_language: int = 2000, most: int = RANKS) -> dict[str, list[int]]:
     """Each language's ``most`` most frequent n-grams in rank order, over about ``per_language`` documents a language,
-    dealt by a hash of the id, of those outside the held-out fifth that have a language."""
+    dealt by a hash of the id, of those outside the held-out fifth that have a language. Null ids, texts and languages are
+    not learned from; repeated rows count each time; ties go to the smaller code; an empty table gives no profile."""
     own = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 0, F.lit(False))
     )
@@ -98,4 +99,4 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], most: int = RANKS)
 
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns of :func:`identify`'s result."""
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")

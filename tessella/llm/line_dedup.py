@@ -1,4 +1,4 @@
-"""Line dedup: fingerprints of whole repeated windows of lines, or winnowed line fingerprints extended both ways."""
+"""Line dedup: winnowed line hashes find what may repeat, their windows are joined by position, matches run on both ways."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.words import MULT, mix, utf8, word_hashes
-from tessella.session import materialize
+from tessella.session import Tables
 
-#: A repeated run goes if it has so many lines, or a line of so many words.
+#: A repeated run goes if it has so many lines, or so many words in all its lines.
 LINES, WORDS = 4, 50
 
 
@@ -22,44 +22,11 @@ def line_words(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h.view(np.int64), np.array([i for i, _ in rows], np.int32), np.array([len(w) for _, w in rows], np.int64)
 
 
-def line_units(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(hash, line number, is long)`` of the lines that :func:`line_words` gives."""
-    h, line, words = line_words(text)
-    return h, line, words >= WORDS
-
-
-def fingerprints(h: np.ndarray, long: np.ndarray, window: int = LINES) -> np.ndarray:
-    """Positions of the least hash of every ``window`` consecutive lines, the last of equals, and of every long line: a
-    repeated run of ``window`` lines, or with a long line, has one at the same place in each copy."""
-    keep = set(np.flatnonzero(long).tolist())
-    u = h.view(np.uint64)
-    if len(u) >= window:
-        w = np.lib.stride_tricks.sliding_window_view(u, window)
-        keep.update((np.arange(len(w)) + window - 1 - w[:, ::-1].argmin(axis=1)).tolist())
-    return np.array(sorted(keep), np.int32)
-
-
-def repeated_runs(h: list[int], long: list[bool], source: list[int], anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs ``(first, last)`` of ``h`` around ``anchors`` (place here, place there) that equal lines of ``source`` and are large enough to go."""
-    out, done = [], {}
-    for p, s in sorted(anchors):
-        if done.get(p - s, -1) >= p:
-            continue
-        a = b = 0
-        while p - a > 0 and s - a > 0 and h[p - a - 1] == source[s - a - 1]:
-            a += 1
-        while p + b + 1 < len(h) and s + b + 1 < len(source) and h[p + b + 1] == source[s + b + 1]:
-            b += 1
-        done[p - s] = p + b
-        if a + b + 1 >= LINES or any(long[p - a : p + b + 1]):
-            out.append((p - a, p + b))
-    return out
-
-
-def windows(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(first, last, hash, second hash)`` of every window of LINES lines, or of WORDS words together, that holds no smaller one at its first
-    or at its last line: any line of a repeated run that is large enough lies in such a window inside that run."""
-    u, out, large = h.view(np.uint64), [(np.zeros(0, np.int64), 0, np.zeros((2, 0), np.uint64))], {}
+def windows(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(first, last, fingerprint, hash, second hash)`` of every window of LINES lines, or of WORDS words together, that holds
+    no smaller one at its first or at its last line: any line of a repeated run that is large enough lies in such a window
+    inside that run. The fingerprint is the window's least line hash, the same in every copy."""
+    u, out, large = h.view(np.uint64), [(np.zeros(0, np.int64), 0, np.zeros((3, 0), np.uint64))], {}
     total = np.concatenate([[0], np.cumsum(words)])
     for k in range(1, min(LINES, len(u)) + 1):
         n = len(u) - k + 1
@@ -71,116 +38,81 @@ def windows(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         at = np.flatnonzero(left | right)
         g = np.full((2, len(at)), k, np.uint64)
         g[1] += MULT
+        least = np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
         for i in range(k):
             g = mix(g * MULT + u[at + i])
-        out.append((at, k, g))
+            least = np.minimum(least, u[at + i])
+        out.append((at, k, np.concatenate([least[None], g])))
     first, g = np.concatenate([x[0] for x in out]), np.concatenate([x[2] for x in out], axis=1).view(np.int64)
-    return first, np.concatenate([x[0] + x[1] - 1 for x in out]), g[0], g[1]
+    return first, np.concatenate([x[0] + x[1] - 1 for x in out]), g[0], g[1], g[2]
 
 
-def _windows(batches):
+def _places(batches):
     for batch in batches:
         got = []
         for text in utf8(batch.column("text")):
             h, line, words = line_words(text)
-            first, last, f, g = windows(h, words)
+            first, last, w, f, g = windows(h, words)
             after = np.append(line[1:], line[-1:] + 1)
-            got.append((line[first], line[last], after[last], f, g))
+            got.append((line[first], line[last], after[last], w, f, g))
         if got:
             at = pa.array(np.repeat(np.arange(len(got)), [len(x[0]) for x in got]))
-            a, z, e, f, g = (pa.array(np.concatenate([x[i] for x in got])) for i in range(5))
-            yield pa.RecordBatch.from_arrays([batch.column("d").take(at), batch.column("t").take(at), a, z, e, f, g], ["d", "t", "a", "z", "e", "f", "g"])
+            cols = [pa.array(np.concatenate([x[i] for x in got])) for i in range(6)]
+            yield pa.RecordBatch.from_arrays([batch.column("d").take(at), batch.column("t").take(at), *cols], ["d", "t", "a", "z", "e", "w", "f", "g"])
 
 
-def _merged(batches):
+def _flags(batches):
+    """Matched windows of a document, joined to runs: whether each line goes, up to the last that does."""
     for batch in batches:
-        cuts = []
+        out = []
         for c in batch.column("cuts").to_pylist():
-            runs = []
-            after = -1
-            for a, z, e in sorted((x["a"], x["z"], x["e"]) for x in c):
-                if a > after:
-                    runs.append({"a": a, "z": z})
-                runs[-1]["z"], after = max(z, runs[-1]["z"]), max(e, after)
-            cuts.append(runs)
-        yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), pa.array(cuts, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))], ["d", "t", "cuts"])
+            cuts = np.array(sorted((x["a"], x["z"], x["e"]) for x in c))
+            flags, after = np.zeros(int(cuts[:, 1].max()) + 1, bool), -1
+            for a, z, e in cuts.tolist():
+                flags[(start if a <= after else a) : z + 1] = True
+                start, after = (max(start, z) if a <= after else z), max(e, after)
+            out.append(flags)
+        yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), pa.array(out, pa.list_(pa.bool_()))], ["d", "t", "flags"])
 
 
-def _units(batches):
-    for batch in batches:
-        got = [line_units(t) for t in utf8(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("d"), batch.column("t"), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int32())),
-             pa.array([g[2] for g in got], pa.list_(pa.bool_())), pa.array([fingerprints(g[0], g[2]) for g in got], pa.list_(pa.int32()))],
-            ["d", "t", "h", "line", "long", "fp"],
-        )
-
-
-def _cuts(batches):
-    for batch in batches:
-        cuts = []
-        for h, line, long, source, anchors in zip(*(batch.column(c).to_pylist() for c in ("h", "line", "long", "source", "anchors"))):
-            runs = repeated_runs(h, long, source, [(a["p"], a["s"]) for a in anchors])
-            cuts.append([{"a": line[x], "z": line[y]} for x, y in runs])
-        yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), pa.array(cuts, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))], ["d", "t", "cuts"])
-
-
-def _keys(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
-    key = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).where("d is not null and text is not null")
-    return key, f"d {docs.schema[doc_id].dataType.simpleString()}, t long"
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", before: str = "lines_before", removed: str = "lines_removed") -> DataFrame:
+    """All rows and columns of ``docs`` with ``text`` cleaned, and two more columns: lines before and lines removed.
 
+    Documents are taken in order of id. A line goes if it lies in any run of lines, large enough to go, that stands at an
+    earlier place too; a run is large enough with LINES lines, or with WORDS words in all its lines together. Runs may repeat
+    earlier lines of their own document. Blank lines don't end a run; they go if the lines before and after them go.
 
-def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """As :func:`dedup_lines`, but whole: a line goes if it lies in any run, large enough to go, that stands at an earlier place too;
-    a run is large enough with LINES lines, or with WORDS words in all its lines together; blank lines go if the lines before and after them go.
-
-    The context decides, not one line's first place: every window of :func:`windows` is its own fingerprint (winnowing in
-    which the least match is as long as the match that is guaranteed), and goes everywhere but at its first place.
-    """
-    docs = docs.drop("lines_before", "lines_removed")
-    key, kind = _keys(docs, doc_id, text)
-    places = materialize(key.mapInArrow(_windows, f"{kind}, a int, z int, e int, f long, g long"))
-    first = places.groupBy("f", "g").agg(F.min(F.struct("d", "t", "a")).alias("x"), F.count("*").alias("n")).where("n > 1").select("f", "g", "x")
-    later = places.join(first.hint("merge"), ["f", "g"]).where("not (d = x.d and t = x.t and a = x.a)")
-    cuts = later.groupBy("d", "t").agg(F.collect_list(F.struct("a", "z", "e")).alias("cuts")).mapInArrow(_merged, f"{kind}, cuts array<struct<a:int,z:int>>")
-    return _without(docs, materialize(cuts), doc_id, text)
-
-
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``text`` cleaned, and two more columns: ``lines_before`` and ``lines_removed``.
-    A line is compared with its first place only; :func:`dedup_windows` finds all repeated runs.
-
-    Documents are taken in order of id. A fingerprint's first place (least id, then position) keeps its lines; at every
-    other place the match with the first is extended line by line both ways, and the run goes if it has at least LINES
-    lines that aren't blank, or a line of at least WORDS words. Runs may repeat earlier lines of their own document. Blank
-    lines don't end a run; those inside a run go with it.
+    1. Winnowing: the least line hash of every window is its fingerprint. A repeated window repeats its fingerprint, so
+       windows whose fingerprint stands in one window only are done.
+    2. The positions of the others are joined by the whole window, so each match has its own first place and a frequent line
+       does not hide it. Matches that overlap or meet are one run: every line that extends a match lies in a window too, and
+       is looked up with it, to both sides.
+    3. Runs go everywhere but at their first place.
 
     Null and empty texts stay as they are, and so do rows of null ids; rows that repeat an id and a text are one document and
-    share its result; rows that share an id but not the text are told apart by a hash of it. Any earlier columns
-    lines_before and lines_removed are replaced.
+    share its result; rows that share an id but not the text are told apart by a hash of it. Earlier columns of the two names
+    are replaced; other columns may have any name but those beginning with __line.
     """
-    docs = docs.drop("lines_before", "lines_removed")
-    key, kind = _keys(docs, doc_id, text)
-    units = materialize(key.mapInArrow(_units, f"{kind}, h array<long>, line array<int>, long array<boolean>, fp array<int>").where("size(fp) > 0").dropDuplicates(["d", "t"]))
-    fps = units.select("d", "t", F.explode("fp").alias("p"), "h").select("d", "t", "p", F.expr("h[p]").alias("f"))
-    first = fps.groupBy("f").agg(F.min(F.struct("d", "t", "p")).alias("x"), F.count("*").alias("n")).where("n > 1").select("f", F.col("x.d").alias("sd"), F.col("x.t").alias("st"), F.col("x.p").alias("s"))
-    anchors = fps.join(first.hint("merge"), "f").where("not (d = sd and t = st and p = s)")
-    pairs = anchors.groupBy("d", "t", "sd", "st").agg(F.collect_list(F.struct("p", "s")).alias("anchors"))
-    source = units.select(F.col("d").alias("sd"), F.col("t").alias("st"), F.col("h").alias("source"))
-    both = pairs.join(units.select("d", "t", "h", "line", "long").hint("merge"), ["d", "t"]).join(source.hint("merge"), ["sd", "st"])
-    cuts = both.select("d", "t", "h", "line", "long", "source", "anchors").mapInArrow(_cuts, f"{kind}, cuts array<struct<a:int,z:int>>")
-    cuts = materialize(cuts.where("size(cuts) > 0").groupBy("d", "t").agg(F.flatten(F.collect_list("cuts")).alias("cuts")))
-    return _without(docs, cuts, doc_id, text)
-
-
-def _without(docs: DataFrame, cuts: DataFrame, doc_id: str, text: str) -> DataFrame:
-    joined = docs.withColumn("__t", F.xxhash64(text)).join(cuts.hint("merge"), (F.col(doc_id) == F.col("d")) & (F.col("__t") == F.col("t")), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.exists("cuts", lambda c: (i >= c.a) & (i <= c.z)))
-    joined = joined.withColumn("__kept", F.when(F.col("cuts").isNotNull(), kept)).withColumn("__n", F.when(F.col(text).isNotNull(), F.size(lines)).otherwise(0))
-    removed = F.when(F.col("__kept").isNotNull(), F.col("__n") - F.size("__kept")).otherwise(0)
-    clean = F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(text))
-    return joined.select(*[clean.alias(c) if c == text else c for c in docs.columns], F.col("__n").cast("long").alias("lines_before"), removed.cast("long").alias("lines_removed"))
+    docs = docs.drop(before, removed)
+    tables = Tables(docs.sparkSession)
+    key = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).where("d is not null and text is not null")
+    kind = f"d {docs.schema[doc_id].dataType.simpleString()}, t long"
+    places = tables.keep(key.mapInArrow(_places, f"{kind}, a int, z int, e int, w long, f long, g long"))
+    # rows that repeat a document repeat its places
+    twice = places.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w").alias("w2"))
+    some = tables.keep(places.join(twice.hint("merge"), F.col("w") == F.col("w2"), "left_semi").drop("w"))
+    first = some.groupBy("f", "g").agg(F.min(F.struct("d", "t", "a")).alias("x"), F.count("*").alias("n")).where("n > 1").select("f", "g", "x")
+    later = some.join(first.hint("merge"), ["f", "g"]).where("not (d = x.d and t = x.t and a = x.a)")
+    flags = later.groupBy("d", "t").agg(F.collect_list(F.struct("a", "z", "e")).alias("cuts")).mapInArrow(_flags, f"{kind}, flags array<boolean>")
+    flags = tables.done(flags.select(F.col("d").alias("__line_d"), F.col("t").alias("__line_t"), F.col("flags").alias("__line_flags")))
+    same = (F.col(doc_id) == F.col("__line_d")) & (F.col("__line_h") == F.col("__line_t"))
+    joined = docs.withColumn("__line_h", F.xxhash64(text)).join(flags.hint("merge"), same, "left")
+    lines, hit = F.split(F.col(text), "\n", -1), F.col("__line_flags").isNotNull()
+    kept = F.when(hit, F.filter(lines, lambda x, i: ~F.coalesce(F.get("__line_flags", i), F.lit(False))))
+    joined = joined.withColumn("__line_kept", kept).withColumn("__line_n", F.when(F.col(text).isNotNull(), F.size(lines)).otherwise(0))
+    gone = F.when(hit, F.col("__line_n") - F.size("__line_kept")).otherwise(0)
+    clean = F.when(hit, F.array_join("__line_kept", "\n")).otherwise(F.col(text))
+    return joined.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.col("__line_n").cast("long").alias(before), gone.cast("long").alias(removed))
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.words import MULT, chunks, mix, shingles, utf8
 from tessella.operators.graph import connected_components
-from tessella.session import materialize
+from tessella.session import Tables
 
 #: 28 bands of 5: a pair at similarity 0.85 shares no band with probability 7e-8, at 0.8 with 2e-5.
 BANDS, ROWS = 28, 5
@@ -154,17 +154,18 @@ def near_duplicate_groups(docs: DataFrame, k: int = 3, percent: int = 85, doc_id
     Empty and null texts, and rows of null ids, are linked with nothing; a null id has no component and is kept. Rows that
     repeat an id are one document. Ids are integers. Other columns are not read.
     """
+    tables = Tables(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sig = materialize(docs.mapInArrow(_signed(shingles, k), "doc_id long, n long, lo long, hi long, bands array<long>, bits array<long>"))
+    sig = tables.keep(docs.mapInArrow(_signed(shingles, k), "doc_id long, n long, lo long, hi long, bands array<long>, bits array<long>"))
     some = sig.where("n > 0 and doc_id is not null")
-    classes = materialize(some.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
+    classes = tables.keep(some.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
     words = [f"x{i}" for i in range(LONGS)]
     of = F.struct("rep", "n", *words)
     banded = classes.select("rep", "n", *[F.col("bits")[i].alias(w) for i, w in enumerate(words)], F.explode("bands").alias("band"))
     hub = banded.groupBy("band").agg(F.min(of).alias("a"), F.max("rep").alias("z")).where("a.rep < z")
-    shared = materialize(banded.join(hub.hint("merge"), "band").select("band", "rep", "n", *words, "a"))
+    shared = tables.keep(banded.join(hub.hint("merge"), "band").select("band", "rep", "n", *words, "a"))
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(docs.where("doc_id is not null").join(wanted.hint("merge"), "doc_id"))
+    texts = tables.keep(docs.where("doc_id is not null").join(wanted.hint("merge"), "doc_id"))
 
     size = BANDS * ROWS
     agree = (1 + percent / 100) / 2
@@ -180,15 +181,15 @@ def near_duplicate_groups(docs: DataFrame, k: int = 3, percent: int = 85, doc_id
         left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu"))
         right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
         both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "tu", "tv")
-        return materialize(both.mapInArrow(_linked(k, percent), "u long, v long"))
+        return tables.keep(both.mapInArrow(_linked(k, percent), "u long, v long"))
 
     def still_apart(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The rows of buckets whose classes are in several components, and the components."""
-        comp = connected_components(links)
+        comp = connected_components(links, tables=tables)
         own = rows.drop("comp").join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")).hint("merge"), "rep", "left")
         own = own.withColumn("comp", F.coalesce("c", "rep")).drop("c")
         split = own.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("band")
-        return materialize(own.join(split.hint("merge"), "band")), comp
+        return tables.keep(own.join(split.hint("merge"), "band")), comp
 
     links = confirm(shared.where("rep <> a.rep and " + near("{}", "a.{}")).select(F.col("rep").alias("u"), F.col("a.rep").alias("v")))
     apart, _ = still_apart(shared.drop("a"), links)
@@ -202,8 +203,8 @@ def near_duplicate_groups(docs: DataFrame, k: int = 3, percent: int = 85, doc_id
     left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu"))
     right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
     both = hubs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "tu", "tv")
-    diffs = materialize(both.mapInArrow(_differences(k, percent), "rep long, hub long, hub_n long, linked boolean, far boolean, delta array<long>").dropDuplicates(["rep"]))
-    links = materialize(links.unionByName(diffs.where("linked").select(F.col("rep").alias("u"), F.col("hub").alias("v"))))
+    diffs = tables.keep(both.mapInArrow(_differences(k, percent), "rep long, hub long, hub_n long, linked boolean, far boolean, delta array<long>").dropDuplicates(["rep"]))
+    links = tables.keep(links.unionByName(diffs.where("linked").select(F.col("rep").alias("u"), F.col("hub").alias("v"))))
     apart, comp = still_apart(apart, links)
     own = apart.groupBy("rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
     comp = comp.select(F.col("node").alias("hub"), F.col("component").alias("hub_comp"))
@@ -214,11 +215,11 @@ def near_duplicate_groups(docs: DataFrame, k: int = 3, percent: int = 85, doc_id
     overlap = F.when(inside, F.floor((F.size("delta") + share * (F.col("hub_n") - F.col("n"))) / 2 - 1e-9) + 1).otherwise(
         F.ceil((F.size("delta") + 1 - share * F.col("n") * (1 + 100 / percent)) / 2 - 1e-9)
     )
-    e = materialize(d.select("rep", "hub", "n", "comp", F.size("delta").alias("m"), (F.size("delta") - F.greatest(overlap, F.lit(1)) + 1).alias("prefix"), F.explode("delta").alias("x")))
+    e = tables.keep(d.select("rep", "hub", "n", "comp", F.size("delta").alias("m"), (F.size("delta") - F.greatest(overlap, F.lit(1)) + 1).alias("prefix"), F.explode("delta").alias("x")))
     often = e.groupBy("hub", "x").agg(F.count("*").alias("f"))
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("f", "x"))
     pre = e.join(often.hint("merge"), ["hub", "x"]).withColumn("r", rank).where("r <= prefix and f > 1").select("rep", "hub", "n", "comp", "m", "r", "x")
-    pre = materialize(pre)
+    pre = tables.keep(pre)
     other = pre.select("hub", "x", *[F.col(c).alias(f"{c}_2") for c in ("rep", "n", "comp", "m", "r")])
     # what comes after the first common shingle in both must suffice for the overlap that a link needs
     enough = f"1 + least(m - r, m_2 - r_2) >= (m + m_2 - {share!r} * (n + n_2)) / 2 - 1e-9"
@@ -232,7 +233,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 3, percent: int = 85, doc_id
     links = links.unionByName(confirm(last.select(F.col("rep").alias("u"), F.col("rep_2").alias("v"))))
     # copies of a class hang on its representative
     copies = some.join(classes.select("lo", "hi", "n", "rep").hint("merge"), ["lo", "hi", "n"]).where("doc_id <> rep")
-    comp = connected_components(links.unionByName(copies.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
+    comp = connected_components(links.unionByName(copies.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))), tables=tables)
     found = sig.select("doc_id", "n").join(comp.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
     name = F.coalesce("component", "doc_id")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), F.coalesce(F.col("doc_id") == name, F.lit(True)).alias("kept"))
+    return tables.done(found.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), F.coalesce(F.col("doc_id") == name, F.lit(True)).alias("kept")))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import materialize
+from tessella.session import Tables
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -66,7 +66,8 @@ def _search_cell(k: int, width: int):
 
 
 def _pivots(vectors: DataFrame, n: int, wanted: int, width: int, sample: int = 2000) -> np.ndarray:
-    """Pivots far from each other, out of a bounded sample dealt by a hash."""
+    """Pivots far from each other, out of a sample of about ``sample`` vectors dealt by a hash, 2 * sample at most. Which they
+    are decides how much is searched, not what is found."""
     share = min(1.0, sample / max(n, 1))
     rows = vectors.where(F.pmod(F.xxhash64("v", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample)
     x = _matrix([r.v for r in sorted(rows.select("cls", "v").toLocalIterator(), key=lambda r: r.cls)], width).astype(np.float64)
@@ -77,11 +78,12 @@ def _pivots(vectors: DataFrame, n: int, wanted: int, width: int, sample: int = 2
         chosen.append(int(far.argmax()))
         far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
     # one averaging step puts each pivot among its vectors
-    near = ((x[:, None, :] - x[chosen][None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+    c = x[chosen]
+    near = ((c**2).sum(axis=1)[None, :] - 2 * x @ c.T).argmin(axis=1)
     return np.array([x[near == i].mean(axis=0) for i in range(len(chosen)) if (near == i).any()])
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, cell_rows: int = 2000, rings: int = 6) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, cell_rows: int = 2000, rings: int = 6, most_pivots: int = 512) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k highest integer inner products of every query with every other id.
 
     ``vectors(id, v)`` comes from :func:`integer_vectors`; ``is_query`` is a condition on ``id``. Ties go to the smaller id.
@@ -90,20 +92,22 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, cell_rows: int = 2000, rings
 
     Inner product becomes distance by one more component that gives all vectors one norm M: then
     d(q, x)^2 = |q|^2 + M^2 - 2 q.x. Each vector is keyed by its nearest pivot p and its ring of d(p, x). A query first
-    searches the rings around its own key, which bounds its (k + 1)-th score; then it visits only cells where
-    |d(q, p) - d(x, p)| <= d(q, x) leaves room for a score as high. The bound carries a margin for rounding.
+    searches the rings of its nearest pivot around its own distance, which bounds its (k + 1)-th score; then it visits only
+    pivots, and of these only rings, where |d(q, p) - d(x, p)| <= d(q, x) leaves room for a score as high. The bound carries
+    a margin for rounding. There are at most ``most_pivots`` pivots, a row each; larger tables have more rings a pivot.
     """
+    tables = Tables(vectors.sparkSession)
     rows = vectors.dropDuplicates(["id", "v"])
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    classes = materialize(
+    classes = tables.keep(
         rows.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("cls"), "ids", "v")
     )
-    asked = materialize(rows.where(is_query).join(classes.select("cls", "v").hint("merge"), "v").select("id", F.col("cls").alias("q"), "v"))
+    asked = tables.keep(rows.where(is_query).join(classes.select("cls", "v").hint("merge"), "v").select("id", F.col("cls").alias("q"), "v"))
     stats = classes.agg(
         F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)).alias("m2")
     ).first()
     n, width, m2 = stats.n, stats.width or 1, stats.m2 or 0.0
-    pivots = _pivots(classes, n, int(min(512, max(8, n // (cell_rows * rings)))), width)
+    pivots = _pivots(classes, n, int(min(most_pivots, max(8, n // (cell_rows * rings)))), width)
     norms = (pivots**2).sum(axis=1)
 
     def keyed(batches):
@@ -116,34 +120,45 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, cell_rows: int = 2000, rings
             yield pdf.assign(pivot=near.astype(np.int32), dist=np.sqrt(d2[np.arange(len(x)), near]), norm2=own)
 
     spread = classes.mapInPandas(keyed, "cls long, ids array<long>, v array<long>, pivot int, dist double, norm2 double")
-    placed = materialize(spread)
-    span = placed.groupBy("pivot").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count("*").alias("n"))  # a row a pivot
-    span = F.broadcast(span.limit(512))
+    placed = tables.keep(spread)
+    span = tables.keep(placed.groupBy("pivot").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count("*").alias("n")))  # a row a pivot
+    ends = np.full((2, len(pivots)), np.inf)
+    for r in span.collect():  # at most most_pivots rows
+        ends[:, r.pivot] = r.lo, r.hi
     ring = F.least(F.floor((F.col("dist") - F.col("lo")) / F.greatest((F.col("hi") - F.col("lo")) / F.ceil(F.col("n") / cell_rows), F.lit(1e-9))), F.ceil(F.col("n") / cell_rows)).cast("int")
-    placed = placed.join(span, "pivot").withColumn("ring", ring)
+    placed = placed.join(F.broadcast(span), "pivot").withColumn("ring", ring)
     sizes = placed.groupBy("pivot", "ring").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count("*").alias("size"))
-    sizes = materialize(sizes)
+    sizes = tables.keep(sizes)
     parts = F.ceil(F.col("size") / (4 * cell_rows)).cast("int")
-    cells = materialize(
+    cells = tables.keep(
         placed.join(sizes.select("pivot", "ring", "size").hint("merge"), ["pivot", "ring"]).select("cls", "v", "pivot", "ring", F.pmod(F.hash("cls"), parts).alias("part"))
     )
     queries = asked.select("q", "v").dropDuplicates(["q"])
 
-    def to_pivots(batches):
-        for pdf in batches:
-            q = _matrix(pdf["v"].tolist(), width).astype(np.float64)
-            q2 = (q**2).sum(axis=1)
-            d = np.sqrt(np.maximum(q2[:, None] + norms[None, :] - 2 * q @ pivots.T, 0))
-            m = d.shape[1]
-            yield pd.DataFrame({"q": np.repeat(pdf["q"].to_numpy(), m), "pivot": np.tile(np.arange(m, dtype=np.int32), len(q)), "dq": d.ravel(), "q2": np.repeat(q2, m)})
-
-    reach = queries.mapInPandas(to_pivots, "q long, pivot int, dq double, q2 double")
+    def reach(floors: bool):
+        def run(batches):
+            for pdf in batches:
+                q = _matrix(pdf["v"].tolist(), width).astype(np.float64)
+                q2 = (q**2).sum(axis=1)
+                d = np.sqrt(np.maximum(q2[:, None] + norms[None, :] - 2 * q @ pivots.T, 0))
+                if floors:
+                    away = np.maximum(np.maximum(ends[0] - d, d - ends[1]), 0) * (1 - 1e-9)
+                    most = (q2[:, None] + m2 - away * away) / 2 * (1 + 1e-9) + 1
+                    i, p = np.nonzero((most >= pdf["floor"].fillna(-np.inf).to_numpy(float)[:, None]) & np.isfinite(ends[0]))
+                else:
+                    i, p = np.arange(len(q)), np.where(np.isfinite(ends[0]), d, np.inf).argmin(axis=1)
+                yield pd.DataFrame({"q": pdf["q"].to_numpy()[i], "pivot": p.astype(np.int32), "dq": d[i, p], "q2": q2[i]} | ({"floor": pdf["floor"].to_numpy(float)[i]} if floors else {}))
+
+        return run
+
+    kinds = "q long, pivot int, dq double, q2 double"
     away = F.greatest(F.col("lo") - F.col("dq"), F.col("dq") - F.col("hi"), F.lit(0.0)) * (1 - 1e-9)
     best = F.floor((F.col("q2") + m2 - away * away) / 2 * (1 + F.lit(1e-9)) + 1)
-    visits = materialize(reach.join(sizes.hint("merge"), "pivot").select("q", "pivot", "ring", "size", best.alias("most")))
-    order = Window.partitionBy("q").orderBy(F.desc("most"), "pivot", "ring")
+    rings_of = lambda df, *more: df.join(sizes.hint("merge"), "pivot").select("q", "pivot", "ring", "size", best.alias("most"), *more)
+    order = Window.partitionBy("q").orderBy(F.desc("most"), "ring")
     seen = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    visits = materialize(visits.withColumn("first", seen < 2 * cell_rows))
+    first = rings_of(queries.mapInPandas(reach(False), kinds)).withColumn("seen", seen)
+    first = tables.keep(first.where(F.col("seen") < 2 * cell_rows).select("q", "pivot", "ring"))
 
     def search(which: DataFrame) -> DataFrame:
         wide = which.join(queries.hint("merge"), "q").join(sizes.select("pivot", "ring", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).hint("merge"), ["pivot", "ring"])
@@ -152,13 +167,14 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, cell_rows: int = 2000, rings
         top = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))
         return found.withColumn("r", top).where(F.col("r") <= k + 1)
 
-    opening = materialize(search(visits.where("first")))
-    floor = opening.where(F.col("r") == k + 1).select("q", F.col("score").alias("floor"))
-    rest = visits.where("not first").join(floor.hint("merge"), "q", "left").where("floor is null or most >= floor")
+    opening = tables.keep(search(first))
+    floor = opening.where(F.col("r") == k + 1).select("q", F.col("score").cast("double").alias("floor"))
+    asked_again = queries.join(floor.hint("merge"), "q", "left").mapInPandas(reach(True), f"{kinds}, floor double")
+    rest = rings_of(asked_again, "floor").where("floor is null or most >= floor").join(first.hint("merge"), ["q", "pivot", "ring"], "left_anti")
     found = opening.drop("r").unionByName(search(rest).drop("r"))
     top = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))
     found = found.withColumn("r", top).where(F.col("r") <= k + 1).join(classes.select("cls", "ids").hint("merge"), "cls")
     each = found.select("q", F.explode("ids").alias("vec_id"), "score")
     pairs = asked.select(F.col("id").alias("query_id"), "q").join(each.hint("merge"), "q").where("vec_id <> query_id")
     final = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", final).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return tables.done(pairs.withColumn("rank", final).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

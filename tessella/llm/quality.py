@@ -103,21 +103,28 @@ def score_texts(texts: list[bytes | None], table: np.ndarray, bias: float, block
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 4000, sample_bytes: int = 48_000_000):
-    """About ``sample`` labelled documents outside the held-out fifth, dealt by a hash of the id, in that order, up to
-    ``sample_bytes`` of text together. Both bounds hold at any size of the corpus."""
+    """About ``sample`` labelled documents outside the held-out fifth, dealt by a hash of the id, in order of another hash, up
+    to ``sample_bytes`` of text together. Both bounds are kept before any text leaves the executors, at any size of the
+    corpus. Null ids and texts, and labels other than 0 and 1, are not learned from; of several labels of an id the larger counts."""
     ids = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.max(label).alias("y"))
     n = ids.count()
     share = min(1.0, sample / max(n, 1))
     chosen = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")  # at most 2 * sample ids
-    texts, ys, used = [], [], 0
-    for r in sorted(rows.limit(2 * sample).toLocalIterator(), key=lambda r: (r.doc_id, r.text)):
-        used += len(raw := r.text.encode("utf-8"))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("size", F.octet_length("text"))
+    # sizes first: at most 2 * sample rows of three numbers, or as many more as ids are repeated
+    sizes = rows.groupBy("h").agg(F.max("size").alias("size")).orderBy("h").limit(2 * sample).collect()
+    used, last = 0, None
+    for r in sizes:
+        used += r.size
         if used > sample_bytes:
             break
-        texts.append(raw)
-        ys.append(int(r.y))
-    return texts, ys
+        last = r.h
+    if last is None:
+        return [], []
+    got = rows.where(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    got = sorted((r.h, r.text.encode("utf-8"), int(r.y)) for r in got.toLocalIterator())
+    return [x[1] for x in got], [x[2] for x in got]
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, sample: int = 4000) -> DataFrame:
@@ -140,10 +147,10 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
 
 
 def digest(scored: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The contract's columns of :func:`classify`'s result."""
+    """The contract's columns of :func:`classify`'s result; a null id is not held out."""
     return scored.select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )

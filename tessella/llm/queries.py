@@ -31,7 +31,7 @@ def op4_quality_classifier(spark, sf_dir):
 
 
 def op5_line_dedup(spark, sf_dir):
-    return line_dedup.digest(line_dedup.dedup_windows(_t(spark, sf_dir, "documents")))
+    return line_dedup.digest(line_dedup.dedup_lines(_t(spark, sf_dir, "documents")))
 
 
 def op6_benchmark_decontamination(spark, sf_dir):
@@ -130,18 +130,18 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op10_mix_sources": """
-WITH RECURSIVE n AS (SELECT source, sqrt(count(*)) AS w FROM documents GROUP BY source),
-sh AS (SELECT source, row_number() OVER (ORDER BY coalesce(source, '')) AS s, greatest(1, CAST(round(w / sum(w) OVER () * 1000) AS BIGINT)) AS a FROM n),
-g AS (SELECT list(a ORDER BY s) AS a, CAST(sum(a) AS BIGINT) AS total FROM sh),
+WITH RECURSIVE n AS (SELECT source, count(*) AS n, greatest(1, CAST(round(sqrt(count(*)) * 1000000) AS HUGEINT)) AS a FROM documents GROUP BY source),
+sh AS (SELECT source, a, (n + 15) // 16 AS blocks, row_number() OVER (ORDER BY coalesce(source, ''), source IS NULL) AS s, CAST(sum(a) OVER () AS HUGEINT) AS total FROM n),
+g AS (SELECT list(a ORDER BY s) AS a, list(blocks ORDER BY s) AS blocks, max(total) AS total, max((blocks * total + a - 1) // a) AS last FROM sh),
 edf(t, got, pick) AS (
   SELECT CAST(-1 AS BIGINT), list_transform(a, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM g
   UNION ALL
   SELECT t, list_transform(got, lambda x, i: x + CASE WHEN i = p THEN 1 ELSE 0 END), p FROM (
-    SELECT edf.t + 1 AS t, got, CAST(list_min(list_filter(list_transform(got, lambda x, i: CASE WHEN x < a[i] AND x * total // a[i] <= edf.t + 1
+    SELECT edf.t + 1 AS t, got, CAST(list_min(list_filter(list_transform(got, lambda x, i: CASE WHEN x < blocks[i] AND x * total // a[i] <= edf.t + 1
       THEN {'d': ((x + 1) * total + a[i] - 1) // a[i], 's': i} END), lambda y: y IS NOT NULL)).s AS BIGINT) AS p
-    FROM edf, g WHERE edf.t + 1 < total)),
-k AS (SELECT pick AS s, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM edf WHERE t >= 0),
+    FROM edf, g WHERE edf.t + 1 < last)),
+k AS (SELECT pick AS s, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM edf WHERE t >= 0 AND pick IS NOT NULL),
 d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('mix:' || CAST(doc_id AS VARCHAR))) - 1 AS r FROM documents)
-SELECT doc_id, d.source, r // 16 // sh.a * total + k.slot AS slot, CAST(r % 16 AS INTEGER) AS slot_row
-FROM d JOIN sh ON sh.source IS NOT DISTINCT FROM d.source JOIN k ON k.s = sh.s AND k.k = r // 16 % sh.a CROSS JOIN g""",
+SELECT doc_id, d.source, k.slot, CAST(r % 16 AS INTEGER) AS slot_row
+FROM d JOIN sh ON sh.source IS NOT DISTINCT FROM d.source JOIN k ON k.s = sh.s AND k.k = r // 16""",
 }

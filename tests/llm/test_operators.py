@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm import decontamination, html_extraction, language, line_dedup, mixing, near_duplicates, nearest, pii, quality, substring_dedup
+from tessella.llm import decontamination, html_extraction, induced_sort, language, line_dedup, mixing, near_duplicates, nearest, pii, quality, substring_dedup
 from tessella.llm.html_blocks import blocks
-from tessella.llm import induced_sort
+from tessella.session import Tables
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 911}x{i % 37}" for i in range(20_000))
@@ -133,40 +134,9 @@ def test_line_dedup(spark, docs, empty):
     assert got[6].text is None and got[7].text == ""
     out = line_dedup.dedup_lines(docs)
     assert out.count() == len(ROWS) and line_dedup.dedup_lines(empty).count() == 0
-
-
-def test_line_dedup_brute_force(spark):
-    rng = random.Random(5)
-    pool = [[f"l{b}_{i} x" for i in range(rng.randrange(3, 9))] for b in range(12)]
-    rows = []
-    for d in range(60):
-        lines = []
-        for _ in range(4):
-            b = rng.choice(pool)
-            lines += b[rng.randrange(2) :] if rng.random() < 0.7 else [f"u{rng.random()}" for _ in range(3)]
-        rows.append((d, "\n".join(lines)))
-    units = {d: line_dedup.line_units(t.encode()) for d, t in rows}
-    first: dict = {}
-    places = [(d, int(p)) for d in sorted(units) for p in line_dedup.fingerprints(units[d][0], units[d][2])]
-    for d, p in places:
-        first.setdefault(units[d][0][p], (d, p))
-    want = {d: set() for d in units}
-    for d, p in places:
-        sd, s = first[units[d][0][p]]
-        if (sd, s) == (d, p):
-            continue
-        h, g = units[d][0], units[sd][0]
-        a = b = 0
-        while p - a > 0 and s - a > 0 and h[p - a - 1] == g[s - a - 1]:
-            a += 1
-        while p + b + 1 < len(h) and s + b + 1 < len(g) and h[p + b + 1] == g[s + b + 1]:
-            b += 1
-        if a + b + 1 >= line_dedup.LINES:
-            want[d].update(range(p - a, p + b + 1))
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]) for d, t in rows}
-    # the guarantee: no run of LINES lines is left that an earlier document had
-    assert any(want.values())
+    many = spark.createDataFrame([(1, "same line\n" * 200_000), (2, "\n".join(f"{i % 7} x {i // 70_000}" for i in range(200_000)))], "doc_id long, text string")
+    start, got = time.time(), {r.doc_id: r for r in line_dedup.dedup_lines(many).select("doc_id", "lines_removed").collect()}
+    assert got[1].lines_removed > 199_990 and got[2].lines_removed > 199_900 and time.time() - start < 30
 
 
 def _direct(rows, large):
@@ -190,24 +160,24 @@ def _direct(rows, large):
 def test_line_dedup_finds_runs_by_context(spark):
     block = ["one two", "three four", "five six", "seven eight"]
     rows = [(i, f"{x}\nalone {i}") for i, x in enumerate(block)] + [(10, "\n".join(["a"] + block)), (11, "\n".join(block + ["b"]))]
-    got = {r.doc_id: r.text for r in line_dedup.dedup_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(rows) | {11: "b"}
     rng = random.Random(8)
     pool = ["common line"] + [f"l{i} x" for i in range(5)] + [" ".join(f"v{i}_{j}" for j in range(55)) for i in range(2)]
     rows = [(d, "\n".join(rng.choice([*pool, "", f"u{rng.random()}"]) for _ in range(rng.randrange(1, 30)))) for d in range(80)]
-    got = {r.doc_id: r.text for r in line_dedup.dedup_windows(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
-    assert got == _direct(rows, lambda run: len(run) >= line_dedup.LINES or any(len(x) >= line_dedup.WORDS for x in run))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == _direct(rows, lambda run: len(run) >= line_dedup.LINES or sum(map(len, run)) >= line_dedup.WORDS)
 
 
 def test_line_dedup_counts_words_of_a_run(spark):
     part = [" ".join(f"w{i}_{j}" for j in range(n)) for i, n in enumerate((20, 24, 6, 30))]
     rows = [(1, "\n".join(["a", *part[:3], "b"])), (2, "\n".join(["c", *part[:2], "", part[2], "d"])), (3, "\n".join(part[:2])), (4, part[3]), (5, "\n".join(["e", part[3], part[1]])), (6, "\n".join([part[3], part[1], "f"]))]
-    got = {r.doc_id: r.text for r in line_dedup.dedup_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(rows) | {2: "c\nd", 6: "f"}
     rng = random.Random(9)
     pool = [" ".join(f"v{i}_{j}" for j in range(rng.randrange(1, 40))) for i in range(9)]
     rows = [(d, "\n".join(rng.choice([*pool, "", f"u{rng.random()}"]) for _ in range(rng.randrange(1, 30)))) for d in range(80)]
-    got = {r.doc_id: r.text for r in line_dedup.dedup_windows(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert got == _direct(rows, lambda run: len(run) >= line_dedup.LINES or sum(map(len, run)) >= line_dedup.WORDS)
 
 
@@ -330,21 +300,71 @@ def test_nearest(spark):
 
 def test_mixing(spark, docs, empty):
     rows = [(i, "t", "en", "abc"[min(2, i % 7 // 3)] if i % 11 else None, 1) for i in range(3000)]
-    out = mixing.mix(spark.createDataFrame(rows, DOCS), weights={"a": 3.0, "b": 2.0, "c": 1.0}, block_rows=4, period=60).collect()
+    out = mixing.mix(spark.createDataFrame(rows, DOCS), weights={"a": 3.0, "b": 2.0, "c": 1.0, "": 0.001}, block_rows=4).collect()
     assert sorted(r.doc_id for r in out) == list(range(3000))
     blocks_ = Counter((r.slot, r.source) for r in out)
     assert len(blocks_) == len({s for s, _ in blocks_}) and max(blocks_.values()) <= 4
-    order = [s for _, s in sorted(blocks_, key=lambda x: x[0])]
-    share = {"a": 30, "b": 20, "c": 10, None: 1}
-    total, seen = sum(share.values()), Counter()
-    last = min(max(i for i, x in enumerate(order) if x == s) for s in share)
-    for t, s in enumerate(order[:last], 1):
-        seen[s] += 1
-        assert all(abs(seen[x] - t * share[x] / total) < 1 for x in share)
     assert mixing.mix(docs).count() == len(ROWS) and mixing.mix(empty).count() == 0
     assert mixing.mix(docs).columns[-2:] == ["slot", "slot_row"]
 
 
+def _edf(weights, blocks):
+    """The schedule in one pass over all slots."""
+    total, out, t = sum(weights), {}, 0
+    left = {g: [0, n] for g, n in enumerate(blocks)}
+    while any(k < n for k, n in left.values()):
+        due = [((k + 1) * total + weights[g] - 1) // weights[g] for g, (k, _) in left.items()]
+        pick = min(((due[g], g) for g, (k, n) in left.items() if k < n and k * total // weights[g] <= t), default=None)
+        if pick:
+            assert t < pick[0]
+            out[pick[1] + 1, left[pick[1]][0]] = t
+            left[pick[1]][0] += 1
+        t += 1
+    return out
+
+
+@pytest.mark.parametrize("m", [1, 2, 5, 40])
+def test_schedule_is_pfair(spark, monkeypatch, m):
+    """Stretches scheduled apart give the schedule of one pass; deviation counts against the true weights."""
+    monkeypatch.setattr(mixing, "FAN", 4)
+    rng = random.Random(m)
+    weights = [int(10 ** rng.uniform(0, 5)) for _ in range(m)]
+    longest = 900
+    blocks_ = [max(1, longest * w // sum(weights)) for w in weights] if m > 1 else [300]
+    b = spark.createDataFrame([(g + 1, k) for g, n in enumerate(blocks_) for k in range(n)], "g int, k long")
+    w = spark.createDataFrame([(g + 1, a) for g, a in enumerate(weights)], "g int, a long")
+    got = {(r.g, r.k): r.slot for r in mixing.schedule(b, w, Tables(spark)).collect()}
+    assert got == _edf(weights, blocks_)
+    seen = Counter()
+    for t, g in enumerate(g for _, g in sorted((slot, g) for (g, _), slot in got.items() if slot < min(s for (h, k), s in got.items() if k == blocks_[h - 1] - 1))):
+        seen[g] += 1
+        assert all(abs(seen[x + 1] - (t + 1) * a / sum(weights)) < 1 for x, a in enumerate(weights))
+
+
+def test_default_weights_are_square_roots(spark):
+    n = {"a": 90_000, "b": 7_000, "c": 2_500, "d": 3}
+    frame = spark.range(sum(n.values())).select(F.when(F.col("id") < 90_000, "a").when(F.col("id") < 97_000, "b").when(F.col("id") < 99_500, "c").otherwise("d").alias("source"))
+    got = {r.grp: r.a for r in mixing.target_weights(frame).collect()}
+    assert all(abs(got[s] / sum(got.values()) - n[s] ** 0.5 / sum(x**0.5 for x in n.values())) < 1e-8 for s in n)
+
+
+CLASH = ("b", "grp", "before", "share", "total", "ks", "d", "t", "cuts", "gone", "r", "k", "g", "slot", "a", "z", "e", "f", "n", "id", "x", "lines_removed")
+
+
+def test_stages_take_any_names(spark, docs, labels):
+    """Columns named like those used inside, and one of a type that Spark does not hash."""
+    import corpus_pipeline
+
+    own = docs.select(*DOCS.replace(" long", "").replace(" string", "").split(", "))
+    wide = own.select("*", *[F.lit(f"v-{c}").alias(c) for c in CLASH], F.create_map(F.lit("k"), F.col("doc_id")).alias("m"))
+    mixed = mixing.mix(wide)
+    assert mixed.count() == len(ROWS) and {r.total for r in mixed.collect()} == {"v-total"}
+    assert {r.lines_before for r in line_dedup.dedup_lines(wide).collect()} == {0, 1}
+    for stage in (corpus_pipeline.dedup_lines, corpus_pipeline.dedup_near):
+        out = stage(spark, wide, "")
+        assert out.columns == wide.columns and out.count() > 3 and {r.lines_removed for r in out.collect()} == {"v-lines_removed"}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="</p><p>x";</script></head><body>
 <header>Site head</header><nav><ul><li>Home</li></ul></nav><div class="ad">Buy</div><div class="cookie-notice">We use</div>
 <main><article><h1>Head&nbsp;line</h1><p>First <b>bold</b>\n text &lt;ok&gt;.<p>Second<br>line<aside>Side</aside><form><input>Mail</form>
@@ -356,6 +376,67 @@ def test_html_blocks():
     assert blocks(None) == blocks("") == [] and [t for _, t in blocks("a<b")] == ["a"]
 
 
+LEAKS = {
+    "<article><p>one <svg class='i'/> two</p><p>three <svg> four</p></article>": ["one two", "three four"],
+    "<article>x is <math><mi>a</mi><mo>+</mo><mn>1</mn></math> ok</article>": ["x is a+1 ok"],
+    "<aside><article>Related card</article></aside><main>Own</main>": ["Own"],
+    "<div hidden><article>Hidden</article></div><div data-hidden='1'><article>Seen</article></div>": ["Seen"],
+    "<article><p>a</p><div class='ad-slot'>Buy</div><div class='cookie notice'>We</div><div id='comments'><p>Nice</p></div><select><option>o</select><p>b</article>": ["a", "b"],
+    "<form><main><p>inside a form<input></main></form>": ["inside a form"],
+}
+
+
+def test_html_leaks():
+    for page, want in LEAKS.items():
+        assert [t for z, t in blocks(page) if z == 0] == want, page
+    assert blocks("<article><div class='related-work'>See X</div></article>") == [(3, "See X")]
+
+
+def test_html_brute_force(spark):
+    """Pages without an article, and articles with blocks in doubt, against a direct search of repeated runs of tokens."""
+    rng, run = random.Random(6), html_extraction.RUN
+    words = [f"w{i}" for i in range(40)]
+    boiler = [" ".join(rng.choice(words) for _ in range(rng.randrange(6, 25))) for _ in range(5)]
+    pages = []
+    for i in range(60):
+        parts = [rng.choice(boiler) if rng.random() < 0.5 else " ".join(rng.choice(words) + str(rng.randrange(9)) for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 6))]
+        parts = [f"{p} {rng.choice(boiler)}" if rng.random() < 0.3 else p for p in parts]
+        body = "".join(f"<div>{p}</div>" for p in parts)
+        pages.append((i, f"http://h{i % 3}.org/{i}", f"<article>{boiler[0]}<p class='related-work'>{parts[0]}</p></article><p>{parts[-1]}</p>" if i % 5 == 0 else body))
+    pages.append((60, "http://h1.org/copy", pages[1][2]))
+    streams: dict = {}
+    for _, url, html in pages:
+        streams.setdefault((url.split("/")[2], html), [w for z, t in blocks(html) if z != 0 for w in t.split(" ")])
+    where: dict = {}
+    for (host, html), s in streams.items():
+        for j in range(len(s) - run + 1):
+            where.setdefault((host, *s[j : j + run]), set()).add(html)
+    want = {}
+    for i, url, html in pages:
+        s, out, at = streams[url.split("/")[2], html], [], 0
+        cover = {j + x for j in range(len(s) - run + 1) if len(where[(url.split("/")[2], *s[j : j + run])]) > 1 for x in range(run)}
+        own = any(z in (0, 3) for z, _ in blocks(html))
+        for z, t in blocks(html):
+            w = t.split(" ")
+            if z == 0:
+                out.append(t)
+                continue
+            hit, left, j = [at + x in cover for x in range(len(w))], [], 0
+            at += len(w)
+            while j < len(w):
+                e = j
+                while e < len(w) and hit[e] == hit[j]:
+                    e += 1
+                if not hit[j] or (e - j < run and e - j < len(w)):
+                    left += w[j:e]
+                j = e
+            if left and (z == 3 or not own):
+                out.append(" ".join(left))
+        want[i] = "\n\n".join(out)
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html_extraction.extract_main_text(frame).collect()} == want
+
+
 def test_html_extraction(spark):
     nav = "menu home about contact imprint terms privacy help login "
     loose = lambda i: f"<body><div>{nav}</div><p>only text number {i} stands {'here ' * (i % 3)}on page {i}.</p></body>"
@@ -373,6 +454,48 @@ def test_html_extraction(spark):
     assert html_extraction.extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_pipeline_brute_force(spark, tmp_path):
+    """All stages but the classifier against direct searches on what it keeps."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    line = lambda n=14: " ".join(f"q{rng.randrange(4000)}" for _ in range(n))
+    shared, rows = [[line() for _ in range(5)] for _ in range(3)], []
+    for i in range(90):
+        lines = [line() for _ in range(6)]
+        if i % 6 == 0:
+            lines[2:2] = rng.choice(shared)
+        if i % 9 == 4:
+            lines = rows[-1][1].split("\n")
+            lines = [" ".join(w if rng.random() > 0.01 else f"z{rng.random()}" for w in x.split()) for x in lines]
+        if i % 13 == 5:
+            lines[3] += " " + " ".join(f"b{j}" for j in range(12))
+        rows.append((i, "\n".join(lines), "en", f"s{i % 3}", 1))
+    rows += [(200, "NO!! GO!! " * 30, "en", "s1", 0), (201, None, "en", None, None), (202, "", "en", "s1", 0), (3, rows[3][1], "en", "s0", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(200, 0, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, " ".join(f"b{i}" for i in range(12)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    good = {r.doc_id for r in quality.classify(docs, labels).where("score >= 0.3").collect()}
+    left = {r[0]: r[1] for r in rows if r[0] in good}
+    direct = _direct(sorted((d, t or "") for d, t in left.items()), lambda run: len(run) >= line_dedup.LINES or sum(map(len, run)) >= line_dedup.WORDS)
+    left = {d: None if t is None else direct[d] for d, t in left.items() if direct[d] == (t or "") or direct[d].strip()}
+    sets = {d: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for d, t in left.items() for w in [(t or "").lower().split()] if w}
+    near = {d: {d} for d in left}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                both = near[a] | near[b]
+                for x in both:
+                    near[x] = both
+    window = " " + " ".join(f"b{j}" for j in range(10))
+    want = {d: t for d, t in left.items() if d == min(near[d]) and not (t and (window in t or " ".join(f"b{j}" for j in range(2, 12)) in t))}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(want)
+    assert len({(r.slot, r.slot_row) for r in got}) == len(got)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
