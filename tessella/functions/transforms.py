@@ -84,7 +84,7 @@ def scaling(sx, sy) -> Column:
 
 def rescale(h, src_factor, ref_factor) -> Column:
     """A transform found between shrunk images, for the full-size ones."""
-    return multiply(scaling(ref_factor, ref_factor), multiply(h, inverse(scaling(src_factor, src_factor))))
+    return multiply(scaling(ref_factor, ref_factor), multiply(h, scaling(1 / col(src_factor), 1 / col(src_factor))))
 
 
 def corner_errors(h_est, h_true, height, width) -> Column:

@@ -42,7 +42,7 @@ def in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 3.0, boundary: s
     hits = spread.hint("merge").join(p, ["cell_x", "cell_y"]).where(inside).drop("cell_x", "cell_y")
     if how == "inner":
         return hits
-    missing = boxes.join(hits.select(*boxes.columns).distinct(), boxes.columns, "left_anti")
+    missing = boxes.join(hits.select(*boxes.columns).distinct().hint("merge"), boxes.columns, "left_anti")
     return hits.unionByName(missing, allowMissingColumns=True)
 
 
@@ -65,7 +65,7 @@ def roughness(craters: DataFrame, footprints: DataFrame, n: int = 3, boundary: s
     hits = in_boxes(craters.where("diameter_km is not null").select("crater_id", "lon", "lat", "diameter_km"), cells, boundary=boundary)
     keys = ["product_id", "r", "k"]
     sums = hits.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("diameter_km") * F.col("diameter_km")).alias("weight"))
-    out = cells.select(*keys, "area_km2").join(sums, keys, "left")
+    out = cells.select(*keys, "area_km2").join(sums.hint("merge"), keys, "left")
     weight = F.coalesce("weight", F.lit(0.0))
     return out.select(*keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"), weight.alias("weight"), (weight / F.col("area_km2")).alias("score"))
 
@@ -83,7 +83,7 @@ def diameter_histogram(craters: DataFrame, footprints: DataFrame) -> DataFrame:
     stats = hits.groupBy("product_id").agg(F.min("diameter_km").alias("lo"), F.max("diameter_km").alias("hi"), F.count("*").alias("total"))
     bins = F.least(F.lit(20), F.greatest(F.lit(5), F.floor(F.col("total") / 3)))
     at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("diameter_km") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / F.col("bins"))), F.col("bins") - 1)).otherwise(0)
-    joined = hits.select("product_id", "diameter_km").join(stats.withColumn("bins", bins), "product_id")
+    joined = hits.select("product_id", "diameter_km").join(stats.withColumn("bins", bins).hint("merge"), "product_id")
     return joined.groupBy("product_id", "bins", at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -95,7 +95,7 @@ def footprint_stats(craters: DataFrame, footprints: DataFrame) -> DataFrame:
     )
     area = (F.col("lon1") - F.col("lon0")) * (F.col("lat1") - F.col("lat0")) * KM_PER_DEG**2 * F.cos(F.radians((F.col("lat0") + F.col("lat1")) / 2))
     n = F.coalesce("n", F.lit(0)).cast("long")
-    return footprints.select("product_id", area.alias("area_km2")).join(sums, "product_id", "left").select("product_id", "area_km2", n.alias("n"), "min_d", "max_d", "mean_d", (n / F.col("area_km2")).alias("density"))
+    return footprints.select("product_id", area.alias("area_km2")).join(sums.hint("merge"), "product_id", "left").select("product_id", "area_km2", n.alias("n"), "min_d", "max_d", "mean_d", (n / F.col("area_km2")).alias("density"))
 
 
 def top_named(features: DataFrame, footprints: DataFrame, limit: int = 20) -> DataFrame:
@@ -103,7 +103,7 @@ def top_named(features: DataFrame, footprints: DataFrame, limit: int = 20) -> Da
     hits = in_boxes(features, footprints)
     order = Window.partitionBy("product_id").orderBy(F.coalesce("diameter_km", F.lit(0.0)).desc(), "feature_id")
     counts = hits.groupBy("product_id").agg(F.count("*").alias("total"))
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).join(counts, "product_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).join(counts.hint("merge"), "product_id")
 
 
 def nearest_feature(points: DataFrame, features: DataFrame, half_span: float = 5.0) -> DataFrame:
@@ -119,7 +119,23 @@ def nearest_feature(points: DataFrame, features: DataFrame, half_span: float = 5
     apart = F.abs(F.pmod(F.col("lon") - F.col("px") + 180, F.lit(360.0)) - 180)
     hits = hits.where((apart <= half_span) & (F.abs(F.col("lat") - F.col("py")) <= half_span)).withColumn("km", haversine_km("py", "px", "lat", "lon"))
     best = hits.groupBy("point_id").agg(F.min(F.struct("km", "feature_id", "name")).alias("b"))
-    return points.select("point_id").join(best, "point_id", "left").select("point_id", F.col("b.feature_id").alias("feature_id"), F.col("b.name").alias("name"), F.col("b.km").alias("km"), F.col("b").isNotNull().alias("available"))
+    return points.select("point_id").join(best.hint("merge"), "point_id", "left").select("point_id", F.col("b.feature_id").alias("feature_id"), F.col("b.name").alias("name"), F.col("b.km").alias("km"), F.col("b").isNotNull().alias("available"))
+
+
+def candidates(features: DataFrame, massifs: DataFrame, least_km: float = 50.0) -> DataFrame:
+    """Places worth a closer look: named craters of at least ``least_km``, and massifs, which have no diameter."""
+    large = features.where(F.col("name").isNotNull() & (F.col("diameter_km") >= least_km)).withColumn("kind", F.lit("crater"))
+    return large.unionByName(massifs.withColumn("kind", F.lit("massif")), allowMissingColumns=True).select("kind", "name", "lat", "lon", "diameter_km")
+
+
+def allowed(rows: DataFrame, allow_list: DataFrame, key: str = "product_id") -> DataFrame:
+    """Rows whose id is on a list."""
+    return rows.join(allow_list.select(key).distinct().hint("merge"), key, "left_semi")
+
+
+def in_reading_order(cells: DataFrame, keys: tuple = ("row", "col")) -> DataFrame:
+    """Cells row by row: a range-partitioned sort."""
+    return cells.orderBy(*keys)
 
 
 def replace_sources(old: DataFrame, new: DataFrame, key: str = "source_id") -> DataFrame:

@@ -4,29 +4,28 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.geo import iou
 from tessella.operators.graph import connected_components
+from tessella.session import Tables
 
 BOX = ("cx", "cy", "w", "h")
 
 
-def overlapping_boxes(detections: DataFrame, least: float = 0.6, cell: float = 64.0) -> DataFrame:
+def overlapping_boxes(detections: DataFrame, least: float = 0.6, cell: float = 64.0, more: tuple = ()) -> DataFrame:
     """Pairs a < b of one image with an intersection over union of at least ``least``. Boxes meet in pixel cells, a pair in the
-    cell of its intersection's corner only."""
-    d = detections.select("image_id", "det_id", *BOX)
+    cell of its intersection's corner only. Columns in ``more`` come along from both sides."""
+    d = detections.select("image_id", "det_id", *BOX, *more)
     edge = lambda c, s, sign: F.floor((F.col(c) + sign * F.col(s) / 2) / cell)
     spread = d.select("*", F.explode(F.sequence(edge("cx", "w", -1), edge("cx", "w", 1))).alias("gx")).select("*", F.explode(F.sequence(edge("cy", "h", -1), edge("cy", "h", 1))).alias("gy"))
-    side = lambda s: spread.select("image_id", "gx", "gy", *[F.col(c).alias(f"{c}_{s}") for c in ("det_id", *BOX)])
+    side = lambda s: spread.select("image_id", "gx", "gy", *[F.col(c).alias(f"{c}_{s}") for c in ("det_id", *BOX, *more)])
     both = side("a").hint("merge").join(side("b"), ["image_id", "gx", "gy"]).where("det_id_a < det_id_b")
     low = lambda c, s: F.greatest(F.col(f"{c}_a") - F.col(f"{s}_a") / 2, F.col(f"{c}_b") - F.col(f"{s}_b") / 2)
     once = (F.floor(low("cx", "w") / cell) == F.col("gx")) & (F.floor(low("cy", "h") / cell) == F.col("gy"))
     part = iou(tuple(f"{c}_a" for c in BOX), tuple(f"{c}_b" for c in BOX))
-    return both.where(once).withColumn("iou", part).where(F.col("iou") >= least).select("image_id", "det_id_a", "det_id_b", "iou")
+    return both.where(once).withColumn("iou", part).where(F.col("iou") >= least).select("image_id", "det_id_a", "det_id_b", "iou", *[f"{c}_{s}" for c in more for s in "ab"])
 
 
 def cluster_best(detections: DataFrame, least: float = 0.6) -> DataFrame:
@@ -40,27 +39,29 @@ def cluster_best(detections: DataFrame, least: float = 0.6) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(order)).where("r = 1").select(*detections.columns, (F.col("cluster") % (1 << 32)).alias("cluster"))
 
 
-def _greedy(limit: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "det_id"], ascending=[False, True])
-        x, y, w, h = (pdf[c].to_numpy(float) for c in BOX)
-        alive, keep = np.ones(len(pdf), bool), []
-        for i in range(len(pdf)):
-            if not alive[i]:
-                continue
-            keep.append(i)
-            iw = np.clip(np.minimum(x[i] + w[i] / 2, x + w / 2) - np.maximum(x[i] - w[i] / 2, x - w / 2), 0, None)
-            ih = np.clip(np.minimum(y[i] + h[i] / 2, y + h / 2) - np.maximum(y[i] - h[i] / 2, y - h / 2), 0, None)
-            both = iw * ih
-            alive &= both / np.maximum(w[i] * h[i] + w * h - both, 1e-12) <= limit
-        return pdf.iloc[keep]
-
-    return run
-
-
 def suppress(detections: DataFrame, limit: float = 0.45, tile: str = "image_id") -> DataFrame:
-    """Greedy non-maximum suppression inside each tile, which the detector bounds: the order of decisions matters, so a tile's boxes are decided together."""
-    return detections.groupBy(tile).applyInPandas(_greedy(limit), detections.schema)
+    """Greedy non-maximum suppression inside each tile: in order of confidence (ties to the smaller id, none last) a box stays
+    unless one that stayed overlaps it by more than ``limit``.
+
+    By rounds over the overlapping pairs: boxes that no open box beats stay, what they beat falls, and pairs of fallen boxes are
+    done. A round settles every chain of overlaps by a step at least, and no task needs a whole tile.
+    """
+    tables = Tables(detections.sparkSession)
+    own = detections.withColumn("image_id", F.col(tile)) if tile != "image_id" else detections
+    rank = F.coalesce(F.nanvl(F.col("confidence").cast("double"), F.lit(float("-inf"))), F.lit(float("-inf")))
+    pairs = overlapping_boxes(own.withColumn("rank", rank), limit, more=("rank",)).where(F.col("iou") > limit)
+    first = F.col("rank_a") >= F.col("rank_b")  # a is the smaller id
+    edges = tables.keep(pairs.select("image_id", F.when(first, F.col("det_id_a")).otherwise(F.col("det_id_b")).alias("hi"), F.when(first, F.col("det_id_b")).otherwise(F.col("det_id_a")).alias("lo")))
+    fallen = edges.select("image_id", F.col("lo").alias("det_id")).limit(0)
+    while not edges.isEmpty():
+        beaten = edges.select("image_id", F.col("lo").alias("hi")).distinct()
+        new = tables.keep(edges.join(beaten.hint("merge"), ["image_id", "hi"], "left_anti").select("image_id", F.col("lo").alias("det_id")).distinct())
+        fallen = fallen.unionByName(new)
+        for end in ("hi", "lo"):
+            edges = edges.join(new.withColumnRenamed("det_id", end).hint("merge"), ["image_id", end], "left_anti")
+        edges = tables.keep(edges)
+    gone = tables.done(fallen).select(F.col("image_id").alias("__tile"), F.col("det_id").alias("__det"))
+    return detections.join(gone.hint("merge"), (F.col(tile) == F.col("__tile")) & (F.col("det_id") == F.col("__det")), "left_anti")
 
 
 def to_image_coordinates(detections: DataFrame, factor: float) -> DataFrame:
@@ -85,13 +86,37 @@ def detection_spread(detections: DataFrame) -> DataFrame:
 
 def neighbour_edges(nodes: DataFrame, k: int = 6) -> DataFrame:
     """Edges to the k nearest other detections of an image, with distance over the frame's diagonal, bearing and radius ratio.
-    ``nodes(image_id, det_id, cx, cy, radius_px, width, height)``; ties to the smaller id."""
-    side = lambda s: nodes.select("image_id", *[F.col(c).alias(f"{c}_{s}") for c in ("det_id", "cx", "cy", "radius_px")], *([F.hypot("width", "height").alias("diagonal")] if s == "a" else []))
-    pairs = side("a").hint("merge").join(side("b"), "image_id").where("det_id_a <> det_id_b")
-    dx, dy = F.col("cx_b") - F.col("cx_a"), F.col("cy_b") - F.col("cy_a")
-    pairs = pairs.select("image_id", "det_id_a", "det_id_b", F.hypot(dx, dy).alias("d"), (F.hypot(dx, dy) / F.col("diagonal")).alias("dist_norm"), F.atan2(dy, dx).alias("bearing"), (F.col("radius_px_b") / F.greatest("radius_px_a", F.lit(1e-6))).alias("radius_ratio"))
-    order = Window.partitionBy("image_id", "det_id_a").orderBy("d", "det_id_b")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("d")
+    ``nodes(image_id, det_id, cx, cy, radius_px, width, height)``; ties to the smaller id.
+
+    Detections meet in cells of their image, sized for about k of them. One that has k others within a cell's side has found
+    its nearest in the 3 x 3 cells around it; the rest look again in cells twice as large, up to the whole image.
+    """
+    tables = Tables(nodes.sparkSession)
+    nodes = nodes.select("image_id", "det_id", "cx", "cy", "radius_px", F.hypot("width", "height").alias("diagonal"))
+    far = F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy"), F.lit(1e-3))
+    images = tables.keep(nodes.groupBy("image_id").agg(far.alias("span"), (far * F.sqrt(F.lit(float(k)) / F.count("*"))).alias("side")))
+    nodes = tables.keep(nodes.join(images.hint("merge"), "image_id"))
+    at = lambda c, side: F.floor(F.col(c) / side)
+    open_, out, scale = nodes, None, 1.0
+    while not open_.isEmpty():
+        side = F.col("side") * scale
+        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        a = open_.select("image_id", *[F.col(c).alias(f"{c}_a") for c in ("det_id", "cx", "cy", "radius_px")], "diagonal", "span", side.alias("side"), around.alias("o"))
+        a = a.withColumn("gx", at("cx_a", F.col("side")) + F.col("o.i")).withColumn("gy", at("cy_a", F.col("side")) + F.col("o.j")).drop("o")
+        b = nodes.select("image_id", *[F.col(c).alias(f"{c}_b") for c in ("det_id", "cx", "cy", "radius_px")], at("cx", side).alias("gx"), at("cy", side).alias("gy"))
+        dx, dy = F.col("cx_b") - F.col("cx_a"), F.col("cy_b") - F.col("cy_a")
+        near = a.hint("merge").join(b, ["image_id", "gx", "gy"]).where("det_id_a <> det_id_b").withColumn("d", F.hypot(dx, dy)).where("d <= side or side >= span")
+        order = Window.partitionBy("image_id", "det_id_a").orderBy("d", "det_id_b")
+        near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        near = tables.keep(near.select("image_id", "det_id_a", "det_id_b", (F.col("d") / F.col("diagonal")).alias("dist_norm"), F.atan2(dy, dx).alias("bearing"), (F.col("radius_px_b") / F.greatest("radius_px_a", F.lit(1e-6))).alias("radius_ratio"), "rank"))
+        full = near.where(F.col("rank") == k).select("image_id", F.col("det_id_a").alias("det_id"))
+        done = open_.where(side >= F.col("span")).select("image_id", "det_id").unionByName(full).distinct()
+        settled = near.join(done.withColumnRenamed("det_id", "det_id_a").hint("merge"), ["image_id", "det_id_a"], "left_semi")
+        out = settled if out is None else out.unionByName(settled)
+        open_, scale = tables.keep(open_.join(done.hint("merge"), ["image_id", "det_id"], "left_anti")), scale * 2
+    if out is None:
+        out = nodes.select("image_id", F.col("det_id").alias("det_id_a"), F.col("det_id").alias("det_id_b"), *[F.lit(0.0).alias(c) for c in ("dist_norm", "bearing", "radius_ratio")], F.lit(0).alias("rank")).limit(0)
+    return tables.done(out)
 
 
 def node_features(nodes: DataFrame) -> DataFrame:

@@ -6,9 +6,13 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.transforms import inverse, mean_scale, project
+from tessella.operators.raster import warp
+from tessella.session import Tables
+
 
 def fit_affine(points: DataFrame) -> DataFrame:
     """Per run, the affine transform of least squared error from source to reference: sums of the normal equations in one
@@ -45,32 +49,104 @@ def _errors(h: np.ndarray, src: np.ndarray, ref: np.ndarray) -> np.ndarray:
         return np.nan_to_num(np.hypot(p[:, 0] / p[:, 2] - ref[:, 0], p[:, 1] / p[:, 2] - ref[:, 1]), nan=np.inf)
 
 
-def _consensus(threshold: float, tries: int):
+def _hypotheses(tries: int):
+    """Four-point fits of one run's sample, and the normalisation of the refit."""
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("match_idx")
         src, ref = pdf[["src_x", "src_y"]].to_numpy(float), pdf[["ref_x", "ref_y"]].to_numpy(float)
-        best = None
-        if len(pdf) >= 4:
-            rng = np.random.default_rng(int.from_bytes(hashlib.sha256(str(key[0]).encode()).digest()[:8], "little"))
-            for _ in range(tries):
-                pick = rng.choice(len(pdf), 4, replace=False)
-                h = _dlt(src[pick], ref[pick])
-                if h is not None and (best is None or (_errors(h, src, ref) <= threshold).sum() > best.sum()):
-                    best = _errors(h, src, ref) <= threshold
-            h = _dlt(src[best], ref[best]) if best is not None and best.sum() >= 4 else None
-            if h is not None:
-                best = _errors(h, src, ref) <= threshold
-                return pd.DataFrame({"run_id": [key[0]], "h": [h.ravel().tolist()], "inliers": [int(best.sum())], "total": [len(pdf)]})
-        return pd.DataFrame({"run_id": [key[0]], "h": [None], "inliers": [0], "total": [len(pdf)]})
+        if len(pdf) < 4:
+            return pd.DataFrame({"run_id": [key[0]], "hs": [None], "norm": [None]})
+        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(str(key[0]).encode()).digest()[:8], "little"))
+        hs = []
+        for _ in range(tries):
+            pick = rng.choice(len(pdf), 4, replace=False)
+            h = _dlt(src[pick], ref[pick])
+            hs.append(np.full(9, np.nan) if h is None else h.ravel())
+        norm = [x for p in (src, ref) for x in (*p.mean(axis=0), max(1e-12, p.std()))]
+        return pd.DataFrame({"run_id": [key[0]], "hs": [np.concatenate(hs).tolist()], "norm": [norm]})
+
+    return run
+
+
+def _points(pts) -> tuple[np.ndarray, np.ndarray]:
+    p = np.array([[x["src_x"], x["src_y"], x["ref_x"], x["ref_y"]] for x in pts], float)
+    return p[:, :2], p[:, 2:]
+
+
+def _votes(threshold: float):
+    """Of one block of points, how many each transform fits."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for pts, hs in zip(pdf["pts"], pdf["hs"]):
+                src, ref = _points(pts)
+                out.append([int((_errors(h, src, ref) <= threshold).sum()) for h in np.asarray(hs, float).reshape(-1, 3, 3)])
+            yield pd.DataFrame({"run_id": pdf["run_id"], "votes": out})
 
     return run
 
 
-def fit_robust(points: DataFrame, threshold: float = 3.0, tries: int = 300) -> DataFrame:
-    """Per run, a homography by consensus of four-point fits, refitted on its inliers; the choice of samples is seeded by the run id. Below 4 points: null."""
+def _normal_sums(threshold: float):
+    """Of one block of points, the sums of the linear system over those that a transform fits."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for pts, h, (cx, cy, cs, ux, uy, us) in zip(pdf["pts"], pdf["hs"], pdf["norm"]):
+                src, ref = _points(pts)
+                ok = _errors(np.asarray(h, float).reshape(3, 3), src, ref) <= threshold
+                x = np.c_[(src[ok] - (cx, cy)) / cs, np.ones(ok.sum())]
+                u = (ref[ok] - (ux, uy)) / us
+                zero = np.zeros_like(x)
+                rows = np.vstack([np.hstack([x, zero, -u[:, :1] * x]), np.hstack([zero, x, -u[:, 1:] * x])])
+                out.append((rows.T @ rows).ravel().tolist())
+            yield pd.DataFrame({"run_id": pdf["run_id"], "sums": out})
+
+    return run
+
+
+def _solve(batches):
+    for pdf in batches:
+        out = []
+        for sums, (cx, cy, cs, ux, uy, us) in zip(pdf["sums"], pdf["norm"]):
+            v = np.linalg.eigh(np.asarray(sums, float).reshape(9, 9))[1][:, 0].reshape(3, 3)
+            h = np.array([[us, 0, ux], [0, us, uy], [0, 0, 1]]) @ v @ np.array([[1 / cs, 0, -cx / cs], [0, 1 / cs, -cy / cs], [0, 0, 1]])
+            out.append((h / h[2, 2]).ravel().tolist() if abs(h[2, 2]) > 1e-12 else None)
+        yield pd.DataFrame({"run_id": pdf["run_id"], "hs": out})
+
+
+def fit_robust(points: DataFrame, threshold: float = 3.0, tries: int = 300, sample: int = 512, block: int = 1024) -> DataFrame:
+    """Per run, a homography by consensus of four-point fits, refitted on its inliers; the choice of points is seeded by the
+    run id. Below 4 points, or without 4 inliers: null.
+
+    Four-point fits are drawn from ``sample`` points of a run, chosen by a hash. All points vote on every fit and enter the
+    refit as sums, in blocks of about ``block`` of a run, so a large run spreads over many tasks.
+    """
+    tables = Tables(points.sparkSession)
     kind = points.schema["run_id"].dataType.simpleString()
     cols = points.select("run_id", "match_idx", "src_x", "src_y", "ref_x", "ref_y")
-    return cols.groupBy("run_id").applyInPandas(_consensus(threshold, tries), f"run_id {kind}, h array<double>, inliers long, total long")
+    chosen = F.row_number().over(Window.partitionBy("run_id").orderBy(F.xxhash64("run_id", "match_idx"), "match_idx"))
+    some = cols.withColumn("r", chosen).where(F.col("r") <= sample).drop("r")
+    fits = tables.keep(some.groupBy("run_id").applyInPandas(_hypotheses(tries), f"run_id {kind}, hs array<double>, norm array<double>"))
+    totals = tables.keep(cols.groupBy("run_id").agg(F.count("*").alias("total")))
+    dealt = cols.join(totals.hint("merge"), "run_id").withColumn("b", F.pmod(F.hash("match_idx"), F.ceil(F.col("total") / block)))
+    blocks = tables.keep(dealt.groupBy("run_id", "b").agg(F.collect_list(F.struct("src_x", "src_y", "ref_x", "ref_y")).alias("pts")))
+
+    def voted(h: DataFrame) -> DataFrame:
+        both = blocks.join(h.where("hs is not null").select("run_id", "hs").hint("merge"), "run_id").select("run_id", "pts", "hs")
+        each = both.mapInPandas(_votes(threshold), f"run_id {kind}, votes array<long>").select("run_id", F.posexplode("votes").alias("t", "n"))
+        return each.groupBy("run_id", "t").agg(F.sum("n").alias("n"))
+
+    best = voted(fits).groupBy("run_id").agg(F.max(F.struct("n", (-F.col("t")).alias("t"))).alias("b")).where("b.n >= 4")
+    best = tables.keep(fits.join(best.hint("merge"), "run_id").select("run_id", F.slice("hs", 1 - F.col("b.t") * 9, F.lit(9)).alias("hs"), "norm"))
+    parts = blocks.join(best.hint("merge"), "run_id").select("run_id", "pts", "hs", "norm").mapInPandas(_normal_sums(threshold), f"run_id {kind}, sums array<double>")
+    sums = parts.groupBy("run_id").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(81)]).alias("sums"))
+    refit = tables.keep(sums.join(best.select("run_id", "norm").hint("merge"), "run_id").mapInPandas(_solve, f"run_id {kind}, hs array<double>"))
+    found = refit.join(voted(refit).select("run_id", "n").hint("merge"), "run_id").select("run_id", F.col("hs").alias("h"), F.col("n").alias("inliers"))
+    out = totals.join(found.hint("merge"), "run_id", "left")
+    return tables.done(out.select("run_id", "h", F.coalesce("inliers", F.lit(0)).cast("long").alias("inliers"), "total"))
 
 
 def phase_shift(a: np.ndarray, b: np.ndarray, upsample: int = 50) -> tuple[float, float]:
@@ -129,4 +205,27 @@ def patches_at(points: DataFrame, pixels: DataFrame, x: str, y: str, name: str,
 
 
 def outcome_counts(refined: DataFrame) -> DataFrame:
-    return refined.groupBy("run_id").pivot("outcome", ["refined", "flat", "too_far", "outside"]).count().na.fill(0)
+    return refined.groupBy("run_id").pivot("outcome", ["refined", "flat", "too_far", "outside", "scale_guard"]).count().na.fill(0)
+
+
+def refine_matches(points: DataFrame, src: DataFrame, ref: DataFrame, homographies: DataFrame, height: int, width: int, size: int = 48, max_scale: float = 2.5) -> DataFrame:
+    """Sub-pixel source places of match points ``(run_id, match_idx, src_x, src_y, ref_x, ref_y)``: ``src_x, src_y, outcome``.
+
+    Each run's source raster is warped onto its reference grid (rasters have their run's id), patches around the reference
+    place are compared, and the shifted place is mapped back by the inverse transform. Only ``refined`` points move. A run
+    whose transform scales by more than ``max_scale`` either way, or that has none, is left alone as ``scale_guard``.
+    """
+    scale = mean_scale("h")
+    fine = homographies.where(F.col("h").isNotNull() & (scale > 0) & (F.greatest(scale, 1 / scale) <= max_scale)).select("run_id", "h")
+    warped = warp(src, fine.select(F.col("run_id").alias("raster_id"), "h"), height, width).select("raster_id", "row", "col", "value")
+    asked = points.join(fine.select("run_id").hint("merge"), "run_id", "left_semi").withColumn("raster_id", F.col("run_id"))
+    patches = asked.select("run_id", "match_idx", F.lit(size).alias("size"))
+    for pixels, name in ((ref, "src_patch"), (warped, "ref_patch")):
+        patches = patches.join(patches_at(asked, pixels, "ref_x", "ref_y", name, size).hint("merge"), ["run_id", "match_idx"], "left")
+    shifts = refine_points(patches, size / 2)
+    out = points.join(fine.hint("merge"), "run_id", "left").join(shifts.hint("merge"), ["run_id", "match_idx"], "left")
+    out = out.withColumn("outcome", F.coalesce("outcome", F.lit("scale_guard")))
+    out = out.withColumn("inv", inverse("h"))
+    out = out.withColumn("back", project("inv", F.col("ref_x") + F.col("dx"), F.col("ref_y") + F.col("dy")))
+    back, moved = F.col("back"), F.col("outcome") == "refined"
+    return out.select("run_id", "match_idx", F.when(moved, back["x"]).otherwise(F.col("src_x")).alias("src_x"), F.when(moved, back["y"]).otherwise(F.col("src_y")).alias("src_y"), "ref_x", "ref_y", "outcome")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.scoring import finite
+from tessella.functions.scoring import finite, next_steps, verdict
 
 
 def sensor_baseline(runs: DataFrame) -> DataFrame:
@@ -15,17 +15,40 @@ def sensor_baseline(runs: DataFrame) -> DataFrame:
     return runs.groupBy("sensor_type").agg(n.alias("n_runs"), F.when(n >= 2, F.avg(x)).alias("mean"), F.when(n >= 2, F.stddev_samp(x)).alias("std"))
 
 
-def flag_anomalies(runs: DataFrame, limit: float = 2.0, keys: tuple = ("sensor_type",)) -> DataFrame:
+def _sums_before(rows: DataFrame, keys: tuple, order: str, x: Column, block: int) -> DataFrame:
+    """Adds ``__n, __s, __q``: how many values of ``x`` earlier rows of the same keys have, their sum and sum of squares.
+
+    Two levels, so that no task gets all rows of a key: sums inside ranges of ``block`` numbers of ``order``, and running sums
+    of range totals.
+    """
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    rows = rows.withColumn("__x", x).withColumn("__k", key).withColumn("__b", F.floor(F.col(order) / block))
+    parts = {"n": F.count("__x"), "s": F.sum("__x"), "q": F.sum(F.col("__x") * F.col("__x"))}
+    inside = Window.partitionBy("__k", "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("__k", "__b").agg(*[v.alias(k) for k, v in parts.items()])
+    carry = totals.select("__k", "__b", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"__c{k}") for k in parts])
+    out = rows
+    for k, v in parts.items():
+        out = out.withColumn(f"__{k}", F.coalesce(v.over(inside), F.lit(0)))
+    out = out.join(carry.hint("merge"), ["__k", "__b"])
+    for k in parts:
+        out = out.withColumn(f"__{k}", F.col(f"__{k}") + F.col(f"__c{k}"))
+    return out.select(*rows.drop("__k", "__b").columns, *[f"__{k}" for k in parts])
+
+
+def flag_anomalies(runs: DataFrame, limit: float = 2.0, keys: tuple = ("sensor_type",), block: int = 1 << 16) -> DataFrame:
     """Each run against earlier runs (by id) of its sensor only: anomalous if more than ``limit`` spreads from their mean.
 
     Below two earlier runs, without spread, or with a NaN or null rmse a run is never anomalous.
     """
-    w = Window.partitionBy(*keys).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    x = finite("rmse")
-    n, mean, std = F.count(x).over(w), F.avg(x).over(w), F.stddev_samp(x).over(w)
-    out = runs.withColumn("n_prior", n).withColumn("baseline_mean", F.when(n >= 2, mean)).withColumn("baseline_std", F.when(n >= 2, std))
-    far = F.abs(x - F.col("baseline_mean")) / F.col("baseline_std") > limit
-    return out.withColumn("anomalous", F.coalesce((F.col("baseline_std") > 0) & far, F.lit(False)))
+    centre = runs.agg(F.avg(finite("rmse"))).first()[0] or 0.0  # sums about it keep their digits
+    out = _sums_before(runs, keys, "id", finite("rmse") - centre, block)
+    n, s, q = F.col("__n"), F.col("__s"), F.col("__q")
+    spread = F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))
+    out = out.withColumn("n_prior", n).withColumn("baseline_mean", F.when(n >= 2, s / n + centre)).withColumn("baseline_std", F.when(n >= 2, spread))
+    far = F.abs(finite("rmse") - F.col("baseline_mean")) / F.col("baseline_std") > limit
+    return out.withColumn("anomalous", F.coalesce((F.col("baseline_std") > 0) & far, F.lit(False))).drop("__x", "__n", "__s", "__q")
 
 
 def sensor_summary(flagged: DataFrame) -> DataFrame:
@@ -48,10 +71,11 @@ def latest_runs(runs: DataFrame, limit: int = 200, sensor: str | None = None) ->
     return (runs.where(F.col("sensor_type") == sensor) if sensor else runs).orderBy(F.desc("id")).limit(limit)
 
 
-def rmse_trend(runs: DataFrame) -> DataFrame:
+def rmse_trend(runs: DataFrame, block: int = 1 << 16) -> DataFrame:
     """Running mean of rmse over each sensor's runs."""
-    w = Window.partitionBy("sensor_type").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return runs.withColumn("trend", F.avg(finite("rmse")).over(w))
+    out = _sums_before(runs, ("sensor_type",), "id", finite("rmse"), block)
+    n, s = F.col("__n") + F.col("__x").isNotNull().cast("int"), F.col("__s") + F.coalesce("__x", F.lit(0.0))
+    return out.withColumn("trend", F.when(n > 0, s / n)).drop("__x", "__n", "__s", "__q")
 
 
 def result_field(runs: DataFrame, path: str, name: str) -> DataFrame:
@@ -103,3 +127,19 @@ def compute_missing(features: DataFrame, cache: DataFrame, compute, params: str)
     wanted = features.withColumn("key", key)
     fresh = compute(wanted.join(cache.select("key"), "key", "left_anti"))
     return cache.join(wanted.select("key").distinct(), "key", "left_semi").unionByName(fresh, allowMissingColumns=True)
+
+
+def run_reports(runs: DataFrame, craters: DataFrame, nearest: DataFrame, geometry: DataFrame, telemetry: DataFrame) -> DataFrame:
+    """One wide row a run: its verdict, reasons and next steps, what is known of its product's ground, of the nearest named
+    feature, of both observers and of the sun. ``runs(run_id, product_id, total, inliers, ratio, rmse, rotation_std, ...)``; the
+    other tables have a row a product or a run, and what they lack is null."""
+    judged = runs.withColumn("v", verdict("total", "inliers", "ratio", "rmse", "rotation_std"))
+    judged = judged.select(*runs.columns, "v.validated", "v.label", "v.reasons", next_steps("v.validated", "v.reasons").alias("next_steps"))
+    ground = craters.select("product_id", "area_km2", F.col("n").alias("n_craters"), "min_d", "max_d", "mean_d", "density")
+    near = nearest.select(F.col("point_id").alias("product_id"), F.col("name").alias("nearest_name"), F.col("km").alias("nearest_km"))
+    seen = geometry.select("run_id", "divergence_deg", F.col("reason").alias("geometry_reason"))
+    sun = telemetry.select("product_id", F.col("n").alias("n_records"), "mean_incidence")
+    out = judged
+    for table, key in ((ground, "product_id"), (near, "product_id"), (seen, "run_id"), (sun, "product_id")):
+        out = out.join(table.hint("merge"), key, "left")
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.geo import wrapped_diff
+from tessella.session import materialize
 
 
 def l2(a, b):
@@ -22,8 +23,8 @@ def hamming(a, b):
 def ratio_matches(queries: DataFrame, train: DataFrame, ratio: float = 0.75, block: str = "block", distance=l2) -> DataFrame:
     """(block, q, t, dist) of each query's nearest train descriptor in its block that beats the second nearest by Lowe's ratio.
 
-    Exact: candidates are the descriptors of one block, met in a join on it; the two nearest come from partial minima, so
-    no query's candidates are gathered or sorted. Ties go to the smaller id.
+    Exact: candidates are the descriptors of one block, met in a join on it; of each query's the two nearest are kept by a
+    ranking that Spark cuts to two in every task before the shuffle. Ties go to the smaller id.
     """
     a = queries.select(block, F.col("kp_id").alias("q"), F.col("descriptor").alias("da"))
     b = train.select(block, F.col("kp_id").alias("t"), F.col("descriptor").alias("db"))
@@ -177,6 +178,12 @@ def check_seeds(seeds: DataFrame, least: int = 4) -> DataFrame:
 
 
 def interleave(lanes: DataFrame) -> DataFrame:
-    """Round robin over lanes: first tasks of all lanes, then second ones."""
-    rank = F.row_number().over(Window.partitionBy("lane").orderBy("task"))
-    return lanes.withColumn("turn", rank)
+    """Round robin over lanes: first tasks of all lanes, then second ones. Lanes are dealt by ranges of tasks; a task's turn is
+    its place in the range after those of its lane's earlier ranges, so a lane can be larger than a Spark task."""
+    dealt = materialize(lanes.repartitionByRange("lane", "task").withColumn("__p", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("lane", "__p").orderBy("task"))
+    before = Window.partitionBy("lane").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("lane", "__p").agg(F.count("*").alias("n"))
+    carry = counts.select(F.col("lane").alias("__l"), F.col("__p").alias("__q"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__c"))
+    both = dealt.withColumn("__r", inside).join(carry.hint("merge"), F.col("lane").eqNullSafe(F.col("__l")) & (F.col("__p") == F.col("__q")))
+    return both.select(*lanes.columns, (F.col("__r") + F.col("__c")).alias("turn"))

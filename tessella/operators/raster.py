@@ -76,17 +76,19 @@ def band_mean(cube: DataFrame) -> DataFrame:
     return cube.groupBy(*KEY).agg(F.avg("value").alias("value"))
 
 
-def integral(pixels: DataFrame, value: Column | str = "value", name: str = "sat", block: int = 1024) -> DataFrame:
-    """Summed-area table. Along each axis: running sums inside blocks of ``block``, plus the running sum of block totals."""
-    df = pixels.select(*KEY, (F.col(value) if isinstance(value, str) else value).cast("double").alias("v"))
+def integral(pixels: DataFrame, block: int = 1024, **values) -> DataFrame:
+    """Summed-area tables of one or more values (sat=value by default), in one pass. Along each axis: running sums inside blocks of ``block``, plus the running sum of block totals."""
+    values = values or {"sat": F.col("value")}
+    df = pixels.select(*KEY, *[v.cast("double").alias(k) for k, v in values.items()])
     for line, along in (("row", "col"), ("col", "row")):
         df = df.withColumn("b", F.floor(F.col(along) / block))
-        inside = F.sum("v").over(Window.partitionBy("raster_id", line, "b").orderBy(along))
-        totals = df.groupBy("raster_id", line, "b").agg(F.sum("v").alias("t"))
-        before = F.coalesce(F.sum("t").over(Window.partitionBy("raster_id", line).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        carry = totals.select("raster_id", line, "b", before.alias("carry"))
-        df = df.withColumn("v", inside).join(carry.hint("merge"), ["raster_id", line, "b"]).select(*KEY, (F.col("v") + F.col("carry")).alias("v"))
-    return df.withColumnRenamed("v", name)
+        inside = Window.partitionBy("raster_id", line, "b").orderBy(along)
+        before = Window.partitionBy("raster_id", line).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        totals = df.groupBy("raster_id", line, "b").agg(*[F.sum(k).alias(k) for k in values])
+        carry = totals.select("raster_id", line, "b", *[F.coalesce(F.sum(k).over(before), F.lit(0.0)).alias(f"carry_{k}") for k in values])
+        sums = df.select(*KEY, "b", *[F.sum(k).over(inside).alias(k) for k in values])
+        df = sums.join(carry.hint("merge"), ["raster_id", line, "b"]).select(*KEY, *[(F.col(k) + F.col(f"carry_{k}")).alias(k) for k in values])
+    return df
 
 
 def shifted(pixels: DataFrame, offsets: list[tuple[int, int, float]], name: str = "value") -> DataFrame:
@@ -113,7 +115,7 @@ def sobel(pixels: DataFrame) -> DataFrame:
     gx = [(r, c, c * (2 if r == 0 else 1)) for r in (-1, 0, 1) for c in (-1, 1)]
     gy = [(r, c, r * (2 if c == 0 else 1)) for c in (-1, 0, 1) for r in (-1, 1)]
     a, b = shifted(pixels, gx, "gx").where("found = 6"), shifted(pixels, gy, "gy").where("found = 6")
-    return pixels.select(*KEY).join(a.select(*KEY, "gx"), KEY).join(b.select(*KEY, "gy"), KEY)
+    return pixels.select(*KEY).join(a.select(*KEY, "gx").hint("merge"), KEY).join(b.select(*KEY, "gy").hint("merge"), KEY)
 
 
 def horizon_shadow(dem: DataFrame, elevation_deg: float, cell_m: float = 1.0, east: bool = True, eps: float = 1e-6) -> DataFrame:
@@ -129,9 +131,9 @@ def horizon_shadow(dem: DataFrame, elevation_deg: float, cell_m: float = 1.0, ea
 def local_stats(pixels: DataFrame, radius: int, width: int, wrap: bool = True) -> DataFrame:
     """Mean and population variance in the square of ``radius`` around each pixel; columns wrap around if asked. Four corners of
     summed-area tables a segment; a square over the seam has two segments."""
-    s = integral(pixels, "value", "s").join(integral(pixels, F.col("value") * F.col("value"), "q"), KEY)
+    s = integral(pixels, s=F.col("value"), q=F.col("value") * F.col("value"))
     height = pixels.groupBy("raster_id").agg(F.max("row").alias("last"))
-    p = pixels.select(*KEY).join(height, "raster_id")
+    p = pixels.select(*KEY).join(height.hint("merge"), "raster_id")
     lo, hi = F.col("col") - radius, F.col("col") + radius
     parts = [F.struct(F.greatest(lo, F.lit(0)).alias("c0"), F.least(hi, F.lit(width - 1)).alias("c1"))]
     if wrap:
@@ -188,7 +190,7 @@ def sample_bilinear(points: DataFrame, pixels: DataFrame, x: str = "x", y: str =
     asked = points.select("point_id", "raster_id", F.explode(F.array(*taps)).alias("t")).where("t.w > 0").select("point_id", "raster_id", "t.*")
     got = asked.join(pixels.hint("merge"), KEY, "left").groupBy("point_id", "raster_id").agg(F.sum(F.col("w") * F.col("value")).alias("v"), F.sum(F.when(F.col("value").isNotNull(), F.col("w")).otherwise(0.0)).alias("found"))
     value = F.when(F.col("found") > 1 - 1e-9, F.col("v"))
-    return points.join(got, ["point_id", "raster_id"], "left").select(*points.columns, (F.coalesce(value, F.lit(fill)) if fill is not None else value).alias("value"))
+    return points.join(got.hint("merge"), ["point_id", "raster_id"], "left").select(*points.columns, (F.coalesce(value, F.lit(fill)) if fill is not None else value).alias("value"))
 
 
 def warp(pixels: DataFrame, homographies: DataFrame, height: int, width: int) -> DataFrame:
@@ -217,7 +219,7 @@ def hillshade(dem: DataFrame, elevation_deg: float, azimuth_deg: float, cell_m:
 def ssim(a: DataFrame, b: DataFrame, window: int = 7, span: float = 255.0) -> DataFrame:
     """Structural similarity in windows that fit the raster, from partial box sums of x, y, xx, yy and xy; sample covariances."""
     half, n = window // 2, window * window
-    j = a.withColumnRenamed("value", "x").join(b.withColumnRenamed("value", "y"), KEY)
+    j = a.withColumnRenamed("value", "x").join(b.withColumnRenamed("value", "y").hint("merge"), KEY)
     rows = j.select("raster_id", "row", F.explode(F.sequence(F.col("col") - half, F.col("col") + half)).alias("col"), "x", "y")
     terms = {"x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "xy": F.col("x") * F.col("y")}
     rows = rows.groupBy(*KEY).agg(F.count("*").alias("n"), *[F.sum(v).alias(k) for k, v in terms.items()])
@@ -232,7 +234,7 @@ def ssim(a: DataFrame, b: DataFrame, window: int = 7, span: float = 255.0) -> Da
 
 
 def ssim_summary(s: DataFrame, valid: DataFrame) -> DataFrame:
-    j = s.join(valid.select(*KEY, "valid"), KEY, "left")
+    j = s.join(valid.select(*KEY, "valid").hint("merge"), KEY, "left")
     ok = F.coalesce("valid", F.lit(False))
     return j.groupBy("raster_id").agg(F.avg("ssim").alias("mean"), F.avg(F.when(ok, F.col("ssim"))).alias("valid_mean"), F.avg(ok.cast("double")).alias("valid_fraction"))
 
@@ -240,7 +242,7 @@ def ssim_summary(s: DataFrame, valid: DataFrame) -> DataFrame:
 def summary_grid(s: DataFrame, valid: DataFrame, height: int, width: int, most: int = 320) -> DataFrame:
     """At most ``most`` blocks a side: mean, centre, and whether more than half of the block is valid."""
     f = max(1, -(-max(height, width) // most))
-    j = s.join(valid.select(*KEY, "valid"), KEY, "left")
+    j = s.join(valid.select(*KEY, "valid").hint("merge"), KEY, "left")
     at = lambda c: F.floor(F.col(c) / f)
     return j.groupBy("raster_id", at("row").alias("gy"), at("col").alias("gx")).agg(F.avg("ssim").alias("ssim"), (F.avg(F.coalesce(F.col("valid"), F.lit(False)).cast("double")) > 0.5).alias("valid")).select(
         "raster_id", "gy", "gx", ((F.col("gx") + 0.5) * f).alias("x"), ((F.col("gy") + 0.5) * f).alias("y"), "ssim", "valid"
@@ -251,7 +253,7 @@ def crop_stretch(pixels: DataFrame, row: int, col: int, half: int) -> DataFrame:
     """The window around a centre, stretched between its least and largest value."""
     cut = pixels.where(F.col("row").between(row - half, row + half) & F.col("col").between(col - half, col + half))
     ends = cut.groupBy("raster_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return cut.join(ends, "raster_id").select(*KEY, F.when(F.col("hi") > F.col("lo"), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0).alias("value"))
+    return cut.join(ends.hint("merge"), "raster_id").select(*KEY, F.when(F.col("hi") > F.col("lo"), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0).alias("value"))
 
 
 def flat_field(pixels: DataFrame, height: int, width: int, factor: int = 4) -> DataFrame:
@@ -263,12 +265,12 @@ def flat_field(pixels: DataFrame, height: int, width: int, factor: int = 4) -> D
     for axis in (0, 1):
         taps = [(i if axis == 0 else 0, 0 if axis == 0 else i, math.exp(-i * i / (2 * sigma * sigma))) for i in range(-reach, reach + 1)]
         inside = low.select(*KEY)
-        low = inside.join(shifted(low, taps).select(*KEY, (F.col("value") / F.col("weight")).alias("value")), KEY)
+        low = inside.join(shifted(low, taps).select(*KEY, (F.col("value") / F.col("weight")).alias("value")).hint("merge"), KEY)
     nh, nw = -(-height // factor), -(-width // factor)
     clamp = lambda c, n: F.greatest(F.lit(0.0), F.least((F.col(c) + 0.5) / factor - 0.5, F.lit(float(n - 1))))
     pts = pixels.select((F.col("row") * width + F.col("col")).alias("point_id"), "raster_id", "row", "col", F.col("value").alias("v"), clamp("col", nw).alias("x"), clamp("row", nh).alias("y"))
     out = sample_bilinear(pts.drop("v"), low)
-    return out.withColumnRenamed("value", "low").join(pixels, KEY).select(*KEY, F.greatest(F.lit(0.0), F.least(F.col("value") - F.col("low") + 128, F.lit(255.0))).alias("value"))
+    return out.withColumnRenamed("value", "low").join(pixels.hint("merge"), KEY).select(*KEY, F.greatest(F.lit(0.0), F.least(F.col("value") - F.col("low") + 128, F.lit(255.0))).alias("value"))
 
 
 def tile_equalise(pixels: DataFrame, height: int, width: int, tiles: int = 8, clip: float = 2.0) -> DataFrame:
@@ -290,7 +292,7 @@ def tile_equalise(pixels: DataFrame, height: int, width: int, tiles: int = 8, cl
     clamp = lambda v: F.greatest(F.lit(0), F.least(v, F.lit(tiles - 1))).cast("int")
     taps = F.array(*[F.struct(clamp(F.floor(fy) + i).alias("ty"), clamp(F.floor(fx) + j).alias("tx"), ((dy if i else 1 - dy) * (dx if j else 1 - dx)).alias("w")) for i in (0, 1) for j in (0, 1)])
     asked = p.select(*KEY, "dn", F.explode(taps).alias("t")).select(*KEY, "dn", "t.*")
-    return asked.join(lut, ["raster_id", "ty", "tx", "dn"]).groupBy(*KEY).agg(F.sum(F.col("w") * F.col("out")).alias("value"))
+    return asked.join(lut.hint("merge"), ["raster_id", "ty", "tx", "dn"]).groupBy(*KEY).agg(F.sum(F.col("w") * F.col("out")).alias("value"))
 
 
 def normalise_light(pixels: DataFrame, mode: str, height: int, width: int) -> DataFrame:

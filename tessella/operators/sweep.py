@@ -81,7 +81,7 @@ def pass_matrix(results: DataFrame, rows: str, cols: str, values: list) -> DataF
 
 
 def progress(planned: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    both = planned.select(*keys).join(done.select(*keys, "status").dropDuplicates(keys), keys, "left")
+    both = planned.select(*keys).join(done.select(*keys, "status").dropDuplicates(keys).hint("merge"), keys, "left")
     total, completed = F.count("*"), F.count("status")
     state = F.when(completed == 0, "pending").when(completed < total, "running").otherwise("complete")
     return both.groupBy(keys[0]).agg(completed.alias("completed"), total.alias("total"), state.alias("state"))

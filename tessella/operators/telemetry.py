@@ -28,18 +28,35 @@ def nearest_record(acquisitions: DataFrame, records: DataFrame, tolerance_s: int
     gap = F.abs(F.col("us") - F.col("rus"))
     hits = a.hint("merge").join(r, "bucket").where(gap <= size)
     best = hits.groupBy("acq_id").agg(F.min_by(F.struct("record_num", "rec", (gap / 1e6).alias("gap_s")), F.struct(gap.alias("g"), "record_num")).alias("b"))
-    out = acquisitions.join(best, "acq_id", "left").select(*acquisitions.columns, F.col("b.record_num").alias("record_num"), F.col("b.gap_s").alias("gap_s"), F.col("b.rec").alias("rec"))
+    out = acquisitions.join(best.hint("merge"), "acq_id", "left").select(*acquisitions.columns, F.col("b.record_num").alias("record_num"), F.col("b.gap_s").alias("gap_s"), F.col("b.rec").alias("rec"))
     return out
 
 
-def covering_file(times: DataFrame, coverage: DataFrame, days: int = 1) -> DataFrame:
-    """The first file by name whose interval [start, stop] holds a time. Intervals are spread over buckets of ``days``, times have one."""
-    size = days * 86_400_000_000
-    c = coverage.select("file", F.unix_micros("start").alias("a"), F.unix_micros("stop").alias("z")).where("z >= a")
-    c = c.select("*", F.explode(F.sequence(F.floor(F.col("a") / size), F.floor(F.col("z") / size))).alias("bucket"))
-    t = times.withColumn("us", F.unix_micros("ts")).withColumn("bucket", F.floor(F.col("us") / size))
-    hits = t.join(c.hint("merge"), "bucket").where("us between a and z")
-    return times.join(hits.groupBy("time_id").agg(F.min("file").alias("file")), "time_id", "left")
+#: Each level of buckets is so many times as wide as the one below, from a microsecond up.
+_FAN, _LEVELS = 4, 31
+# an interval [a, z) as whole buckets: at each level those that the next wider ones don't hold
+_CUT = f"""aggregate(sequence(0, {_LEVELS - 1}), named_struct('a', a, 'z', z + 1, 'out', cast(array() as array<struct<level:int,bucket:bigint>>)), (st, l) ->
+ if(st.a >= st.z, st, transform(array(named_struct('up', least((st.a + {_FAN - 1}) div {_FAN} * {_FAN}, st.z), 'down', (st.z div {_FAN}) * {_FAN})), k -> named_struct('a', (st.a + {_FAN - 1}) div {_FAN}, 'z', st.z div {_FAN}, 'out', concat(st.out,
+  transform(filter(sequence(st.a, st.a + {_FAN}), x -> x < k.up), x -> named_struct('level', l, 'bucket', x)),
+  transform(filter(sequence(st.z - {_FAN}, st.z), x -> x < st.z and x >= greatest(k.down, k.up)), x -> named_struct('level', l, 'bucket', x)))))[0])).out"""
+
+
+def covering_file(times: DataFrame, coverage: DataFrame) -> DataFrame:
+    """The first file by name whose interval [start, stop] holds a time.
+
+    An interval is cut into whole buckets of microseconds, each level of buckets four times as wide, and only the first file
+    of a bucket counts; a time asks its bucket at every level. Both are a bounded number of rows, however many intervals
+    hold a time. Times before 1970 are moved up by a multiple of all widths.
+    """
+    shift = 1 << 2 * _LEVELS - 3
+    c = coverage.select("file", (F.unix_micros("start") + shift).alias("a"), (F.unix_micros("stop") + shift).alias("z")).where("z >= a")
+    first = c.select("file", F.explode(F.expr(_CUT)).alias("c")).groupBy("c.level", "c.bucket").agg(F.min("file").alias("file"))
+    levels = first.select("level").distinct()
+    known = sorted(r.level for r in levels.collect())  # at most _LEVELS rows
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.expr(f"(unix_micros(ts) + {shift}L) div {_FAN**n}L").alias("bucket")) for n in known])) if known else F.explode(F.expr("cast(array() as array<struct<level:int,bucket:bigint>>)"))
+    t = times.select("time_id", each.alias("c")).select("time_id", "c.level", "c.bucket")
+    best = t.join(first.hint("merge"), ["level", "bucket"]).groupBy("time_id").agg(F.min("file").alias("file"))
+    return times.join(best.hint("merge"), "time_id", "left")
 
 
 def run_geometry(runs: DataFrame, acquisitions: DataFrame, telemetry: DataFrame, footprints: DataFrame) -> DataFrame:
@@ -51,7 +68,7 @@ def run_geometry(runs: DataFrame, acquisitions: DataFrame, telemetry: DataFrame,
     mark = lambda s: footprints.select(F.col("product_id").alias(f"{s}_id"), F.col("target").alias(f"{s}_target"))
     out = runs
     for s in ("src", "ref"):
-        out = out.join(side(s), f"{s}_id", "left").join(mark(s), f"{s}_id", "left")
+        out = out.join(side(s).hint("merge"), f"{s}_id", "left").join(mark(s).hint("merge"), f"{s}_id", "left")
     out = out.withColumn("target", F.coalesce("src_target", "ref_target"))
     out = out.withColumn("divergence_deg", view_divergence("target", "src_pos", "ref_pos"))
     reason = F.when(F.col("target").isNull(), "no footprint").when(F.col("src_pos").isNull() | F.col("ref_pos").isNull(), "no position near the acquisition")

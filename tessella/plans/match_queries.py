@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.operators import detections, fitting, matches, sweep, telemetry
@@ -73,14 +74,14 @@ def w2_spatial_cap(spark, sf):
     return matches.spatial_cap(table(spark, sf, "match_points"), 1200.0, 1200.0).select("run_id", F.col("match_idx").cast("long").alias("match_idx"))
 
 
-@query("a7_rotation_consistency", with_tables("match_points", """q AS (SELECT run_id, match_idx, src_x, src_y, ref_x, ref_y FROM match_points WHERE run_id < 20),
+@query("a7_rotation_consistency", with_tables("match_points", """q AS (SELECT run_id, match_idx, src_x, src_y, ref_x, ref_y FROM match_points),
 p AS (SELECT a.run_id, fmod(degrees(atan2(b.ref_y - a.ref_y, b.ref_x - a.ref_x)) - degrees(atan2(b.src_y - a.src_y, b.src_x - a.src_x)) + 180 + 720, 360) - 180 AS d
  FROM q a JOIN q b ON a.run_id = b.run_id AND a.match_idx < b.match_idx
  WHERE sqrt(pow(b.src_x - a.src_x, 2) + pow(b.src_y - a.src_y, 2)) > 0.001 AND sqrt(pow(b.ref_x - a.ref_x, 2) + pow(b.ref_y - a.ref_y, 2)) > 0.001)
 SELECT run_id, round(stddev_pop(d), 4) AS rotation_std, count(*) AS n_pairs FROM p GROUP BY 1"""))
 def a7_rotation_consistency(spark, sf):
-    """Over the runs of the first twenty sensors' products: the figure is defined over all pairs of a run."""
-    m = table(spark, sf, "match_points").where("run_id < 20")
+    """The figure is defined over all pairs of a run."""
+    m = table(spark, sf, "match_points")
     return matches.rotation_consistency(m).select("run_id", F.round("rotation_std", 4).alias("rotation_std"), "n_pairs")
 
 
@@ -165,31 +166,42 @@ def j7_nearest_record(spark, sf):
     return telemetry.nearest_record(table(spark, sf, "acquisitions"), table(spark, sf, "telemetry")).select("acq_id", "record_num", "gap_s")
 
 
-@query("j8_covering_file", "WITH c AS (SELECT 'f' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS file, o_orderdate AS a, o_orderdate + INTERVAL 1 DAY * CAST(o_orderkey % 30 AS INTEGER) AS z FROM orders WHERE o_orderkey % 97 = 0) SELECT l_orderkey * 10 + l_linenumber AS time_id, l_shipdate AS ts_, min(file) AS file FROM lineitem LEFT JOIN c ON l_shipdate BETWEEN a AND z WHERE l_suppkey = 3 GROUP BY 1, 2")
+@query("j8_covering_file", "WITH c AS (SELECT 'f' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS file, o_orderdate AS a, o_orderdate + INTERVAL 1 DAY * CAST(o_orderkey % 30 AS INTEGER) AS z FROM orders) SELECT l_orderkey * 10 + l_linenumber AS time_id, l_shipdate AS ts_, min(file) AS file FROM lineitem LEFT JOIN c ON l_shipdate BETWEEN a AND z GROUP BY 1, 2")
 def j8_covering_file(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 97 = 0").withColumn("start", F.col("o_orderdate").cast("timestamp"))
+    o = spark.read.parquet(f"{sf}/orders.parquet").withColumn("start", F.col("o_orderdate").cast("timestamp"))
     c = o.select(F.concat(F.lit("f"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("file"), "start", (F.col("start") + F.make_dt_interval((F.col("o_orderkey") % 30).cast("int"))).alias("stop"))
-    t = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_suppkey = 3").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("time_id"), F.col("l_shipdate").cast("timestamp").alias("ts")).distinct()
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("time_id"), F.col("l_shipdate").cast("timestamp").alias("ts")).distinct()
     out = telemetry.covering_file(t.withColumn("key", F.col("time_id")).withColumn("time_id", F.xxhash64("time_id", "ts")), c)
     return out.select(F.col("key").alias("time_id"), F.col("ts").cast("timestamp_ntz").alias("ts_"), "file")
 
 
-@query("j23_run_geometry")
+@query("j23_run_geometry", """WITH tel AS (SELECT ts, event_id AS r, event_id * 3 % 100 + 1740 AS px, event_id * 7 % 100 + 1740 AS py, event_id * 11 % 100 + 1740 AS pz FROM events WHERE event_type = 'view'),
+acq AS (SELECT event_id AS run_id, ts FROM events WHERE event_type = 'signup'),
+h AS (SELECT a.run_id, px, py, pz, abs(epoch_us(a.ts) - epoch_us(t.ts)) AS gap, r FROM acq a JOIN tel t ON t.ts BETWEEN a.ts - INTERVAL 60 SECOND AND a.ts + INTERVAL 60 SECOND),
+b AS (SELECT run_id, arg_min({'x': px, 'y': py, 'z': pz}, {'g': gap, 'r': r}) AS p FROM h GROUP BY 1),
+o AS (SELECT acq.run_id, lead(acq.run_id) OVER (ORDER BY acq.run_id) AS ref_id FROM acq),
+v AS (SELECT o.run_id, o.ref_id, s.p IS NOT NULL AND f.p IS NOT NULL AS available, 1000.0::DOUBLE - s.p.x AS ax, 1000.0::DOUBLE - s.p.y AS ay, 900.0::DOUBLE - s.p.z AS az, 1000.0::DOUBLE - f.p.x AS bx, 1000.0::DOUBLE - f.p.y AS by_, 900.0::DOUBLE - f.p.z AS bz
+ FROM o LEFT JOIN b s ON s.run_id = o.run_id LEFT JOIN b f ON f.run_id = o.ref_id)
+SELECT run_id, available, CASE WHEN NOT available THEN 'no position near the acquisition' END AS reason,
+ CASE WHEN available THEN round(degrees(acos(greatest(-1, least(1, (ax * bx + ay * by_ + az * bz) / sqrt((ax * ax + ay * ay + az * az) * (bx * bx + by_ * by_ + bz * bz)))))), 4) END AS divergence_deg FROM v""")
 def j23_run_geometry(spark, sf):
     """Both observers of each run and the angle between their lines of sight."""
     ev = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     tel = ev.where("event_type = 'view'").select("ts", F.col("event_id").alias("record_num"), F.array(*[(F.col("event_id") * k % 100 + 1740).cast("double") for k in (3, 7, 11)]).alias("pos"))
     acq = ev.where("event_type = 'signup'").select(F.col("event_id").alias("acq_id"), "ts")
-    runs = acq.select(F.col("acq_id").alias("run_id"), F.col("acq_id").alias("src_id"), F.col("acq_id").alias("ref_id"))
+    after = acq.select("acq_id", F.lead("acq_id").over(Window.orderBy("acq_id")).alias("ref_id"))  # of a fixture
+    runs = after.select(F.col("acq_id").alias("run_id"), F.col("acq_id").alias("src_id"), "ref_id")
     foot = acq.select(F.col("acq_id").alias("product_id"), F.array(F.lit(1000.0), F.lit(1000.0), F.lit(900.0)).alias("target"))
-    return telemetry.run_geometry(runs, acq, tel, foot).select("run_id", "available", "reason", F.round("divergence_deg", 6).alias("divergence_deg"))
+    return telemetry.run_geometry(runs, acq, tel, foot).select("run_id", "available", "reason", F.round("divergence_deg", 4).alias("divergence_deg"))
 
 
 # detections
 
 
-_IOU = """o AS (SELECT a.image_id, a.det_id AS a, b.det_id AS b, greatest(least(a.cx + a.w / 2, b.cx + b.w / 2) - greatest(a.cx - a.w / 2, b.cx - b.w / 2), 0) * greatest(least(a.cy + a.h / 2, b.cy + b.h / 2) - greatest(a.cy - a.h / 2, b.cy - b.h / 2), 0) AS i, a.w * a.h + b.w * b.h AS s
- FROM detections a JOIN detections b ON a.image_id = b.image_id AND a.det_id < b.det_id), e AS (SELECT * FROM o WHERE i > 0 AND i / (s - i) >= 0.3)"""
+# boxes are at most 64 high and wide: overlapping ones have centres in the same or in adjacent cells of 64
+_IOU = """db AS (SELECT *, CAST(floor(cx / 64) AS BIGINT) AS gx, CAST(floor(cy / 64) AS BIGINT) AS gy FROM detections),
+o AS (SELECT a.image_id, a.det_id AS a, b.det_id AS b, greatest(least(a.cx + a.w / 2, b.cx + b.w / 2) - greatest(a.cx - a.w / 2, b.cx - b.w / 2), 0) * greatest(least(a.cy + a.h / 2, b.cy + b.h / 2) - greatest(a.cy - a.h / 2, b.cy - b.h / 2), 0) AS i, a.w * a.h + b.w * b.h AS s
+ FROM (SELECT db.*, gx + i AS hx, gy + k AS hy FROM db, range(-1, 2) p(i), range(-1, 2) q(k)) a JOIN db b ON a.image_id = b.image_id AND a.hx = b.gx AND a.hy = b.gy AND a.det_id < b.det_id), e AS (SELECT * FROM o WHERE i > 0 AND i / (s - i) >= 0.3)"""
 
 
 @query("j22_overlapping_boxes", with_tables("detections", f"{_IOU} SELECT image_id, a, b, round(i / (s - i), 6) AS iou FROM e"))
@@ -197,21 +209,27 @@ def j22_overlapping_boxes(spark, sf):
     return detections.overlapping_boxes(table(spark, sf, "detections"), 0.3).select("image_id", F.col("det_id_a").cast("long").alias("a"), F.col("det_id_b").cast("long").alias("b"), F.round("iou", 6).alias("iou"))
 
 
-@query("g2_clusters", with_tables("detections", f"""{_IOU}, u AS (SELECT image_id, a AS x, b AS y FROM e UNION SELECT image_id, b, a FROM e),
-n AS (SELECT u.image_id, x, min(y) AS m FROM u GROUP BY 1, 2), best AS (SELECT d.image_id, d.det_id FROM detections d LEFT JOIN n ON n.image_id = d.image_id AND n.x = d.det_id WHERE n.x IS NULL)
-SELECT image_id, count(*) AS singles FROM best GROUP BY 1"""))
+@query("g2_clusters", with_tables("detections", f"""{_IOU}, u AS (SELECT image_id * 1000000 + a AS x, image_id * 1000000 + b AS y FROM e UNION SELECT image_id * 1000000 + b, image_id * 1000000 + a FROM e),
+t(x, o) AS (SELECT DISTINCT x, x FROM u UNION SELECT u.y, t.o FROM t JOIN u ON u.x = t.x),
+c AS (SELECT x, min(o) AS cluster FROM t GROUP BY x), n AS (SELECT d.*, coalesce(c.cluster, d.image_id * 1000000 + d.det_id) AS cluster FROM detections d LEFT JOIN c ON c.x = d.image_id * 1000000 + d.det_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY confidence DESC, det_id) AS k FROM n)
+SELECT image_id, CAST(det_id AS BIGINT) AS det_id, CAST(cluster % 1000000 AS BIGINT) AS cluster FROM r WHERE k = 1""").replace("WITH ", "WITH RECURSIVE ", 1))
 def g2_clusters(spark, sf):
-    """Images' boxes that overlap no other one; each is a cluster of its own."""
-    d = table(spark, sf, "detections")
-    pairs = detections.overlapping_boxes(d, 0.3)
-    best = detections.cluster_best(d, 0.3)
-    touched = pairs.select("image_id", F.col("det_id_a").alias("det_id")).unionByName(pairs.select("image_id", F.col("det_id_b").alias("det_id")))
-    return best.join(touched, ["image_id", "det_id"], "left_anti").groupBy("image_id").agg(F.count("*").alias("singles"))
+    """Every cluster with its most confident box."""
+    best = detections.cluster_best(table(spark, sf, "detections"), 0.3)
+    return best.select("image_id", F.col("det_id").cast("long").alias("det_id"), F.col("cluster").cast("long").alias("cluster"))
+
+
+_BOX = "greatest(least(o.cx + o.w / 2, r.cx + r.w / 2) - greatest(o.cx - o.w / 2, r.cx - r.w / 2), 0) * greatest(least(o.cy + o.h / 2, r.cy + r.h / 2) - greatest(o.cy - o.h / 2, r.cy - r.h / 2), 0)"
 
 
-@query("g3_suppression")
+@query("g3_suppression", with_tables("detections", f"""r AS (SELECT image_id, det_id, cx, cy, w, h, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, det_id) AS k FROM detections),
+g(image_id, k, kept) AS (SELECT DISTINCT image_id, CAST(0 AS BIGINT), list_filter([{{'det_id': det_id, 'cx': cx, 'cy': cy, 'w': w, 'h': h}}], lambda x: false) FROM r
+ UNION ALL SELECT g.image_id, g.k + 1, CASE WHEN len(list_filter(g.kept, lambda o: {_BOX} > 0.45 * (o.w * o.h + r.w * r.h - {_BOX}))) = 0
+  THEN list_append(g.kept, {{'det_id': r.det_id, 'cx': r.cx, 'cy': r.cy, 'w': r.w, 'h': r.h}}) ELSE g.kept END FROM g JOIN r ON r.image_id = g.image_id AND r.k = g.k + 1)
+SELECT image_id, CAST(unnest(kept).det_id AS BIGINT) AS det_id FROM (SELECT image_id, arg_max(kept, k) AS kept FROM g GROUP BY 1)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def g3_suppression(spark, sf):
-    return detections.suppress(table(spark, sf, "detections")).select("image_id", "det_id", "confidence")
+    return detections.suppress(table(spark, sf, "detections")).select("image_id", F.col("det_id").cast("long").alias("det_id"))
 
 
 @query("a32_detection_buckets", with_tables("detections", "c AS (SELECT image_id, count(*) AS n FROM detections GROUP BY 1) SELECT CASE WHEN n >= 100 THEN '100 and more' WHEN n >= 20 THEN '20 to 99' ELSE 'below 20' END AS bucket, count(*) AS images, CAST(sum(n) AS BIGINT) AS detections FROM c GROUP BY 1"))
@@ -230,10 +248,10 @@ def f6_crater_class(spark, sf):
 
 
 def _nodes(spark, sf):
-    return table(spark, sf, "detections").where("det_id <= 60").select("image_id", F.col("det_id").cast("long").alias("det_id"), "cx", "cy", (F.col("w") / 2).alias("radius_px"), "confidence", F.lit(1000.0).alias("width"), F.lit(800.0).alias("height"))
+    return table(spark, sf, "detections").select("image_id", F.col("det_id").cast("long").alias("det_id"), "cx", "cy", (F.col("w") / 2).alias("radius_px"), "confidence", F.lit(1000.0).alias("width"), F.lit(800.0).alias("height"))
 
 
-@query("j14_neighbour_edges", with_tables("detections", """n AS (SELECT image_id, det_id, cx, cy, w / 2 AS r FROM detections WHERE det_id <= 60),
+@query("j14_neighbour_edges", with_tables("detections", """n AS (SELECT image_id, det_id, cx, cy, w / 2 AS r FROM detections),
 p AS (SELECT a.image_id, a.det_id AS a, b.det_id AS b, sqrt(pow(b.cx - a.cx, 2) + pow(b.cy - a.cy, 2)) AS d, b.r / greatest(a.r, 1e-6) AS rr FROM n a JOIN n b ON a.image_id = b.image_id AND a.det_id <> b.det_id),
 q AS (SELECT *, row_number() OVER (PARTITION BY image_id, a ORDER BY d, b) AS k FROM p) SELECT image_id, a, b, round(d / sqrt(1640000), 8) AS dist_norm, round(rr, 6) AS radius_ratio FROM q WHERE k <= 6"""))
 def j14_neighbour_edges(spark, sf):
@@ -241,7 +259,7 @@ def j14_neighbour_edges(spark, sf):
     return e.select("image_id", F.col("det_id_a").alias("a"), F.col("det_id_b").alias("b"), F.round("dist_norm", 8).alias("dist_norm"), F.round("radius_ratio", 6).alias("radius_ratio"))
 
 
-@query("g5_node_features", with_tables("detections", "SELECT image_id, det_id, round(cx / 1000, 6) AS x, round(w / 2 / sqrt(800000), 6) AS r FROM detections WHERE det_id <= 60"))
+@query("g5_node_features", with_tables("detections", "SELECT image_id, det_id, round(cx / 1000, 6) AS x, round(w / 2 / sqrt(800000), 6) AS r FROM detections"))
 def g5_node_features(spark, sf):
     return detections.node_features(_nodes(spark, sf)).select("image_id", "det_id", F.round("x", 6).alias("x"), F.round("r", 6).alias("r"))
 
@@ -257,29 +275,37 @@ def a34_affine_fit(spark, sf):
 
 @query("a35_robust_fit")
 def a35_robust_fit(spark, sf):
-    return fitting.fit_robust(table(spark, sf, "match_points"), 3.0, 60).select("run_id", "inliers", "total", F.round(F.col("h")[0], 3).alias("h00"))
+    return fitting.fit_robust(table(spark, sf, "match_points")).select("run_id", "inliers", "total", F.round(F.col("h")[0], 3).alias("h00"))
 
 
 # sweeps
 
 
-@query("p1_plan", "SELECT s_suppkey AS source_id, CAST(CASE WHEN s_suppkey % 3 < 2 THEN 36 ELSE 10 END AS BIGINT) AS n FROM supplier")
+_PLAN = """grid AS (SELECT 'sun_only' AS category, d AS sun_delta, 1.0::DOUBLE AS scale, 0 AS rotation_deg FROM (SELECT unnest([0, 15, 30, 45]) AS d)
+ UNION ALL SELECT 'scale_only', 0, s, 0 FROM (SELECT unnest([0.5, 0.7, 1.0, 1.5, 2.0]::DOUBLE[]) AS s) UNION ALL SELECT 'rotation_only', 0, 1.0, r FROM (SELECT unnest([0, 15, 30, 45, 90]) AS r)),
+hard AS (SELECT 'compound_hard' AS category, x[1]::INTEGER AS sun_delta, x[2]::DOUBLE AS scale, x[3]::INTEGER AS rotation_deg FROM (SELECT unnest([[30, 1.5, 30], [45, 2, 45]]) AS x)
+ UNION ALL SELECT 'compound_grid', d, s, 30 FROM (SELECT unnest([0, 15, 30, 45]) AS d), (SELECT unnest([0.5, 0.7, 1.0, 1.5, 2.0]::DOUBLE[]) AS s)),
+live AS (SELECT 'compound' AS category, x[1]::INTEGER AS sun_delta, x[2]::DOUBLE AS scale, x[3]::INTEGER AS rotation_deg FROM (SELECT unnest([[0, 1, 30], [15, 1.5, 30], [30, 0.7, 30], [45, 2, 30]]) AS x))"""
+
+
+@query("p1_plan", f"WITH {_PLAN} SELECT s_suppkey AS source_id, category, sun_delta, scale, rotation_deg FROM supplier, (SELECT * FROM grid UNION ALL SELECT * FROM hard) WHERE s_suppkey % 3 < 2 OR category IN ('scale_only', 'rotation_only')")
 def p1_plan(spark, sf):
     s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("source_id"), (F.col("s_suppkey") % 3 < 2).alias("has_sun"))
-    return sweep.plan(s).groupBy("source_id").agg(F.count("*").alias("n"))
+    return sweep.plan(s).select("source_id", "category", "sun_delta", "scale", "rotation_deg")
 
 
-@query("p2_p3_identity", "SELECT s_suppkey AS source_id, CAST(3 AS BIGINT) AS identities, CAST(15 AS BIGINT) AS to_run FROM supplier")
+@query("p2_p3_identity", f"WITH {_PLAN} SELECT s_suppkey AS source_id, category, sun_delta, scale, rotation_deg, CASE WHEN sun_delta = 0 AND scale = 1 AND rotation_deg = 0 THEN 'identity' ELSE 'run' END AS status, CAST(greatest(2, s_suppkey % 60 - sun_delta) AS DOUBLE) AS elevation FROM supplier, (SELECT * FROM grid UNION ALL SELECT * FROM live)")
 def p2_p3_identity(spark, sf):
     s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("source_id"), F.lit(True).alias("has_sun"))
     known, rest = sweep.identity_records(sweep.plan(s, live=True))
-    return known.groupBy("source_id").agg(F.count("*").alias("identities")).join(rest.groupBy("source_id").agg(F.count("*").alias("to_run")), "source_id")
+    both = known.unionByName(rest.withColumn("status", F.lit("run")), allowMissingColumns=True).withColumn("el", (F.col("source_id") % 60).cast("double"))
+    return both.select("source_id", "category", "sun_delta", "scale", "rotation_deg", "status", sweep.new_elevation("el", "sun_delta").alias("elevation"))
 
 
-@query("p7_relight", "SELECT s_suppkey AS source_id, CAST(11 AS BIGINT) AS n, CAST(-220 AS BIGINT) AS total_elevation FROM supplier")
+@query("p7_relight", "SELECT s_suppkey AS source_id, x[1]::INTEGER AS elevation_delta, x[2]::INTEGER AS azimuth_delta FROM supplier, (SELECT unnest([[-10, 0], [-15, 0], [-20, 0], [-25, 0], [-30, 0], [-35, 0], [-40, 0], [-45, 0], [0, 45], [0, 90], [0, 135]]) AS x)")
 def p7_relight(spark, sf):
     s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("source_id"))
-    return sweep.relight_plan(s).groupBy("source_id").agg(F.count("*").alias("n"), F.sum("elevation_delta").alias("total_elevation"))
+    return sweep.relight_plan(s).select("source_id", "elevation_delta", "azimuth_delta")
 
 
 @query("a15_pass_rates", with_tables("sweep_results", "SELECT category, x, round(avg(CASE WHEN validated THEN 100.0 ELSE 0 END::DOUBLE), 6) AS pass_rate, round(avg(err_m), 6) AS mean_err, count(*) AS n FROM sweep_results GROUP BY 1, 2"))

@@ -123,10 +123,11 @@ def j10_alignment(spark, sf):
     return raster.alignment(p, p.where("col < 90")).withColumnRenamed("both", "both_")
 
 
-@query("r5_grid_compatible", with_tables("footprints", "SELECT product_id AS raster_id, true AS resolution, product_id % 2 = 0 AS shape FROM footprints"))
+@query("r5_grid_compatible", with_tables("footprints", "SELECT product_id AS raster_id, true AS resolution, product_id % 2 = 0 AS shape, product_id % 3 = 0 AS origin, product_id % 6 = 0 AS compatible FROM footprints"))
 def r5_grid_compatible(spark, sf):
     f = table(spark, sf, "footprints").select(F.col("product_id").alias("raster_id"), F.lit(10).alias("height"), F.lit(20).alias("width"), F.lit(0.5).alias("res_x"), F.lit(0.5).alias("res_y"), F.col("lon0").alias("x0"), F.col("lat0").alias("y0"))
-    return raster.grid_compatible(f, f.withColumn("height", F.col("height") + F.col("raster_id") % 2)).select("raster_id", "resolution", "shape")
+    other = f.withColumn("height", F.col("height") + F.col("raster_id") % 2).withColumn("x0", F.col("x0") + F.col("raster_id") % 3)
+    return raster.grid_compatible(f, other).select("raster_id", "resolution", "shape", "origin", "compatible")
 
 
 @query("r6_hillshade", with_tables("pixels", f"""g AS (SELECT raster_id, "row", col, ({_GX}) / 100 AS gx, ({_GX.replace("OVER x", "OVER y")}) / 100 AS gy FROM pixels {_WIN})
@@ -135,24 +136,32 @@ def r6_hillshade(spark, sf):
     return raster.hillshade(_pixels(spark, sf), 30.0, 135.0, 100.0).select("raster_id", "row", "col", F.round("shade", 6).alias("shade"))
 
 
-@query("j11_resample", with_tables("pixels", """g AS (SELECT i AS r, j AS c, (i + 0.5::DOUBLE) * 2 - 0.5 AS y, (j + 0.5::DOUBLE) * 2 - 0.5 AS x FROM range(0, 10) a(i), range(0, 50) b(j))
-SELECT CAST(0 AS BIGINT) AS raster_id, r AS "row", c AS col, round(avg(value) + 1e-9, 6) AS value FROM g JOIN pixels p ON p."row" IN (floor(y), floor(y) + 1) AND p.col IN (floor(x), floor(x) + 1) GROUP BY 1, 2, 3"""))
+def _height(p):
+    return p.agg(F.max("row")).first()[0] + 1
+
+
+@query("j11_resample", with_tables("pixels", """h AS (SELECT max("row") + 1 AS h FROM pixels), g AS (SELECT i AS r, j AS c, (i + 0.5::DOUBLE) * 2 - 0.5 AS y, (j + 0.5::DOUBLE) * 2 - 0.5 AS x FROM h, range(0, 10000000) a(i), range(0, 50) b(j) WHERE i < h // 2),
+t AS (SELECT r, c, unnest([floor(y), floor(y) + 1]) AS ty, x FROM g), u AS (SELECT r, c, CAST(ty AS BIGINT) AS ty, CAST(unnest([floor(x), floor(x) + 1]) AS BIGINT) AS tx FROM t)
+SELECT CAST(0 AS BIGINT) AS raster_id, r AS "row", c AS col, round(avg(value) + 1e-9, 6) AS value FROM u JOIN pixels p ON p."row" = ty AND p.col = tx GROUP BY 1, 2, 3""".replace("range(0, 10000000) a(i)", 'range(0, (SELECT max(event_id) // 100 + 1 FROM events)) a(i)')))
 def j11_resample(spark, sf):
-    return raster.resample(_pixels(spark, sf), 2.0, 2.0, 10, 50).select("raster_id", "row", "col", F.round(F.col("value") + 1e-9, 6).alias("value"))
+    p = _pixels(spark, sf)
+    return raster.resample(p, 2.0, 2.0, _height(p) // 2, 50).select("raster_id", "row", "col", F.round(F.col("value") + 1e-9, 6).alias("value"))
 
 
-@query("r7_warp", with_tables("pixels", 'h AS (SELECT max("row") AS last FROM pixels) SELECT a.raster_id, a."row", a.col, round(coalesce(b.value, 0), 6) AS value, b.value IS NOT NULL AS valid FROM (SELECT * FROM pixels WHERE "row" < 10) a LEFT JOIN pixels b ON b."row" = a."row" + 3 AND b.col = a.col - 5'))
+@query("r7_warp", with_tables("pixels", 'h AS (SELECT max("row") + 1 AS h FROM pixels), g AS (SELECT i AS "row", j AS col FROM h, range(0, (SELECT max(event_id) // 100 + 1 FROM events)) a(i), range(0, 100) b(j)) SELECT CAST(0 AS BIGINT) AS raster_id, a."row", a.col, round(coalesce(b.value, 0), 6) AS value, b.value IS NOT NULL AS valid FROM g a LEFT JOIN pixels b ON b."row" = a."row" + 3 AND b.col = a.col - 5'))
 def r7_warp(spark, sf):
     p = _pixels(spark, sf)
     h = p.select("raster_id").distinct().withColumn("h", F.array(*[F.lit(float(x)) for x in (1, 0, 5, 0, 1, -3, 0, 0, 1)]))
-    return raster.warp(p, h, 10, 100).select("raster_id", "row", "col", F.round("value", 6).alias("value"), "valid")
+    return raster.warp(p, h, _height(p), 100).select("raster_id", "row", "col", F.round("value", 6).alias("value"), "valid")
 
 
-@query("j15_dem_sampling", with_tables("pixels", """q AS (SELECT "row" * 100 + col AS point_id, col + 0.25::DOUBLE AS x, "row" + 0.5::DOUBLE AS y FROM pixels WHERE "row" < 10 AND col < 99)
-SELECT point_id, round(sum(CASE WHEN p.col = floor(x) THEN 0.75 ELSE 0.25 END * 0.5 * value) + 1e-9, 6) AS value FROM q JOIN pixels p ON p."row" IN (floor(y), floor(y) + 1) AND p.col IN (floor(x), floor(x) + 1) GROUP BY 1"""))
+@query("j15_dem_sampling", with_tables("pixels", """q AS (SELECT "row" * 100 + col AS point_id, col + 0.25::DOUBLE AS x, "row" + 0.5::DOUBLE AS y FROM pixels),
+t AS (SELECT point_id, x, unnest([floor(y), floor(y) + 1]) AS ty FROM q), u AS (SELECT point_id, x, CAST(ty AS BIGINT) AS ty, CAST(unnest([floor(x), floor(x) + 1]) AS BIGINT) AS tx FROM t),
+s AS (SELECT point_id, sum(CASE WHEN tx = floor(x) THEN 0.75 ELSE 0.25 END * 0.5 * value) AS v, count(value) AS n FROM u LEFT JOIN pixels p ON p."row" = ty AND p.col = tx GROUP BY 1)
+SELECT point_id, CASE WHEN n = 4 THEN round(v + 1e-9, 6) END AS value FROM s"""))
 def j15_dem_sampling(spark, sf):
     p = _pixels(spark, sf)
-    pts = p.where("row < 10 and col < 99").select((F.col("row") * 100 + F.col("col")).alias("point_id"), "raster_id", (F.col("col") + 0.25).alias("x"), (F.col("row") + 0.5).alias("y"))
+    pts = p.select((F.col("row") * 100 + F.col("col")).alias("point_id"), "raster_id", (F.col("col") + 0.25).alias("x"), (F.col("row") + 0.5).alias("y"))
     return raster.sample_bilinear(pts, p).select("point_id", F.round(F.col("value") + 1e-9, 6).alias("value"))
 
 
@@ -203,22 +212,47 @@ def r8_regions(spark, sf):
     return raster.regions(m, least=3, top=1_000_000).select("area", "row0", "row1", "col0", "col1")
 
 
-@query("r2_flat_field")
+_FLAT = """h AS (SELECT max("row") + 1 AS h FROM pixels), k AS (SELECT greatest(3.0, 0.06 * least(h, 100)) / 4 AS sigma, CAST(ceil(3 * greatest(3.0, 0.06 * least(h, 100)) / 4) AS BIGINT) AS reach, (h + 3) // 4 AS nh FROM h),
+low AS (SELECT "row" // 4 AS r, col // 4 AS c, avg(value) AS v FROM pixels GROUP BY 1, 2),
+g1 AS (SELECT a.r, a.c, sum(b.v * exp(-pow(b.r - a.r, 2) / (2 * sigma * sigma))) / sum(exp(-pow(b.r - a.r, 2) / (2 * sigma * sigma))) AS v FROM low a, k, low b WHERE b.c = a.c AND b.r BETWEEN a.r - reach AND a.r + reach GROUP BY 1, 2),
+g2 AS (SELECT a.r, a.c, sum(b.v * exp(-pow(b.c - a.c, 2) / (2 * sigma * sigma))) / sum(exp(-pow(b.c - a.c, 2) / (2 * sigma * sigma))) AS v FROM g1 a, k, g1 b WHERE b.r = a.r AND b.c BETWEEN a.c - reach AND a.c + reach GROUP BY 1, 2),
+q AS (SELECT "row", col, value, greatest(0, least((col + 0.5) / 4 - 0.5, 24)) AS x, greatest(0, least(("row" + 0.5) / 4 - 0.5, nh - 1)) AS y FROM pixels, k),
+t AS (SELECT "row", col, value, x, y, CAST(unnest([floor(y), floor(y) + 1]) AS BIGINT) AS ty FROM q), u AS (SELECT *, CAST(unnest([floor(x), floor(x) + 1]) AS BIGINT) AS tx FROM t),
+s AS (SELECT "row", col, any_value(value) AS value, sum((1 - abs(ty - y)) * (1 - abs(tx - x)) * g2.v) AS low FROM u JOIN g2 ON g2.r = ty AND g2.c = tx GROUP BY 1, 2)"""
+
+
+@query("r2_flat_field", with_tables("pixels", f'{_FLAT} SELECT "row", col, round(greatest(0, least(value - low + 128, 255)) + 1e-9, 4) AS value FROM s'))
 def r2_flat_field(spark, sf):
     p = _pixels(spark, sf)
-    h = p.agg(F.max("row")).first()[0] + 1
-    return raster.flat_field(p, h, 100).select("row", "col", F.round("value", 4).alias("value"))
+    return raster.flat_field(p, _height(p), 100).select("row", "col", F.round(F.col("value") + 1e-9, 4).alias("value"))
 
 
-@query("r3_tile_equalise")
+_TILES = """h AS (SELECT (max("row") + 1) / 4.0::DOUBLE AS th, 25.0::DOUBLE AS tw FROM pixels),
+p AS (SELECT "row", col, CAST(greatest(0, least(floor(value), 255)) AS INTEGER) AS dn, th, tw, least(CAST(floor("row" / th) AS BIGINT), 3) AS ty, least(CAST(floor(col / tw) AS BIGINT), 3) AS tx FROM pixels, h),
+n AS (SELECT ty, tx, dn, count(*) AS n FROM p GROUP BY 1, 2, 3), t AS (SELECT ty, tx, sum(n) AS total FROM n GROUP BY 1, 2),
+b AS (SELECT t.ty, t.tx, CAST(d AS INTEGER) AS dn, total, greatest(1.0, 2.0 * total / 256) AS lim, coalesce(n.n, 0) AS n FROM t CROSS JOIN range(0, 256) r(d) LEFT JOIN n ON n.ty = t.ty AND n.tx = t.tx AND n.dn = d),
+e AS (SELECT ty, tx, sum(greatest(n - lim, 0)) / 256 AS extra FROM b GROUP BY 1, 2),
+lut AS (SELECT b.ty, b.tx, dn, sum(least(n, lim) + extra) OVER (PARTITION BY b.ty, b.tx ORDER BY dn ROWS UNBOUNDED PRECEDING) / total * 255 AS o FROM b JOIN e ON e.ty = b.ty AND e.tx = b.tx),
+f AS (SELECT "row", col, dn, ("row" + 0.5) / th - 0.5 AS fy, (col + 0.5) / tw - 0.5 AS fx FROM p),
+u AS (SELECT "row", col, dn, greatest(0, least(CAST(floor(fy) AS BIGINT) + i, 3)) AS ty, greatest(0, least(CAST(floor(fx) AS BIGINT) + j, 3)) AS tx,
+ (CASE WHEN i = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) * (CASE WHEN j = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) AS w FROM f, range(0, 2) a(i), range(0, 2) c(j))"""
+
+
+@query("r3_tile_equalise", with_tables("pixels", f'{_TILES} SELECT "row", col, round(sum(w * o) + 1e-9, 4) AS value FROM u JOIN lut ON lut.ty = u.ty AND lut.tx = u.tx AND lut.dn = u.dn GROUP BY 1, 2'))
 def r3_tile_equalise(spark, sf):
     p = _pixels(spark, sf)
-    h = p.agg(F.max("row")).first()[0] + 1
-    return raster.tile_equalise(p, h, 100, 4).select("row", "col", F.round("value", 4).alias("value"))
+    return raster.tile_equalise(p, _height(p), 100, 4).select("row", "col", F.round(F.col("value") + 1e-9, 4).alias("value"))
+
+
+_RIM = f"""g AS (SELECT "row", col, {_GX} AS gx, {_GX.replace("OVER x", "OVER y")} AS gy FROM pixels {_WIN}),
+n AS (SELECT image_id * 100000 + det_id AS det_id, cx / 10 AS cx, cy / 10 AS cy, w / 10 + 3 AS r FROM detections),
+a AS (SELECT det_id, i, CAST(round_even(cy + r * sin(i * 2 * pi() / 32), 0) AS BIGINT) AS pr, CAST(round_even(cx + r * cos(i * 2 * pi() / 32), 0) AS BIGINT) AS pc FROM n, range(0, 32) t(i)),
+s AS (SELECT det_id, CAST(floor((atan2(gy, gx) + pi()) / (2 * pi()) * 8) AS BIGINT) % 8 AS b, sum(sqrt(gx * gx + gy * gy)) AS m FROM a JOIN g ON g."row" = pr AND g.col = pc GROUP BY 1, 2),
+t AS (SELECT det_id, sum(m) AS total FROM s GROUP BY 1)"""
 
 
-@query("j16_rim_texture")
+@query("j16_rim_texture", with_tables("pixels detections", f"{_RIM} SELECT t.det_id, CAST(k AS INTEGER) AS bin, round(CASE WHEN total > 0 THEN coalesce(m, 0) / total ELSE 0 END, 6) AS share FROM t CROSS JOIN range(0, 8) r(k) LEFT JOIN s ON s.det_id = t.det_id AND s.b = k"))
 def j16_rim_texture(spark, sf):
     g = raster.gradients(_pixels(spark, sf)).withColumnRenamed("raster_id", "image_id")
     n = table(spark, sf, "detections").select(F.lit(0).cast("long").alias("image_id"), (F.col("image_id") * 100_000 + F.col("det_id")).alias("det_id"), (F.col("cx") / 10).alias("cx"), (F.col("cy") / 10).alias("cy"), (F.col("w") / 10 + 3).alias("radius_px"))
-    return detections.rim_texture(n, g).select("det_id", F.transform("texture", lambda x: F.round(x, 6)).alias("texture"))
+    return detections.rim_texture(n, g).select("det_id", F.posexplode("texture").alias("bin", "share")).select("det_id", "bin", F.round("share", 6).alias("share"))
