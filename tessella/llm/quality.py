@@ -66,19 +66,24 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 6, rate: float = 0.
     if not texts or len(set(labels)) < 2:
         return np.zeros(1 << BITS, np.float32), 4.0 if not labels or labels[0] == 1 else -4.0
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
+    vectors = (rng.random((1 << BITS, DIM), np.float32) * 2 - 1) / DIM
     layer, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    docs = []
+    # all documents' features in two arrays that grow: 8 bytes a different feature of a document
+    ids, weights, ends = np.empty(1 << 20, np.int32), np.empty(1 << 20, np.float32), [0]
     for t in texts:
         _, b = features([t])
-        ids, n = np.unique(b, return_counts=True)
-        docs.append((ids, (n / max(1, n.sum())).astype(np.float32)))
-    y, steps, step = np.eye(2, dtype=np.float32)[labels], epochs * len(docs), 0
+        own, n = np.unique(b, return_counts=True)
+        a, z = ends[-1], ends[-1] + len(own)
+        if z > len(ids):
+            ids, weights = (np.concatenate([x[:a], np.empty(z, x.dtype)]) for x in (ids, weights))
+        ids[a:z], weights[a:z] = own, n / max(1, n.sum())
+        ends.append(z)
+    y, steps, step = np.eye(2, dtype=np.float32)[labels], epochs * len(texts), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(docs)):
+        for i in rng.permutation(len(texts)):
             lr = rate * (1 - step / steps)
-            ids, w = docs[i]
-            hidden = w @ vectors[ids]
+            at, w = ids[ends[i] : ends[i + 1]], weights[ends[i] : ends[i + 1]]
+            hidden = w @ vectors[at]
             z = hidden @ layer + bias
             p = np.exp(z - z.max())
             grad = p / p.sum() - y[i]
@@ -86,7 +91,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 6, rate: float = 0.
             layer -= lr * np.outer(hidden, grad)
             bias -= lr * 0.1 * grad
             # a mean over many features moves each one little: scaled by the document's spread
-            vectors[ids] -= (lr * 20) * w[:, None] * back[None, :]
+            vectors[at] -= (lr * 20) * w[:, None] * back[None, :]
             step += 1
     lean = layer[:, 1] - layer[:, 0]
     return (vectors @ lean).astype(np.float32), float(bias[1] - bias[0])
@@ -102,7 +107,7 @@ def score_texts(texts: list[bytes | None], table: np.ndarray, bias: float, block
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 4000, sample_bytes: int = 48_000_000):
+def training_sample(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 4000, sample_bytes: int = 24_000_000):
     """About ``sample`` labelled documents outside the held-out fifth, dealt by a hash of the id, in order of another hash, up
     to ``sample_bytes`` of text together. Both bounds are kept before any text leaves the executors, at any size of the
     corpus. Null ids and texts, and labels other than 0 and 1, are not learned from; of several labels of an id the larger counts."""
