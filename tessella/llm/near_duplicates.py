@@ -225,10 +225,12 @@ def near_duplicate_groups(docs: DataFrame, k: int = 3, percent: int = 85, doc_id
     enough = f"1 + least(m - r, m_2 - r_2) >= (m + m_2 - {share!r} * (n + n_2)) / 2 - 1e-9"
     sized = f"100 * least(n, n_2) >= {percent} * greatest(n, n_2)"
     dense = pre.hint("merge").join(other, ["hub", "x"]).where("rep > rep_2 and comp <> comp_2 and " + sized + " and " + enough).select("rep", "rep_2")
-    # all other pairs of a bucket
+    # all other pairs of a bucket, each in the first bucket that both have
     mine = apart.join(diffs.where("not far").select("rep", "hub").hint("merge"), "rep", "left").withColumn("hub", F.coalesce("hub", -F.col("rep") - 1))
-    other = mine.select("band", *[F.col(c).alias(f"{c}_2") for c in ("rep", "n", "comp", "hub", *words)])
-    rest = mine.hint("merge").join(other, "band").where("rep > rep_2 and comp <> comp_2 and hub <> hub_2 and " + near("{}", "{}_2"))
+    mine = mine.join(classes.select("rep", "bands").hint("merge"), "rep")
+    other = mine.select("band", *[F.col(c).alias(f"{c}_2") for c in ("rep", "n", "comp", "hub", "bands", *words)])
+    once = "case when " + near("{}", "{}_2") + " then band = array_min(array_intersect(bands, bands_2)) else false end"
+    rest = mine.hint("merge").join(other, "band").where("rep > rep_2 and comp <> comp_2 and hub <> hub_2 and " + once)
     last = rest.select("rep", "rep_2").unionByName(dense)
     links = links.unionByName(confirm(last.select(F.col("rep").alias("u"), F.col("rep_2").alias("v"))))
     # copies of a class hang on its representative
