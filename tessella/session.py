@@ -33,13 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Writes a table to the shared folder and reads it back: it cuts lineage, survives lost executors, and gives later joins true
-    sizes. It goes with the session at the latest."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """Path of a new folder in the shared one; it goes with the session at the latest."""
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """Writes a table to the shared folder and reads it back: it cuts lineage, survives lost executors, and gives later joins true
+    sizes."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -19,8 +19,11 @@ def _texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pds4_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Times, geometry, array shape and file name of XML labels."""
-    t = _texts(spark, path)
+    return pds4_fields(_texts(spark, path))
+
+
+def pds4_fields(t: DataFrame) -> DataFrame:
+    """Times, geometry, array shape and file name of XML labels ``(path, value)``."""
     x = lambda name: F.nullif(F.trim(F.xpath_string("value", F.lit(f"//*[local-name()='{name}']"))), F.lit(""))
     num = lambda name: x(name).try_cast("double")
     axis = lambda name: F.xpath_string("value", F.lit(f"//*[local-name()='Axis_Array'][*[local-name()='axis_name']='{name}']/*[local-name()='elements']")).try_cast("int")
@@ -35,10 +38,14 @@ def pds4_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pds3_labels(spark: SparkSession, path: str, head: int = 65_536) -> DataFrame:
-    """Keyword labels, attached or detached. The image pointer may be a record number, a byte offset, or a file with either; it becomes a byte offset."""
+    """Keyword labels, attached or detached, from the first ``head`` bytes of the files."""
     b = spark.read.format("binaryFile").load(path)
-    t = b.select(F.col("path"), F.decode(F.substring("content", 1, head), "ISO-8859-1").alias("v"))
-    key = lambda k: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("v", rf"(?m)^\s*{k}\s*=\s*([^\r\n]+)", 1), '"', "")), F.lit(""))
+    return pds3_fields(b.select("path", F.decode(F.substring("content", 1, head), "ISO-8859-1").alias("value")))
+
+
+def pds3_fields(t: DataFrame) -> DataFrame:
+    """Fields of keyword labels ``(path, value)``. The image pointer may be a record number, a byte offset, or a file with either; it becomes a byte offset."""
+    key = lambda k: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("value", rf"(?m)^\s*{k}\s*=\s*([^\r\n]+)", 1), '"', "")), F.lit(""))
     num = lambda k: F.regexp_extract(key(k), r"([-+]?[0-9.]+)", 1).try_cast("double")
     t = t.withColumn("pointer", key(r"\^IMAGE")).withColumn("rec", num("RECORD_BYTES").cast("long"))
     file = F.nullif(F.regexp_extract("pointer", r"\(?\s*([A-Za-z][^,)\s]*)", 1), F.lit(""))
@@ -54,8 +61,11 @@ def pds3_labels(spark: SparkSession, path: str, head: int = 65_536) -> DataFrame
 
 
 def footprint_kml(spark: SparkSession, path: str) -> DataFrame:
-    """Ring and centre of footprint files; longitudes as 0-360."""
-    t = _texts(spark, path)
+    return footprint_rings(_texts(spark, path))
+
+
+def footprint_rings(t: DataFrame) -> DataFrame:
+    """Ring and centre of footprint texts ``(path, value)``; longitudes as 0-360."""
     coords = lambda where: F.split(F.trim(F.xpath_string("value", F.lit(where))), r"\s+")
     point = lambda c: F.struct(F.split(c, ",")[1].cast("double").alias("lat"), lon360(F.split(c, ",")[0].cast("double")).alias("lon"))
     ring, centre = coords("//*[local-name()='LinearRing']/*[local-name()='coordinates']"), coords("//*[local-name()='Point']/*[local-name()='coordinates']")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def write_match_points(points: DataFrame, path: str, form: str = "csv") -> None:
-    """One folder a run, as CSV with a header or as JSON lines."""
-    w = points.write.partitionBy("run_id")
+    """One folder a run, as CSV with a header or as JSON lines. Rows are dealt by run first, so a run has few files; a large run is split."""
+    w = points.hint("rebalance", "run_id").write.partitionBy("run_id")
     w.option("header", "true").csv(path) if form == "csv" else w.json(path)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessella.functions.scoring import finite
+from tessella.session import new_folder
 from tessella.sources.labels import telemetry
 
 SCORED = "id long, sensor_type string, rmse double, n_prior long, baseline_mean double, baseline_std double, anomalous boolean"
@@ -64,3 +65,16 @@ def results_stream(spark, path: str, schema: str) -> DataFrame:
 def enrich_stream(runs: DataFrame, products: DataFrame) -> DataFrame:
     """Stream of runs with the static product catalog; runs of unknown products stay."""
     return runs.join(products, "product_id", "left")
+
+
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that its source holds now and gives the rows it wrote: those of every trigger in append mode, those
+    of the last one in complete mode. State and rows are in the shared folder."""
+    at = new_folder(stream.sparkSession)
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    if mode == "append":
+        w = w.format("parquet").option("path", f"{at}/rows")
+    else:
+        w = w.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/rows"))
+    w.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
