@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scoring import finite, next_steps, verdict
+from tessella.session import discard, materialize
 
 
 def sensor_baseline(runs: DataFrame) -> DataFrame:
@@ -100,7 +101,8 @@ def enrich_with_products(runs: DataFrame, products: DataFrame, broadcast_rows: i
 
 
 def append_runs(new: DataFrame, path: str) -> None:
-    """Appends runs, numbered after the largest id so far, to a table partitioned by sensor."""
+    """Appends runs, numbered by sensor, time and path after the largest id so far, to a table partitioned by sensor. One writer at a time:
+    two at once would give the same numbers."""
     spark = new.sparkSession
     try:
         top = spark.read.option("mergeSchema", "true").parquet(path).agg(F.max("id")).first()[0] or 0
@@ -108,12 +110,14 @@ def append_runs(new: DataFrame, path: str) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         top = 0
-    order = Window.partitionBy("sensor_type").orderBy("ts", "src_path")
-    counts = new.groupBy("sensor_type").count()
-    start = F.coalesce(F.sum("count").over(Window.orderBy("sensor_type").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("sensor_type", start.alias("start"))  # a row a sensor
-    numbered = new.withColumn("r", F.row_number().over(order)).join(starts, "sensor_type").withColumn("id", F.col("start") + F.col("r") + top)
-    numbered.drop("r", "start").write.mode("append").partitionBy("sensor_type").parquet(path)
+    # sorted rows get a partition and a place in it; the row counts of earlier partitions make that a number
+    rows = materialize(new.drop("id").orderBy("sensor_type", "ts", "src_path").withColumn("__m", F.monotonically_increasing_id()))
+    placed = rows.withColumn("__p", F.shiftright("__m", 33))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("__p").agg(F.count("*").alias("__c")).select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"))
+    numbered = placed.join(starts.hint("merge"), "__p").withColumn("id", F.col("__s") + F.col("__m").bitwiseAND((1 << 33) - 1) + 1 + top)
+    numbered.drop("__p", "__m", "__s").write.mode("append").partitionBy("sensor_type").parquet(path)
+    discard(rows)
 
 
 def read_history(spark, path: str) -> DataFrame:

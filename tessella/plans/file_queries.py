@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.operators import history
 from tessella.plans.catalog_queries import _FLAGGED, _even
 from tessella.plans.fixtures import table, with_tables
 from tessella.plans.registry import query
@@ -119,6 +120,36 @@ def s12_run_documents(spark, sf):
     return d.select("run_id", get("sensor_type").alias("sensor_type"), get("matches.inlier_ratio").cast("double").alias("inlier_ratio"), get("src_path").alias("src_path"))
 
 
+@query("s13_s17_history", with_tables("runs", """SELECT row_number() OVER (ORDER BY id % 2, sensor_type, ts, src_path) AS id, sensor_type, CASE WHEN id % 2 = 1 THEN 7 END AS extra FROM runs"""))
+def s13_s17_history(spark, sf):
+    """Runs of even id come first, those of odd id later and with one column more."""
+    at = new_folder(spark)
+    runs = table(spark, sf, "runs").select("id", "ts", "sensor_type", "src_path")
+    history.append_runs(runs.where("id % 2 = 0"), at)
+    history.append_runs(runs.where("id % 2 = 1").withColumn("extra", F.lit(7)), at)
+    return history.read_history(spark, at).select("id", "sensor_type", "extra")
+
+
+@query("s16_tiles", with_tables("pixels", 'SELECT "row" // 8 AS tile_row, count(*) AS n, round(sum(value), 4) AS total FROM pixels GROUP BY 1'))
+def s16_tiles(spark, sf):
+    """Strips of eight rows as their files hold them."""
+    at = new_folder(spark)
+    p = table(spark, sf, "pixels").groupBy("raster_id", F.expr("row div 8").alias("tile_row")).agg(F.array_agg("value").alias("values"))
+    sinks.write_tiles(p, at)
+    sums = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return spark.read.parquet(at).select("tile_row", F.size("values").cast("long").alias("n"), F.round(sums, 4).alias("total"))
+
+
+@query("s19_feature_cache", "SELECT substring(sha1('h' || c_custkey || 'p=1'), 1, 20) AS key, CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE 1 END AS v FROM customer")
+def s19_feature_cache(spark, sf):
+    """Every third file is in the cache, which holds other files too."""
+    k = _customers(spark, sf)
+    files = k.select(F.concat(F.lit("h"), "k").alias("file_hash"))
+    named = F.concat(F.when(F.col("k") % 3 == 0, "h").otherwise("other"), F.col("k"), F.lit("p=1"))
+    cache = k.select(F.substring(F.sha1(named), 1, 20).alias("key"), F.lit(-1).alias("v"))
+    return history.compute_missing(files, cache, lambda missing: missing.select("key", F.lit(1).alias("v")), "p=1")
+
+
 @query("s15_geojson", with_tables("footprints", "SELECT product_id::BIGINT AS product_id, lon1 AS lon, lat1 AS lat, true AS closed FROM footprints"))
 def s15_geojson(spark, sf):
     """The third corner of every polygon."""

@@ -133,6 +133,10 @@ def test_sinks(spark, tmp_path):
     history.append_runs(runs.withColumn("extra", F.lit(1)), path)
     back = history.read_history(spark, path).orderBy("id").collect()
     assert [r.id for r in back] == [1, 2, 3, 4] and back[0].extra is None and back[3].extra == 1
+    many = spark.range(5000).select((F.col("id") * 0).alias("id"), F.lit("2024").alias("ts"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("sensor_type"), F.col("id").cast("string").alias("src_path"))
+    history.append_runs(many.repartition(7), path + "2")
+    back = history.read_history(spark, path + "2").orderBy("sensor_type", "ts", "src_path").collect()
+    assert [r.id for r in back] == list(range(1, 5001))  # runs without a sensor are runs too
     cells = spark.createDataFrame([(0.0, 1.0, 2.0, 3.0, 5)], "lon0 double, lon1 double, lat0 double, lat1 double, n int")
     f = json.loads(sinks.geojson(cells, ["n"]).first().feature)
     assert f["geometry"]["coordinates"][0][0] == [0, 2] and f["properties"]["n"] == 5
