@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,30 @@ def _texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
 
 
+def _listing(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, length)`` of files; their content is not read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
+def _open(path: str):
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
+    system, at = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_file(at)
+
+
+def heads(spark: SparkSession, path: str, head: int) -> DataFrame:
+    """``(path, length, head)``: the first ``head`` bytes of files of any size; no more is read. Paths must be of a file system of Arrow."""
+
+    def read(batches):
+        for batch in batches:
+            for i, p in enumerate(batch.column("path").to_pylist()):
+                with _open(p) as f:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([f.read(head)], pa.binary())], ["path", "length", "head"])
+
+    return _listing(spark, path).mapInArrow(read, "path string, length long, head binary")
+
+
 def pds4_labels(spark: SparkSession, path: str) -> DataFrame:
     return pds4_fields(_texts(spark, path))
 
@@ -39,8 +67,7 @@ def pds4_fields(t: DataFrame) -> DataFrame:
 
 def pds3_labels(spark: SparkSession, path: str, head: int = 65_536) -> DataFrame:
     """Keyword labels, attached or detached, from the first ``head`` bytes of the files."""
-    b = spark.read.format("binaryFile").load(path)
-    return pds3_fields(b.select("path", F.decode(F.substring("content", 1, head), "ISO-8859-1").alias("value")))
+    return pds3_fields(heads(spark, path, head).select("path", F.decode("head", "ISO-8859-1").alias("value")))
 
 
 def pds3_fields(t: DataFrame) -> DataFrame:
@@ -131,28 +158,35 @@ def dem_pixels(dem: DataFrame) -> DataFrame:
 
 def raw_rasters(spark: SparkSession, path: str, labels: DataFrame, tile: int = 512) -> DataFrame:
     """Raw images to tiles ``(product_id, band, tile_row, tile_col, row0, col0, h, w, values, warning)`` by their labels
-    ``(file_name, product_id, lines, samples, bands, dtype, sample_bytes, offset)``; short files give a warning row and no tile."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
-    both = files.join(labels.select("file_name", "product_id", "lines", "samples", "bands", "dtype", "sample_bytes", "offset"), "file_name")
+    ``(file_name, product_id, lines, samples, bands, dtype, sample_bytes, offset)``; short files give a warning row and no tile.
+
+    Every strip of ``tile`` lines of a band is read on its own at its place in the file, so files may be of any size and one file
+    is read by many tasks. Paths must be of a file system of Arrow."""
+    shape = ["lines", "samples", "bands", "dtype", "sample_bytes", "offset"]
+    files = _listing(spark, path).withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+    both = files.join(labels.select("file_name", F.col("product_id").cast("string").alias("product_id"), *shape).hint("merge"), "file_name")
+    need = F.col("offset") + F.col("lines").cast("long") * F.col("samples") * F.col("bands") * F.col("sample_bytes")
+    both = both.withColumn("need", need)
+    strips = both.where("length >= need and lines > 0 and samples > 0 and bands > 0").select("path", "product_id", *shape, F.explode(F.expr("sequence(0, bands - 1)")).alias("band"))
+    strips = strips.select("*", F.explode(F.expr(f"sequence(0, int((lines - 1) div {tile}))")).alias("tile_row")).repartition("path", "band", "tile_row")
 
     def cut(batches):
         names = ["product_id", "band", "tile_row", "tile_col", "row0", "col0", "h", "w", "values", "warning"]
         for pdf in batches:
-            out = []
             for r in pdf.itertuples():
-                need = r.offset + r.lines * r.samples * r.bands * r.sample_bytes
-                if len(r.content) < need:
-                    out.append((r.product_id, None, None, None, None, None, None, None, None, f"file has {len(r.content)} bytes, {need} needed"))
-                    continue
-                cube = np.frombuffer(r.content, r.dtype, r.lines * r.samples * r.bands, r.offset).reshape(r.bands, r.lines, r.samples)
-                for b in range(r.bands):
-                    for i in range(0, r.lines, tile):
-                        for j in range(0, r.samples, tile):
-                            a = cube[b, i : i + tile, j : j + tile]
-                            out.append((r.product_id, b, i // tile, j // tile, i, j, a.shape[0], a.shape[1], a.astype(float).ravel().tolist(), None))
-            yield pd.DataFrame(out, columns=names)
+                i, h, line = r.tile_row * tile, min(tile, r.lines - r.tile_row * tile), r.samples * r.sample_bytes
+                with _open(r.path) as f:
+                    f.seek(r.offset + (r.band * r.lines + i) * line)
+                    strip = np.frombuffer(f.read(h * line), r.dtype).reshape(h, r.samples)
+                out = []
+                for j in range(0, r.samples, tile):
+                    a = strip[:, j : j + tile]
+                    out.append((r.product_id, r.band, r.tile_row, j // tile, i, j, h, a.shape[1], a.astype(float).ravel().tolist(), None))
+                yield pd.DataFrame(out, columns=names)
 
-    return both.mapInPandas(cut, "product_id string, band int, tile_row int, tile_col int, row0 int, col0 int, h int, w int, values array<double>, warning string")
+    tiles = strips.mapInPandas(cut, "product_id string, band int, tile_row int, tile_col int, row0 int, col0 int, h int, w int, values array<double>, warning string")
+    short = both.where("length < need").select("product_id", F.format_string("file has %d bytes, %d needed", "length", "need").alias("warning"))
+    return tiles.unionByName(short, allowMissingColumns=True)
 
 
 def tile_pixels(tiles: DataFrame) -> DataFrame:
@@ -163,8 +197,7 @@ def tile_pixels(tiles: DataFrame) -> DataFrame:
 
 def fingerprints(spark: SparkSession, path: str, head: int = 1 << 20) -> DataFrame:
     """16 characters of the SHA-1 of a file's first megabyte and its size."""
-    b = spark.read.format("binaryFile").load(path)
-    return b.select("path", F.substring(F.sha1(F.concat(F.substring("content", 1, head), F.encode(F.col("length").cast("string"), "UTF-8"))), 1, 16).alias("file_hash"))
+    return heads(spark, path, head).select("path", F.substring(F.sha1(F.concat("head", F.encode(F.col("length").cast("string"), "UTF-8"))), 1, 16).alias("file_hash"))
 
 
 def manifest(spark: SparkSession, path: str, root: str = "pairs") -> DataFrame:

@@ -1,5 +1,6 @@
 """Readers, writers and streams on small retyped files."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -44,7 +45,20 @@ def test_raw_rasters(spark, tmp_path):
     px = labels.tile_pixels(tiles).collect()
     assert len(px) == 48 * 64 and all(r.value == (r.row + r.col) % 256 for r in px)
     assert "needed" in tiles.where("product_id = 'b'").first().warning
-    assert len(labels.fingerprints(spark, str(tmp_path / "a.img")).first().file_hash) == 16
+    blob = b"x" * 16 + img.tobytes()
+    assert labels.fingerprints(spark, str(tmp_path / "a.img")).first().file_hash == hashlib.sha1(blob + str(len(blob)).encode()).hexdigest()[:16]
+    assert labels.fingerprints(spark, str(tmp_path / "a.img"), 100).first().file_hash == hashlib.sha1(blob[:100] + str(len(blob)).encode()).hexdigest()[:16]
+
+
+def test_raw_strips_beyond_2_gb(spark, tmp_path):
+    """Two bands of two-byte samples behind 3 GB that are never read (a sparse file)."""
+    cube = np.arange(2 * 50 * 30, dtype=">i2").reshape(2, 50, 30)
+    with open(tmp_path / "big one.img", "wb") as f:
+        f.seek(3 << 30)
+        f.write(cube.tobytes())
+    lab = spark.createDataFrame([("big one.img", "big", 50, 30, 2, ">i2", 2, 3 << 30)], "file_name string, product_id string, lines int, samples int, bands int, dtype string, sample_bytes int, offset long")
+    px = labels.tile_pixels(labels.raw_rasters(spark, str(tmp_path / "*.img"), lab, tile=16)).collect()
+    assert {(r.band, r.row, r.col): r.value for r in px} == {k: float(v) for k, v in np.ndenumerate(cube)}
 
 
 def test_footprint_grid_catalogs(spark, tmp_path):
