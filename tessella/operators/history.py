@@ -92,8 +92,8 @@ def enrich_with_products(runs: DataFrame, products: DataFrame, broadcast_rows: i
     if products.limit(broadcast_rows + 1).count() <= broadcast_rows:
         hit = paths.join(F.broadcast(products), F.contains("src_path", "product_id"))
     else:
-        sizes = products.agg(F.collect_set(F.length("product_id")).alias("sizes"))  # one row
-        sized = paths.crossJoin(F.broadcast(sizes)).select("id", "src_path", F.explode("sizes").alias("n")).where(F.col("n") <= F.length("src_path"))
+        sizes = products.agg(F.collect_set(F.length("product_id"))).first()[0]  # as many as ids have lengths
+        sized = paths.select("id", "src_path", F.explode(F.array(*map(F.lit, sizes))).alias("n")).where(F.col("n") <= F.length("src_path"))
         at = sized.select("id", "src_path", "n", F.explode(F.sequence(F.lit(1), F.length("src_path") - F.col("n") + 1)).alias("i"))
         hit = at.select("id", F.expr("substring(src_path, i, n)").alias("product_id")).join(products.hint("merge"), "product_id")
     best = hit.groupBy("id").agg(F.min_by("product_id", "ord").alias("product_id"))

@@ -169,6 +169,20 @@ def s20_sniff(spark, sf):
     return labels.sniff(spark.read.parquet(f"{sf}/part.parquet").select(F.explode(names).alias("path")))
 
 
+@query("s21_products", """SELECT 'p' || k AS product_id, CASE WHEN k % 7 = 0 THEN 'c' ELSE 'd' END || '/p' || k || '.xml' AS path, CASE WHEN k % 5 > 0 THEN k / 4 END AS gsd_m, CASE WHEN k % 3 = 0 THEN 'h' || k END AS file_hash, 's' || k % 4 AS sensor,
+concat_ws(';', CASE WHEN k % 2 > 0 THEN 'no footprint' END, CASE WHEN k % 3 > 0 THEN 'no file' END, CASE WHEN k % 5 = 0 THEN 'no ground sampling distance' END) AS warnings FROM (SELECT c_custkey::BIGINT AS k FROM customer)""")
+def s21_products(spark, sf):
+    """Every second product has a footprint, every third a file; every seventh has two labels, of which the first path counts."""
+    c = _customers(spark, sf).withColumn("product_id", F.format_string("p%d", "k"))
+    k = F.col("k")
+    paths = F.array_compact(F.array(F.format_string("d/p%d.xml", k), F.when(k % 7 == 0, F.format_string("c/p%d.xml", k))))
+    own = c.select("product_id", F.explode(paths).alias("path"), F.when(k % 5 > 0, k / 4).alias("gsd_m"))
+    rings = c.where("k % 2 = 0").select("product_id", F.array(F.struct(F.lit(0.0).alias("lat"), k.cast("double").alias("lon"))).alias("ring"))
+    hashes = c.where("k % 3 = 0").select("product_id", F.format_string("h%d", k).alias("file_hash"))
+    sensors = c.select("product_id", F.format_string("s%d", k % 4).alias("sensor"))
+    return labels.products(own, rings, hashes, sensors).select("product_id", "path", "gsd_m", "file_hash", "sensor", F.array_join("warnings", ";").alias("warnings"))
+
+
 def _stream(spark, sf):
     """The runs as a stream over a folder of files."""
     at = new_folder(spark)

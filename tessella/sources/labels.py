@@ -222,7 +222,9 @@ def reject_camera_files(meta: DataFrame) -> DataFrame:
 
 def products(labels: DataFrame, rings: DataFrame, hashes: DataFrame, sensors: DataFrame) -> DataFrame:
     """One record a product: label, footprint, file hash and sensor, and a warning for each part that is missing."""
-    out = labels.join(rings.select("product_id", "ring"), "product_id", "left").join(hashes, "product_id", "left").join(sensors, "product_id", "left")
+    out = labels
+    for part in (rings.select("product_id", "ring"), hashes, sensors):
+        out = out.join(part.hint("merge"), "product_id", "left")
     warn = F.array_compact(F.array(F.when(F.col("ring").isNull(), F.lit("no footprint")), F.when(F.col("file_hash").isNull(), F.lit("no file")), F.when(F.col("gsd_m").isNull(), F.lit("no ground sampling distance"))))
     first = F.row_number().over(Window.partitionBy("product_id").orderBy("path"))
     return out.withColumn("warnings", warn).withColumn("__r", first).where("__r = 1").drop("__r")
