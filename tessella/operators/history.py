@@ -97,7 +97,7 @@ def enrich_with_products(runs: DataFrame, products: DataFrame, broadcast_rows: i
         at = sized.select("id", "src_path", "n", F.explode(F.sequence(F.lit(1), F.length("src_path") - F.col("n") + 1)).alias("i"))
         hit = at.select("id", F.expr("substring(src_path, i, n)").alias("product_id")).join(products.hint("merge"), "product_id")
     best = hit.groupBy("id").agg(F.min_by("product_id", "ord").alias("product_id"))
-    return runs.join(best, "id", "left")
+    return runs.join(best.hint("merge"), "id", "left")
 
 
 def append_runs(new: DataFrame, path: str) -> None:
@@ -129,8 +129,8 @@ def compute_missing(features: DataFrame, cache: DataFrame, compute, params: str)
     """Rows of the feature cache for every input: keys are hashes of file fingerprint and sorted parameters; only missing ones are computed."""
     key = F.substring(F.sha1(F.concat(F.col("file_hash"), F.lit(params))), 1, 20)
     wanted = features.withColumn("key", key)
-    fresh = compute(wanted.join(cache.select("key"), "key", "left_anti"))
-    return cache.join(wanted.select("key").distinct(), "key", "left_semi").unionByName(fresh, allowMissingColumns=True)
+    fresh = compute(wanted.join(cache.select("key").hint("merge"), "key", "left_anti"))
+    return cache.join(wanted.select("key").distinct().hint("merge"), "key", "left_semi").unionByName(fresh, allowMissingColumns=True)
 
 
 def run_reports(runs: DataFrame, craters: DataFrame, nearest: DataFrame, geometry: DataFrame, telemetry: DataFrame) -> DataFrame:

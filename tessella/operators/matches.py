@@ -39,7 +39,7 @@ def mutual_matches(src: DataFrame, ref: DataFrame, ratio: float = 0.75, block: s
     """Pairs that choose each other in both directions."""
     ab, ba = ratio_matches(src, ref, ratio, block, distance), ratio_matches(ref, src, ratio, block, distance)
     back = ba.select(block, F.col("q").alias("t"), F.col("t").alias("q"))
-    return ab.join(back, [block, "q", "t"])
+    return ab.join(back.hint("merge"), [block, "q", "t"])
 
 
 def match_confidence(matches: DataFrame, key: str = "block") -> DataFrame:

@@ -211,7 +211,7 @@ def sniff(listing: DataFrame) -> DataFrame:
 
     own = listing.withColumn("stem", stem("path"))
     label = own.where(F.lower("path").rlike(r"\.(lbl|xml)$")).select("stem").distinct().withColumn("has", F.lit(True))
-    return own.join(label, "stem", "left").select("path", reader_for("path", F.coalesce("has", F.lit(False))).alias("reader"))
+    return own.join(label.hint("merge"), "stem", "left").select("path", reader_for("path", F.coalesce("has", F.lit(False))).alias("reader"))
 
 
 def reject_camera_files(meta: DataFrame) -> DataFrame:
