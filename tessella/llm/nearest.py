@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from tessella.session import Tables
 
 
-def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """``(id, v)`` with every component x as floor(scale * x), x as double. Rows with a null id, a null vector, or a null or
+def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, more: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, v)`` and the columns ``more``, with every component x as floor(scale * x), x as double. Rows with a null id, a null vector, or a null or
     non-finite component take no part."""
     x = F.col(vector_col).cast("array<double>")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v")
+        F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"), *more
     )
 
 

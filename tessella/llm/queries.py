@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import decontamination, html_extraction, language, line_dedup, mixing, near_duplicates, nearest, pii, quality, substring_dedup
+from tessella.llm import decontamination, embedding_dedup, hard_negatives, html_extraction, language, line_dedup, mixing, near_duplicates, nearest, pii, quality, spelling, substring_dedup
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,11 +55,23 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix(_t(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(_t(spark, sf_dir, "documents"))
+
+
+def op12_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.near_embeddings(_t(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives.mine(hard_negatives.labelled_vectors(_t(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0)
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_near_duplicates, op3_pii, op4_quality_classifier, op5_line_dedup, op6_benchmark_decontamination, op7_substring_dedup, op8_language_id, op9_exact_top_k, op10_mix_sources, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_near_duplicates, op3_pii, op4_quality_classifier, op5_line_dedup, op6_benchmark_decontamination, op7_substring_dedup, op8_language_id, op9_exact_top_k, op10_mix_sources, op11_spelling_variants, op12_embedding_near_dedup, op13_hard_negatives, pipeline)}
 
 #: RE2 spells of the patterns: the same matches without possessive repeats and look-behinds.
 _PII = {
@@ -144,4 +156,33 @@ k AS (SELECT pick AS s, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY
 d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('mix:' || CAST(doc_id AS VARCHAR))) - 1 AS r FROM documents)
 SELECT doc_id, d.source, k.slot, CAST(r % 16 AS INTEGER) AS slot_row
 FROM d JOIN sh ON sh.source IS NOT DISTINCT FROM d.source JOIN k ON k.s = sh.s AND k.k = r // 16""",
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE tb AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+o AS (SELECT id, run, count(*) AS k FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) GROUP BY 1, 2),
+b AS (SELECT run, k, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bytes FROM o),
+h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(bytes, lambda x: CAST(x AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, tb),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n FROM h GROUP BY 1 HAVING sum(k) >= 3 AND length(word) >= 5),
+d AS (SELECT word, n, i, left(word, i - 1) || substring(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS u, b.word AS v FROM d a JOIN d b ON a.i = b.i AND a.s = b.s AND a.word <> b.word UNION ALL SELECT DISTINCT d.word, w.word FROM d JOIN w ON w.word = d.s UNION ALL SELECT DISTINCT w.word, d.word FROM d JOIN w ON w.word = d.s),
+m AS (SELECT u, v, w.n, row_number() OVER (PARTITION BY u ORDER BY w.n DESC, v) AS r, count(*) OVER (PARTITION BY u) AS near FROM p JOIN w ON w.word = v),
+f AS (SELECT word, CASE WHEN m.n >= 2 * w.n THEN v END AS form, w.n, CAST(coalesce(near, 0) AS BIGINT) AS n_near, CASE WHEN m.n >= 2 * w.n THEN m.n END AS form_n FROM w LEFT JOIN m ON m.u = word AND r = 1),
+t AS (SELECT word, word AS cur, form AS nxt FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.nxt)
+SELECT f.word, f.form, t.cur AS root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.word = f.word AND t.nxt IS NULL""",
+    "op12_embedding_near_dedup": """
+WITH RECURSIVE e AS (SELECT DISTINCT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.93),
+r(vec_id, o) AS (SELECT u, u FROM l UNION SELECT l.v, r.o FROM r JOIN l ON l.u = r.vec_id),
+c AS (SELECT vec_id, min(o) AS o FROM r GROUP BY 1), n AS (SELECT u AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT i.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.o, i.vec_id) AS component_id, coalesce(c.o, i.vec_id) = i.vec_id AS kept
+FROM (SELECT DISTINCT vec_id FROM embeddings) i LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }
