@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.transforms import inverse, mean_scale, project
-from tessella.operators.raster import warp
+from tessella.operators import tiles
 from tessella.session import Tables
 
 
@@ -166,21 +166,22 @@ def phase_shift(a: np.ndarray, b: np.ndarray, upsample: int = 50) -> tuple[float
     return float(peak[0] + steps[i]), float(peak[1] + steps[j])
 
 
+def shift_of(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[float, float, str]:
+    """Shift of two patches and its outcome: patches with missing pixels are ``outside``, those without contrast ``flat``."""
+    if np.isnan(a).any() or np.isnan(b).any():
+        return 0.0, 0.0, "outside"
+    if a.std() < 1e-6 or b.std() < 1e-6:
+        return 0.0, 0.0, "flat"
+    y, x = phase_shift(a, b)
+    return (y, x, "refined") if np.hypot(x, y) <= limit else (0.0, 0.0, "too_far")
+
+
 def _refine(limit: float):
     def run(batches):
         for pdf in batches:
-            dy, dx, outcome = [], [], []
-            for a, b, n in zip(pdf["src_patch"], pdf["ref_patch"], pdf["size"]):
-                if a is None or b is None or len(a) != n * n or len(b) != n * n:
-                    dy.append(0.0), dx.append(0.0), outcome.append("outside")
-                    continue
-                p, q = np.asarray(a, float).reshape(n, n), np.asarray(b, float).reshape(n, n)
-                if p.std() < 1e-6 or q.std() < 1e-6:
-                    dy.append(0.0), dx.append(0.0), outcome.append("flat")
-                    continue
-                y, x = phase_shift(p, q)
-                fine = np.hypot(x, y) <= limit
-                dy.append(y if fine else 0.0), dx.append(x if fine else 0.0), outcome.append("refined" if fine else "too_far")
+            whole = lambda p, n: np.asarray(p, float).reshape(n, n) if p is not None and len(p) == n * n else np.full((n, n), np.nan)
+            made = [shift_of(whole(a, n), whole(b, n), limit) for a, b, n in zip(pdf["src_patch"], pdf["ref_patch"], pdf["size"], strict=True)]
+            dy, dx, outcome = zip(*made, strict=True) if made else ((), (), ())
             yield pdf[["run_id", "match_idx"]].assign(dy=dy, dx=dx, outcome=outcome)
 
     return run
@@ -194,14 +195,8 @@ def refine_points(patches: DataFrame, limit: float = 5.0) -> DataFrame:
 
 def patches_at(points: DataFrame, pixels: DataFrame, x: str, y: str, name: str, size: int = 48) -> DataFrame:
     """The size x size pixels around each point, row by row; points whose patch leaves the raster have a shorter array."""
-    half = size // 2
-    want = points.select("run_id", "match_idx", "raster_id", (F.floor(F.col(y)) - half).alias("r0"), (F.floor(F.col(x)) - half).alias("c0"))
-    rows = want.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("i"))
-    cells = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("j"))
-    cells = cells.withColumn("row", F.col("r0") + F.col("i")).withColumn("col", F.col("c0") + F.col("j"))
-    got = cells.join(pixels.hint("merge"), ["raster_id", "row", "col"])
-    packed = got.groupBy("run_id", "match_idx").agg(F.array_sort(F.collect_list(F.struct("i", "j", "value"))).alias("p"))
-    return packed.select("run_id", "match_idx", F.transform("p", lambda s: s["value"]).alias(name))
+    asked = points.select("run_id", "match_idx", "raster_id", F.col(x).alias("x"), F.col(y).alias("y"))
+    return tiles.at_points(asked, [tiles.to_tiles(pixels)], size // 2, lambda a: {name: a[~np.isnan(a)].tolist()}, {name: "array<double>"}, ["run_id", "match_idx"])
 
 
 def outcome_counts(refined: DataFrame) -> DataFrame:
@@ -217,12 +212,10 @@ def refine_matches(points: DataFrame, src: DataFrame, ref: DataFrame, homographi
     """
     scale = mean_scale("h")
     fine = homographies.where(F.col("h").isNotNull() & (scale > 0) & (F.greatest(scale, 1 / scale) <= max_scale)).select("run_id", "h")
-    warped = warp(src, fine.select(F.col("run_id").alias("raster_id"), "h"), height, width).select("raster_id", "row", "col", "value")
-    asked = points.join(fine.select("run_id").hint("merge"), "run_id", "left_semi").withColumn("raster_id", F.col("run_id"))
-    patches = asked.select("run_id", "match_idx", F.lit(size).alias("size"))
-    for pixels, name in ((ref, "src_patch"), (warped, "ref_patch")):
-        patches = patches.join(patches_at(asked, pixels, "ref_x", "ref_y", name, size).hint("merge"), ["run_id", "match_idx"], "left")
-    shifts = refine_points(patches, size / 2)
+    grid = tiles.warp(tiles.to_tiles(src), fine.select(F.col("run_id").alias("raster_id"), inverse("h").alias("inv")), height, width, fill=0.0)
+    asked = points.join(fine.select("run_id").hint("merge"), "run_id", "left_semi").select("run_id", "match_idx", F.col("run_id").alias("raster_id"), F.col("ref_x").alias("x"), F.col("ref_y").alias("y"))
+    compare = lambda a, b: dict(zip(("dy", "dx", "outcome"), shift_of(a, b, size / 2), strict=True))
+    shifts = tiles.at_points(asked, [tiles.to_tiles(ref), grid], size // 2, compare, {"dy": "double", "dx": "double", "outcome": "string"}, ["run_id", "match_idx"])
     out = points.join(fine.hint("merge"), "run_id", "left").join(shifts.hint("merge"), ["run_id", "match_idx"], "left")
     out = out.withColumn("outcome", F.coalesce("outcome", F.lit("scale_guard")))
     out = out.withColumn("inv", inverse("h"))

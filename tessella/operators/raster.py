@@ -1,7 +1,7 @@
 """Raster jobs on pixel tables ``(raster_id, row, col, value)``.
 
-Neighbourhoods are joins or windows on keys, so rasters of any number spread over tasks. Sums over rows and columns run in
-two levels, blocks first, so no task needs a whole line of a very large raster in one window frame.
+Neighbourhoods are worked on as array tiles with borders (:mod:`tessella.operators.tiles`), so rasters of any number and size
+spread over tasks. Sums over rows and columns run in two levels, blocks first, so no task needs a whole line of a raster.
 """
 
 from __future__ import annotations
@@ -11,23 +11,23 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.geo import lambert, light_vector
-from tessella.functions.transforms import inverse, project
+from tessella.functions.transforms import inverse
+from tessella.operators import tiles
 from tessella.operators.graph import connected_components
+from tessella.operators.order import quantiles
 
 KEY = ["raster_id", "row", "col"]
 
 
 def stretch_bounds(pixels: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Exact percentiles per raster."""
-    return pixels.groupBy("raster_id").agg(F.percentile("value", F.array(F.lit(low), F.lit(high))).alias("p")).select("raster_id", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    """Exact percentiles per raster, of one raster in many tasks."""
+    return quantiles(pixels, ["raster_id"], "value", [low, high]).select("raster_id", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
 
 
 def adaptive_bounds(pixels: DataFrame, low: float = 0.02, high: float = 0.98, spread: float = 3.0) -> DataFrame:
     """Median +- spread times the interquartile range, within the low and high percentiles; the percentiles alone without a
     range, the extremes if that leaves nothing."""
-    qs = F.array(*[F.lit(q) for q in (low, 0.25, 0.5, 0.75, high)])
-    p = pixels.groupBy("raster_id").agg(F.percentile("value", qs).alias("p"), F.min("value").alias("least"), F.max("value").alias("most"))
+    p = quantiles(pixels, ["raster_id"], "value", [low, 0.25, 0.5, 0.75, high, 0.0, 1.0]).withColumns({"least": F.col("p")[5], "most": F.col("p")[6]})
     iqr, mid = F.col("p")[3] - F.col("p")[1], F.col("p")[2]
     lo = F.when(iqr <= 0, F.col("p")[0]).otherwise(F.greatest(F.col("p")[0], mid - spread * iqr))
     hi = F.when(iqr <= 0, F.col("p")[4]).otherwise(F.least(F.col("p")[4], mid + spread * iqr))
@@ -102,20 +102,12 @@ def shifted(pixels: DataFrame, offsets: list[tuple[int, int, float]], name: str
 
 def gradients(pixels: DataFrame) -> DataFrame:
     """Central differences along both axes, one-sided at the edges; 0 for a single line."""
-    def along(line, at):
-        w = Window.partitionBy("raster_id", line).orderBy(at)
-        a, b = F.lag("value").over(w), F.lead("value").over(w)
-        return F.when(a.isNull() & b.isNull(), 0.0).when(a.isNull(), b - F.col("value")).when(b.isNull(), F.col("value") - a).otherwise((b - a) / 2)
-
-    return pixels.withColumn("gx", along("row", "col")).withColumn("gy", along("col", "row"))
+    return tiles.to_pixels(tiles.neighbourhood(tiles.to_tiles(pixels), 1, tiles.gradients, ["values", "gx", "gy"]), "values", "gx", "gy")
 
 
 def sobel(pixels: DataFrame) -> DataFrame:
     """3 x 3 Sobel gradients of pixels with all eight neighbours."""
-    gx = [(r, c, c * (2 if r == 0 else 1)) for r in (-1, 0, 1) for c in (-1, 1)]
-    gy = [(r, c, r * (2 if c == 0 else 1)) for c in (-1, 0, 1) for r in (-1, 1)]
-    a, b = shifted(pixels, gx, "gx").where("found = 6"), shifted(pixels, gy, "gy").where("found = 6")
-    return pixels.select(*KEY).join(a.select(*KEY, "gx").hint("merge"), KEY).join(b.select(*KEY, "gy").hint("merge"), KEY)
+    return tiles.to_pixels(tiles.neighbourhood(tiles.to_tiles(pixels), 1, tiles.sobel, ["gx", "gy"]), "gx", "gy")
 
 
 def horizon_shadow(dem: DataFrame, elevation_deg: float, cell_m: float = 1.0, east: bool = True, eps: float = 1e-6) -> DataFrame:
@@ -129,27 +121,10 @@ def horizon_shadow(dem: DataFrame, elevation_deg: float, cell_m: float = 1.0, ea
 
 
 def local_stats(pixels: DataFrame, radius: int, width: int, wrap: bool = True) -> DataFrame:
-    """Mean and population variance in the square of ``radius`` around each pixel; columns wrap around if asked. Four corners of
-    summed-area tables a segment; a square over the seam has two segments."""
-    s = integral(pixels, s=F.col("value"), q=F.col("value") * F.col("value"))
-    height = pixels.groupBy("raster_id").agg(F.max("row").alias("last"))
-    p = pixels.select(*KEY).join(height.hint("merge"), "raster_id")
-    lo, hi = F.col("col") - radius, F.col("col") + radius
-    parts = [F.struct(F.greatest(lo, F.lit(0)).alias("c0"), F.least(hi, F.lit(width - 1)).alias("c1"))]
-    if wrap:
-        parts.append(F.when(lo < 0, F.struct((lo + width).alias("c0"), F.lit(width - 1).cast("long").alias("c1"))))
-        parts.append(F.when(hi >= width, F.struct(F.lit(0).cast("long").alias("c0"), (hi - width).alias("c1"))))
-    p = p.select("*", F.explode(F.array_compact(F.array(*[x.cast("struct<c0:bigint,c1:bigint>") for x in parts]))).alias("seg"))
-    r0, r1 = F.greatest(F.col("row") - radius, F.lit(0)), F.least(F.col("row") + radius, F.col("last"))
-    corner = lambda r, c, sign: F.struct(r.cast("long").alias("r"), c.cast("long").alias("c"), F.lit(sign).alias("sign"))
-    corners = F.explode(F.array(corner(r1, F.col("seg.c1"), 1), corner(r0 - 1, F.col("seg.c1"), -1), corner(r1, F.col("seg.c0") - 1, -1), corner(r0 - 1, F.col("seg.c0") - 1, 1)))
-    n = (r1 - r0 + 1) * (F.col("seg.c1") - F.col("seg.c0") + 1)
-    asked = p.select(*KEY, n.alias("n"), corners.alias("k")).select("raster_id", F.col("row").alias("row0"), F.col("col").alias("col0"), (F.col("n") / 4).alias("n"), F.col("k.r").alias("row"), F.col("k.c").alias("col"), "k.sign")
-    got = asked.join(s.hint("merge"), KEY, "left")
-    v = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.col("sign"))
-    out = got.groupBy("raster_id", F.col("row0").alias("row"), F.col("col0").alias("col")).agg(v("s").alias("s"), v("q").alias("q"), F.sum("n").alias("n"))
-    mean = F.col("s") / F.col("n")
-    return out.select(*KEY, mean.alias("mean"), F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)).alias("variance"))
+    """Mean and population variance in the square of ``radius`` around each pixel; columns wrap around if asked. Pixels that are
+    missing don't count."""
+    made = tiles.neighbourhood(tiles.to_tiles(pixels), radius, tiles.window_stats(radius), ["mean", "variance"], width=width if wrap else None)
+    return tiles.to_pixels(made, "mean", "variance")
 
 
 def top_variance(stats: DataFrame, k: int = 5) -> DataFrame:
@@ -195,11 +170,10 @@ def sample_bilinear(points: DataFrame, pixels: DataFrame, x: str = "x", y: str =
 
 def warp(pixels: DataFrame, homographies: DataFrame, height: int, width: int) -> DataFrame:
     """Source rasters on the reference grid: every target pixel asks the source where the inverse transform puts it; outside: 0, valid false."""
-    grid = homographies.select("raster_id", inverse("h").alias("inv"), F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("col"))
-    p = project("inv", "col", "row")
-    pts = grid.select((F.col("row") * F.lit(width) + F.col("col")).cast("long").alias("point_id"), "raster_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), p["x"].alias("x"), p["y"].alias("y"))
-    out = sample_bilinear(pts, pixels)
-    return out.select(*KEY, F.coalesce("value", F.lit(0.0)).alias("value"), F.col("value").isNotNull().alias("valid"))
+    inverses = homographies.select("raster_id", inverse("h").alias("inv"))
+    made = tiles.warp(tiles.to_tiles(pixels), inverses, height, width, fill=float("inf"))  # marks what is outside
+    valid = ~F.col("value").isin(float("inf"))
+    return tiles.to_pixels(made).select(*KEY, F.when(valid, F.col("value")).otherwise(0.0).alias("value"), valid.alias("valid"))
 
 
 def resample(pixels: DataFrame, factor_y: float, factor_x: float, height: int, width: int, nearest: bool = False) -> DataFrame:
@@ -211,26 +185,15 @@ def resample(pixels: DataFrame, factor_y: float, factor_x: float, height: int, w
 
 def hillshade(dem: DataFrame, elevation_deg: float, azimuth_deg: float, cell_m: float = 1.0) -> DataFrame:
     """Lambert shading of the surface under a sun at (elevation, azimuth clockwise from north); rows run south."""
-    g = gradients(dem)
-    light = light_vector(F.lit(float(elevation_deg)), F.lit(float(azimuth_deg)))
-    return g.select(*KEY, lambert(-F.col("gx") / cell_m, F.col("gy") / cell_m, F.lit(1.0), light).alias("shade"))
+    el, az = math.radians(elevation_deg), math.radians(azimuth_deg)
+    light = (math.cos(el) * math.sin(az), math.cos(el) * math.cos(az), math.sin(el))
+    return tiles.to_pixels(tiles.neighbourhood(tiles.to_tiles(dem), 1, tiles.hillshade(light, cell_m), ["shade"]), "shade")
 
 
 def ssim(a: DataFrame, b: DataFrame, window: int = 7, span: float = 255.0) -> DataFrame:
-    """Structural similarity in windows that fit the raster, from partial box sums of x, y, xx, yy and xy; sample covariances."""
-    half, n = window // 2, window * window
-    j = a.withColumnRenamed("value", "x").join(b.withColumnRenamed("value", "y").hint("merge"), KEY)
-    rows = j.select("raster_id", "row", F.explode(F.sequence(F.col("col") - half, F.col("col") + half)).alias("col"), "x", "y")
-    terms = {"x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "xy": F.col("x") * F.col("y")}
-    rows = rows.groupBy(*KEY).agg(F.count("*").alias("n"), *[F.sum(v).alias(k) for k, v in terms.items()])
-    cols = rows.select("raster_id", F.explode(F.sequence(F.col("row") - half, F.col("row") + half)).alias("row"), "col", "n", *terms)
-    s = cols.groupBy(*KEY).agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in terms]).where(F.col("n") == n)
-    m = {k: F.col(k) / n for k in terms}
-    k = n / (n - 1)
-    vx, vy, vxy = k * (m["xx"] - m["x"] * m["x"]), k * (m["yy"] - m["y"] * m["y"]), k * (m["xy"] - m["x"] * m["y"])
-    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
-    value = (2 * m["x"] * m["y"] + c1) * (2 * vxy + c2) / ((m["x"] * m["x"] + m["y"] * m["y"] + c1) * (vx + vy + c2))
-    return s.select(*KEY, value.alias("ssim"), ((1 - value) / 2).alias("dissimilarity"))
+    """Structural similarity in windows that fit both rasters, from box sums about a centre; sample covariances."""
+    made = tiles.neighbourhood(tiles.to_tiles(a), window // 2, tiles.ssim(window, span), ["ssim", "dissimilarity"], other=tiles.to_tiles(b))
+    return tiles.to_pixels(made, "ssim", "dissimilarity")
 
 
 def ssim_summary(s: DataFrame, valid: DataFrame) -> DataFrame:
