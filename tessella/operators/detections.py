@@ -29,14 +29,18 @@ def overlapping_boxes(detections: DataFrame, least: float = 0.6, cell: float = 6
 
 
 def cluster_best(detections: DataFrame, least: float = 0.6) -> DataFrame:
-    """Boxes that overlap, directly or through others, form a cluster; its most confident box stays, ties to the smaller id."""
-    node = F.col("image_id") * F.lit(1 << 32) + F.col("det_id")
+    """Boxes that overlap, directly or through others, form a cluster; its most confident box stays, ties to the smaller id, none
+    last. ``cluster`` is the smallest id of the cluster."""
+    tables = Tables(detections.sparkSession)
+    key = lambda c: F.struct("image_id", F.col(c).alias("det_id"))
     pairs = overlapping_boxes(detections, least)
-    key = lambda c: F.col("image_id") * F.lit(1 << 32) + F.col(c)
-    comp = connected_components(pairs.select(key("det_id_a").alias("u"), key("det_id_b").alias("v")))
-    rows = detections.withColumn("node", node).join(comp, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
-    order = Window.partitionBy("cluster").orderBy(F.desc("confidence"), "det_id")
-    return rows.withColumn("r", F.row_number().over(order)).where("r = 1").select(*detections.columns, (F.col("cluster") % (1 << 32)).alias("cluster"))
+    comp = connected_components(pairs.select(key("det_id_a").alias("u"), key("det_id_b").alias("v")), tables=tables)
+    rows = detections.withColumn("__node", key("det_id")).join(comp.withColumnRenamed("node", "__node").hint("merge"), "__node", "left")
+    rows = tables.keep(rows.withColumn("__cluster", F.coalesce("component", "__node")).drop("component", "__node"))
+    best = rows.groupBy("__cluster").agg(F.max(F.struct(F.col("confidence"), (-F.col("det_id")).alias("at"))).alias("best"))
+    best = best.select("__cluster", (-F.col("best.at")).alias("__best"))
+    out = rows.join(best.hint("merge"), "__cluster").where(F.col("det_id") == F.col("__best"))
+    return tables.done(out.select(*detections.columns, F.col("__cluster.det_id").alias("cluster")))
 
 
 def suppress(detections: DataFrame, limit: float = 0.45, tile: str = "image_id") -> DataFrame:

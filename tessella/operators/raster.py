@@ -15,6 +15,7 @@ from tessella.functions.transforms import inverse
 from tessella.operators import tiles
 from tessella.operators.graph import connected_components
 from tessella.operators.order import quantiles
+from tessella.session import Tables
 
 KEY = ["raster_id", "row", "col"]
 
@@ -268,20 +269,18 @@ def normalise_light(pixels: DataFrame, mode: str, height: int, width: int) -> Da
 
 def regions(mask: DataFrame, flag: str = "shadow", least: int = 30, top: int = 60) -> DataFrame:
     """Eight-connected regions of flagged pixels with area, centroid and box: the ``top`` largest of at least ``least`` pixels
-    per raster. Rows are cut into runs first (gaps and islands); runs that touch in neighbouring rows are linked."""
-    p = mask.where(flag).select(*KEY)
-    island = F.col("col") - F.row_number().over(Window.partitionBy("raster_id", "row").orderBy("col"))
-    runs = p.withColumn("i", island).groupBy("raster_id", "row", "i").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("i")
-    node = F.col("raster_id") * F.lit(1 << 44) + F.col("row") * F.lit(1 << 22) + F.col("c0")
-    runs = runs.withColumn("node", node)
-    below = runs.select("raster_id", (F.col("row") - 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("node").alias("v"))
-    links = runs.join(below, ["raster_id", "row"]).where("d0 <= c1 + 1 and d1 >= c0 - 1").select(F.col("node").alias("u"), "v")
-    comp = connected_components(links)
-    r = runs.join(comp, "node", "left").withColumn("region", F.coalesce("component", "node"))
-    n = F.col("c1") - F.col("c0") + 1
+    per raster, ties to the region that begins first. Tiles find their parts by a sweep over runs; parts that touch over a border
+    are linked. Any raster, row and column goes."""
+    tables = Tables(mask.sparkSession)
+    marks = tables.keep(tiles.to_tiles(mask.where(flag).select(*KEY, F.lit(1.0).alias("value"))))
+    parts, labels = tiles.label_regions(marks)
+    comp = connected_components(tiles.region_links(labels), tables=tables)
+    r = parts.join(comp.hint("merge"), "node", "left").withColumn("region", F.coalesce("component", "node"))
+    area = F.sum("area")
     out = r.groupBy("raster_id", "region").agg(
-        F.sum(n).alias("area"), (F.sum(n * (F.col("c0") + F.col("c1")) / 2) / F.sum(n)).alias("x"), (F.sum(n * F.col("row")) / F.sum(n)).alias("y"),
-        F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("c0").alias("col0"), F.max("c1").alias("col1"),
+        area.alias("area"), (F.sum("sum_col") / area).alias("x"), (F.sum("sum_row") / area).alias("y"),
+        F.min("row0").alias("row0"), F.max("row1").alias("row1"), F.min("col0").alias("col0"), F.max("col1").alias("col1"),
     )
     order = Window.partitionBy("raster_id").orderBy(F.desc("area"), "region")
-    return out.where(F.col("area") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("region")
+    best = out.where(F.col("area") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return tables.done(best.drop("region"))

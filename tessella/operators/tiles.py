@@ -333,3 +333,112 @@ def at_points(points: DataFrame, layers: list[DataFrame], reach: int, kernel: Ca
         return pa.table({k: asked[k] for k in keys} | {k: pa.array(v, types[kinds[k]]) for k, v in out.items()})
 
     return pieces.groupBy(*AT).cogroup(p.groupBy(*AT)).applyInArrow(run, f"{own}, " + ", ".join(f"{k} {v}" for k, v in kinds.items()))
+
+
+def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last column of every run of set pixels, row by row."""
+    edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
+
+
+def _joined(row: np.ndarray, first: np.ndarray, last: np.ndarray, height: int) -> np.ndarray:
+    """The number of the first run of each run's eight-connected region, by one sweep over neighbouring rows."""
+    up = list(range(len(row)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    start = np.searchsorted(row, np.arange(height + 1)).tolist()
+    a0, a1 = first.tolist(), last.tolist()
+    for r in range(1, height):
+        i, j = start[r - 1], start[r]
+        while i < start[r] and j < start[r + 1]:
+            if a0[i] <= a1[j] + 1 and a0[j] <= a1[i] + 1:
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+            if a1[i] < a1[j]:
+                i += 1
+            else:
+                j += 1
+    return np.array([root(i) for i in range(len(row))], np.int64)
+
+
+def label_regions(marks: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+    """Tiles of marked pixels to (1) parts of eight-connected regions, one a tile and region: ``(raster_id, node, area, sum_row,
+    sum_col, row0, row1, col0, col1)``, node being the struct of raster, row and column of the part's first pixel, and (2) label
+    tiles, whose values say where in the tile a pixel's part begins."""
+    kind = _kind(marks)
+    node = f"node struct<raster_id: {kind}, row: bigint, col: bigint>"
+    stats = ["area", "sum_row", "sum_col", "row0", "row1", "col0", "col1"]
+
+    def parts_of(t, i):
+        r0, c0, h, w = (t[k][i].as_py() for k in ("row", "col", "h", "w"))
+        row, first, last = _runs(~np.isnan(_array(t["values"][i].as_py(), h, w)))
+        return r0, c0, h, w, row, first, last, _joined(row, first, last, h)
+
+    def sums(batches):
+        for t in batches:
+            for i in range(t.num_rows):
+                r0, c0, _, _, row, first, last, part = parts_of(t, i)
+                heads, at = np.unique(part, return_inverse=True)
+                n, total = last - first + 1, lambda v, k=len(heads), at=at: np.bincount(at, v, k)
+                low, high = np.full((2, len(heads)), np.iinfo(np.int64).max), np.full((2, len(heads)), -1)
+                np.minimum.at(low[1], at, first)
+                np.maximum.at(high[1], at, last)
+                np.minimum.at(low[0], at, row)
+                np.maximum.at(high[0], at, row)
+                area = total(n).astype(np.int64)
+                values = [area, total(n * row).astype(np.int64) + area * r0, total(n * (first + last)) / 2 + area * c0, low[0] + r0, high[0] + r0, low[1] + c0, high[1] + c0]
+                ids = t["raster_id"].slice(i, 1).take(pa.array(np.zeros(len(heads), np.int64)))
+                place = pa.StructArray.from_arrays([ids, pa.array(row[heads] + r0), pa.array(first[heads] + c0)], ["raster_id", "row", "col"])
+                yield pa.RecordBatch.from_arrays([ids, place, *[pa.array(np.asarray(v, np.int64 if k != "sum_col" else float)) for k, v in zip(stats, values, strict=True)]], ["raster_id", "node", *stats])
+
+    def labels(batches):
+        for t in batches:
+            out = []
+            for i in range(t.num_rows):
+                r0, c0, h, w, row, first, last, part = parts_of(t, i)
+                a = np.full((h, w), np.nan)
+                head = ((row[part] + r0) % size) * size + (first[part] + c0) % size
+                n = last - first + 1
+                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                a[np.repeat(row, n), np.repeat(first, n) + offset] = np.repeat(head, n)
+                out.append(a.tobytes())
+            yield pa.RecordBatch.from_arrays([*[t[k] for k in (*AT, "row", "col", "h", "w")], pa.array(out, pa.binary())], [*AT, "row", "col", "h", "w", "values"])
+
+    tiles = marks.select(*AT, "row", "col", "h", "w", "values")
+    kinds = ", ".join(f"{k} {'double' if k == 'sum_col' else 'long'}" for k in stats)
+    return tiles.mapInArrow(sums, f"raster_id {kind}, {node}, {kinds}"), tiles.mapInArrow(labels, f"raster_id {kind}, {PLACE}, values binary")
+
+
+def region_links(labels: DataFrame, size: int = SIZE) -> DataFrame:
+    """``(u, v)``: parts of regions that touch over the border of their tiles, from :func:`label_regions`' label tiles."""
+    kind = _kind(labels)
+    node = pa.struct([("raster_id", labels.select("raster_id").limit(0).toArrow().schema.field(0).type), ("row", pa.int64()), ("col", pa.int64())])
+
+    def meet(key: tuple, t: pa.Table) -> pa.Table:
+        met, pairs = gather(t, 1), np.zeros((0, 4), np.int64)
+        if met is not None:
+            (a,), r0, c0 = met
+            h, w = a.shape
+            found = []
+            for di, dj in ((0, 1), (1, -1), (1, 0), (1, 1)):
+                i, j = np.nonzero(~np.isnan(a[: h - di, max(0, -dj) : w - max(0, dj)]) & ~np.isnan(a[di:, max(0, dj) : w + min(0, dj)]))
+                j = j + max(0, -dj)
+                ends = []
+                for y, x in ((i, j), (i + di, j + dj)):
+                    tr, tc, v = (y + r0 - 1) // size, (x + c0 - 1) // size, a[y, x].astype(np.int64)
+                    ends += [tr * size + v // size, tc * size + v % size, tr, tc]
+                other = (ends[2] != ends[6]) | (ends[3] != ends[7])
+                found.append(np.stack([ends[0], ends[1], ends[4], ends[5]], axis=1)[other])
+            pairs = np.unique(np.concatenate(found), axis=0)
+        ids = pa.array([key[0].as_py()] * len(pairs), node.field(0).type)
+        end = lambda k: pa.StructArray.from_arrays([ids, pa.array(pairs[:, k]), pa.array(pairs[:, k + 1])], fields=list(node))
+        return pa.table({"u": end(0), "v": end(2)})
+
+    of = f"struct<raster_id: {kind}, row: bigint, col: bigint>"
+    return spread(labels, 1, size).groupBy(*AT).applyInArrow(meet, f"u {of}, v {of}")
