@@ -31,6 +31,32 @@ def unwrap_lon(lon, ref) -> Column:
     return ref + F.pmod(lon - ref + 180, F.lit(360.0)) - 180
 
 
+def lon_end(lo, hi) -> Column:
+    """The east end of a range of longitudes, not below its west end: a range that ends below its start runs over 0/360."""
+    lo, hi = col(lo), col(hi)
+    return F.when(hi < lo, hi + 360).otherwise(hi)
+
+
+def lon_cells(lo, hi, cell: float) -> Column:
+    """Numbers modulo 360 / ``cell`` of the cells that the longitudes lo to hi touch, each once. A range may lie over 0/360."""
+    n, lo = round(360 / cell), col(lo)
+    if abs(n * cell - 360) > 1e-9:
+        raise ValueError("cells must divide 360 degrees")
+    start = lon360(lo)
+    first, last = F.floor(start / cell), F.floor((lon_end(lo, hi) - (lo - start)) / cell)
+    return F.transform(F.sequence(first, F.least(last, first + n - 1)), lambda x: F.pmod(x, F.lit(n)))
+
+
+def lon_cell(lon, cell: float) -> Column:
+    return F.pmod(F.floor(lon360(lon) / cell), F.lit(round(360 / cell)))
+
+
+def near_lon(lon, ref) -> Column:
+    """``lon`` by whole turns as near to ``ref`` as may be; as it is if it is near already."""
+    lon, ref = col(lon), col(ref)
+    return lon + 360 * F.round((ref - lon) / 360)
+
+
 def angular_diff(a, b) -> Column:
     return F.abs(F.pmod(col(a) - col(b) + 180, F.lit(360.0)) - 180)
 

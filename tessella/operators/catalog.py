@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.geo import KM_PER_DEG, haversine_km
+from tessella.functions.geo import KM_PER_DEG, haversine_km, lon_cell, lon_cells, lon_end, near_lon
 
 
 def union_catalogs(*catalogs: DataFrame) -> DataFrame:
@@ -34,12 +34,17 @@ def _cells(lo, hi, size: float) -> Column:
 def in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 3.0, boundary: str = "closed", how: str = "inner") -> DataFrame:
     """Points in the lon0/lon1/lat0/lat1 boxes: boxes are spread over degree cells, points have one, so the range join is an
     equi-join on cells that Spark shuffles and splits by itself. ``boundary``: closed, half_open or interior. With ``how``
-    left, boxes without a point stay, with nulls."""
+    left, boxes without a point stay, with nulls.
+
+    Cells are counted modulo 360, so boxes may lie over 0/360 (lon1 past 360, lon0 below 0, or lon1 below lon0) and meet each
+    point once; ``lon_in`` is the point's longitude by whole turns inside its box."""
     ends = {"closed": (">=", "<="), "half_open": (">=", "<"), "interior": (">", "<")}[boundary]
-    spread = boxes.select("*", _cells("lat0", "lat1", cell).alias("cell_y")).select("*", _cells("lon0", "lon1", cell).alias("cell_x"))
-    p = points.withColumn("cell_x", F.floor(F.col("lon") / cell)).withColumn("cell_y", F.floor(F.col("lat") / cell))
-    inside = F.expr(f"lon {ends[0]} lon0 and lon {ends[1]} lon1 and lat {ends[0]} lat0 and lat {ends[1]} lat1")
-    hits = spread.hint("merge").join(p, ["cell_x", "cell_y"]).where(inside).drop("cell_x", "cell_y")
+    spread = boxes.select("*", _cells("lat0", "lat1", cell).alias("cell_y")).select("*", F.explode(lon_cells("lon0", "lon1", cell)).alias("cell_x"))
+    p = points.withColumn("cell_x", lon_cell("lon", cell)).withColumn("cell_y", F.floor(F.col("lat") / cell))
+    east = lon_end("lon0", "lon1")
+    hits = spread.hint("merge").join(p, ["cell_x", "cell_y"]).withColumn("lon_in", near_lon("lon", (F.col("lon0") + east) / 2)).withColumn("__east", east)
+    inside = F.expr(f"lon_in {ends[0]} lon0 and lon_in {ends[1]} __east and lat {ends[0]} lat0 and lat {ends[1]} lat1")
+    hits = hits.where(inside).drop("cell_x", "cell_y", "__east")
     if how == "inner":
         return hits
     missing = boxes.join(hits.select(*boxes.columns).distinct().hint("merge"), boxes.columns, "left_anti")
@@ -48,7 +53,7 @@ def in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 3.0, boundary: s
 
 def grid_of(footprints: DataFrame, n: int = 3) -> DataFrame:
     """``n`` x ``n`` cells of each footprint box with their area."""
-    at = footprints.select("product_id", F.col("lat0").alias("y"), F.col("lon0").alias("x"), ((F.col("lat1") - F.col("lat0")) / n).alias("dy"), ((F.col("lon1") - F.col("lon0")) / n).alias("dx"))
+    at = footprints.select("product_id", F.col("lat0").alias("y"), F.col("lon0").alias("x"), ((F.col("lat1") - F.col("lat0")) / n).alias("dy"), ((lon_end("lon0", "lon1") - F.col("lon0")) / n).alias("dx"))
     rows = at.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("r")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     cells = rows.select(
         "product_id", "r", "k", (F.col("y") + F.col("r") * F.col("dy")).alias("lat0"), (F.col("y") + (F.col("r") + 1) * F.col("dy")).alias("lat1"),
@@ -72,9 +77,9 @@ def roughness(craters: DataFrame, footprints: DataFrame, n: int = 3, boundary: s
 
 def density(craters: DataFrame, footprints: DataFrame, n: int = 12) -> DataFrame:
     """Counts over an n x n grid of each box; the last row and column are closed."""
-    hits = in_boxes(craters.select("crater_id", "lon", "lat"), footprints)
+    hits = in_boxes(craters.select("crater_id", "lon", "lat"), footprints).withColumn("lon1", lon_end("lon0", "lon1"))
     bin_of = lambda v, lo, hi: F.least(F.floor((F.col(v) - F.col(lo)) / ((F.col(hi) - F.col(lo)) / n)), F.lit(n - 1))
-    return hits.groupBy("product_id", bin_of("lat", "lat0", "lat1").alias("r"), bin_of("lon", "lon0", "lon1").alias("k")).agg(F.count("*").alias("n"))
+    return hits.groupBy("product_id", bin_of("lat", "lat0", "lat1").alias("r"), bin_of("lon_in", "lon0", "lon1").alias("k")).agg(F.count("*").alias("n"))
 
 
 def diameter_histogram(craters: DataFrame, footprints: DataFrame) -> DataFrame:
@@ -93,7 +98,7 @@ def footprint_stats(craters: DataFrame, footprints: DataFrame) -> DataFrame:
     sums = hits.groupBy("product_id").agg(
         F.count("*").alias("n"), F.min("diameter_km").alias("min_d"), F.max("diameter_km").alias("max_d"), F.avg("diameter_km").alias("mean_d")
     )
-    area = (F.col("lon1") - F.col("lon0")) * (F.col("lat1") - F.col("lat0")) * KM_PER_DEG**2 * F.cos(F.radians((F.col("lat0") + F.col("lat1")) / 2))
+    area = (lon_end("lon0", "lon1") - F.col("lon0")) * (F.col("lat1") - F.col("lat0")) * KM_PER_DEG**2 * F.cos(F.radians((F.col("lat0") + F.col("lat1")) / 2))
     n = F.coalesce("n", F.lit(0)).cast("long")
     return footprints.select("product_id", area.alias("area_km2")).join(sums.hint("merge"), "product_id", "left").select("product_id", "area_km2", n.alias("n"), "min_d", "max_d", "mean_d", (n / F.col("area_km2")).alias("density"))
 

@@ -159,11 +159,11 @@ def u2_replace_sources(spark, sf):
 
 
 _WIDE = "wide AS (SELECT product_id, lon0, lon1 + product_id % 7 AS lon1, lat0 - product_id % 5 AS lat0, lat1 + product_id % 4 AS lat1 FROM footprints)"
-_OVER = "(least(a.lon1, b.lon1) - greatest(a.lon0, b.lon0)) * (least(a.lat1, b.lat1) - greatest(a.lat0, b.lat0)) / least((a.lon1 - a.lon0) * (a.lat1 - a.lat0), (b.lon1 - b.lon0) * (b.lat1 - b.lat0))"
+_OVER = "(least(a.lon1, b.lon1 + 360 * s) - greatest(a.lon0, b.lon0 + 360 * s)) * (least(a.lat1, b.lat1) - greatest(a.lat0, b.lat0)) / least((a.lon1 - a.lon0) * (a.lat1 - a.lat0), (b.lon1 - b.lon0) * (b.lat1 - b.lat0))"
 
 
 @query("j6_box_pairs", with_tables("footprints", f"""{_WIDE} SELECT a.product_id AS a, b.product_id AS b, round({_OVER} + 1e-9, 6) AS fraction
-FROM wide a JOIN wide b ON a.product_id < b.product_id AND least(a.lon1, b.lon1) > greatest(a.lon0, b.lon0) AND least(a.lat1, b.lat1) > greatest(a.lat0, b.lat0) WHERE {_OVER} >= 0.1"""))
+FROM wide a JOIN (SELECT w.*, s FROM wide w, range(-1, 2) t(s)) b ON a.product_id < b.product_id AND least(a.lon1, b.lon1 + 360 * s) > greatest(a.lon0, b.lon0 + 360 * s) AND least(a.lat1, b.lat1) > greatest(a.lat0, b.lat0) WHERE {_OVER} >= 0.1"""))
 def j6_box_pairs(spark, sf):
     """Footprints widened by up to 7 degrees, so that neighbours overlap."""
     f, p = table(spark, sf, "footprints"), F.col("product_id")
@@ -199,8 +199,8 @@ _SEG = "CASE WHEN n > 0 THEN greatest(0, least(1, ((px - ax) * (bx - ax) + (py -
 
 
 @query("j5_polygon_overlap", with_tables("quads", f"""b AS (SELECT product_id, lon0, lat0, shear, lon0 + shear * 4 + 3 AS lon1 FROM quads),
-near AS (SELECT a.product_id AS pa, b.product_id AS pb, a.lon0 AS xa, a.lat0 AS ya, a.shear AS sa, b.lon0 AS xb, b.lat0 AS yb, b.shear AS sb, cos(radians((a.lat0 + b.lat0 + 4) / 2)) AS k
- FROM b a JOIN b ON a.product_id < b.product_id AND a.lon0 < b.lon1 AND b.lon0 < a.lon1 AND a.lat0 < b.lat0 + 4 AND b.lat0 < a.lat0 + 4),
+near AS (SELECT a.product_id AS pa, b.product_id AS pb, a.lon0 AS xa, a.lat0 AS ya, a.shear AS sa, b.lon0 + 360 * s AS xb, b.lat0 AS yb, b.shear AS sb, cos(radians((a.lat0 + b.lat0 + 4) / 2)) AS k
+ FROM b a JOIN (SELECT q.*, s FROM b q, range(-1, 2) t(s)) b ON a.product_id < b.product_id AND a.lon0 < b.lon1 + 360 * s AND b.lon0 + 360 * s < a.lon1 AND a.lat0 < b.lat0 + 4 AND b.lat0 < a.lat0 + 4),
 c AS (SELECT *, [[0, 0], [0, 3], [4, 3], [4, 0]] AS o FROM near),
 v AS (SELECT pa, pb, i, (xa + sa * o[i][1] + o[i][2]) * k * {_KM} AS ax, (ya + o[i][1]) * {_KM} AS ay, (xb + sb * o[i][1] + o[i][2]) * k * {_KM} AS bx, (yb + o[i][1]) * {_KM} AS by_ FROM c, range(1, 5) t(i)),
 e AS (SELECT v.pa, v.pb, v.i, v.ax, v.ay, w.ax AS ax2, w.ay AS ay2, v.bx, v.by_, w.bx AS bx2, w.by_ AS by2 FROM v JOIN v w ON w.pa = v.pa AND w.pb = v.pb AND w.i = v.i % 4 + 1),
@@ -220,19 +220,19 @@ SELECT m.pa AS product_id_a, m.pb AS product_id_b, meet OR a_in OR b_in AS overl
 def j5_polygon_overlap(spark, sf):
     """Quads against the quads whose boxes overlap theirs."""
     q = _rings(spark, sf)
-    b = q.select("product_id", "ring", geo.ring_bbox("ring").alias("b")).select("product_id", "ring", "b.*")
+    b = q.select("product_id", "ring", footprints.ring_box("ring").alias("b")).select("product_id", "ring", "b.*")
     near = footprints.box_pairs(b, b, 0.0).where("product_id_a < product_id_b").select("product_id_a", "product_id_b")
     ring = lambda s: q.select(F.col("product_id").alias(f"product_id_{s}"), F.col("ring").alias(f"ring_{s}"))
     pairs = near.join(ring("a").hint("merge"), "product_id_a").join(ring("b").hint("merge"), "product_id_b")
     return footprints.polygon_overlap(pairs).select("product_id_a", "product_id_b", "overlaps", F.round("separation_km", 6).alias("separation_km"))
 
 
-@query("j4_points_in_polygons", with_tables("craters quads", """SELECT product_id, count(*) AS n FROM quads JOIN craters ON lat > lat0 AND lat < lat0 + 4 AND lon > lon0 + shear * (lat - lat0) AND lon < lon0 + shear * (lat - lat0) + 3 GROUP BY 1"""))
+@query("j4_points_in_polygons", with_tables("craters quads", """SELECT product_id, count(*) AS n FROM quads JOIN (SELECT crater_id, lon + 360 * s AS lon, lat FROM craters, range(0, 2) t(s)) c ON lat > lat0 AND lat < lat0 + 4 AND lon > lon0 + shear * (lat - lat0) AND lon < lon0 + shear * (lat - lat0) + 3 GROUP BY 1"""))
 def j4_points_in_polygons(spark, sf):
     boxes = _rings(spark, sf).select("product_id", "ring", geo.ring_bbox("ring").alias("b")).select("product_id", "ring", "b.*")
     hits = catalog.in_boxes(table(spark, sf, "craters").select("crater_id", "lon", "lat"), boxes)
     ring = F.transform("ring", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
-    inside = footprints.contains_point(ring, F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")))
+    inside = footprints.contains_point(ring, F.struct(F.col("lon_in").alias("x"), F.col("lat").alias("y")))
     return hits.where(inside).groupBy("product_id").agg(F.count("*").alias("n"))
 
 
