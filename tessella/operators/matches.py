@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,26 +22,90 @@ def hamming(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def ratio_matches(queries: DataFrame, train: DataFrame, ratio: float = 0.75, block: str = "block", distance=l2) -> DataFrame:
-    """(block, q, t, dist) of each query's nearest train descriptor in its block that beats the second nearest by Lowe's ratio.
-
-    Exact: candidates are the descriptors of one block, met in a join on it; of each query's the two nearest are kept by a
-    ranking that Spark cuts to two in every task before the shuffle. Ties go to the smaller id.
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by one matrix product; what it may be off is a 1e-12th of the squares."""
+    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T, 0)
+
+
+def _two_of(d: np.ndarray, ids: np.ndarray, exact) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every row of ``d`` its two least, ties to the smaller id: row numbers, ids and distances. ``exact(rows, columns)`` gives
+    the distances of those that the product can't tell apart."""
+    k = min(2, d.shape[1])
+    cut = np.partition(d, k - 1, axis=1)[:, k - 1]
+    row, col = np.nonzero(d <= (cut + 1e-9 * (1 + cut) + 1e-11 * d.max(initial=0))[:, None])
+    far = exact(row, col)
+    order = np.lexsort((ids[col], far, row))
+    row, col, far = row[order], col[order], far[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], ids[col[rank < k]], far[rank < k]
+
+
+def _cell_matches(binary: bool, back: bool):
+    """Two nearest of a cell's queries among its train descriptors, and the other way if asked (``way`` 1)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        if left.num_rows and right.num_rows:
+            x, y = (np.array(t["descriptor"].to_pylist(), np.int64 if binary else np.float64) for t in (left, right))
+            qi, ti = left["kp_id"].to_numpy(), right["kp_id"].to_numpy()
+            for start in range(0, len(x), 1000):
+                part = x[start : start + 1000]
+                if binary:
+                    d = sum(np.bitwise_count((part[:, None, i] ^ y[None, :, i]).view(np.uint64)).astype(np.float64) for i in range(y.shape[1]))
+                    exact = lambda r, c, d=d: d[r, c]
+                else:
+                    d, exact = _far(part, y), lambda r, c, p=part: np.sqrt(((p[r] - y[c]) ** 2).sum(axis=1))
+                ways = [(0, qi[start : start + 1000], *_two_of(d, ti, exact))]
+                if back:
+                    ways.append((1, ti, *_two_of(d.T, qi[start : start + 1000], lambda r, c, e=exact: e(c, r))))
+                for way, own, row, other, far in ways:
+                    for k, v in zip(out, (np.full(len(row), way), own[row], other, far), strict=True):
+                        k.append(v)
+        made = [np.concatenate(v) if v else np.zeros(0) for v in out]
+        key = (left if left.num_rows else right)["key"]
+        keys = key.slice(0, 1).take(pa.array(np.zeros(len(made[0]), np.int64))) if key.length() else key
+        return pa.table({"key": keys, "way": pa.array(made[0].astype(np.int32)), "q": pa.array(made[1].astype(np.int64)), "t": pa.array(made[2].astype(np.int64)), "dist": pa.array(made[3].astype(np.float64))})
+
+    return run
+
+
+def two_nearest(queries: DataFrame, train: DataFrame, block: str = "block", distance=l2, back: bool = False, rows: int = 4000) -> DataFrame:
+    """``(block, way, q, t, dist, r)``: each query's two nearest train descriptors of its block, r 1 and 2, ties to the smaller id; with
+    ``back`` also each train descriptor's two nearest queries, as ``way`` 1. ``distance`` is :func:`l2` over numbers or
+    :func:`hamming` over longs. A null block or descriptor takes no part; descriptors of a block have one length.
+
+    Exact: both sides of a block are dealt into matrices of about ``rows`` descriptors; pairs of matrices are the cells of a
+    grid, each a matrix product that leaves two rows a query. So a block of very many descriptors spreads over many tasks.
     """
-    a = queries.select(block, F.col("kp_id").alias("q"), F.col("descriptor").alias("da"))
-    b = train.select(block, F.col("kp_id").alias("t"), F.col("descriptor").alias("db"))
-    pairs = a.hint("merge").join(b, block).select(block, "q", F.struct(distance(F.col("da"), F.col("db")).alias("dist"), "t").alias("c"))
-    first = Window.partitionBy(block, "q").orderBy("c")
-    two = pairs.withColumn("r", F.row_number().over(first)).where("r <= 2")
-    best = two.groupBy(block, "q").agg(F.min("c").alias("a"), F.max("c").alias("z"), F.count("*").alias("n"))
-    return best.where((F.col("n") == 2) & (F.col("a.dist") < ratio * F.col("z.dist"))).select(block, "q", F.col("a.t").alias("t"), F.col("a.dist").alias("dist"))
+    kind = queries.schema[block].dataType.simpleString()
+    clean = lambda df: df.where(F.col(block).isNotNull() & F.col("descriptor").isNotNull()).select(F.col(block).alias("key"), F.col("kp_id").cast("long").alias("kp_id"), "descriptor")
+    a, b = clean(queries), clean(train)
+    count = lambda df, n: df.groupBy("key").agg(F.ceil(F.count("*") / rows).cast("int").alias(n))
+    parts = materialize(count(a, "na").join(count(b, "nb").hint("merge"), "key"))  # a row a block
+    deal = lambda df, own, other, na, nb: df.join(parts.hint("merge"), "key").select("key", F.pmod(F.hash("kp_id"), F.col(na)).alias(own), F.explode(F.sequence(F.lit(0), F.col(nb) - 1)).alias(other), "kp_id", "descriptor")
+    cell = ["key", "qa", "tb"]
+    left, right = deal(a, "qa", "tb", "na", "nb"), deal(b, "tb", "qa", "nb", "na")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides may come from one table
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_cell_matches(distance is hamming, back), f"key {kind}, way int, q long, t long, dist double")
+    best = F.row_number().over(Window.partitionBy("key", "way", "q").orderBy("dist", "t"))
+    return found.withColumn("r", best).where("r <= 2").withColumnRenamed("key", block)
+
+
+def _passing(two: DataFrame, ratio: float, block: str) -> DataFrame:
+    best = two.groupBy(block, "way", "q").agg(F.min(F.struct("r", "dist", "t")).alias("a"), F.max(F.struct("r", "dist")).alias("z"))
+    return best.where((F.col("z.r") == 2) & (F.col("a.dist") < ratio * F.col("z.dist"))).select(block, "way", "q", F.col("a.t").alias("t"), F.col("a.dist").alias("dist"))
+
+
+def ratio_matches(queries: DataFrame, train: DataFrame, ratio: float = 0.75, block: str = "block", distance=l2) -> DataFrame:
+    """(block, q, t, dist) of each query's nearest train descriptor in its block that beats the second nearest by Lowe's ratio."""
+    return _passing(two_nearest(queries, train, block, distance), ratio, block).drop("way")
 
 
 def mutual_matches(src: DataFrame, ref: DataFrame, ratio: float = 0.75, block: str = "block", distance=l2) -> DataFrame:
-    """Pairs that choose each other in both directions."""
-    ab, ba = ratio_matches(src, ref, ratio, block, distance), ratio_matches(ref, src, ratio, block, distance)
-    back = ba.select(block, F.col("q").alias("t"), F.col("t").alias("q"))
-    return ab.join(back.hint("merge"), [block, "q", "t"])
+    """Pairs that choose each other, each passing the ratio test in its direction; distances are worked out once."""
+    both = _passing(two_nearest(src, ref, block, distance, back=True), ratio, block)
+    there, back = both.where("way = 0").drop("way"), both.where("way = 1").select(block, F.col("q").alias("t"), F.col("t").alias("q"))
+    return there.join(back.hint("merge"), [block, "q", "t"])
 
 
 def match_confidence(matches: DataFrame, key: str = "block") -> DataFrame:

@@ -111,14 +111,31 @@ def sobel(pixels: DataFrame) -> DataFrame:
     return tiles.to_pixels(tiles.neighbourhood(tiles.to_tiles(pixels), 1, tiles.sobel, ["gx", "gy"]), "gx", "gy")
 
 
+def cast_shadow(dem: DataFrame, elevation_deg: float, azimuth_deg: float, cell_m: float = 1.0, eps: float = 1e-6, block: int = 1024) -> DataFrame:
+    """Adds ``shadow``: cast shadows of a sun at an elevation (0.5 degrees at least) and any azimuth, clockwise from north; rows run
+    south. Every pixel is on one scanline away from the sun, skewed by whole pixels of the axis that the light crosses slower.
+    With g = height + way along the light * tan(elevation), a pixel is in shadow if its g falls below the largest g before it on
+    its line. The running maximum works in two levels, within blocks of a line and over their maxima. A null height casts none.
+    """
+    # light goes from the sun: east and south parts of its way
+    ux, uy = (round(f(math.radians(azimuth_deg)), 15) for f in (lambda a: -math.sin(a), math.cos))
+    along, across, u, v = ("col", "row", ux, uy) if abs(ux) >= abs(uy) else ("row", "col", uy, ux)
+    line = F.floor(F.col(across) - F.col(along) * F.lit(v / u) + 0.5)
+    step = F.col(along) if u > 0 else -F.col(along)
+    g = F.col("value") + (F.col("col") * F.lit(ux) + F.col("row") * F.lit(uy)) * (cell_m * math.tan(math.radians(max(elevation_deg, 0.5))))
+    rows = dem.withColumns({"__line": line, "__at": step, "__g": g}).withColumn("__block", F.floor(F.col("__at") / block))
+    key = ["raster_id", "__line", "__block"]
+    before = Window.partitionBy("raster_id", "__line").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(*key).agg(F.max("__g").alias("__top")).select(*key, F.max("__top").over(before).alias("__carry"))
+    inside = Window.partitionBy(*key).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    both = rows.withColumn("__own", F.max("__g").over(inside)).join(carry.hint("merge"), key)
+    shadow = F.coalesce(F.col("__g") < F.greatest("__own", "__carry") - eps, F.lit(False))
+    return both.select(*dem.columns, shadow.alias("shadow"))
+
+
 def horizon_shadow(dem: DataFrame, elevation_deg: float, cell_m: float = 1.0, east: bool = True, eps: float = 1e-6) -> DataFrame:
-    """Cast shadows of a sun at ``elevation_deg`` low over the west (or east) end of the rows: with g = h + x tan(el), a pixel is in
-    shadow if its g falls below the largest g nearer to the sun. One running maximum instead of a march along each ray."""
-    x = F.col("col") * cell_m if east else -F.col("col") * cell_m
-    g = F.col("value") + x * math.tan(math.radians(elevation_deg))
-    order = F.col("col") if east else F.col("col").desc()
-    w = Window.partitionBy("raster_id", "row").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return dem.withColumn("g", g).withColumn("shadow", F.coalesce(F.col("g") < F.max("g").over(w) - eps, F.lit(False))).drop("g")
+    """:func:`cast_shadow` of a sun over the west end of the rows, so that light goes east, or over their east end."""
+    return cast_shadow(dem, elevation_deg, 270.0 if east else 90.0, cell_m, eps)
 
 
 def local_stats(pixels: DataFrame, radius: int, width: int, wrap: bool = True) -> DataFrame:

@@ -312,7 +312,7 @@ def at_points(points: DataFrame, layers: list[DataFrame], reach: int, kernel: Ca
     for k, more in enumerate(layers[1:]):
         pieces = pieces.unionByName(spread(more, reach, size, layer=k + 1))
     p = points.select("raster_id", *keys, F.floor("y").alias("__y"), F.floor("x").alias("__x"))
-    p = p.withColumn("tile_row", F.floor(F.col("__y") / size)).withColumn("tile_col", F.floor(F.col("__x") / size))
+    p = p.select(*[F.col(c).alias(c) for c in p.columns], F.floor(F.col("__y") / size).alias("tile_row"), F.floor(F.col("__x") / size).alias("tile_col"))
     own, n = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys), len(layers)
 
     def run(t: pa.Table, asked: pa.Table) -> pa.Table:

@@ -103,6 +103,20 @@ def j2_mutual_matches(spark, sf):
     return matches.mutual_matches(k.where("image_id = 0"), k.where("image_id = 1"), 0.97).select("block", "q", "t")
 
 
+_BITS = """k AS (SELECT image_id, kp_id, block, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN descriptor[i] > 0 THEN CAST(pow(2, i - 1) AS BIGINT) ELSE 0 END))::BIGINT AS lo,
+ list_sum(list_transform(range(33, 65), lambda i: CASE WHEN descriptor[i] > 0 THEN CAST(pow(2, i - 33) AS BIGINT) ELSE 0 END))::BIGINT AS hi FROM keypoints),
+d AS (SELECT a.block, a.kp_id AS q, b.kp_id AS t, bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS dist FROM k a JOIN k b ON a.block = b.block AND a.image_id = 0 AND b.image_id = 1),
+f AS (SELECT *, row_number() OVER w AS r, lead(dist) OVER w AS second FROM d WINDOW w AS (PARTITION BY block, q ORDER BY dist, t))"""
+
+
+@query("j1_hamming_matches", with_tables("keypoints", f"{_BITS} SELECT block, q, t, CAST(dist AS DOUBLE) AS dist FROM f WHERE r = 1 AND dist < 0.9 * second"))
+def j1_hamming_matches(spark, sf):
+    """Descriptors of the signs of 64 components, in two words."""
+    word = lambda lo: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda s, i: s + F.when(F.get("descriptor", i + lo) > 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(0))
+    k = table(spark, sf, "keypoints").withColumn("descriptor", F.array(word(0), word(32)))
+    return matches.ratio_matches(k.where("image_id = 0"), k.where("image_id = 1"), 0.9, distance=matches.hamming).select("block", "q", "t", "dist")
+
+
 @query("x40_match_confidence", with_tables("keypoints", f"{_KNN}, m AS (SELECT * FROM f WHERE r = 1 AND dist < 0.97 * second) SELECT block, q, round(1 - dist / max(dist) OVER (PARTITION BY block), 6) AS confidence FROM m"))
 def x40_match_confidence(spark, sf):
     k = table(spark, sf, "keypoints")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tessella.operators import detections, raster
@@ -80,6 +82,25 @@ def w5_horizon_shadow(spark, sf):
     return raster.horizon_shadow(d, 20.0).select("raster_id", "row", "col", "shadow")
 
 
+_SUNS = (250.0, 315.0, 20.0)
+
+
+def _skewed(azimuth: float) -> str:
+    ux, uy = round(-math.sin(math.radians(azimuth)), 15), round(math.cos(math.radians(azimuth)), 15)
+    along, across, u, v = ("col", '"row"', ux, uy) if abs(ux) >= abs(uy) else ('"row"', "col", uy, ux)
+    line = f"floor({across} - {along} * ({v / u!r})::DOUBLE + 0.5::DOUBLE)"
+    return f"""SELECT {azimuth} AS azimuth, "row", col, coalesce(g < max(g) OVER (PARTITION BY line ORDER BY {'' if u > 0 else '-'}{along} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1e-6, false) AS shadow
+ FROM (SELECT *, {line} AS line, value * 10 + (col * ({ux!r})::DOUBLE + "row" * ({uy!r})::DOUBLE) * ({math.tan(math.radians(20))!r})::DOUBLE AS g FROM pixels)"""
+
+
+@query("w5_any_azimuth", with_tables("pixels", "s AS (" + " UNION ALL ".join(_skewed(a) for a in _SUNS) + ") SELECT CAST(azimuth AS DOUBLE) AS azimuth, \"row\", col, shadow FROM s"))
+def w5_any_azimuth(spark, sf):
+    """Suns in the west-south-west, north-west and north-north-east."""
+    d = _pixels(spark, sf).withColumn("value", F.col("value") * 10)
+    each = [raster.cast_shadow(d, 20.0, a).select(F.lit(a).alias("azimuth"), "row", "col", "shadow") for a in _SUNS]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 _GX = 'CASE WHEN lag(value) OVER x IS NULL AND lead(value) OVER x IS NULL THEN 0 WHEN lag(value) OVER x IS NULL THEN lead(value) OVER x - value WHEN lead(value) OVER x IS NULL THEN value - lag(value) OVER x ELSE (lead(value) OVER x - lag(value) OVER x) / 2 END'
 _WIN = 'WINDOW x AS (PARTITION BY raster_id, "row" ORDER BY col), y AS (PARTITION BY raster_id, col ORDER BY "row")'
 
