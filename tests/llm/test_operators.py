@@ -392,6 +392,15 @@ def test_html_leaks():
     assert blocks("<article><div class='related-work'>See X</div></article>") == [(3, "See X")]
 
 
+def test_html_reading_is_linear():
+    """A page of a megabyte of broken markup takes seconds, whichever way it is broken."""
+    broken = ["<iframe>x" * 110_000, "<div>x" * 80_000 + "<b>y" * 100_000, "<div>x" * 80_000 + "</p>" * 130_000, "<a \"'" * 200_000, "<script " * 130_000, "<" * 1_000_000, "<a '\"<b" * 140_000 + ">"]
+    for page in broken:
+        start = time.perf_counter()
+        blocks(page)
+        assert time.perf_counter() - start < 20, page[:20]
+
+
 def test_html_brute_force(spark):
     """Pages without an article, and articles with blocks in doubt, against a direct search of repeated runs of tokens."""
     rng, run = random.Random(6), html_extraction.RUN
