@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions.geo import iou
 from tessella.operators.graph import connected_components
 from tessella.session import Tables
+from tessella.sources.records import write_files
 
 BOX = ("cx", "cy", "w", "h")
 
@@ -152,4 +153,6 @@ def training_labels(placed: DataFrame) -> DataFrame:
 
 
 def write_training_labels(labels: DataFrame, path: str) -> None:
-    labels.repartition("image_id").write.partitionBy("image_id").text(path)
+    """One text file ``<image_id>.txt`` an image, lines in order."""
+    lines = labels.groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
+    write_files(lines.select(F.concat(F.col("image_id").cast("string"), F.lit(".txt")).alias("name"), F.concat("text", F.lit("\n")).alias("content")), path)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scoring import finite, next_steps, verdict
-from tessella.session import discard, materialize
+from tessella.session import create_once, discard, listed, materialize, move_files, read_text
 
 
 def sensor_baseline(runs: DataFrame) -> DataFrame:
@@ -83,40 +86,68 @@ def result_field(runs: DataFrame, path: str, name: str) -> DataFrame:
     return runs.withColumn(name, F.get_json_object("result_json", path))
 
 
-def enrich_with_products(runs: DataFrame, products: DataFrame, broadcast_rows: int = 10_000) -> DataFrame:
-    """Adds the first product (by ``ord``) whose id occurs in a run's source path; runs without one stay.
+def product_matches(paths: DataFrame, products: DataFrame, gram: int = 8) -> DataFrame:
+    """``(id, product_id, ord)`` of every product whose id occurs in a path of ``paths(id, src_path)``, through an index of q-grams.
 
-    Up to ``broadcast_rows`` products are broadcast; more are joined by key with the paths' substrings of the ids' lengths.
+    Each product is listed under the substring of ``gram`` code points (or of the shortest id's length, if less) that the fewest
+    products have; paths are probed with all theirs, and a hit counts if the whole id is there. Empty and null ids never match.
     """
-    paths = runs.select("id", "src_path")
-    if products.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        hit = paths.join(F.broadcast(products), F.contains("src_path", "product_id"))
-    else:
-        sizes = products.agg(F.collect_set(F.length("product_id"))).first()[0]  # as many as ids have lengths
-        sized = paths.select("id", "src_path", F.explode(F.array(*map(F.lit, sizes))).alias("n")).where(F.col("n") <= F.length("src_path"))
-        at = sized.select("id", "src_path", "n", F.explode(F.sequence(F.lit(1), F.length("src_path") - F.col("n") + 1)).alias("i"))
-        hit = at.select("id", F.expr("substring(src_path, i, n)").alias("product_id")).join(products.hint("merge"), "product_id")
-    best = hit.groupBy("id").agg(F.min_by("product_id", "ord").alias("product_id"))
+    ids = products.where("length(product_id) > 0").select("product_id", "ord").distinct()
+    q = min(gram, ids.agg(F.min(F.length("product_id"))).first()[0] or gram)
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - q + 1), lambda i: F.substring(F.col(c), i, F.lit(q))))
+    own = materialize(ids.select("product_id", "ord", F.explode(grams("product_id")).alias("gram")))
+    rare = own.groupBy("gram").agg(F.count("*").alias("n"))
+    index = own.join(rare.hint("merge"), "gram").groupBy("product_id", "ord").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    asked = paths.where(F.length("src_path") >= q).select("id", "src_path", F.explode(grams("src_path")).alias("gram"))
+    return asked.join(index.hint("merge"), "gram").where(F.contains("src_path", "product_id")).select("id", "product_id", "ord")
+
+
+def enrich_with_products(runs: DataFrame, products: DataFrame, gram: int = 8) -> DataFrame:
+    """Adds the first product (by ``ord``, then by id) whose id occurs in a run's source path; runs without one stay."""
+    hit = product_matches(runs.select("id", "src_path"), products, gram)
+    best = hit.groupBy("id").agg(F.min(F.struct("ord", "product_id"))["product_id"].alias("product_id"))
     return runs.join(best.hint("merge"), "id", "left")
 
 
+def _reserve(spark, path: str, count: int) -> int:
+    """Reserves ``count`` ids after all that are taken and gives the last id before them. The log is a folder of numbered files, each
+    with the last id taken then; a number can be created once only, so of two writers one tries again with the next."""
+    log = f"{path.rstrip('/')}/_ids"
+    while True:
+        taken = [(int(name), at) for name, at in listed(spark, log) if name.isdigit()]
+        if taken:
+            version, at = max(taken)
+            top = int(read_text(spark, at))
+        else:  # a history from before the log, or none
+            version = 0
+            try:
+                top = spark.read.option("mergeSchema", "true").parquet(path).agg(F.max("id")).first()[0] or 0
+            except AnalysisException as e:
+                if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                    raise
+                top = 0
+        if create_once(spark, f"{log}/{version + 1:020d}", str(top + count)):
+            return top
+
+
 def append_runs(new: DataFrame, path: str) -> None:
-    """Appends runs, numbered by sensor, time and path after the largest id so far, to a table partitioned by sensor. One writer at a time:
-    two at once would give the same numbers."""
+    """Appends runs, numbered by sensor, time and path after all ids taken so far, to a table partitioned by sensor. Writers may
+    append at once: each reserves its ids first. Files come to the table when all are written; a writer that fails leaves a gap
+    in the ids and no rows. An empty table appends nothing."""
     spark = new.sparkSession
-    try:
-        top = spark.read.option("mergeSchema", "true").parquet(path).agg(F.max("id")).first()[0] or 0
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        top = 0
     # sorted rows get a partition and a place in it; the row counts of earlier partitions make that a number
     rows = materialize(new.drop("id").orderBy("sensor_type", "ts", "src_path").withColumn("__m", F.monotonically_increasing_id()))
-    placed = rows.withColumn("__p", F.shiftright("__m", 33))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("__p").agg(F.count("*").alias("__c")).select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"))
-    numbered = placed.join(starts.hint("merge"), "__p").withColumn("id", F.col("__s") + F.col("__m").bitwiseAND((1 << 33) - 1) + 1 + top)
-    numbered.drop("__p", "__m", "__s").write.mode("append").partitionBy("sensor_type").parquet(path)
+    count = rows.count()
+    if count:
+        top = _reserve(spark, path, count)
+        placed = rows.withColumn("__p", F.shiftright("__m", 33))
+        before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        starts = placed.groupBy("__p").agg(F.count("*").alias("__c")).select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"))
+        numbered = placed.join(starts.hint("merge"), "__p").withColumn("id", F.col("__s") + F.col("__m").bitwiseAND((1 << 33) - 1) + 1 + top)
+        # two jobs can't write to one folder at once, so each has its own, hidden from readers
+        hidden = f"{path.rstrip('/')}/_new-{uuid.uuid4().hex}"
+        numbered.drop("__p", "__m", "__s").write.partitionBy("sensor_type").parquet(hidden)
+        move_files(spark, hidden, path)
     discard(rows)
 
 

@@ -320,6 +320,19 @@ def j19_product_of_run(spark, sf):
     return history.enrich_with_products(table(spark, sf, "runs"), products).select("id", "product_id")
 
 
+@query("x29_products_in_paths", """WITH p AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'ohr_' || c_custkey ELSE 'tmc_' || lpad(c_custkey::VARCHAR, 8, '0') || '_d' END AS product_id, c_custkey AS ord FROM customer),
+r AS (SELECT o_orderkey AS id, 'data/' || CASE WHEN o_custkey % 5 = 0 THEN 'ohr_' || o_custkey ELSE 'tmc_' || lpad(o_custkey::VARCHAR, 8, '0') || CASE WHEN o_orderkey % 2 = 0 THEN '_d' ELSE '_e' END END || o_orderkey % 10 || '.img' AS path FROM orders)
+SELECT id, arg_min(product_id, ord) AS product_id FROM r LEFT JOIN p ON contains(path, product_id) GROUP BY 1""")
+def x29_products_in_paths(spark, sf):
+    """Every customer is a product; a path may hold several short ids, of which the first in order counts, or none."""
+    name = lambda c, end: F.when(F.col(c) % 5 == 0, F.concat(F.lit("ohr_"), F.col(c).cast("string"))).otherwise(F.concat(F.lit("tmc_"), F.lpad(F.col(c).cast("string"), 8, "0"), end))
+    products = spark.read.parquet(f"{sf}/customer.parquet").select(name("c_custkey", F.lit("_d")).alias("product_id"), F.col("c_custkey").alias("ord"))
+    end = F.when(F.col("o_orderkey") % 2 == 0, "_d").otherwise("_e")
+    path = F.concat(F.lit("data/"), name("o_custkey", end), (F.col("o_orderkey") % 10).cast("string"), F.lit(".img"))
+    runs = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), path.alias("src_path"))
+    return history.enrich_with_products(runs, products).select("id", "product_id")
+
+
 # transforms and scores
 
 _H = "h00 AS (SELECT s_suppkey AS run_id, 1.2 + mod(s_suppkey, 10) * CAST(0.5 AS DOUBLE) AS a FROM supplier)"

@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import history
+from tessella.operators import detections, history
 from tessella.plans.catalog_queries import _FLAGGED, _even
 from tessella.plans.fixtures import table, with_tables
 from tessella.plans.registry import query
 from tessella.session import new_folder
-from tessella.sources import labels, sinks
+from tessella.sources import labels, records, sinks
 from tessella.streaming import runs as streams
 
 _XML = """<?xml version="1.0"?><p:Product xmlns:p="http://x"><p:Time><p:start_date_time>2024-05-06T07:%02d:08Z</p:start_date_time></p:Time>
@@ -208,3 +208,80 @@ def z4_enrich_stream(spark, sf):
     runs = _stream(spark, sf).select("id", (F.col("id") % 500).cast("long").alias("product_id"))
     products = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("long").alias("product_id"), F.col("p_size").cast("long").alias("size"))
     return streams.drain(streams.enrich_stream(runs, products)).select("id", "product_id", "size")
+
+
+# files written and read back: raw images, elevation, gazetteers, manifests, fingerprints, training labels
+
+_IMAGE = "e AS (SELECT event_id AS i, event_id // 1000 AS k, event_id % 1000 AS o, (event_id * 7919) % 251 AS v FROM events), full_ AS (SELECT k FROM e GROUP BY 1 HAVING count(*) = 1000)"
+
+
+def _event_ids(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").cast("long").alias("i"))
+
+
+@query("s1_raw_rasters", f"""WITH {_IMAGE} SELECT 'r' || k AS raster_id, (o // 500)::INTEGER AS band, (o % 500) // 50 AS "row", o % 50 AS col, v::DOUBLE AS value FROM e JOIN full_ USING (k)""")
+def s1_raw_rasters(spark, sf):
+    """Files of 16 bytes and two bands of 10 x 50 bytes; a file that ends early has a warning and no pixels."""
+    e = _event_ids(spark, sf).select(F.floor(F.col("i") / 1000).alias("k"), "i", F.lpad(F.hex(F.col("i") * 7919 % 251), 2, "0").alias("x"))
+    files = e.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"))
+    content = F.unhex(F.concat(F.lit("00" * 16), F.array_join(F.transform("p", lambda s: s["x"]), "")))
+    at = new_folder(spark)
+    records.write_files(files.select(F.format_string("r%d.img", "k").alias("name"), content.alias("content")), at)
+    shape = {"lines": 10, "samples": 50, "bands": 2, "sample_bytes": 1, "offset": 16}
+    named = files.select(F.format_string("r%d.img", "k").alias("file_name"), F.format_string("r%d", "k").alias("product_id"), *[F.lit(v).alias(n) for n, v in shape.items()], F.lit("<u1").alias("dtype"))
+    return labels.tile_pixels(labels.raw_rasters(spark, at, named, tile=8)).select("raster_id", "band", F.col("row").cast("long").alias("row"), "col", "value")
+
+
+@query("s9_dem_records", 'SELECT event_id // 100 AS "row", event_id % 100 AS col, ((event_id * 37) % 20001 - 10000) * 0.5::DOUBLE AS value FROM events WHERE event_id // 100 >= 7')
+def s9_dem_records(spark, sf):
+    """Elevation written and read as records of 100 counts of half a metre; lines from the seventh on are read."""
+    e = _event_ids(spark, sf).select(F.floor(F.col("i") / 100).alias("row"), F.col("i"), ((F.col("i") * 37 % 20001 - 10000) * 0.5).alias("v"))
+    lines = e.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("values"))
+    at = new_folder(spark)
+    records.write_records(lines, at, 100, scale=0.5)
+    return labels.dem_pixels(labels.dem_records(spark, at, 100).where("row >= 7")).select("row", "col", "value")
+
+
+_PLACEMARK = """<Placemark><ExtendedData><SchemaData><SimpleData name="type">%s</SimpleData><SimpleData name="clean_name">%s</SimpleData><SimpleData name="center_lat">%d</SimpleData><SimpleData name="center_lon">-%d</SimpleData>
+<SimpleData name="diameter">%s</SimpleData><SimpleData name="link">http://x/%d</SimpleData></SchemaData></ExtendedData></Placemark>"""
+
+
+@query("s8_gazetteer", """SELECT p_name AS name, (p_partkey % 90)::DOUBLE AS lat, ((360 - p_partkey % 180) % 360)::DOUBLE AS lon, CASE WHEN p_partkey % 5 > 0 THEN p_size::DOUBLE END AS diameter_km, 'http://x/' || p_partkey AS link, 'gazetteer' AS source FROM part WHERE p_partkey % 3 > 0""")
+def s8_gazetteer(spark, sf):
+    """Files of about a hundred placemarks; a third are no craters, a fifth have no diameter."""
+    p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("long").alias("k"), "p_name", F.col("p_size").cast("string").alias("size"))
+    mark = F.format_string(_PLACEMARK, F.when(F.col("k") % 3 > 0, "Crater, craters").otherwise("Mons"), "p_name", F.col("k") % 90, F.col("k") % 180, F.when(F.col("k") % 5 > 0, F.col("size")).otherwise("--"), "k")
+    files = p.select(F.floor(F.col("k") / 100).alias("f"), mark.alias("m")).groupBy("f").agg(F.array_join(F.collect_list("m"), "").alias("m"))
+    at = new_folder(spark)
+    records.write_files(files.select(F.format_string("g%d.kml", "f").alias("name"), F.concat(F.lit("<kml><Document>"), "m", F.lit("</Document></kml>")).alias("content")), at)
+    return labels.gazetteer_kml(spark, at)
+
+
+@query("s10_manifest", "SELECT s_suppkey::BIGINT AS query, s_nationkey::BIGINT AS reference, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS note FROM supplier")
+def s10_manifest(spark, sf):
+    """A manifest a nation, over several lines; every second pair has a note."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("query"), F.col("s_nationkey").cast("long").alias("reference"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("note"))
+    text = F.to_json(F.struct(F.collect_list(F.struct("query", "reference", "note")).alias("pairs")), {"pretty": "true"})
+    at = new_folder(spark)
+    records.write_files(s.groupBy("reference").agg(text.alias("content")).select(F.format_string("m%d.json", "reference").alias("name"), "content"), at)
+    return labels.manifest(spark, at).select("query", "reference", "note")
+
+
+@query("s18_fingerprints", "SELECT 'f' || s_suppkey AS file, substr(sha1(left(t, 1048576) || length(t)), 1, 16) AS file_hash FROM (SELECT s_suppkey, repeat(s_name, CASE WHEN s_suppkey % 10 = 0 THEN 70000 ELSE s_suppkey % 50 END::INTEGER) AS t FROM supplier)")
+def s18_fingerprints(spark, sf):
+    """Every tenth file is longer than the megabyte that counts."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"), "s_name")
+    times = F.when(F.col("k") % 10 == 0, 70_000).otherwise(F.col("k") % 50).cast("int")
+    at = new_folder(spark)
+    records.write_files(s.select(F.format_string("f%d.img", "k").alias("name"), F.repeat("s_name", times).alias("content")), at)
+    return labels.fingerprints(spark, at).select(F.regexp_extract("path", r"([^/]+)\.img$", 1).alias("file"), "file_hash")
+
+
+@query("s14_label_files", "SELECT 'i' || l_suppkey AS file, count(*) AS n, sum(l_linenumber)::DOUBLE AS total FROM lineitem GROUP BY 1")
+def s14_label_files(spark, sf):
+    """A label file an image, written and read back."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.format_string("i%d", F.col("l_suppkey").cast("long")).alias("image_id"), F.format_string("0 %.6f 0 0 0", F.col("l_linenumber").cast("double")).alias("line"))
+    at = new_folder(spark)
+    detections.write_training_labels(li, at)
+    back = spark.read.text(at).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1).alias("file"), F.split("value", " ")[1].cast("double").alias("v"))
+    return back.groupBy("file").agg(F.count("*").alias("n"), F.sum("v").alias("total"))

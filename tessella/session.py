@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -61,6 +62,61 @@ def _delete(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def listed(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """Names and paths in a folder; none if there is no such folder."""
+    system, at = _at(spark, folder)
+    return [(f.getPath().getName(), f.getPath().toString()) for f in system.listStatus(at)] if system.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    system, at = _at(spark, path)
+    stream = system.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a small file with its content, whole, unless there is one: of several at once one succeeds."""
+    system, at = _at(spark, path)
+    system.mkdirs(at.getParent())
+    own = spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{uuid.uuid4().hex}")
+    out = system.create(own, False)
+    out.write(text.encode())
+    out.close()
+    try:
+        if system.getUri().getScheme() == "file":  # a rename would replace the other's file here, a link does not
+            os.link(own.toUri().getPath(), at.toUri().getPath())
+            return True
+        return system.rename(own, at)  # on shared file systems a rename to a name that is taken fails
+    except FileExistsError:
+        return False
+    finally:
+        system.delete(own, False)
+
+
+def move_files(spark: SparkSession, folder: str, to: str) -> None:
+    """Moves the data files of a written, partitioned table below another folder, partitions kept; then the first folder goes."""
+    system, at = _at(spark, folder)
+    root = system.makeQualified(at).toString().rstrip("/")
+    files = system.listFiles(at, True)
+    while files.hasNext():
+        file = files.next().getPath()
+        name = file.toString()[len(root) + 1 :]
+        if file.getName()[0] not in "._":
+            into = spark._jvm.org.apache.hadoop.fs.Path(f"{to.rstrip('/')}/{name}")
+            system.mkdirs(into.getParent())
+            if not system.rename(file, into):
+                raise OSError(f"{name} could not be moved")
+    system.delete(at, True)
+
+
 class Tables:
     """Intermediate tables of one job in the shared folder; all but its result are deleted at the end."""
 

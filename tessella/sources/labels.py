@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.geo import lon360
 from tessella.functions.text import parse_time, sample_dtype, stem
+from tessella.sources.records import place, read_records
 
 #: Telemetry line tag, tokens a line has at least, kilometres of a raw DEM count.
 TELEMETRY_TAG, TELEMETRY_TOKENS = "ORBTATTD", 19
@@ -28,9 +26,7 @@ def _listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _open(path: str):
-    if path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
-    system, at = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    system, at = place(path)
     return system.open_input_file(at)
 
 
@@ -140,16 +136,8 @@ def gazetteer_kml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dem_records(spark: SparkSession, path: str, columns: int, scale: float = 0.5) -> DataFrame:
-    """Fixed-record little-endian 16-bit elevation: one row a line. Spark's record reader splits the file at record ends, so a
-    DEM larger than any task's memory is read in pieces; DataFrame sources have no such splitting."""
-    rows = spark.sparkContext.binaryRecords(path, columns * 2).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
-    raw = spark.createDataFrame(rows, "row long, content binary")
-
-    def decode(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"row": pdf["row"], "values": [(np.frombuffer(b, "<i2") * scale).tolist() for b in pdf["content"]]})
-
-    return raw.mapInPandas(decode, "row long, values array<double>")
+    """Fixed-record little-endian 16-bit elevation: one row a line, read by ranges of lines; conditions on ``row`` reach the files."""
+    return read_records(spark, path, columns, "<i2", scale)
 
 
 def dem_pixels(dem: DataFrame) -> DataFrame:
