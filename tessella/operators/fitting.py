@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.transforms import inverse, mean_scale, project
 from tessella.operators import tiles
+from tessella.operators.matches import interleave
 from tessella.session import Tables
 
 
@@ -50,21 +49,16 @@ def _errors(h: np.ndarray, src: np.ndarray, ref: np.ndarray) -> np.ndarray:
 
 
 def _hypotheses(tries: int):
-    """Four-point fits of one run's sample, and the normalisation of the refit."""
+    """Four-point fits of one run's draws, 4 * tries points of it in order."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("match_idx")
-        src, ref = pdf[["src_x", "src_y"]].to_numpy(float), pdf[["ref_x", "ref_y"]].to_numpy(float)
-        if len(pdf) < 4:
-            return pd.DataFrame({"run_id": [key[0]], "hs": [None], "norm": [None]})
-        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(str(key[0]).encode()).digest()[:8], "little"))
+        pdf = pdf.sort_values("t")
+        src, ref = (pdf[c].to_numpy(float).reshape(-1, 4, 2) for c in (["src_x", "src_y"], ["ref_x", "ref_y"]))
         hs = []
-        for _ in range(tries):
-            pick = rng.choice(len(pdf), 4, replace=False)
-            h = _dlt(src[pick], ref[pick])
+        for p, q in zip(src, ref, strict=True):
+            h = _dlt(p, q) if len(np.unique(p, axis=0)) == 4 else None  # a point may be drawn twice
             hs.append(np.full(9, np.nan) if h is None else h.ravel())
-        norm = [x for p in (src, ref) for x in (*p.mean(axis=0), max(1e-12, p.std()))]
-        return pd.DataFrame({"run_id": [key[0]], "hs": [np.concatenate(hs).tolist()], "norm": [norm]})
+        return pd.DataFrame({"run_id": [key[0]], "hs": [np.concatenate(hs).tolist()]})
 
     return run
 
@@ -117,21 +111,27 @@ def _solve(batches):
         yield pd.DataFrame({"run_id": pdf["run_id"], "hs": out})
 
 
-def fit_robust(points: DataFrame, threshold: float = 3.0, tries: int = 300, sample: int = 512, block: int = 1024) -> DataFrame:
-    """Per run, a homography by consensus of four-point fits, refitted on its inliers; the choice of points is seeded by the
-    run id. Below 4 points, or without 4 inliers: null.
+def fit_robust(points: DataFrame, threshold: float = 3.0, tries: int = 300, block: int = 1024) -> DataFrame:
+    """Per run, a homography by consensus of four-point fits, refitted on its inliers. Below 4 points, or without 4 inliers: null.
 
-    Four-point fits are drawn from ``sample`` points of a run, chosen by a hash. All points vote on every fit and enter the
-    refit as sums, in blocks of about ``block`` of a run, so a large run spreads over many tasks.
+    Four-point fits are drawn from all points of a run: points are numbered in order of ``match_idx`` (in ranges, then over
+    ranges), and draws are numbers by a hash of the run and the draw. All points vote on every fit and enter the refit as sums,
+    in blocks of about ``block`` of a run, so a large run spreads over many tasks.
     """
     tables = Tables(points.sparkSession)
     kind = points.schema["run_id"].dataType.simpleString()
-    cols = points.select("run_id", "match_idx", "src_x", "src_y", "ref_x", "ref_y")
-    chosen = F.row_number().over(Window.partitionBy("run_id").orderBy(F.xxhash64("run_id", "match_idx"), "match_idx"))
-    some = cols.withColumn("r", chosen).where(F.col("r") <= sample).drop("r")
-    fits = tables.keep(some.groupBy("run_id").applyInPandas(_hypotheses(tries), f"run_id {kind}, hs array<double>, norm array<double>"))
-    totals = tables.keep(cols.groupBy("run_id").agg(F.count("*").alias("total")))
-    dealt = cols.join(totals.hint("merge"), "run_id").withColumn("b", F.pmod(F.hash("match_idx"), F.ceil(F.col("total") / block)))
+    xy = ["src_x", "src_y", "ref_x", "ref_y"]
+    cols = tables.keep(points.select("run_id", "match_idx", *[F.col(c).cast("double").alias(c) for c in xy]))
+    totals = tables.keep(cols.groupBy("run_id").agg(F.count("*").alias("total"), *[f(c).alias(f"{n}_{c}") for c in xy for n, f in (("m", F.avg), ("s", F.stddev_pop))]))
+    numbered = interleave(cols.withColumnsRenamed({"run_id": "lane", "match_idx": "task"}), tables).select(F.col("lane").alias("run_id"), (F.col("turn") - 1).alias("at"), *xy)
+    draw = totals.where("total >= 4").select("run_id", "total", F.explode(F.sequence(F.lit(0), F.lit(4 * tries - 1))).alias("t"))
+    draw = tables.keep(draw.select("run_id", "t", F.pmod(F.xxhash64("run_id", "t"), F.col("total")).alias("at")))
+    drawn = draw.join(numbered.hint("merge"), ["run_id", "at"])
+    fits = tables.keep(drawn.select("run_id", "t", *xy).groupBy("run_id").applyInPandas(_hypotheses(tries), f"run_id {kind}, hs array<double>"))
+    size = lambda a, b: F.greatest(F.lit(1e-12), F.sqrt((F.col(f"s_{a}") ** 2 + F.col(f"s_{b}") ** 2 + ((F.col(f"m_{a}") - F.col(f"m_{b}")) / 2) ** 2 * 2) / 2))
+    norm = F.array("m_src_x", "m_src_y", size("src_x", "src_y"), "m_ref_x", "m_ref_y", size("ref_x", "ref_y"))
+    fits = fits.join(totals.select("run_id", norm.alias("norm")).hint("merge"), "run_id")
+    dealt = cols.join(totals.select("run_id", "total").hint("merge"), "run_id").withColumn("b", F.pmod(F.hash("match_idx"), F.ceil(F.col("total") / block)))
     blocks = tables.keep(dealt.groupBy("run_id", "b").agg(F.collect_list(F.struct("src_x", "src_y", "ref_x", "ref_y")).alias("pts")))
 
     def voted(h: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def fit_robust(points: DataFrame, threshold: float = 3.0, tries: int = 300, samp
     sums = parts.groupBy("run_id").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(81)]).alias("sums"))
     refit = tables.keep(sums.join(best.select("run_id", "norm").hint("merge"), "run_id").mapInPandas(_solve, f"run_id {kind}, hs array<double>"))
     found = refit.join(voted(refit).select("run_id", "n").hint("merge"), "run_id").select("run_id", F.col("hs").alias("h"), F.col("n").alias("inliers"))
-    out = totals.join(found.hint("merge"), "run_id", "left")
+    out = totals.select("run_id", "total").join(found.hint("merge"), "run_id", "left")
     return tables.done(out.select("run_id", "h", F.coalesce("inliers", F.lit(0)).cast("long").alias("inliers"), "total"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.geo import wrapped_diff
-from tessella.session import materialize
+from tessella.session import Tables, materialize
 
 
 def l2(a, b):
@@ -188,9 +188,10 @@ def rotation_consistency(points: DataFrame, least: float = 1e-3, block: int = 64
     """
     p = points.select("run_id", "match_idx", "src_x", "src_y", "ref_x", "ref_y").withColumn("b", F.floor(F.col("match_idx") / block))
     blocks = p.select("run_id", "b").distinct()
-    grid = blocks.withColumnRenamed("b", "b1").join(blocks.withColumnRenamed("b", "b2"), "run_id").where("b1 <= b2")
+    blocks = materialize(blocks)
+    grid = blocks.withColumnRenamed("b", "b1").join(blocks.withColumnRenamed("b", "b2").hint("merge"), "run_id").where("b1 <= b2")
     side = lambda s, b: p.select("run_id", F.col("b").alias(b), *[F.col(c).alias(f"{c}_{s}") for c in ("match_idx", "src_x", "src_y", "ref_x", "ref_y")])
-    pairs = grid.join(side("i", "b1"), ["run_id", "b1"]).join(side("j", "b2"), ["run_id", "b2"]).where("match_idx_i < match_idx_j")
+    pairs = grid.join(side("i", "b1").hint("merge"), ["run_id", "b1"]).join(side("j", "b2").hint("merge"), ["run_id", "b2"]).where("match_idx_i < match_idx_j")
     d = {k: F.col(f"{k}_j") - F.col(f"{k}_i") for k in ("src_x", "src_y", "ref_x", "ref_y")}
     good = (F.hypot(d["src_x"], d["src_y"]) > least) & (F.hypot(d["ref_x"], d["ref_y"]) > least)
     diff = wrapped_diff(F.degrees(F.atan2(d["ref_y"], d["ref_x"])), F.degrees(F.atan2(d["src_y"], d["src_x"])))
@@ -227,11 +228,11 @@ def confidence_by_class(points: DataFrame) -> DataFrame:
 
 
 def display_sample(points: DataFrame, most: int) -> DataFrame:
-    """About ``most`` inliers of each run at even steps of match order, for drawing."""
-    w = Window.partitionBy("run_id")
-    df = points.where("inlier").withColumn("r", F.row_number().over(w.orderBy("match_idx")) - 1)
+    """About ``most`` inliers of each run at even steps of match order, for drawing. A run is numbered in ranges, then over ranges."""
+    lanes = points.where("inlier").withColumnsRenamed({"run_id": "lane", "match_idx": "task"})
+    df = interleave(lanes).withColumnsRenamed({"lane": "run_id", "task": "match_idx"}).withColumn("r", F.col("turn") - 1).drop("turn")
     counts = df.groupBy("run_id").agg(F.count("*").alias("n"))
-    return df.join(counts, "run_id").where(F.col("r") % F.greatest(F.lit(1), F.ceil(F.col("n") / most)) == 0).drop("n")
+    return df.join(counts.hint("merge"), "run_id").where(F.col("r") % F.greatest(F.lit(1), F.ceil(F.col("n") / most)) == 0).drop("n")
 
 
 def check_seeds(seeds: DataFrame, least: int = 4) -> DataFrame:
@@ -243,10 +244,11 @@ def check_seeds(seeds: DataFrame, least: int = 4) -> DataFrame:
     return out.withColumn("reason", reason).withColumn("usable", reason.isNull())
 
 
-def interleave(lanes: DataFrame) -> DataFrame:
+def interleave(lanes: DataFrame, tables: Tables | None = None) -> DataFrame:
     """Round robin over lanes: first tasks of all lanes, then second ones. Lanes are dealt by ranges of tasks; a task's turn is
-    its place in the range after those of its lane's earlier ranges, so a lane can be larger than a Spark task."""
-    dealt = materialize(lanes.repartitionByRange("lane", "task").withColumn("__p", F.spark_partition_id()))
+    its place in the range after those of its lane's earlier ranges, so a lane can be larger than a Spark task. The dealt table is
+    one of ``tables``, if given."""
+    dealt = (tables.keep if tables else materialize)(lanes.repartitionByRange("lane", "task").withColumn("__p", F.spark_partition_id()))
     inside = F.row_number().over(Window.partitionBy("lane", "__p").orderBy("task"))
     before = Window.partitionBy("lane").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("lane", "__p").agg(F.count("*").alias("n"))

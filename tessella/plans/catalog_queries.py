@@ -249,24 +249,26 @@ def x4_haversine(spark, sf):
     return table(spark, sf, "craters").select("crater_id", F.round(geo.haversine_km(10.0, 50.0, "lat", "lon"), 4).alias("km"))
 
 
-@query("x5_xyz_round_trip", with_tables("craters", "SELECT crater_id, round(1742.4::DOUBLE * cos(radians(lat)) * cos(radians(lon)), 4) AS x, round(1742.4::DOUBLE * sin(radians(lat)), 4) AS z, round(lat, 6) AS lat, CASE WHEN abs(lat) < 90 THEN round(lon, 6) END AS lon FROM craters"))
+@query("x5_xyz_round_trip", with_tables("craters", "SELECT crater_id, round(1742.4::DOUBLE * cos(radians(lat)) * cos(radians(lon)), 4) AS x, round(1742.4::DOUBLE * cos(radians(lat)) * sin(radians(lon)), 4) AS y, round(1742.4::DOUBLE * sin(radians(lat)), 4) AS z, round(lat, 6) AS lat, CASE WHEN abs(lat) < 90 THEN round(lon, 6) END AS lon FROM craters"))
 def x5_xyz_round_trip(spark, sf):
     c = table(spark, sf, "craters").withColumn("v", geo.to_xyz("lat", "lon", 5.0)).withColumn("b", geo.from_xyz("v"))
-    return c.select("crater_id", F.round(F.col("v")[0], 4).alias("x"), F.round(F.col("v")[2], 4).alias("z"), F.round("b.lat", 6).alias("lat"), F.when(F.abs("lat") < 90, F.round("b.lon", 6)).alias("lon"))
+    return c.select("crater_id", F.round(F.col("v")[0], 4).alias("x"), F.round(F.col("v")[1], 4).alias("y"), F.round(F.col("v")[2], 4).alias("z"), F.round("b.lat", 6).alias("lat"), F.when(F.abs("lat") < 90, F.round("b.lon", 6)).alias("lon"))
 
 
-@query("x6_x7_rotation_divergence", with_tables("craters", "SELECT crater_id, round(-lat, 6) AS y, 90.0::DOUBLE AS angle FROM craters"))
+@query("x6_x7_rotation_divergence", with_tables("craters", "SELECT crater_id, round(-lat, 6) AS y, 90.0::DOUBLE AS angle, round(degrees(atan2(abs(lat) + 1, 9)), 6) AS slant FROM craters"))
 def x6_x7_rotation_divergence(spark, sf):
     c = table(spark, sf, "craters").withColumn("v", F.array("lat", "lon", F.lit(1.0)))
     turned = geo.rotate(F.array(*[F.lit(float(x)) for x in (0, 1, 0, -1, 0, 0, 0, 0, 1)]), "v")
     t = F.array("lat", "lon", F.lit(0.0))
     up, side = F.zip_with(t, F.array(F.lit(0.0), F.lit(0.0), F.lit(9.0)), lambda a, b: a + b), F.zip_with(t, F.array(F.lit(4.0), F.lit(0.0), F.lit(0.0)), lambda a, b: a + b)
-    return c.select("crater_id", F.round(turned[1], 6).alias("y"), F.round(geo.view_divergence(t, up, side), 6).alias("angle"))
+    slant = F.array(F.col("lat"), F.col("lon") + F.abs("lat") + 1, F.lit(9.0))
+    return c.select("crater_id", F.round(turned[1], 6).alias("y"), F.round(geo.view_divergence(t, up, side), 6).alias("angle"), F.round(geo.view_divergence(t, up, slant), 6).alias("slant"))
 
 
-@query("x8_solar", with_tables("craters", "SELECT crater_id, round(degrees(acos(greatest(-1, least(1, sin(radians(lat)) * sin(radians(1.5)) + cos(radians(lat)) * cos(radians(1.5)) * cos(radians(120 - lon)))))), 4) AS incidence FROM craters"))
+@query("x8_solar", with_tables("craters", """SELECT crater_id, round(degrees(acos(greatest(-1, least(1, sin(radians(lat)) * sin(radians(1.5)) + cos(radians(lat)) * cos(radians(1.5)) * cos(radians(120 - lon)))))), 4) AS incidence,
+ round(fmod(degrees(atan2(sin(radians(120 - lon)) * cos(radians(1.5)), cos(radians(lat)) * sin(radians(1.5)) - sin(radians(lat)) * cos(radians(1.5)) * cos(radians(120 - lon)))) + 360, 360), 5) AS azimuth FROM craters"""))
 def x8_solar(spark, sf):
-    return table(spark, sf, "craters").select("crater_id", F.round(geo.solar_incidence("lat", "lon", 1.5, 120.0), 4).alias("incidence"))
+    return table(spark, sf, "craters").select("crater_id", F.round(geo.solar_incidence("lat", "lon", 1.5, 120.0), 4).alias("incidence"), F.round(geo.solar_azimuth("lat", "lon", 1.5, 120.0), 5).alias("azimuth"))
 
 
 @query("x23_dem_index", with_tables("craters", "SELECT crater_id, CAST(floor((90 - lat) * 64) AS BIGINT) AS dem_row, CAST(floor(lon * 64) AS BIGINT) % 23040 AS dem_col FROM craters"))

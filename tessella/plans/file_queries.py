@@ -103,6 +103,15 @@ def z3_telemetry_stream(spark, sf):
     return _records(streams.drain(streams.telemetry_stream(spark, at)))
 
 
+@query("z3_results_stream", "SELECT event_id AS run_id, event_type AS sensor, round(value, 6) AS rmse FROM events")
+def z3_results_stream(spark, sf):
+    """Result files of a folder, as they come."""
+    at = new_folder(spark)
+    spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").cast("long").alias("run_id"), F.col("event_type").alias("sensor"), F.col("value").alias("rmse")).write.json(at)
+    out = streams.drain(streams.results_stream(spark, at, "run_id long, sensor string, rmse double"))
+    return out.select("run_id", "sensor", F.round("rmse", 6).alias("rmse"))
+
+
 @query("s11_match_points", with_tables("match_points", "SELECT run_id, count(*) AS n, round(sum(src_x), 4) AS src_x, min(ref_y) AS ref_y FROM match_points GROUP BY 1"))
 def s11_match_points(spark, sf):
     """Points a run as its files hold them."""

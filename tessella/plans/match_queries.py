@@ -203,7 +203,8 @@ def j23_run_geometry(spark, sf):
     ev = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     tel = ev.where("event_type = 'view'").select("ts", F.col("event_id").alias("record_num"), F.array(*[(F.col("event_id") * k % 100 + 1740).cast("double") for k in (3, 7, 11)]).alias("pos"))
     acq = ev.where("event_type = 'signup'").select(F.col("event_id").alias("acq_id"), "ts")
-    after = acq.select("acq_id", F.lead("acq_id").over(Window.orderBy("acq_id")).alias("ref_id"))  # of a fixture
+    at = matches.interleave(acq.select(F.lit(0).alias("lane"), F.col("acq_id").alias("task"))).select(F.col("task").alias("acq_id"), "turn")
+    after = at.join(at.select(F.col("acq_id").alias("ref_id"), (F.col("turn") - 1).alias("turn")).hint("merge"), "turn", "left")
     runs = after.select(F.col("acq_id").alias("run_id"), F.col("acq_id").alias("src_id"), "ref_id")
     foot = acq.select(F.col("acq_id").alias("product_id"), F.array(F.lit(1000.0), F.lit(1000.0), F.lit(900.0)).alias("target"))
     return telemetry.run_geometry(runs, acq, tel, foot).select("run_id", "available", "reason", F.round("divergence_deg", 4).alias("divergence_deg"))
@@ -213,9 +214,10 @@ def j23_run_geometry(spark, sf):
 
 
 # boxes are at most 64 high and wide: overlapping ones have centres in the same or in adjacent cells of 64
-_IOU = """db AS (SELECT *, CAST(floor(cx / 64) AS BIGINT) AS gx, CAST(floor(cy / 64) AS BIGINT) AS gy FROM detections),
-o AS (SELECT a.image_id, a.det_id AS a, b.det_id AS b, greatest(least(a.cx + a.w / 2, b.cx + b.w / 2) - greatest(a.cx - a.w / 2, b.cx - b.w / 2), 0) * greatest(least(a.cy + a.h / 2, b.cy + b.h / 2) - greatest(a.cy - a.h / 2, b.cy - b.h / 2), 0) AS i, a.w * a.h + b.w * b.h AS s
- FROM (SELECT db.*, gx + i AS hx, gy + k AS hy FROM db, range(-1, 2) p(i), range(-1, 2) q(k)) a JOIN db b ON a.image_id = b.image_id AND a.hx = b.gx AND a.hy = b.gy AND a.det_id < b.det_id), e AS (SELECT * FROM o WHERE i > 0 AND i / (s - i) >= 0.3)"""
+_IOU = """db AS MATERIALIZED (SELECT *, CAST(floor(cx / 64) AS BIGINT) AS gx, CAST(floor(cy / 64) AS BIGINT) AS gy FROM detections),
+h AS MATERIALIZED (SELECT db.*, gx + n // 3 - 1 AS hx, gy + n % 3 - 1 AS hy FROM (SELECT *, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS n FROM db) db),
+o AS MATERIALIZED (SELECT a.image_id, a.det_id AS a, b.det_id AS b, greatest(least(a.cx + a.w / 2, b.cx + b.w / 2) - greatest(a.cx - a.w / 2, b.cx - b.w / 2), 0) * greatest(least(a.cy + a.h / 2, b.cy + b.h / 2) - greatest(a.cy - a.h / 2, b.cy - b.h / 2), 0) AS i, a.w * a.h + b.w * b.h AS s
+ FROM h a JOIN db b ON a.image_id = b.image_id AND a.hx = b.gx AND a.hy = b.gy AND a.det_id < b.det_id), e AS (SELECT * FROM o WHERE i > 0 AND i / (s - i) >= 0.3)"""
 
 
 @query("j22_overlapping_boxes", with_tables("detections", f"{_IOU} SELECT image_id, a, b, round(i / (s - i), 6) AS iou FROM e"))
@@ -266,25 +268,26 @@ def _nodes(spark, sf):
 
 
 @query("j14_neighbour_edges", with_tables("detections", """n AS (SELECT image_id, det_id, cx, cy, w / 2 AS r FROM detections),
-p AS (SELECT a.image_id, a.det_id AS a, b.det_id AS b, sqrt(pow(b.cx - a.cx, 2) + pow(b.cy - a.cy, 2)) AS d, b.r / greatest(a.r, 1e-6) AS rr FROM n a JOIN n b ON a.image_id = b.image_id AND a.det_id <> b.det_id),
-q AS (SELECT *, row_number() OVER (PARTITION BY image_id, a ORDER BY d, b) AS k FROM p) SELECT image_id, a, b, round(d / sqrt(1640000), 8) AS dist_norm, round(rr, 6) AS radius_ratio FROM q WHERE k <= 6"""))
+p AS (SELECT a.image_id, a.det_id AS a, b.det_id AS b, sqrt(pow(b.cx - a.cx, 2) + pow(b.cy - a.cy, 2)) AS d, atan2(b.cy - a.cy, b.cx - a.cx) AS bearing, b.r / greatest(a.r, 1e-6) AS rr FROM n a JOIN n b ON a.image_id = b.image_id AND a.det_id <> b.det_id),
+q AS (SELECT *, row_number() OVER (PARTITION BY image_id, a ORDER BY d, b) AS k FROM p) SELECT image_id, a, b, CAST(k AS INTEGER) AS rank, round(bearing, 6) AS bearing, round(d / sqrt(1640000), 8) AS dist_norm, round(rr, 6) AS radius_ratio FROM q WHERE k <= 6"""))
 def j14_neighbour_edges(spark, sf):
     e = detections.neighbour_edges(_nodes(spark, sf))
-    return e.select("image_id", F.col("det_id_a").alias("a"), F.col("det_id_b").alias("b"), F.round("dist_norm", 8).alias("dist_norm"), F.round("radius_ratio", 6).alias("radius_ratio"))
+    return e.select("image_id", F.col("det_id_a").alias("a"), F.col("det_id_b").alias("b"), "rank", F.round("bearing", 6).alias("bearing"), F.round("dist_norm", 8).alias("dist_norm"), F.round("radius_ratio", 6).alias("radius_ratio"))
 
 
-@query("g5_node_features", with_tables("detections", "SELECT image_id, det_id, round(cx / 1000, 6) AS x, round(w / 2 / sqrt(800000), 6) AS r FROM detections"))
+@query("g5_node_features", with_tables("detections", "SELECT image_id, det_id, round(cx / 1000, 6) AS x, round(cy / 800, 6) AS y, round(w / 2 / sqrt(800000), 6) AS r, round(confidence, 6) AS confidence FROM detections"))
 def g5_node_features(spark, sf):
-    return detections.node_features(_nodes(spark, sf)).select("image_id", "det_id", F.round("x", 6).alias("x"), F.round("r", 6).alias("r"))
+    return detections.node_features(_nodes(spark, sf)).select("image_id", "det_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "r", "confidence")])
 
 
 # fits
 
 
-@query("a34_affine_fit", with_tables("match_points", """m AS (SELECT run_id, count(*) AS n, avg(src_x) AS ax, avg(src_y) AS ay, avg(ref_x) AS ux, covar_pop(src_x, src_x) AS xx, covar_pop(src_x, src_y) AS xy, covar_pop(src_y, src_y) AS yy, covar_pop(src_x, ref_x) AS xu, covar_pop(src_y, ref_x) AS yu FROM match_points GROUP BY 1)
-SELECT run_id, n AS n_points, round((xu * yy - yu * xy) / (xx * yy - xy * xy), 6) AS a, round(ux - (xu * yy - yu * xy) / (xx * yy - xy * xy) * ax - (yu * xx - xu * xy) / (xx * yy - xy * xy) * ay, 4) AS tx FROM m"""))
+@query("a34_affine_fit", with_tables("match_points", """m AS (SELECT run_id, count(*) AS n, avg(src_x) AS ax, avg(src_y) AS ay, avg(ref_x) AS ux, covar_pop(src_x, src_x) AS xx, covar_pop(src_x, src_y) AS xy, covar_pop(src_y, src_y) AS yy, avg(ref_y) AS vy, covar_pop(src_x, ref_x) AS xu, covar_pop(src_y, ref_x) AS yu, covar_pop(src_x, ref_y) AS xv, covar_pop(src_y, ref_y) AS yv FROM match_points GROUP BY 1),
+k AS (SELECT *, (xu * yy - yu * xy) / (xx * yy - xy * xy) AS a, (yu * xx - xu * xy) / (xx * yy - xy * xy) AS b, (xv * yy - yv * xy) / (xx * yy - xy * xy) AS c, (yv * xx - xv * xy) / (xx * yy - xy * xy) AS d FROM m)
+SELECT run_id, n AS n_points, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(d, 6) AS d, round(ux - a * ax - b * ay, 4) AS tx, round(vy - c * ax - d * ay, 4) AS ty FROM k"""))
 def a34_affine_fit(spark, sf):
-    return fitting.fit_affine(table(spark, sf, "match_points")).select("run_id", "n_points", F.round(F.col("h")[0], 6).alias("a"), F.round(F.col("h")[2], 4).alias("tx"))
+    return fitting.fit_affine(table(spark, sf, "match_points")).select("run_id", "n_points", *[F.round(F.col("h")[i], 6).alias(n) for n, i in (("a", 0), ("b", 1), ("c", 3), ("d", 4))], F.round(F.col("h")[2], 4).alias("tx"), F.round(F.col("h")[5], 4).alias("ty"))
 
 
 @query("a35_robust_fit")
@@ -292,6 +295,21 @@ def a35_robust_fit(spark, sf):
     return fitting.fit_robust(table(spark, sf, "match_points")).select("run_id", "inliers", "total", F.round(F.col("h")[0], 3).alias("h00"))
 
 
+_EXACT = """e AS (SELECT run_id, match_idx, src_x, src_y, match_idx % 3 = 0 AS off, 1 + run_id % 7 * 0.05::DOUBLE AS a, run_id % 5 * 0.02::DOUBLE AS b, run_id % 11 - 5.0::DOUBLE AS tx FROM match_points)"""
+
+
+@query("a35_exact_consensus", with_tables("match_points", f"{_EXACT} SELECT run_id, count(*) FILTER (NOT off) AS inliers, count(*) AS total, round(min(a), 4) AS h00, round(min(0 - b), 4) AS h01, round(min(tx), 3) AS h02, round(min(b), 4) AS h10, round(min(a), 4) AS h11 FROM e GROUP BY 1 HAVING count(*) FILTER (NOT off) >= 20"))
+def a35_exact_consensus(spark, sf):
+    """Two thirds of a run's points follow a similarity exactly, a third lie hundreds of pixels off in all directions."""
+    m = table(spark, sf, "match_points")
+    a, b, tx, off = 1 + F.col("run_id") % 7 * 0.05, F.col("run_id") % 5 * 0.02, F.col("run_id") % 11 - 5.0, F.col("match_idx") % 3 == 0
+    far = lambda k: F.when(off, 400 + F.pmod(F.xxhash64("run_id", "match_idx", F.lit(k)), F.lit(4000))).otherwise(0)
+    points = m.select("run_id", "match_idx", "src_x", "src_y", (a * F.col("src_x") - b * F.col("src_y") + tx + far(1)).alias("ref_x"), (b * F.col("src_x") + a * F.col("src_y") + 3 - far(2)).alias("ref_y"))
+    enough = points.where("match_idx % 3 <> 0").groupBy("run_id").agg(F.count("*").alias("n")).where("n >= 20").select("run_id")
+    h = fitting.fit_robust(points.join(enough.hint("merge"), "run_id", "left_semi"))
+    return h.select("run_id", "inliers", "total", *[F.round(F.col("h")[i] + 1e-9, 3 if n == "h02" else 4).alias(n) for n, i in (("h00", 0), ("h01", 1), ("h02", 2), ("h10", 3), ("h11", 4))])
+
+
 # sweeps
 
 
@@ -347,6 +365,23 @@ def p4_truth_errors(spark, sf):
     return sweep.truth_errors(s).select("run_id", F.round("rotation_error_deg", 6).alias("rotation_error_deg"), F.round("mean_error_px", 6).alias("mean_error_px"))
 
 
+#: transforms of a 100 x 80 frame for table t(run_id, k, s, g), and how far those of k 1 put its corners from those of k 0
+VARIANTS = """v AS (SELECT *, cos(radians(g)) * s AS c, sin(radians(g)) * s AS d FROM t), w AS (SELECT *, (1 - c) * 40 - d * 50 + (round_even(100 * abs(d) + 80 * abs(c), 0) - 80) / 2 AS tx, d * 40 + (1 - c) * 50 + (round_even(100 * abs(c) + 80 * abs(d), 0) - 100) / 2 AS ty FROM v),
+x AS (SELECT a.run_id, sqrt(pow((a.c - b.c) * px + (a.d - b.d) * py + a.tx - b.tx, 2) + pow((b.d - a.d) * px + (a.c - b.c) * py + a.ty - b.ty, 2)) AS far, abs(a.s / b.s - 1) AS scale_error, sqrt(pow(a.tx - b.tx, 2) + pow(a.ty - b.ty, 2)) AS shift FROM w a JOIN w b ON a.run_id = b.run_id AND a.k = 1 AND b.k = 0, (SELECT unnest([0, 80, 0, 80]) AS px, unnest([0, 0, 100, 100]) AS py))"""
+
+
+@query("p4_varied_errors", f"WITH t AS (SELECT s_suppkey AS run_id, k, 1.5 + k * 0.01::DOUBLE * (s_suppkey % 5) AS s, s_suppkey % 80 + k * (s_suppkey % 7) AS g FROM supplier, range(0, 2) r(k)), {VARIANTS} SELECT run_id, (run_id % 7)::DOUBLE AS rotation_error_deg, round(min(scale_error), 6) AS scale_error, round(min(shift), 5) AS translation_error_px, round(avg(far), 5) AS mean_error_px, round(max(far), 5) AS max_error_px FROM x GROUP BY run_id")
+def p4_varied_errors(spark, sf):
+    """Estimates that are off by up to 6 degrees and 4 hundredths of scale."""
+    from tessella.functions.transforms import variant_transform
+
+    k = F.col("run_id")
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("run_id")).select("run_id", F.lit(1.5).alias("scale"), (k % 80).cast("double").alias("rotation_deg"), F.lit(100.0).alias("height"), F.lit(80.0).alias("width"), F.lit(0.5).alias("gsd_m"))
+    s = s.withColumn("h", variant_transform(1.5 + k % 5 * 0.01, (k % 80 + k % 7).cast("double"), "height", "width"))
+    e = sweep.truth_errors(s)
+    return e.select("run_id", F.round("rotation_error_deg", 6).alias("rotation_error_deg"), F.round("scale_error", 6).alias("scale_error"), *[F.round(c, 5).alias(c) for c in ("translation_error_px", "mean_error_px", "max_error_px")])
+
+
 @query("p5_progress", "SELECT s_suppkey AS source_id, CAST(36 - 36 * CAST(s_suppkey % 2 = 0 AS INTEGER) AS BIGINT) AS completed, CAST(36 AS BIGINT) AS total, CASE WHEN s_suppkey % 2 = 0 THEN 'pending' ELSE 'complete' END AS state FROM supplier")
 def p5_progress(spark, sf):
     s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("source_id"), F.lit(True).alias("has_sun"))
