@@ -83,7 +83,7 @@ def _pivots(vectors: DataFrame, n: int, wanted: int, width: int, sample: int = 2
     return np.array([x[near == i].mean(axis=0) for i in range(len(chosen)) if (near == i).any()])
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, cell_rows: int = 2000, rings: int = 6, most_pivots: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, cell_rows: int = 2000, rings: int = 6, most_pivots: int = 512, cell_queries: int = 2048) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k highest integer inner products of every query with every other id.
 
     ``vectors(id, v)`` comes from :func:`integer_vectors`; ``is_query`` is a condition on ``id``. Ties go to the smaller id.
@@ -161,9 +161,14 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, cell_rows: int = 2000, rings
     first = tables.keep(first.where(F.col("seen") < 2 * cell_rows).select("q", "pivot", "ring"))
 
     def search(which: DataFrame) -> DataFrame:
-        wide = which.join(queries.hint("merge"), "q").join(sizes.select("pivot", "ring", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).hint("merge"), ["pivot", "ring"])
-        keys = ["pivot", "ring", "part"]
-        found = cells.groupBy(*keys).cogroup(wide.select("q", "v", *keys).groupBy(*keys)).applyInPandas(_search_cell(k + 1, width), "q long, cls long, score long")
+        # a ring's vectors are in parts and the queries that visit it in blocks: no cell has more than some thousands of either
+        blocks = which.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / cell_queries).cast("int").alias("blocks"))
+        asks = tables.keep(blocks.join(sizes.select("pivot", "ring", parts.alias("parts")).hint("merge"), ["pivot", "ring"]))
+        wide = which.join(queries.hint("merge"), "q").join(asks.hint("merge"), ["pivot", "ring"])
+        wide = wide.select("q", "v", "pivot", "ring", F.pmod(F.hash("q"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        held = cells.join(asks.hint("merge"), ["pivot", "ring"]).select("cls", "v", "pivot", "ring", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        keys = ["pivot", "ring", "part", "block"]
+        found = held.groupBy(*keys).cogroup(wide.groupBy(*keys)).applyInPandas(_search_cell(k + 1, width), "q long, cls long, score long")
         top = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))
         return found.withColumn("r", top).where(F.col("r") <= k + 1)
 
@@ -171,7 +176,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, cell_rows: int = 2000, rings
     floor = opening.where(F.col("r") == k + 1).select("q", F.col("score").cast("double").alias("floor"))
     asked_again = queries.join(floor.hint("merge"), "q", "left").mapInPandas(reach(True), f"{kinds}, floor double")
     rest = rings_of(asked_again, "floor").where("floor is null or most >= floor").join(first.hint("merge"), ["q", "pivot", "ring"], "left_anti")
-    found = opening.drop("r").unionByName(search(rest).drop("r"))
+    found = opening.drop("r").unionByName(search(tables.keep(rest.select("q", "pivot", "ring"))).drop("r"))
     top = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))
     found = found.withColumn("r", top).where(F.col("r") <= k + 1).join(classes.select("cls", "ids").hint("merge"), "cls")
     each = found.select("q", F.explode("ids").alias("vec_id"), "score")

@@ -288,6 +288,8 @@ def test_nearest(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("s")).withColumn("embedding", F.col("embedding").cast("array<float>"))
     vectors = nearest.integer_vectors(frame)
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in nearest.top_k(vectors, F.col("id") % 50 == 0, cell_rows=20).collect()}
+    split = {(r.query_id, r.rank): (r.vec_id, r.score) for r in nearest.top_k(vectors, F.col("id") % 50 == 0, cell_rows=20, cell_queries=3).collect()}
+    assert split == got
     vs = {r.id: list(r.v) for r in vectors.collect()}
     want = {}
     for q in vs:
