@@ -41,18 +41,77 @@ def _sums_before(rows: DataFrame, keys: tuple, order: str, x: Column, block: int
     return out.select(*rows.drop("__k", "__b").columns, *[f"__{k}" for k in parts])
 
 
-def flag_anomalies(runs: DataFrame, limit: float = 2.0, keys: tuple = ("sensor_type",), block: int = 1 << 16) -> DataFrame:
+def _apart(a: Column, b: Column) -> Column:
+    """a - b, but 0 if they differ by rounding alone: the means of equal values have no spread."""
+    return F.when(F.abs(a - b) > 1e-13 * F.greatest(F.abs(a), F.abs(b)), a - b).otherwise(0.0)
+
+
+def _merged(one: tuple, two: tuple) -> tuple:
+    """Count, mean and sum of squared deviations of two groups together."""
+    (n1, a1, q1), (n2, a2, q2) = one, two
+    d = _apart(a2, a1)
+    share = n2 / F.greatest(n1 + n2, F.lit(1))
+    return n1 + n2, F.when(n1 == 0, a2).otherwise(a1 + d * share), q1 + q2 + d * d * n1 * share
+
+
+def _moments(x: Column) -> tuple:
+    return F.count(x), F.coalesce(F.avg(x), F.lit(0.0)), F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0))
+
+
+def moments(rows: DataFrame, keys: tuple, x: Column, start: DataFrame | None = None) -> DataFrame:
+    """``keys, n, mean, m2`` of the values of ``x`` (null doesn't count), on top of a table ``start`` of the same form."""
+    n, a, q = _moments(x)
+    out = rows.groupBy(*keys).agg(n.alias("n"), a.alias("mean"), q.alias("m2"))
+    if start is None:
+        return out
+    both = out.withColumn("__k", F.struct(*keys)).alias("new").join(start.withColumn("__k", F.struct(*keys)).alias("old").hint("merge"), "__k", "full")
+    sides = [tuple(F.coalesce(f"{side}.{c}", F.lit(0)) for c in ("n", "mean", "m2")) for side in ("old", "new")]
+    return both.select(*[F.col(f"__k.{k}") for k in keys], *[c.alias(name) for c, name in zip(_merged(*sides), ("n", "mean", "m2"))])
+
+
+def _moments_before(rows: DataFrame, keys: tuple, order: str, x: Column, block: int, start: DataFrame | None) -> DataFrame:
+    """Adds ``__n, __mean, __m2``: count, mean and sum of squared deviations of ``x`` over ``start`` and earlier rows of the same keys.
+
+    Two levels, so that no task gets all rows of a key: moments inside ranges of ``block`` numbers of ``order``, and those of
+    all ranges before, about the key's first mean so that they keep their digits. A null of a key is a value like others.
+    """
+    k, b = F.struct(*keys), F.floor(F.col(order) / block)
+    rows = rows.withColumn("__x", x).withColumn("__k", F.struct(k.alias("k"), b.alias("b")))
+    totals = rows.groupBy("__k").agg(*[m.alias(name) for m, name in zip(_moments(F.col("__x")), "naq")]).select(F.col("__k").alias("__r"), "n", "a", "q")
+    by = Window.partitionBy("__r.k").orderBy("__r.b")
+    centre = F.coalesce(F.first(F.when(F.col("n") > 0, F.col("a")), True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0.0))
+    total = lambda v: F.coalesce(F.sum(v).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    off = _apart(F.col("a"), F.col("c"))
+    carry = totals.withColumn("c", centre).select("__r", "c", total("n").alias("n"), total(F.col("n") * off).alias("s"), total(F.col("q") + F.col("n") * off * off).alias("t"))
+    n, s, t = F.col("n"), F.col("s"), F.col("t")
+    some = F.greatest(n, F.lit(1))
+    earlier = (n, F.when(n > 0, F.col("c") + s / some).otherwise(0.0), F.greatest(t - s * s / some, F.lit(0.0)))
+    carry = carry.select("__r", *[c.alias(f"__c{i}") for i, c in enumerate(earlier)])
+    if start is not None:
+        old = start.select(F.struct(*keys).alias("__s"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(("n", "mean", "m2"))])
+        carry = carry.join(old.hint("merge"), F.col("__r.k") == F.col("__s"), "left")
+        both = _merged(tuple(F.coalesce(f"__o{i}", F.lit(0)) for i in range(3)), tuple(F.col(f"__c{i}") for i in range(3)))
+        carry = carry.select("__r", *[c.alias(f"__c{i}") for i, c in enumerate(both)])
+    inside = Window.partitionBy("__k").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    n, a, q = (f(F.col("__x")).over(inside) for f in (F.count, F.avg, F.var_pop))
+    out = rows.select("*", n.alias("__i0"), F.coalesce(a, F.lit(0.0)).alias("__i1"), F.coalesce(q, F.lit(0.0)).alias("__i2"))
+    out = out.withColumn("__i2", F.col("__i2") * F.col("__i0")).join(carry.hint("merge"), F.col("__k") == F.col("__r"))
+    both = _merged(tuple(F.col(f"__c{i}") for i in range(3)), tuple(F.col(f"__i{i}") for i in range(3)))
+    return out.select(*[f"`{c}`" for c in rows.drop("__k", "__x").columns], *[c.alias(name) for c, name in zip(both, ("__n", "__mean", "__m2"))])
+
+
+def flag_anomalies(runs: DataFrame, limit: float = 2.0, keys: tuple = ("sensor_type",), block: int = 1 << 16, start: DataFrame | None = None) -> DataFrame:
     """Each run against earlier runs (by id) of its sensor only: anomalous if more than ``limit`` spreads from their mean.
 
-    Below two earlier runs, without spread, or with a NaN or null rmse a run is never anomalous.
+    Below two earlier runs, without spread, or with a NaN or null rmse a run is never anomalous. ``start`` holds the
+    :func:`moments` of runs that are earlier than all of these.
     """
-    centre = runs.agg(F.avg(finite("rmse"))).first()[0] or 0.0  # sums about it keep their digits
-    out = _sums_before(runs, keys, "id", finite("rmse") - centre, block)
-    n, s, q = F.col("__n"), F.col("__s"), F.col("__q")
-    spread = F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))
-    out = out.withColumn("n_prior", n).withColumn("baseline_mean", F.when(n >= 2, s / n + centre)).withColumn("baseline_std", F.when(n >= 2, spread))
-    far = F.abs(finite("rmse") - F.col("baseline_mean")) / F.col("baseline_std") > limit
-    return out.withColumn("anomalous", F.coalesce((F.col("baseline_std") > 0) & far, F.lit(False))).drop("__x", "__n", "__s", "__q")
+    x = finite("rmse")
+    out = _moments_before(runs, keys, "id", x, block, start)
+    n, known = F.col("__n"), F.col("__n") >= 2
+    out = out.withColumn("n_prior", n).withColumn("baseline_mean", F.when(known, F.col("__mean"))).withColumn("baseline_std", F.when(known, F.sqrt(F.col("__m2") / (n - 1))))
+    far = F.when(F.col("baseline_std") > 0, F.abs(x - F.col("baseline_mean")) / F.col("baseline_std") > limit)
+    return out.withColumn("anomalous", F.coalesce(far, F.lit(False))).drop("__n", "__mean", "__m2")
 
 
 def sensor_summary(flagged: DataFrame) -> DataFrame:

@@ -73,6 +73,12 @@ def listed(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
     return [(f.getPath().getName(), f.getPath().toString()) for f in system.listStatus(at)] if system.exists(at) else []
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder with what is in it."""
+    system, at = _at(spark, path)
+    system.delete(at, True)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     system, at = _at(spark, path)
     stream = system.open(at)

@@ -7,10 +7,12 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessella.functions.scoring import finite
-from tessella.session import new_folder
+from tessella.operators.history import flag_anomalies, moments
+from tessella.session import discard, listed, materialize, new_folder, remove
 from tessella.sources.labels import telemetry
 
 SCORED = "id long, sensor_type string, rmse double, n_prior long, baseline_mean double, baseline_std double, anomalous boolean"
@@ -46,6 +48,102 @@ def score_stream(runs: DataFrame, limit: float = 2.0) -> DataFrame:
     )
 
 
+class _Hold(StatefulProcessor):
+    """Keeps rows until the watermark has come to their time. One timer a key, for the earliest row that waits."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "t long, row string")
+        self.next = handle.getValueState("next", "t long")
+
+    def _wake(self, t: int) -> None:
+        if self.next.exists():
+            old = self.next.get()[0]
+            if old <= t:
+                return
+            self.handle.deleteTimer(old - 1)
+        self.handle.registerTimer(t - 1)  # a timer goes off when the watermark is past it
+        self.next.update((t,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        now, least = timerValues.getCurrentWatermarkInMs(), None
+        for part in rows:
+            due = part["t"].isna() | (part["t"] <= now)
+            if due.any():
+                yield part.loc[due, ["row"]]
+            waits = [(int(t), row) for t, row in zip(part["t"][~due], part["row"][~due])]
+            if waits:
+                self.rows.appendList(waits)
+                first = min(t for t, _ in waits)
+                least = first if least is None else min(least, first)
+        if least is not None:
+            self._wake(least)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        due, waits = [], []
+        for t, row in self.rows.get():
+            if t <= now:
+                due.append(row)
+            else:
+                waits.append((t, row))
+        self.next.clear()
+        self.rows.clear()
+        if waits:
+            self.rows.put(waits)
+            self._wake(min(t for t, _ in waits))
+        yield pd.DataFrame({"row": due}, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(stream: DataFrame, time: str, delay: str = "10 minutes", parts: int = 64) -> DataFrame:
+    """The rows of a stream, held back until the watermark (latest ``time`` less ``delay``) has reached them, so that rows of one
+    trigger are never earlier than rows of triggers before. Rows that come later than that, or without a time, pass at once;
+    none is dropped. The last rows of a stream wait until later ones come.
+
+    State lies with ``parts`` keys by a hash of the row, so no key of the data gets a task of its own. Sets the RocksDB state
+    store, which keyed state with timers needs, for queries that the session starts from now on.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    micros = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in stream.columns]), micros)
+    # the time goes on as a number: rows with a watermark column would be dropped when late
+    marked = stream.withColumn("__at", F.col(time).cast("timestamp")).withWatermark("__at", delay).select(F.unix_millis("__at").alias("t"), row.alias("row"))
+    held = marked.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))).groupBy("part").transformWithStateInPandas(_Hold(), "row string", "append", "eventTime")
+    return held.select(F.from_json("row", stream.schema, micros).alias("r")).select("r.*")
+
+
+def score_to(runs: DataFrame, folder: str, limit: float = 2.0, block: int = 1 << 16) -> DataStreamWriter:
+    """Scores a stream of runs like ``history.flag_anomalies`` into ``folder/scored``, whatever share of the runs one sensor has.
+
+    A trigger's runs are scored by two-level windows on top of each sensor's count, mean and squared deviations, and the sums
+    after it are written to ``folder/state``, a table a trigger, the last two of which stay. A trigger that is run again reads
+    the table before its own and replaces its rows, so every run is scored once. Put :func:`in_order` before it if runs come
+    out of order; runs of one trigger are taken in order of id. Start what is returned, with a checkpoint location.
+    """
+
+    def score(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        rows = materialize(rows.select("id", "sensor_type", "rmse"))
+        made = sorted(int(name) for name, _ in listed(spark, f"{folder}/state") if name.isdigit() and int(name) < batch)
+        start = spark.read.schema("sensor_type string, n long, mean double, m2 double").parquet(f"{folder}/state/{made[-1]}") if made else None
+        scored = flag_anomalies(rows, limit, block=block, start=start)
+        scored.select("id", "sensor_type", "rmse", "n_prior", "baseline_mean", "baseline_std", "anomalous").write.mode("overwrite").parquet(f"{folder}/scored/trigger={batch}")
+        moments(rows, ("sensor_type",), finite("rmse"), start).write.mode("overwrite").parquet(f"{folder}/state/{batch}")
+        for old in made[:-1]:
+            remove(spark, f"{folder}/state/{old}")
+        discard(rows)
+
+    return runs.writeStream.foreachBatch(score)
+
+
+def scored_runs(spark, folder: str) -> DataFrame:
+    """What :func:`score_to` has written so far."""
+    return spark.read.schema(f"{SCORED}, trigger long").parquet(f"{folder}/scored").drop("trigger")
+
+
 def summary_stream(scored: DataFrame) -> DataFrame:
     """Running summary per sensor; write it in update or complete mode."""
     return scored.groupBy("sensor_type").agg(F.count("*").alias("n_runs"), F.avg(finite("rmse")).alias("mean_rmse"))
