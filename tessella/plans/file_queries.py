@@ -25,17 +25,35 @@ def _customers(spark, sf):
     return spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"))
 
 
-@query("s2_pds4_labels", """SELECT 'p' || k AS product_id, epoch(TIMESTAMP '2024-05-06 07:00:08')::BIGINT + 60 * (k % 60) AS start_s, 'f' || k || '.img' AS file_name, k * 16 AS "offset", (k % 100 + 1)::INTEGER AS lines, (k % 50 + 2)::INTEGER AS samples,
-CASE WHEN k % 7 > 0 THEN (k % 90)::DOUBLE END AS sun_elevation, (k % 80)::DOUBLE AS lat, ((360 - k % 180) % 360)::DOUBLE AS lon FROM (SELECT c_custkey::BIGINT AS k FROM customer)""")
-def s2_pds4_labels(spark, sf):
+_LABELS = """SELECT 'p' || k AS product_id, epoch(TIMESTAMP '2024-05-06 07:00:08')::BIGINT + 60 * (k % 60) AS start_s, 'f' || k || '.img' AS file_name, k * 16 AS "offset", (k % 100 + 1)::INTEGER AS lines, (k % 50 + 2)::INTEGER AS samples,
+CASE WHEN k % 7 > 0 THEN (k % 90)::DOUBLE END AS sun_elevation, (k % 80)::DOUBLE AS lat, ((360 - k % 180) % 360)::DOUBLE AS lon FROM (SELECT c_custkey::BIGINT AS k FROM customer)"""
+
+
+def _label_texts(spark, sf):
     """Every seventh label has an empty sun elevation."""
     sun = F.when(F.col("k") % 7 > 0, (F.col("k") % 90).cast("string")).otherwise("")
     value = F.format_string(_XML, F.col("k") % 60, "k", F.col("k") * 16, F.col("k") % 100 + 1, F.col("k") % 50 + 2, sun, F.col("k") % 80, F.col("k") % 180)
-    out = labels.pds4_fields(_customers(spark, sf).select(F.format_string("d/p%d.xml", "k").alias("path"), value.alias("value")))
+    return _customers(spark, sf).select(F.format_string("d/p%d.xml", "k").alias("path"), value.alias("value"))
+
+
+def _label_columns(out):
     corner = F.col("corners")[0]
     return out.select("product_id", F.unix_timestamp("start").alias("start_s"), "file_name", "offset", "lines", "samples", "sun_elevation", corner["lat"].alias("lat"), corner["lon"].alias("lon"))
 
 
+@query("s2_pds4_labels", _LABELS)
+def s2_pds4_labels(spark, sf):
+    return _label_columns(labels.pds4_fields(_label_texts(spark, sf)))
+
+
+@query("z3_label_stream", _LABELS)
+def z3_label_stream(spark, sf):
+    """The labels as new files of a folder."""
+    at = new_folder(spark)
+    records.write_files(_label_texts(spark, sf).select(F.substring_index("path", "/", -1).alias("name"), F.col("value").alias("content")), at)
+    return _label_columns(streams.drain(streams.label_stream(spark, at)))
+
+
 @query("s3_pds3_labels", """SELECT 'p' || k AS product_id, (k % 100 + 1)::INTEGER AS lines, CASE k % 3 WHEN 0 THEN (k % 9) * 40 WHEN 1 THEN k ELSE (k % 9) * 40 END AS "offset", CASE k % 3 WHEN 2 THEN NULL ELSE 'PIC' || k || '.IMG' END AS file_name, k::INTEGER AS orbit
 FROM (SELECT c_custkey::BIGINT AS k FROM customer)""")
 def s3_pds3_labels(spark, sf):

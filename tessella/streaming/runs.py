@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tessella.functions.scoring import finite
 from tessella.operators.history import flag_anomalies, moments
 from tessella.session import discard, listed, materialize, new_folder, remove
-from tessella.sources.labels import telemetry
+from tessella.sources.labels import pds4_fields, telemetry
 
 SCORED = "id long, sensor_type string, rmse double, n_prior long, baseline_mean double, baseline_std double, anomalous boolean"
 
@@ -155,6 +156,13 @@ def telemetry_stream(spark, path: str) -> DataFrame:
     return telemetry(lines.select("value", F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+?)(?:\.[^.]*)?$", 1).alias("product_id")))
 
 
+def label_stream(spark, path: str, fields: Callable[[DataFrame], DataFrame] = pds4_fields) -> DataFrame:
+    """New label files of a folder, each a whole text, as rows of ``fields``: ``labels.pds4_fields``, ``labels.pds3_fields`` for
+    detached keyword labels, or ``labels.footprint_rings``. None is left out, whatever fields it lacks."""
+    texts = spark.readStream.format("text").option("wholetext", True).load(path)
+    return fields(texts.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
 def results_stream(spark, path: str, schema: str) -> DataFrame:
     """New JSON-lines result files of a folder."""
     return spark.readStream.schema(schema).json(path)

@@ -102,6 +102,22 @@ def test_telemetry_and_stream(spark, tmp_path):
     assert spark.table("tele").count() == 3 and spark.table("tele").where("product_id = 'p2'").count() == 1
 
 
+def test_label_stream(spark, tmp_path):
+    """Files that come later are read by the next trigger; a file that is no label gives a row without lines, its image at byte 0 as in a label without a pointer."""
+    src = tmp_path / "labels"
+    src.mkdir()
+    label = "PDS_VERSION_ID = PDS3\r\nRECORD_BYTES = 40\r\n^IMAGE = (\"A.IMG\",3)\r\nLINES = %d\r\nLINE_SAMPLES = 5\r\nEND\r\n"
+    put(src / "a.lbl", label % 7)
+    stream = streams.label_stream(spark, str(src), labels.pds3_fields).select("product_id", "lines", "offset")
+    q = stream.writeStream.format("memory").queryName("lbl").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    put(src / "b.lbl", label % 9)
+    put(src / "c.lbl", "nothing")
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(tuple(r) for r in spark.table("lbl").collect()) == [("a", 7, 80), ("b", 9, 80), ("c", None, 0)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = [(i, "ab"[i % 2], float(v) if i % 9 else float("nan")) for i, v in enumerate(rng.normal(5, 1, 120))]
