@@ -103,7 +103,8 @@ def _moments_before(rows: DataFrame, keys: tuple, order: str, x: Column, block:
 def flag_anomalies(runs: DataFrame, limit: float = 2.0, keys: tuple = ("sensor_type",), block: int = 1 << 16, start: DataFrame | None = None) -> DataFrame:
     """Each run against earlier runs (by id) of its sensor only: anomalous if more than ``limit`` spreads from their mean.
 
-    Below two earlier runs, without spread, or with a NaN or null rmse a run is never anomalous. ``start`` holds the
+    Below two earlier runs, without spread, or with a NaN or null rmse a run is never anomalous. A null sensor is a sensor, and a
+    null id comes before all others. ``start`` holds the
     :func:`moments` of runs that are earlier than all of these.
     """
     x = finite("rmse")
