@@ -27,19 +27,30 @@ def fit_affine(points: DataFrame) -> DataFrame:
     return sums.select("run_id", F.col("n").alias("n_points"), F.when((F.col("n") >= 3) & (F.abs(det) > 1e-9), h).alias("h"))
 
 
-def _dlt(src: np.ndarray, ref: np.ndarray) -> np.ndarray | None:
-    """A homography by direct linear transform on normalised coordinates."""
+def _dlt(src: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Homographies by direct linear transform on normalised coordinates, of many sets of points ``(sets, points, 2)`` at once; NaN
+    where there is none."""
     def normal(p):
-        c, s = p.mean(axis=0), np.sqrt(2) / max(1e-12, np.sqrt(((p - p.mean(axis=0)) ** 2).sum(axis=1)).mean())
-        return np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1]])
-
-    a, b = normal(src), normal(ref)
-    x = np.c_[src, np.ones(len(src))] @ a.T
-    u = np.c_[ref, np.ones(len(ref))] @ b.T
+        c = p.mean(axis=1)
+        s = np.sqrt(2) / np.maximum(1e-12, np.sqrt(((p - c[:, None]) ** 2).sum(axis=2)).mean(axis=1))
+        m = np.zeros((len(p), 3, 3))
+        m[:, 0, 0] = m[:, 1, 1] = s
+        m[:, :2, 2] = -s[:, None] * c
+        m[:, 2, 2] = 1
+        return m
+
+    out = np.full((len(src), 3, 3), np.nan)
+    fine = np.flatnonzero(np.isfinite(src).all(axis=(1, 2)) & np.isfinite(ref).all(axis=(1, 2)))
+    src, ref = src[fine], ref[fine]
+    a, b, one = normal(src), normal(ref), np.ones((*src.shape[:2], 1))
+    x = np.concatenate([src, one], axis=2) @ a.transpose(0, 2, 1)
+    u = np.concatenate([ref, one], axis=2) @ b.transpose(0, 2, 1)
     zero = np.zeros_like(x)
-    rows = np.vstack([np.hstack([x, zero, -u[:, :1] * x]), np.hstack([zero, x, -u[:, 1:2] * x])])
-    h = np.linalg.inv(b) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ a
-    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
+    rows = np.concatenate([np.concatenate([x, zero, -u[:, :, :1] * x], axis=2), np.concatenate([zero, x, -u[:, :, 1:2] * x], axis=2)], axis=1)
+    h = np.linalg.inv(b) @ np.linalg.svd(rows)[2][:, -1].reshape(-1, 3, 3) @ a
+    ok = np.abs(h[:, 2, 2]) > 1e-12
+    out[fine[ok]] = h[ok] / h[ok, 2:, 2:]
+    return out
 
 
 def _errors(h: np.ndarray, src: np.ndarray, ref: np.ndarray) -> np.ndarray:
@@ -48,35 +59,57 @@ def _errors(h: np.ndarray, src: np.ndarray, ref: np.ndarray) -> np.ndarray:
         return np.nan_to_num(np.hypot(p[:, 0] / p[:, 2] - ref[:, 0], p[:, 1] / p[:, 2] - ref[:, 1]), nan=np.inf)
 
 
-def _hypotheses(tries: int):
-    """Four-point fits of one run's draws, 4 * tries points of it in order."""
+def _picked(block: int):
+    """Of one block of a run's points, those that the run's draws ask for, with the numbers of the draws."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        src, ref = (pdf[c].to_numpy(float).reshape(-1, 4, 2) for c in (["src_x", "src_y"], ["ref_x", "ref_y"]))
-        hs = []
-        for p, q in zip(src, ref, strict=True):
-            h = _dlt(p, q) if len(np.unique(p, axis=0)) == 4 else None  # a point may be drawn twice
-            hs.append(np.full(9, np.nan) if h is None else h.ravel())
-        return pd.DataFrame({"run_id": [key[0]], "hs": [np.concatenate(hs).tolist()]})
+    def run(batches):
+        for pdf in batches:
+            t, xy = [], []
+            for b, pts, draws in zip(pdf["b"], pdf["pts"], pdf["draws"]):
+                at = np.asarray(draws, np.int64)
+                here = np.flatnonzero(at // block == b)
+                t.append(here.astype(np.int32))
+                xy.append(_points(pts)[at[here] % block].ravel())
+            yield pd.DataFrame({"run_id": pdf["run_id"], "t": t, "xy": xy})
 
     return run
 
 
-def _points(pts) -> tuple[np.ndarray, np.ndarray]:
-    p = np.array([[x["src_x"], x["src_y"], x["ref_x"], x["ref_y"]] for x in pts], float)
-    return p[:, :2], p[:, 2:]
+def _hypotheses(batches):
+    """Four-point fits of each run's draws: the first four make the first fit, and so on."""
+    for pdf in batches:
+        out = []
+        for t, xy in zip(pdf["t"], pdf["xy"]):
+            p = np.asarray(xy, float).reshape(-1, 4)[np.argsort(np.asarray(t))].reshape(-1, 4, 4)
+            src, ref = p[:, :, :2], p[:, :, 2:]
+            h = _dlt(src, ref)
+            same = [(src[:, i] == src[:, j]).all(axis=1) for i in range(4) for j in range(i)]
+            h[np.any(same, axis=0)] = np.nan  # a point may be drawn twice
+            out.append(h.ravel())
+        yield pd.DataFrame({"run_id": pdf["run_id"], "hs": out})
+
+
+def _points(pts) -> np.ndarray:
+    """A block's ``src_x, src_y, ref_x, ref_y``, one row a point in order of its number."""
+    p = np.asarray(pts, float).reshape(-1, 5)
+    return p[np.argsort(p[:, 0]), 1:]
 
 
-def _votes(threshold: float):
-    """Of one block of points, how many each transform fits."""
+def _votes(threshold: float, part: int = 32):
+    """Of one block of points, how many each transform fits; ``part`` transforms at once."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for pts, hs in zip(pdf["pts"], pdf["hs"]):
-                src, ref = _points(pts)
-                out.append([int((_errors(h, src, ref) <= threshold).sum()) for h in np.asarray(hs, float).reshape(-1, 3, 3)])
+                p = _points(pts)
+                x, hs = np.c_[p[:, :2], np.ones(len(p))].T, np.asarray(hs, float).reshape(-1, 3, 3)
+                votes = []
+                with np.errstate(all="ignore"):  # NaN fits nothing
+                    for i in range(0, len(hs), part):
+                        q = hs[i : i + part] @ x
+                        votes.append((np.hypot(q[:, 0] / q[:, 2] - p[:, 2], q[:, 1] / q[:, 2] - p[:, 3]) <= threshold).sum(axis=1))
+                out.append(np.concatenate(votes))
             yield pd.DataFrame({"run_id": pdf["run_id"], "votes": out})
 
     return run
@@ -89,7 +122,7 @@ def _normal_sums(threshold: float):
         for pdf in batches:
             out = []
             for pts, h, (cx, cy, cs, ux, uy, us) in zip(pdf["pts"], pdf["hs"], pdf["norm"]):
-                src, ref = _points(pts)
+                src, ref = np.hsplit(_points(pts), 2)
                 ok = _errors(np.asarray(h, float).reshape(3, 3), src, ref) <= threshold
                 x = np.c_[(src[ok] - (cx, cy)) / cs, np.ones(ok.sum())]
                 u = (ref[ok] - (ux, uy)) / us
@@ -116,7 +149,8 @@ def fit_robust(points: DataFrame, threshold: float = 3.0, tries: int = 300, bloc
 
     Four-point fits are drawn from all points of a run: points are numbered in order of ``match_idx`` (in ranges, then over
     ranges), and draws are numbers by a hash of the run and the draw. All points vote on every fit and enter the refit as sums,
-    in blocks of about ``block`` of a run, so a large run spreads over many tasks.
+    in blocks of at most ``block`` successive points of a run, so a large run spreads over many tasks. A block gives the points drawn
+    of it, so draws and points meet block by block.
     """
     tables = Tables(points.sparkSession)
     kind = points.schema["run_id"].dataType.simpleString()
@@ -124,15 +158,17 @@ def fit_robust(points: DataFrame, threshold: float = 3.0, tries: int = 300, bloc
     cols = tables.keep(points.select("run_id", "match_idx", *[F.col(c).cast("double").alias(c) for c in xy]))
     totals = tables.keep(cols.groupBy("run_id").agg(F.count("*").alias("total"), *[f(c).alias(f"{n}_{c}") for c in xy for n, f in (("m", F.avg), ("s", F.stddev_pop))]))
     numbered = interleave(cols.withColumnsRenamed({"run_id": "lane", "match_idx": "task"}), tables).select(F.col("lane").alias("run_id"), (F.col("turn") - 1).alias("at"), *xy)
-    draw = totals.where("total >= 4").select("run_id", "total", F.explode(F.sequence(F.lit(0), F.lit(4 * tries - 1))).alias("t"))
-    draw = tables.keep(draw.select("run_id", "t", F.pmod(F.xxhash64("run_id", "t"), F.col("total")).alias("at")))
-    drawn = draw.join(numbered.hint("merge"), ["run_id", "at"])
-    fits = tables.keep(drawn.select("run_id", "t", *xy).groupBy("run_id").applyInPandas(_hypotheses(tries), f"run_id {kind}, hs array<double>"))
+    number = F.struct((F.col("at") % block).cast("double").alias("at"), *xy)
+    flat = F.flatten(F.transform(F.collect_list(number), lambda p: F.array(p["at"], *[p[c] for c in xy])))
+    blocks = tables.keep(numbered.groupBy("run_id", F.expr(f"at div {block}").alias("b")).agg(flat.alias("pts")))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(4 * tries - 1)), lambda t: F.pmod(F.xxhash64("run_id", t), F.col("total")))
+    asked = blocks.join(totals.where("total >= 4").select("run_id", draws.alias("draws")).hint("merge"), "run_id")
+    drawn = asked.select("run_id", "b", "pts", "draws").mapInPandas(_picked(block), f"run_id {kind}, t array<int>, xy array<double>")
+    drawn = drawn.groupBy("run_id").agg(F.flatten(F.collect_list("t")).alias("t"), F.flatten(F.collect_list("xy")).alias("xy"))
+    fits = tables.keep(drawn.mapInPandas(_hypotheses, f"run_id {kind}, hs array<double>"))
     size = lambda a, b: F.greatest(F.lit(1e-12), F.sqrt((F.col(f"s_{a}") ** 2 + F.col(f"s_{b}") ** 2 + ((F.col(f"m_{a}") - F.col(f"m_{b}")) / 2) ** 2 * 2) / 2))
     norm = F.array("m_src_x", "m_src_y", size("src_x", "src_y"), "m_ref_x", "m_ref_y", size("ref_x", "ref_y"))
     fits = fits.join(totals.select("run_id", norm.alias("norm")).hint("merge"), "run_id")
-    dealt = cols.join(totals.select("run_id", "total").hint("merge"), "run_id").withColumn("b", F.pmod(F.hash("match_idx"), F.ceil(F.col("total") / block)))
-    blocks = tables.keep(dealt.groupBy("run_id", "b").agg(F.collect_list(F.struct("src_x", "src_y", "ref_x", "ref_y")).alias("pts")))
 
     def voted(h: DataFrame) -> DataFrame:
         both = blocks.join(h.where("hs is not null").select("run_id", "hs").hint("merge"), "run_id").select("run_id", "pts", "hs")
