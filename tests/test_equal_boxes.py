@@ -47,7 +47,7 @@ def test_points_on_an_edge_are_not_inside(spark, tmp_path):
     """Many craters lie on edges of quads; the query counts what its SQL counts."""
     import duckdb
 
-    spark.range(0, 4000, 500).selectExpr("id as c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(0, 3000, 5).selectExpr("id as c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
     spark.range(0, 400000, 40).selectExpr("id as o_orderkey", "1000.0D as o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
     c = duckdb.connect()
     for t in ("customer", "orders"):
