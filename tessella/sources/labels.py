@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessella.functions.geo import lon360
 from tessella.functions.text import parse_time, sample_dtype, stem
@@ -46,11 +49,44 @@ def pds4_labels(spark: SparkSession, path: str) -> DataFrame:
     return pds4_fields(_texts(spark, path))
 
 
+#: Elements of an XML label that are read, and the axes of its array.
+_ELEMENTS = (
+    "start_date_time", "stop_date_time", "file_name", "offset", "data_type", "spacecraft_altitude", "pixel_resolution", "sun_azimuth", "sun_elevation", "solar_incidence", "md5_checksum",
+    *(f"{k}_{c}" for k in ("upper_left", "upper_right", "lower_left", "lower_right") for c in ("latitude", "longitude")),
+)
+_AXES = ("Line", "Sample", "Band")
+
+
+def label_values(text: str | None) -> dict[str, str]:
+    """The text of the first element of each name, whatever its prefix, and the elements of each axis, from one pass over a label."""
+    found: dict[str, str] = {}
+    if text is None:
+        return found
+    names = {*_ELEMENTS}
+    for e in ElementTree.fromstring(text).iter():
+        name = e.tag.rpartition("}")[2]
+        if name in names and name not in found:
+            found[name] = "".join(e.itertext())
+        elif name == "Axis_Array":
+            parts = [(c.tag.rpartition("}")[2], "".join(c.itertext())) for c in e]
+            size = next((v for n, v in parts if n == "elements"), None)
+            for n, v in parts:
+                if n == "axis_name" and v in _AXES and size is not None:
+                    found.setdefault(v, size)
+    return found
+
+
+@F.pandas_udf(StructType([StructField(k, StringType()) for k in (*_ELEMENTS, *_AXES)]))
+def _label_parts(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([label_values(t) for t in texts], columns=[*_ELEMENTS, *_AXES], dtype=object)
+
+
 def pds4_fields(t: DataFrame) -> DataFrame:
-    """Times, geometry, array shape and file name of XML labels ``(path, value)``."""
-    x = lambda name: F.nullif(F.trim(F.xpath_string("value", F.lit(f"//*[local-name()='{name}']"))), F.lit(""))
+    """Times, geometry, array shape and file name of XML labels ``(path, value)``. Each label is parsed once."""
+    t = t.select("path", _label_parts("value").alias("__x"))
+    x = lambda name: F.nullif(F.trim(F.col("__x")[name]), F.lit(""))
     num = lambda name: x(name).try_cast("double")
-    axis = lambda name: F.xpath_string("value", F.lit(f"//*[local-name()='Axis_Array'][*[local-name()='axis_name']='{name}']/*[local-name()='elements']")).try_cast("int")
+    axis = lambda name: F.col("__x")[name].try_cast("int")
     corner = lambda k: F.struct(num(f"{k}_latitude").alias("lat"), lon360(num(f"{k}_longitude")).alias("lon"))
     corners = F.array(*[corner(k) for k in ("upper_left", "upper_right", "lower_left", "lower_right")])
     return t.select(
