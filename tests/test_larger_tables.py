@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessella.operators import footprints
+from tessella.operators import catalog, footprints
 
 
 def plan(df):
@@ -21,3 +21,14 @@ def test_extents_broadcast_no_frames(spark):
     out = footprints.verified_extent(grid, frames(spark, (0, 1)))
     assert "Broadcast" not in plan(out)
     assert sorted((r.pair_id, r.n_verified, r.n_rejected, r.along_km) for r in out.collect()) == [(i, 20, 0, 270.0) for i in (0, 1)]
+
+
+def test_pairs_of_points_and_boxes_are_found_once_a_place_and_box(spark):
+    """Equal places and boxes, one box over 0/360: the rows are those of the plain join, each with its column."""
+    craters = spark.createDataFrame([(i, lon, 1.0) for i, lon in enumerate((0.5, 0.5, 359.5, 180.0, 3.0))], "crater_id long, lon double, lat double")
+    boxes = spark.createDataFrame([(1, 359.0, 361.0, 0.0, 4.0), (2, 359.0, 361.0, 0.0, 4.0), (3, 0.5, 3.0, 1.0, 2.0)], "product_id long, lon0 double, lon1 double, lat0 double, lat1 double")
+    got = catalog.each_in_boxes(craters, boxes, part=(F.col("lat") - F.col("lat0")) / (F.col("lat1") - F.col("lat0")))
+    key = lambda r: (r.product_id, r.crater_id, r.lon_in)
+    assert sorted(map(key, got.collect())) == sorted(map(key, catalog.in_boxes(craters, boxes).collect())) == [(1, 0, 360.5), (1, 1, 360.5), (1, 2, 359.5), (2, 0, 360.5), (2, 1, 360.5), (2, 2, 359.5), (3, 0, 0.5), (3, 1, 0.5), (3, 4, 3.0)]
+    assert {(r.product_id, r.part) for r in got.collect()} == {(1, 0.25), (2, 0.25), (3, 0.0)}
+    assert [(r.product_id, r.crater_id) for r in catalog.each_in_boxes(craters, boxes, boundary="interior").collect() if r.product_id == 3] == []
