@@ -46,17 +46,18 @@ def covering_file(times: DataFrame, coverage: DataFrame) -> DataFrame:
 
     An interval is cut into whole buckets of microseconds, each level of buckets four times as wide, and only the first file
     of a bucket counts; a time asks its bucket at every level. Both are a bounded number of rows, however many intervals
-    hold a time. Times before 1970 are moved up by a multiple of all widths.
+    hold a time. Equal intervals are cut once and equal times ask once. Times before 1970 are moved up by a multiple of all widths.
     """
     shift = 1 << 2 * _LEVELS - 3
     c = coverage.select("file", (F.unix_micros("start") + shift).alias("a"), (F.unix_micros("stop") + shift).alias("z")).where("z >= a")
+    c = c.groupBy("a", "z").agg(F.min("file").alias("file"))
     first = c.select("file", F.explode(F.expr(_CUT)).alias("c")).groupBy("c.level", "c.bucket").agg(F.min("file").alias("file"))
     levels = first.select("level").distinct()
     known = sorted(r.level for r in levels.collect())  # at most _LEVELS rows
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.expr(f"(unix_micros(ts) + {shift}L) div {_FAN**n}L").alias("bucket")) for n in known])) if known else F.explode(F.expr("cast(array() as array<struct<level:int,bucket:bigint>>)"))
-    t = times.select("time_id", each.alias("c")).select("time_id", "c.level", "c.bucket")
-    best = t.join(first.hint("merge"), ["level", "bucket"]).groupBy("time_id").agg(F.min("file").alias("file"))
-    return times.join(best.hint("merge"), "time_id", "left")
+    t = times.select("ts").distinct().select("ts", each.alias("c")).select("ts", "c.level", "c.bucket")
+    best = t.join(first.hint("merge"), ["level", "bucket"]).groupBy("ts").agg(F.min("file").alias("file"))
+    return times.join(best.hint("merge"), "ts", "left").select(*times.columns, "file")
 
 
 def run_geometry(runs: DataFrame, acquisitions: DataFrame, telemetry: DataFrame, footprints: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessella.operators import catalog, footprints
+from tessella.operators import catalog, footprints, telemetry
 
 
 def plan(df):
@@ -32,3 +32,12 @@ def test_pairs_of_points_and_boxes_are_found_once_a_place_and_box(spark):
     assert sorted(map(key, got.collect())) == sorted(map(key, catalog.in_boxes(craters, boxes).collect())) == [(1, 0, 360.5), (1, 1, 360.5), (1, 2, 359.5), (2, 0, 360.5), (2, 1, 360.5), (2, 2, 359.5), (3, 0, 0.5), (3, 1, 0.5), (3, 4, 3.0)]
     assert {(r.product_id, r.part) for r in got.collect()} == {(1, 0.25), (2, 0.25), (3, 0.0)}
     assert [(r.product_id, r.crater_id) for r in catalog.each_in_boxes(craters, boxes, boundary="interior").collect() if r.product_id == 3] == []
+
+
+def test_equal_times_ask_once_and_each_row_has_its_own_file(spark):
+    """One id at two times: the file goes with the time."""
+    stamp = lambda c: F.col(c).cast("timestamp")
+    c = spark.createDataFrame([("b", "2020-01-01", "2020-01-02"), ("a", "2020-01-01", "2020-01-02"), ("0", "2020-02-01", "2020-02-02")], "file string, start string, stop string")
+    t = spark.createDataFrame([(1, "2020-01-02"), (1, "2020-02-01"), (2, "2020-01-02"), (3, "2021-01-01")], "time_id long, ts string").withColumn("ts", stamp("ts"))
+    out = telemetry.covering_file(t, c.withColumn("start", stamp("start")).withColumn("stop", stamp("stop")))
+    assert sorted((r.time_id, str(r.ts.date()), r.file) for r in out.collect()) == [(1, "2020-01-02", "a"), (1, "2020-02-01", "0"), (2, "2020-01-02", "a"), (3, "2021-01-01", None)]
