@@ -1,8 +1,11 @@
 """Work that must not grow faster than the tables."""
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from tessella.operators import catalog, footprints, telemetry
+from tessella.operators import catalog, detections, footprints, matches, telemetry
 
 
 def plan(df):
@@ -41,3 +44,37 @@ def test_equal_times_ask_once_and_each_row_has_its_own_file(spark):
     t = spark.createDataFrame([(1, "2020-01-02"), (1, "2020-02-01"), (2, "2020-01-02"), (3, "2021-01-01")], "time_id long, ts string").withColumn("ts", stamp("ts"))
     out = telemetry.covering_file(t, c.withColumn("start", stamp("start")).withColumn("stop", stamp("stop")))
     assert sorted((r.time_id, str(r.ts.date()), r.file) for r in out.collect()) == [(1, "2020-01-02", "a"), (1, "2020-02-01", "0"), (2, "2020-01-02", "a"), (3, "2021-01-01", None)]
+
+
+def test_nearest_of_whole_images_and_of_cells_are_the_same(spark):
+    """Small integer places, so that distances tie and places repeat; strips of more than one width."""
+    rng = np.random.default_rng(3)
+    rows = [(m, i, float(x), float(y), float(1 + i % 3), 100, 80) for m, n in ((0, 1), (1, 5), (2, 900)) for i, (x, y) in enumerate(rng.integers(0, 60 if n < 9 else 40, (n, 2)).tolist())]
+    nodes = spark.createDataFrame(rows, "image_id long, det_id long, cx double, cy double, radius_px double, width int, height int")
+    want = []
+    for m in (1, 2):
+        own = [r for r in rows if r[0] == m]
+        for a in own:
+            near = sorted((math.sqrt((b[2] - a[2]) ** 2 + (b[3] - a[3]) ** 2), b[1]) for b in own if b is not a)[:6]
+            want += [(m, a[1], b, k + 1, round(d / math.hypot(100, 80), 9)) for k, (d, b) in enumerate(near)]
+    for whole in (20_000, 10):
+        got = detections.neighbour_edges(nodes, whole=whole).collect()
+        assert sorted((r.image_id, r.det_id_a, r.det_id_b, r.rank, round(r.dist_norm, 9)) for r in got) == sorted(want)
+    assert "FlatMapGroupsInArrow" in plan(detections.neighbour_edges(nodes))
+
+
+def test_turns_of_pairs_come_as_moments_of_block_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(m, i, *map(float, rng.integers(0, 9, 4))) for m, n in ((1, 40), (2, 2)) for i in range(1, n + 1)]
+    points = spark.createDataFrame(rows, "run_id long, match_idx long, src_x double, src_y double, ref_x double, ref_y double")
+    turns = {}
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1]:
+                s, r = (b[2] - a[2], b[3] - a[3]), (b[4] - a[4], b[5] - a[5])
+                if any(s) and any(r):
+                    turns.setdefault(a[0], []).append((math.degrees(math.atan2(r[1], r[0]) - math.atan2(s[1], s[0])) + 180 + 1e-9) % 360 - 180)
+    out = matches.rotation_consistency(points, block=7)
+    assert "FlatMapGroupsInArrow" in plan(out)
+    got = {r.run_id: r for r in out.collect()}
+    assert {m: (len(d), round(float(np.std(d)), 5)) for m, d in turns.items()} == {m: (r.n_pairs, round(r.rotation_std, 5)) for m, r in got.items()}
