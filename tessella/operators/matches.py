@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.geo import wrapped_diff
 from tessella.session import Tables, materialize
 
 
@@ -179,23 +178,51 @@ def spatial_cap(points: DataFrame, width: float, height: float, n: int = 6, most
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def rotation_consistency(points: DataFrame, least: float = 1e-3, block: int = 64) -> DataFrame:
+def _turns(least: float):
+    """Number, mean and sum of squared deviations of the turns of one pair of blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        run_id, b1, b2 = (table.column(c)[:1] for c in ("run_id", "b1", "b2"))
+        at = {c: table.column(c).to_numpy() for c in ("b", "match_idx", "src_x", "src_y", "ref_x", "ref_y")}
+        order = np.argsort(at["match_idx"], kind="stable")
+        i, j = (order[at["b"][order] == b[0].as_py()] for b in (b1, b2))
+        same, turns = b1[0].as_py() == b2[0].as_py(), [np.zeros(0)]
+        for start in range(0, len(i), 64):  # some rows of the pairs at a time stay in the cache
+            rows, cols = i[start : start + 64, None], j[None, start if same else 0 :]
+            sx, sy, rx, ry = (at[c][cols] - at[c][rows] for c in ("src_x", "src_y", "ref_x", "ref_y"))
+            good = (sx * sx + sy * sy > least * least) & (rx * rx + ry * ry > least * least)
+            if same:
+                good &= at["match_idx"][rows] < at["match_idx"][cols]
+            if not good.all():
+                sx, sy, rx, ry = (v[good] for v in (sx, sy, rx, ry))
+            turns.append(np.arctan2(sx * ry - sy * rx, sx * rx + sy * ry).ravel())
+        d = np.degrees(np.concatenate(turns))
+        d[d == 180] = -180
+        mean = d.mean() if len(d) else 0.0
+        return pa.table({"run_id": run_id, "n": pa.array([len(d)], pa.int64()), "m": [float(mean)], "q": [float(np.square(d - mean).sum())]})
+
+    return run
+
+
+def rotation_consistency(points: DataFrame, least: float = 1e-3, block: int = 512) -> DataFrame:
     """Population spread of the wrapped angle differences between source and reference vectors over all pairs i < j of a run;
     pairs with a vector of ``least`` or shorter don't count.
 
-    All pairs of a run are what the figure is defined over. Points of a run are cut into blocks; block pairs are the keys of
-    the join, so a run's pairs spread over many tasks and leave each one as a partial sum.
+    All pairs of a run are what the figure is defined over. Points of a run are cut into blocks; a point goes to the pairs of
+    blocks that its own is in, and each pair of blocks is one row of moments, so no row a pair is made and a run spreads over many tasks.
     """
-    p = points.select("run_id", "match_idx", "src_x", "src_y", "ref_x", "ref_y").withColumn("b", F.floor(F.col("match_idx") / block))
-    blocks = p.select("run_id", "b").distinct()
-    blocks = materialize(blocks)
+    names = ["match_idx", "src_x", "src_y", "ref_x", "ref_y"]
+    p = points.select("run_id", *names).where(" and ".join(f"{c} is not null" for c in names)).withColumn("b", F.floor(F.col("match_idx") / block))
+    p = p.select("run_id", "b", "match_idx", *[F.col(c).cast("double").alias(c) for c in names[1:]])
+    blocks = materialize(p.select("run_id", "b").distinct())
     grid = blocks.withColumnRenamed("b", "b1").join(blocks.withColumnRenamed("b", "b2").hint("merge"), "run_id").where("b1 <= b2")
-    side = lambda s, b: p.select("run_id", F.col("b").alias(b), *[F.col(c).alias(f"{c}_{s}") for c in ("match_idx", "src_x", "src_y", "ref_x", "ref_y")])
-    pairs = grid.join(side("i", "b1").hint("merge"), ["run_id", "b1"]).join(side("j", "b2").hint("merge"), ["run_id", "b2"]).where("match_idx_i < match_idx_j")
-    d = {k: F.col(f"{k}_j") - F.col(f"{k}_i") for k in ("src_x", "src_y", "ref_x", "ref_y")}
-    good = (F.hypot(d["src_x"], d["src_y"]) > least) & (F.hypot(d["ref_x"], d["ref_y"]) > least)
-    diff = wrapped_diff(F.degrees(F.atan2(d["ref_y"], d["ref_x"])), F.degrees(F.atan2(d["src_y"], d["src_x"])))
-    return pairs.where(good).select("run_id", diff.alias("d")).groupBy("run_id").agg(F.stddev_pop("d").alias("rotation_std"), F.avg("d").alias("mean_rotation"), F.count("*").alias("n_pairs"))
+    grid = grid.select("run_id", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("b"))
+    dealt = p.hint("merge").join(grid, ["run_id", "b"])
+    parts = dealt.groupBy("run_id", "b1", "b2").applyInArrow(_turns(least), f"run_id {points.schema['run_id'].dataType.simpleString()}, n long, m double, q double").where("n > 0")
+    n, own = F.sum("n"), Window.partitionBy("run_id")
+    centre = F.sum(F.col("n") * F.col("m")).over(own) / F.sum("n").over(own)
+    off = F.col("m") - F.col("c")
+    return parts.withColumn("c", centre).groupBy("run_id").agg(F.sqrt(F.sum(F.col("q") + F.col("n") * off * off) / n).alias("rotation_std"), F.first("c").alias("mean_rotation"), n.alias("n_pairs"))
 
 
 def best_matcher(candidates: DataFrame, least_points: int = 4, scorer=None) -> DataFrame:
