@@ -78,3 +78,16 @@ def test_turns_of_pairs_come_as_moments_of_block_pairs(spark):
     assert "FlatMapGroupsInArrow" in plan(out)
     got = {r.run_id: r for r in out.collect()}
     assert {m: (len(d), round(float(np.std(d)), 5)) for m, d in turns.items()} == {m: (r.n_pairs, round(r.rotation_std, 5)) for m, r in got.items()}
+
+
+def test_equal_rings_are_sampled_once(spark):
+    gradients = spark.range(400).select(F.lit(0).alias("image_id"), (F.col("id") % 20).alias("row"), F.expr("id div 20").alias("col"), (F.col("id") % 7 - 3.0).alias("gx"), (F.col("id") % 5 - 2.0).alias("gy"))
+    rows = [(0, 1, 10.0, 10.0, 4.0), (0, 2, 10.0, 10.0, 4.0), (0, 3, 10.0, 10.0, 5.0), (0, 4, 90.0, 90.0, 5.0), (1, 5, 10.0, 10.0, 4.0)]
+    nodes = spark.createDataFrame(rows, "image_id int, det_id long, cx double, cy double, radius_px double")
+    out = detections.rim_texture(nodes, gradients)
+    circles = [f for f in out.inputFiles() if "table-" in f]
+    assert spark.read.parquet(circles[0].rpartition("/")[0]).count() == 4
+    got = {r.det_id: r.texture for r in out.collect()}
+    alone = {d: r.texture for d in (1, 3) for r in detections.rim_texture(nodes.where(F.col("det_id") == d), gradients).collect()}
+    assert sorted(got) == [1, 2, 3] and got[1] == got[2]
+    assert all(abs(a - b) < 1e-12 for d in (1, 3) for a, b in zip(got[d], alone[d])) and got[3] != got[1]
