@@ -20,15 +20,18 @@ def telemetry_summary(records: DataFrame, key: str = "product_id") -> DataFrame:
 def nearest_record(acquisitions: DataFrame, records: DataFrame, tolerance_s: int = 60) -> DataFrame:
     """As-of join both ways: each acquisition with the record nearest in time within the tolerance, ties to the smaller record
     number; without one: nulls. Times fall into buckets of the tolerance's length; an acquisition asks its own and both
-    neighbours, so the join is on equal keys, and the nearest is a partial minimum."""
+    neighbours, so the join is on equal keys, and the nearest is a partial minimum. Acquisitions of one time ask once, and of records
+    of one time only the least number counts."""
     size = tolerance_s * 1_000_000
-    a = acquisitions.withColumn("us", F.unix_micros("ts")).withColumn("bucket", F.explode(F.array(*[F.floor(F.col("us") / size) + i for i in (-1, 0, 1)])))
+    asked = acquisitions.withColumn("us", F.unix_micros("ts"))
+    a = asked.select("us").distinct().withColumn("bucket", F.explode(F.array(*[F.floor(F.col("us") / size) + i for i in (-1, 0, 1)])))
     others = [c for c in records.columns if c not in ("ts", "record_num")]
-    r = records.select(F.unix_micros("ts").alias("rus"), "record_num", F.struct(*others).alias("rec") if others else F.lit(None).alias("rec")).withColumn("bucket", F.floor(F.col("rus") / size))
+    r = records.select(F.unix_micros("ts").alias("rus"), "record_num", F.struct(*others).alias("rec") if others else F.lit(None).alias("rec"))
+    r = r.groupBy("rus").agg(F.min_by("rec", "record_num").alias("rec"), F.min("record_num").alias("record_num")).withColumn("bucket", F.floor(F.col("rus") / size))
     gap = F.abs(F.col("us") - F.col("rus"))
     hits = a.hint("merge").join(r, "bucket").where(gap <= size)
-    best = hits.groupBy("acq_id").agg(F.min_by(F.struct("record_num", "rec", (gap / 1e6).alias("gap_s")), F.struct(gap.alias("g"), "record_num")).alias("b"))
-    out = acquisitions.join(best.hint("merge"), "acq_id", "left").select(*acquisitions.columns, F.col("b.record_num").alias("record_num"), F.col("b.gap_s").alias("gap_s"), F.col("b.rec").alias("rec"))
+    best = hits.groupBy("us").agg(F.min_by(F.struct("record_num", "rec", (gap / 1e6).alias("gap_s")), F.struct(gap.alias("g"), "record_num")).alias("b"))
+    out = asked.join(best.hint("merge"), "us", "left").select(*acquisitions.columns, F.col("b.record_num").alias("record_num"), F.col("b.gap_s").alias("gap_s"), F.col("b.rec").alias("rec"))
     return out
 
 
