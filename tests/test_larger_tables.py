@@ -91,3 +91,18 @@ def test_equal_rings_are_sampled_once(spark):
     alone = {d: r.texture for d in (1, 3) for r in detections.rim_texture(nodes.where(F.col("det_id") == d), gradients).collect()}
     assert sorted(got) == [1, 2, 3] and got[1] == got[2]
     assert all(abs(a - b) < 1e-12 for d in (1, 3) for a, b in zip(got[d], alone[d])) and got[3] != got[1]
+
+
+def test_equal_places_and_times_ask_once(spark):
+    """Ties between features of one place and records of one time go to the smaller id, and every point and acquisition has its row."""
+    points = spark.createDataFrame([(i, lon, 1.0) for i, lon in enumerate((0.5, 0.5, 90.0))], "point_id long, lon double, lat double")
+    features = spark.createDataFrame([(8, "h", 359.5, 1.0), (7, "z", 359.5, 1.0), (9, "a", 3.0, 1.0)], "feature_id long, name string, lon double, lat double")
+    near = catalog.nearest_feature(points, features)
+    assert sorted((r.point_id, r.feature_id, r.name, r.available) for r in near.collect()) == [(0, 7, "z", True), (1, 7, "z", True), (2, None, None, False)]
+    stamp = lambda df: df.withColumn("ts", F.col("ts").cast("timestamp"))
+    acq = stamp(spark.createDataFrame([(1, "2020-01-01 00:00:30"), (2, "2020-01-01 00:00:30"), (3, "2021-01-01 00:00:00"), (4, None)], "acq_id long, ts string"))
+    rec = stamp(spark.createDataFrame([(6, "2020-01-01 00:00:31", "x"), (5, "2020-01-01 00:00:31", "y"), (4, "2020-01-01 00:01:00", "z")], "record_num long, ts string, pos string"))
+    at = telemetry.nearest_record(acq, rec)
+    assert sorted((r.acq_id, r.record_num, r.gap_s, r.rec and r.rec.pos) for r in at.collect()) == [(1, 5, 1.0, "y"), (2, 5, 1.0, "y"), (3, None, None, None), (4, None, None, None)]
+    keys = lambda df, key: [line for line in plan(df).splitlines() if "SortMergeJoin" in line and "LeftOuter" in line and f"{key}#" in line]
+    assert keys(near, "px") and keys(at, "us")  # results come to points and acquisitions by their place and time
