@@ -146,25 +146,64 @@ def result_field(runs: DataFrame, path: str, name: str) -> DataFrame:
     return runs.withColumn(name, F.get_json_object("result_json", path))
 
 
-def product_matches(paths: DataFrame, products: DataFrame, gram: int = 8) -> DataFrame:
-    """``(id, product_id, ord)`` of every product whose id occurs in a path of ``paths(id, src_path)``, through an index of q-grams.
+def _grams(c: str, q: int):
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - q + 1), lambda i: F.substring(F.col(c), i, F.lit(q))))
 
-    Each product is listed under the substring of ``gram`` code points (or of the shortest id's length, if less) that the fewest
-    products have; paths are probed with all theirs, and a hit counts if the whole id is there. Empty and null ids never match.
-    """
-    ids = products.where("length(product_id) > 0").select("product_id", "ord").distinct()
-    q = min(gram, ids.agg(F.min(F.length("product_id"))).first()[0] or gram)
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - q + 1), lambda i: F.substring(F.col(c), i, F.lit(q))))
-    own = materialize(ids.select("product_id", "ord", F.explode(grams("product_id")).alias("gram")))
-    rare = own.groupBy("gram").agg(F.count("*").alias("n"))
-    index = own.join(rare.hint("merge"), "gram").groupBy("product_id", "ord").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
-    asked = paths.where(F.length("src_path") >= q).select("id", "src_path", F.explode(grams("src_path")).alias("gram"))
-    return asked.join(index.hint("merge"), "gram").where(F.contains("src_path", "product_id")).select("id", "product_id", "ord")
+
+def _frequent_grams(paths: DataFrame, q: int) -> DataFrame:
+    """``(gram, shares)`` of substrings that a thousandth of the paths or more hold, in the measure of about 100,000 sampled ones: by how
+    many keys their rows are dealt, so that a key has about a thousandth of the paths. What matches doesn't depend on it."""
+    part = min(1.0, 100_000 / max(1, paths.count()))
+    seen = materialize(paths.sample(part, seed=1).select("src_path"))
+    least = max(1.0, seen.count() / 1000)
+    counts = seen.where(F.length("src_path") >= q).select(F.explode(_grams("src_path", q)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return materialize(counts.where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(10_000).select("gram", F.ceil(F.col("n") / least).cast("int").alias("shares")))
 
 
-def enrich_with_products(runs: DataFrame, products: DataFrame, gram: int = 8) -> DataFrame:
+def _gram_matches(paths: DataFrame, ids: DataFrame, q: int, small: bool) -> DataFrame:
+    """Products are listed under the substring of q code points that the fewest of them have, under a frequent one of the paths only if they
+    have no other; a small list goes to the paths, else both are dealt by substring."""
+    own = materialize(ids.select("product_id", "ord", F.explode(_grams("product_id", q)).alias("gram")))
+    rare = own.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = paths.where(F.length("src_path") >= q).select("id", "src_path", F.explode(_grams("src_path", q)).alias("gram"))
+    if small:
+        index = materialize(own.join(rare.hint("merge"), "gram").groupBy("product_id", "ord").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram")))
+        hits = asked.join(F.broadcast(index), "gram")
+    else:
+        hot = _frequent_grams(paths, q)
+        choice = own.join(rare.hint("merge"), "gram").join(F.broadcast(hot), "gram", "left")
+        index = materialize(choice.groupBy("product_id", "ord").agg(F.min(F.struct(F.coalesce("shares", F.lit(0)).alias("shares"), "n", "gram")).alias("g")).select("product_id", "ord", "g.gram", "g.shares"))
+        used = index.where("shares > 0").select("gram", F.lit(True).alias("used")).distinct()
+        hot = materialize(hot.join(used.hint("merge"), "gram", "left").select("gram", "shares", F.coalesce("used", F.lit(False)).alias("used")))
+        index = index.select("product_id", "ord", "gram", F.explode(F.sequence(F.lit(0), F.greatest(F.col("shares"), F.lit(1)) - 1)).alias("share"))
+        asked = asked.join(F.broadcast(hot), "gram", "left").where("used is null or used")
+        asked = asked.select("id", "src_path", "gram", F.coalesce(F.pmod(F.xxhash64("id"), F.col("shares")), F.lit(0)).cast("int").alias("share"))
+        hits = asked.join(index.hint("merge"), ["gram", "share"])
+    return hits.where(F.contains("src_path", "product_id")).select("id", "product_id", "ord")
+
+
+def product_matches(paths: DataFrame, products: DataFrame, gram: int = 8, small: int = 10_000) -> DataFrame:
+    """``(id, product_id, ord)`` of every product whose id occurs in a path of ``paths(id, src_path)``, through indexes of q-grams.
+
+    Each product is listed under one of its substrings of ``gram`` code points; ids shorter than that have an index of their own, of
+    substrings as long as the shortest. Paths are probed with all theirs, and a hit counts if the whole id is there. An index of up to
+    ``small`` products is broadcast. Empty and null ids never match.
+    """
+    ids = materialize(products.where("length(product_id) > 0").select("product_id", "ord").distinct())
+    short = F.length("product_id") < gram
+    found = []
+    for own in (ids.where(short), ids.where(~short)):
+        n, q = own.agg(F.count("*"), F.min(F.length("product_id"))).first()
+        if n:
+            found.append(_gram_matches(paths, own, min(gram, q), n <= small))
+    if not found:
+        return paths.limit(0).join(F.broadcast(ids), F.contains("src_path", "product_id")).select("id", "product_id", "ord")
+    return found[0].unionByName(found[1]) if len(found) == 2 else found[0]
+
+
+def enrich_with_products(runs: DataFrame, products: DataFrame, gram: int = 8, small: int = 10_000) -> DataFrame:
     """Adds the first product (by ``ord``, then by id) whose id occurs in a run's source path; runs without one stay."""
-    hit = product_matches(runs.select("id", "src_path"), products, gram)
+    hit = product_matches(runs.select("id", "src_path"), products, gram, small)
     best = hit.groupBy("id").agg(F.min(F.struct("ord", "product_id"))["product_id"].alias("product_id"))
     return runs.join(best.hint("merge"), "id", "left")
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.functions.geo import inverse_bilinear
-from tessella.operators import footprints
+from tessella.operators import footprints, history
 
 
 def test_points_try_the_patches_around_them_only(spark, monkeypatch):
@@ -28,3 +28,20 @@ def test_points_try_the_patches_around_them_only(spark, monkeypatch):
     same = lambda a, b: a == b or repr(a) == repr(b)
     assert len(got) == len(places) and all(same(got[k], want.get(k, (None, None, None))) for k in got)
     assert got[2000][2] > 0 and got[2001][0] is None and tried[0] < both.count() / 4
+
+
+def test_frequent_substrings_of_paths_are_dealt_in_shares(spark, monkeypatch):
+    """Short and long ids, one in every path, some with frequent substrings only: as a search of all ids in all paths, whichever way."""
+    names = [f"tmc_{i:08d}_d" for i in range(40)] + [f"ohr_{i}" for i in range(0, 30, 3)] + ["data/", "data/tmc_", "é_ü", "tmc_0000", ""]
+    products = [(p, (i * 7) % 11) for i, p in enumerate(names)] + [(None, -1), ("ohr_3", -5)]
+    paths = [(i, f"data/{'tmc_%08d_%s' % (i % 50, 'de'[i % 2]) if i % 5 else 'ohr_%d' % (i % 31)}{i % 10}.img") for i in range(3000)] + [(3000, "x/é_ü"), (3001, None), (3002, ""), (3003, "ohr")]
+    runs = spark.createDataFrame(paths, "id long, src_path string")
+    frame = spark.createDataFrame(products, "product_id string, ord long")
+    want = {i: min(((o, p) for p, o in products if p and path and p in path), default=(None, None))[1] for i, path in paths}
+    dealt, real = [], history._frequent_grams
+    monkeypatch.setattr(history, "_frequent_grams", lambda *a: dealt.append(real(*a)) or dealt[-1])
+    for gram, small in ((8, 10_000), (8, 0), (3, 0), (3, 30)):
+        assert {r.id: r.product_id for r in history.enrich_with_products(runs, frame, gram, small).collect()} == want
+    shares = {r.gram: r.shares for r in dealt[1].collect()}
+    assert shares["data/tmc"] > 700 and shares["tmc_0000"] > 700 and shares.get("0000047_", 1) < 30
+    assert history.product_matches(runs, frame.limit(0)).count() == 0
