@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.functions.geo import inverse_bilinear
-from tessella.operators import footprints, history
+from tessella.operators import detections, footprints, history
 
 
 def test_points_try_the_patches_around_them_only(spark, monkeypatch):
@@ -45,3 +45,22 @@ def test_frequent_substrings_of_paths_are_dealt_in_shares(spark, monkeypatch):
     shares = {r.gram: r.shares for r in dealt[1].collect()}
     assert shares["data/tmc"] > 700 and shares["tmc_0000"] > 700 and shares.get("0000047_", 1) < 30
     assert history.product_matches(runs, frame.limit(0)).count() == 0
+
+
+def test_clusters_of_whole_images_and_of_rounds_are_the_same(spark, monkeypatch):
+    """Boxes of sizes 0 to 9 on whole places, equal ids, confidences that tie, are null or no number; an image with a box without a place."""
+    rng = np.random.default_rng(4)
+    sure = [None, float("nan"), float("inf"), float("-inf"), 0.0, 0.5, 0.5, 1.0]
+    rows = [(m, int(i), *map(float, rng.integers(0, side, 2)), *map(float, rng.integers(0, 10, 2)), sure[rng.integers(len(sure))], f"c{i}") for m, n, side in ((1, 400, 80), (2, 300, 30), (3, 1, 5), (4, 60, 40)) for i in rng.permutation(n)]
+    rows += [(1, 7, 3.0, 3.0, 5.0, 5.0, 0.5, "again"), (4, 60, None, 3.0, 5.0, 5.0, 0.5, "nowhere"), (None, 1, 3.0, 3.0, 5.0, 5.0, 0.5, "no image")]
+    frame = spark.createDataFrame(rows, "image_id long, det_id int, cx double, cy double, w double, h double, confidence double, name string").repartition(3)
+    want = sorted(map(repr, detections._cluster_rounds(frame, 0.3).collect()))
+    for whole in (20_000, 350, 0):
+        assert sorted(map(repr, detections.cluster_best(frame, 0.3, whole).collect())) == want
+    one = frame.where("image_id = 2")
+    own = sorted(map(repr, detections._cluster_rounds(one, 0.3).collect()))
+    monkeypatch.setattr(detections, "_cluster_rounds", None)
+    assert sorted(map(repr, detections.cluster_best(one, 0.3).collect())) == own
+    step = detections._clusters
+    monkeypatch.setattr(detections, "_clusters", lambda least: step(least, 10))
+    assert sorted(map(repr, detections.cluster_best(one, 0.3).collect())) == own
