@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_match_points(points: DataFrame, path: str, form: str = "csv") -> None:
-    """One folder a run, as CSV with a header or as JSON lines. Rows are dealt by run first, so a run has few files; a large run is split."""
-    w = points.hint("rebalance", "run_id").write.partitionBy("run_id")
+def write_match_points(points: DataFrame, path: str, form: str = "csv", by_run: bool = False) -> None:
+    """Match points as CSV with a header or as JSON lines. Files hold runs one after another, ``run_id`` a column, so their number grows with
+    the bytes and not with the runs. ``by_run``: one folder a run, for as many runs as a file system likes to list. Rows are dealt by run
+    first, so a run is in one file, or in few; a large run is split."""
+    dealt = points.hint("rebalance", "run_id")
+    w = dealt.write.partitionBy("run_id") if by_run else dealt.sortWithinPartitions("run_id").write
     w.option("header", "true").csv(path) if form == "csv" else w.json(path)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.geo import inverse_bilinear
 from tessella.operators import detections, footprints, history
+from tessella.sources import sinks
 
 
 def test_points_try_the_patches_around_them_only(spark, monkeypatch):
@@ -64,3 +65,19 @@ def test_clusters_of_whole_images_and_of_rounds_are_the_same(spark, monkeypatch)
     step = detections._clusters
     monkeypatch.setattr(detections, "_clusters", lambda least: step(least, 10))
     assert sorted(map(repr, detections.cluster_best(one, 0.3).collect())) == own
+
+
+def test_files_of_match_points_do_not_grow_with_the_runs(spark, tmp_path):
+    points = spark.range(3000).select(F.when(F.col("id") > 5, F.col("id") % 300).alias("run_id"), F.col("id").alias("match_idx"), (F.col("id") / 7).alias("x"))
+    rows = sorted(map(repr, points.collect()))
+    for form, by_run in (("csv", False), ("json", False), ("csv", True), ("json", True)):
+        at = tmp_path / f"{form}{by_run}"
+        sinks.write_match_points(points.repartition(5), str(at), form, by_run)
+        files = list(at.rglob(f"part-*.{form}"))
+        assert len(files) == 301 if by_run else len(files) <= 8
+        back = spark.read.schema("run_id long, match_idx long, x double").option("header", "true")
+        assert sorted(map(repr, (back.csv(str(at)) if form == "csv" and not by_run else back.format(form).load(str(at)).select("run_id", "match_idx", "x")).collect())) == rows
+        if not by_run:
+            place = back.format(form).load(str(at)).select("run_id", F.input_file_name().alias("file")).collect()
+            turns = [(r.file, r.run_id) for i, r in enumerate(place) if not i or (r.file, r.run_id) != (place[i - 1].file, place[i - 1].run_id)]
+            assert len(turns) == 301  # every run in one file, in one piece
