@@ -1,4 +1,4 @@
-"""Main text of web pages: markup gives zones, and a suffix array over each host's token streams decides what markup leaves open."""
+"""Main text of web pages: a suffix array over each host's token streams judges every block, and a check by markup follows."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from tessella.llm.html_blocks import ARTICLE, HINTED, OPEN, blocks
 from tessella.llm.words import MULT, mix, word_hashes
 from tessella.session import Tables
 
-#: Tokens of a repeated run at least, and tokens of one shard of a host.
-RUN, SHARD_TOKENS = 8, 1_000_000
+#: Tokens of a repeated run at least, tokens of one shard of a host, and characters of html that count as a token.
+RUN, SHARD_TOKENS, CHARS = 8, 1_000_000, 8
 
 
 def suffix_groups(tokens: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -22,123 +22,145 @@ def suffix_groups(tokens: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.nd
     width, order = 1, np.argsort(rank, kind="stable")
     while width < run:
         after = np.concatenate([rank[width:], np.full(min(width, len(rank)), -1)])[: len(rank)]
-        order = np.lexsort((after, rank))
-        new = (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])
+        pair = rank * (len(rank) + 1) + after + 1  # one number sorts faster than two
+        order = np.argsort(pair)
         rank = np.empty(len(rank), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], new])) if len(order) else 0
+        rank[order] = np.cumsum(np.concatenate([[0], np.diff(pair[order]) != 0])) if len(order) else 0
         width *= 2
     return order, rank
 
 
-#: What becomes of a block: it stays; it keeps the runs that are unique on its host; it goes.
-WHOLE, UNIQUE, GONE = 0, 1, 2
+def _tokens(found: list[tuple[int, str]], article: bool) -> np.ndarray:
+    """The token stream of a page's article blocks, or of all its others."""
+    return word_hashes([w.encode("utf-8", "surrogatepass") for z, t in found if (z == ARTICLE) == article for w in t.split(" ")]).view(np.int64)
 
 
-def _read(batches):
-    for batch in batches:
-        out: dict[str, list] = {"main": [], "open": [], "tokens": []}
-        for html in batch.column("html").to_pylist():
-            found = blocks(html)
-            zones = {z for z, _ in found}
-            own = ARTICLE in zones or HINTED in zones
-            done = own and HINTED not in zones
-            out["main"].append("\n\n".join(t for z, t in found if z == ARTICLE) if done else None)
-            kind = {ARTICLE: WHOLE, HINTED: UNIQUE, OPEN: GONE if own else UNIQUE}
-            out["open"].append([] if done else [{"kind": kind.get(z, GONE), "text": t} for z, t in found])
-            out["tokens"].append(word_hashes([w.encode("utf-8", "surrogatepass") for z, t in found if z != ARTICLE for w in t.split(" ")]).view(np.int64))
-        kinds = {"main": pa.string(), "open": pa.list_(pa.struct([("kind", pa.int8()), ("text", pa.string())])), "tokens": pa.list_(pa.int64())}
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "hh")), *[pa.array(out[k], v) for k, v in kinds.items()]], ["page_id", "url", "host", "hh", *kinds])
-
-
-def _repeats(several: bool):
-    """One shard of a host: its pages' streams in one suffix array. A run is repeated if its group has two pages."""
-
-    def run(table: pa.Table) -> pa.Table:
-        streams = [np.asarray(t, np.int64) for t in table.column("tokens").to_pylist()]
-        pages = table.column("hh").to_numpy()
-        gaps = np.arange(len(streams), dtype=np.int64)  # one token of its own after each stream
-        stream = np.concatenate([np.append(s, g) for s, g in zip(streams, gaps)])
-        owner = np.repeat(np.arange(len(streams)), [len(s) + 1 for s in streams])
-        begin = np.concatenate([[0], np.cumsum([len(s) + 1 for s in streams])[:-1]])
-        _, group = suffix_groups(stream)
-        offset = np.arange(len(stream)) - begin[owner]
-        fits = offset + RUN <= np.array([len(s) for s in streams])[owner]
-        least, most = np.full(len(stream) + 1, len(streams)), np.full(len(stream) + 1, -1)
-        np.minimum.at(least, group[fits], owner[fits])
-        np.maximum.at(most, group[fits], owner[fits])
-        twice = fits & (most[group] > least[group])
-        host = table.column("host")[0].as_py()
-        if not several:
-            at = np.flatnonzero(twice)
-            return pa.table({"host": pa.array([host] * len(at), pa.string()), "hh": pages[owner[at]], "at": offset[at].astype(np.int32), "gram": np.zeros(len(at), np.int64)})
-        at = np.flatnonzero(fits)
-        h = np.zeros(len(at), np.uint64)
-        for i in range(RUN):
-            h = mix(h * MULT + stream[at + i].view(np.uint64))
-        return pa.table({"host": pa.array([host] * len(at), pa.string()), "hh": pages[owner[at]], "at": offset[at].astype(np.int32), "gram": np.where(twice[at], 0, h.view(np.int64))})
+def _joined(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Streams as one, with a token of its own after each: tokens, each place's stream, where each stream begins, and at which
+    places a run of RUN tokens begins that stays inside its stream."""
+    sizes = np.array([len(s) for s in streams], np.int64)
+    stream = np.concatenate([np.append(s, g) for s, g in zip(streams, np.arange(len(streams), dtype=np.int64))])
+    owner, begin = np.repeat(np.arange(len(streams)), sizes + 1), np.cumsum(sizes + 1) - sizes - 1
+    return stream, owner, begin, np.arange(len(stream)) - begin[owner] + RUN <= sizes[owner]
+
 
-    return run
+def _grams(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(at), np.uint64)
+    for i in range(RUN):
+        h = mix(h * MULT + stream[at + i].view(np.uint64))
+    return h.view(np.int64)
 
 
-def _unique_runs(batches):
-    """Pages that markup doesn't settle: blocks in doubt without the tokens that repeated runs cover."""
+def _outside(batches):
     for batch in batches:
-        texts = []
-        for opened, starts in zip(batch.column("open").to_pylist(), batch.column("starts").to_pylist()):
-            words = [(b["kind"], b["text"].split(" ")) for b in opened]
-            cover = np.zeros(sum(len(w) for k, w in words if k != WHOLE) + RUN, bool)
-            for s in starts or []:
-                cover[s : s + RUN] = True
-            kept, at = [], 0
-            for kind, w in words:
-                if kind == WHOLE:
-                    kept.append(" ".join(w))
-                    continue
-                own = cover[at : at + len(w)]
-                at += len(w)
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
-                gone = np.zeros(len(w), bool)
-                for a, b in zip(edge[::2], edge[1::2]):  # what a run from the next block only touches stays
-                    if b - a >= RUN or b - a == len(w):
-                        gone[a:b] = True
-                left = [x for x, g in zip(w, gone) if not g]
-                if left and kind == UNIQUE:
-                    kept.append(" ".join(left))
-            texts.append("\n\n".join(kept))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url")), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+        tokens = [_tokens(blocks(h), False) for h in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "shard", "hh")), pa.array(tokens, pa.list_(pa.int64()))], ["host", "shard", "hh", "tokens"])
+
+
+def _runs(table: pa.Table) -> pa.Table:
+    """One shard of a host: its pages' streams outside articles in one suffix array, and the runs with the least and the largest
+    page that each is on."""
+    pages, first = np.unique(table.column("hh").to_numpy(), return_index=True)
+    tokens = table.column("tokens")
+    stream, owner, _, fits = _joined([np.asarray(tokens[int(i)].as_py(), np.int64) for i in first])
+    _, group = suffix_groups(stream)
+    at = np.flatnonzero(fits)
+    _, one, of = np.unique(group[at], return_index=True, return_inverse=True)
+    least, most = np.full(len(one), len(pages)), np.full(len(one), -1)
+    np.minimum.at(least, of, owner[at])
+    np.maximum.at(most, of, owner[at])
+    host = pa.array([table.column("host")[0].as_py()] * len(one), pa.string())
+    return pa.table({"host": host, "gram": _grams(stream, at[one]), "a": pages[least], "b": pages[most]})
+
+
+def _dropped(cover: np.ndarray) -> np.ndarray:
+    """Words of a block that the array drops: repeated runs, but not what a run from the next block only touches."""
+    gone = np.zeros(len(cover), bool)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], cover, [False]]).astype(np.int8)))
+    for a, b in zip(edge[::2], edge[1::2]):
+        if b - a >= RUN or b - a == len(cover):
+            gone[a:b] = True
+    return gone
+
+
+def _checked(found: list[tuple[int, str]], outside: np.ndarray, inside: np.ndarray) -> tuple[str, int, int]:
+    """A page's text: what the array keeps of each block, after the check by markup; words of an article that the check puts back,
+    and words that it strikes though no repeated run has them."""
+    own = any(z in (ARTICLE, HINTED) for z, _ in found)
+    kept, back, struck, places = [], 0, 0, {True: 0, False: 0}
+    for zone, text in found:
+        article, cover = zone == ARTICLE, inside if zone == ARTICLE else outside
+        at = places[article]
+        n = text.count(" ") + 1
+        places[article] = at + n
+        gone = _dropped(cover[at : at + n]) if cover[at : at + n].any() else None
+        left = n if gone is None else n - int(gone.sum())
+        if article:
+            back += n - left
+            kept.append(text)
+        elif zone == HINTED or (zone == OPEN and not own):
+            if left:
+                kept.append(text if gone is None else " ".join(w for w, g in zip(text.split(" "), gone) if not g))
+        else:
+            struck += left
+    return "\n\n".join(kept), back, struck
+
+
+def _judge(pages: pa.Table, across: pa.Table) -> pa.Table:
+    """One shard of a host: all text of its pages, articles too, in one suffix array. A run is boilerplate if two different pages
+    have it outside their articles, here or in two shards (``across``)."""
+    number: dict = {}
+    rows = [number.setdefault(h, len(number)) for h in pages.column("html").to_pylist()]
+    out = []
+    if rows:
+        found = [blocks(h) for h in number]
+        stream, owner, begin, fits = _joined([_tokens(f, article) for f in found for article in (False, True)])
+        _, group = suffix_groups(stream)
+        least, most = np.full(len(stream), len(stream)), np.full(len(stream), -1)
+        outside = fits & (owner % 2 == 0)
+        np.minimum.at(least, group[outside], owner[outside])
+        np.maximum.at(most, group[outside], owner[outside])
+        at = np.flatnonzero(fits)
+        hit = (most > least)[group[at]]
+        if across.num_rows:
+            hit |= np.isin(_grams(stream, at), across.column("gram").to_numpy())
+        edges = np.zeros(len(stream) + RUN, np.int64)
+        edges[at[hit]] += 1
+        edges[at[hit] + RUN] -= 1
+        covers = np.split(np.cumsum(edges[: len(stream)]) > 0, begin[1:])
+        texts = [_checked(f, covers[2 * i], covers[2 * i + 1]) for i, f in enumerate(found)]
+        out = [texts[i] for i in rows]
+    named = {"text": pa.string(), "n_restored": pa.int64(), "n_struck": pa.int64()}
+    return pa.table({"page_id": pages.column("page_id"), "url": pages.column("url"), **{c: pa.array([o[i] for o in out], t) for i, (c, t) in enumerate(named.items())}})
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row per row of ``pages``: ``page_id, url, text, n_chars``.
-
-    Markup gives each block a zone (``html_blocks``). What stands in an article is main text as it is, however often it
-    occurs; what an element clearly sets apart goes. Everything but article text goes into its host's suffix array, where runs
-    of RUN tokens or more that two different pages share are boilerplate, of which a block loses parts of RUN tokens at
-    least, or all. The runs that stay unique are the main text of pages without an article, and what stays of blocks in an
-    article whose class only hints that they are none of it. Copies of one page's html count as one page.
-
-    A host's pages are dealt to shards of about SHARD_TOKENS tokens; runs unique in a shard of a larger host are compared
-    across its shards by their hashes, so no task needs a whole host. Null or empty html gives an empty text; a null url or
-    one without a host makes a host of its own; repeated rows give repeated rows; other columns are not read.
+    """One row per row of ``pages``: ``page_id, url, text, n_chars, n_restored, n_struck``.
+
+    Every block of every page goes into its host's suffix array. Runs of RUN tokens or more that two different pages share
+    outside their articles are boilerplate, wherever they stand; a block loses parts of RUN tokens at least, or all. A check by
+    markup (zones of ``html_blocks``) follows: what stands in an article is main text as it is, however often it occurs, so
+    words that the array dropped are put back (``n_restored``); what an element clearly sets apart goes, and so does all outside
+    an article if the page has one (``n_struck``: such words that no run covers). So the array's word is the last one on pages without an article
+    and on blocks in an article whose class only hints that they are none of it. Copies of one page's html count as one page.
+
+    A host's pages are dealt to shards of about SHARD_TOKENS tokens, by the length of their html. Of a host with several, runs
+    outside articles are compared across shards by their hashes, and those on two pages are given to each of its shards;
+    so no task needs a whole host, only its boilerplate. Null or empty html gives an empty text; a null url or one without a
+    host makes a host of its own; repeated rows give repeated rows; other columns are not read.
     """
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     base = base.select("page_id", "url", host.alias("host"), F.xxhash64("html").alias("hh"), "html")
-    kinds = f"page_id {pages.schema[page_id].dataType.simpleString()}, url string, host string, hh long"
-    tables = Tables(pages.sparkSession)
-    read = tables.keep(base.mapInArrow(_read, f"{kinds}, main string, open array<struct<kind:tinyint,text:string>>, tokens array<long>"))
-    streams = read.where(f"size(tokens) >= {RUN}").select("host", "hh", "tokens").dropDuplicates(["host", "hh"])
-    sizes = streams.groupBy("host").agg(F.sum(F.size("tokens")).alias("n")).select("host", F.expr(f"int(n div {SHARD_TOKENS} + 1)").alias("shards"))
-    dealt = tables.keep(streams.join(sizes.hint("merge"), "host").withColumn("shard", F.pmod(F.hash("hh"), F.col("shards"))))
-    shape = "host string, hh long, at int, gram long"
-    one = dealt.where("shards = 1").groupBy("host", "shard").applyInArrow(_repeats(False), shape)
-    more = dealt.where("shards > 1").groupBy("host", "shard").applyInArrow(_repeats(True), shape)
-    more = tables.keep(more)
-    again = more.where("gram <> 0").groupBy("host", "gram").agg(F.min("hh").alias("a"), F.max("hh").alias("b")).where("a < b").select("host", "gram")
-    across = more.where("gram <> 0").join(again.hint("merge"), ["host", "gram"]).select("host", "hh", "at")
-    runs = one.select("host", "hh", "at").unionByName(more.where("gram = 0").select("host", "hh", "at")).unionByName(across)
-    starts = runs.groupBy("host", "hh").agg(F.collect_list("at").alias("starts"))
-    loose = read.where("main is null").select("page_id", "url", "host", "hh", "open").join(starts.hint("merge"), ["host", "hh"], "left")
-    text = loose.mapInArrow(_unique_runs, f"page_id {pages.schema[page_id].dataType.simpleString()}, url string, text string")
-    whole = read.where("main is not null").select("page_id", "url", F.col("main").alias("text"))
-    return whole.unionByName(text).withColumn("n_chars", F.char_length("text").cast("long"))
+    sizes = base.groupBy("host").agg(F.sum(F.length("html")).alias("n")).select("host", F.expr(f"int(n div {SHARD_TOKENS * CHARS} + 1)").alias("shards"))
+    # a row for each host of several shards, so fewer than there are shards
+    several = F.broadcast(Tables(pages.sparkSession).keep(sizes.where("shards > 1")))
+    deal = F.pmod(F.hash("hh", "page_id", "url", F.spark_partition_id()), F.coalesce("shards", F.lit(1)))
+    outside = base.join(several, "host").select("host", deal.alias("shard"), "hh", "html").mapInArrow(_outside, "host string, shard int, hh long, tokens array<long>")
+    runs = outside.where(f"size(tokens) >= {RUN}").groupBy("host", "shard").applyInArrow(_runs, "host string, gram long, a long, b long")
+    across = runs.groupBy("host", "gram").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a < b").select("host", "gram")
+    across = across.join(several, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "gram")
+    dealt = base.join(several, "host", "left").select("host", deal.alias("shard"), "page_id", "url", "html")
+    shape = f"page_id {pages.schema[page_id].dataType.simpleString()}, url string, text string, n_restored long, n_struck long"
+    text = dealt.groupBy("host", "shard").cogroup(across.groupBy("host", "shard")).applyInArrow(_judge, shape)
+    return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_restored", "n_struck")

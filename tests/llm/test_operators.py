@@ -465,6 +465,30 @@ def test_html_extraction(spark):
     assert html_extraction.extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_html_articles_pass_the_array(spark):
+    """Every block is judged by the array, those of articles too; markup then puts back what stands in an article."""
+    notice = "we use cookies to make this site work better for you"
+    alone = "<article><p>own words of page %d</p></article><footer>printed in %d by nobody in particular for readers of site %d</footer>"
+    rows = [(i, "http://a.org/%d" % i, f"<article><p>text {i}</p><p>{notice}</p></article>" if i < 2 else f"<div>{notice}</div><p>page {i}</p>") for i in range(4)]
+    rows += [(4, "http://b.org/4", f"<article><p>{notice}</p></article>"), (5, "http://a.org/5", alone % (5, 5, 5)), (6, "http://a.org/5", alone % (5, 5, 5)), (7, None, None)]
+    got = {r.page_id: r for r in html_extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: r.text for i, r in got.items()} == {i: f"text {i}\n\n{notice}" for i in (0, 1)} | {2: "page 2", 3: "page 3", 4: notice, 5: "own words of page 5", 6: "own words of page 5", 7: ""}
+    assert {i: (r.n_restored, r.n_struck) for i, r in got.items()} == {0: (11, 0), 1: (11, 0), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (0, 12), 6: (0, 12), 7: (0, 0)}
+
+
+def test_html_shards_agree(spark):
+    """A run goes from all pages of its host, however they are dealt to shards."""
+    menu = [f"menu{i} home about contact imprint terms privacy help login end{i}" for i in range(12)]
+    body = lambda i: f"<div>{menu[i % 12]}</div><p>only {i}</p>" if i % 4 else f"<article>{menu[i % 12]}</article><div>{menu[(i + 1) % 12]}</div>"
+    frame = spark.createDataFrame([(i, "http://a.org/%d" % i, body(i)) for i in range(36)], "page_id long, url string, html string").repartition(4)
+    seen, tokens = [], html_extraction.SHARD_TOKENS
+    for size in (tokens, 120, 60, 20):
+        html_extraction.SHARD_TOKENS = size
+        seen.append({tuple(r) for r in html_extraction.extract_main_text(frame).collect()})
+    html_extraction.SHARD_TOKENS = tokens
+    assert all(s == seen[0] for s in seen) and {r[2] for r in seen[0]} == {f"only {i}" for i in range(36) if i % 4} | {menu[i] for i in (0, 4, 8)}
+
+
 def test_pipeline_brute_force(spark, tmp_path):
     """All stages but the classifier against direct searches on what it keeps."""
     import corpus_pipeline
