@@ -29,11 +29,11 @@ _LABELS = """SELECT 'p' || k AS product_id, epoch(TIMESTAMP '2024-05-06 07:00:08
 CASE WHEN k % 7 > 0 THEN (k % 90)::DOUBLE END AS sun_elevation, (k % 80)::DOUBLE AS lat, ((360 - k % 180) % 360)::DOUBLE AS lon FROM (SELECT c_custkey::BIGINT AS k FROM customer)"""
 
 
-def _label_texts(spark, sf):
+def _label_texts(customers):
     """Every seventh label has an empty sun elevation."""
     sun = F.when(F.col("k") % 7 > 0, (F.col("k") % 90).cast("string")).otherwise("")
     value = F.format_string(_XML, F.col("k") % 60, "k", F.col("k") * 16, F.col("k") % 100 + 1, F.col("k") % 50 + 2, sun, F.col("k") % 80, F.col("k") % 180)
-    return _customers(spark, sf).select(F.format_string("d/p%d.xml", "k").alias("path"), value.alias("value"))
+    return customers.select(F.format_string("d/p%d.xml", "k").alias("path"), value.alias("value"))
 
 
 def _label_columns(out):
@@ -43,14 +43,14 @@ def _label_columns(out):
 
 @query("s2_pds4_labels", _LABELS)
 def s2_pds4_labels(spark, sf):
-    return _label_columns(labels.pds4_fields(_label_texts(spark, sf)))
+    return _label_columns(labels.pds4_fields(_label_texts(_customers(spark, sf))))
 
 
 @query("z3_label_stream", _LABELS)
 def z3_label_stream(spark, sf):
-    """The labels as new files of a folder."""
+    """The labels as new files of a folder. Keys are dealt out first, so that many tasks write files."""
     at = new_folder(spark)
-    records.write_files(_label_texts(spark, sf).select(F.substring_index("path", "/", -1).alias("name"), F.col("value").alias("content")), at)
+    records.write_files(_label_texts(_customers(spark, sf).repartition("k")).select(F.substring_index("path", "/", -1).alias("name"), F.col("value").alias("content")), at)
     return _label_columns(streams.drain(streams.label_stream(spark, at)))
 
 

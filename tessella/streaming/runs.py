@@ -13,9 +13,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessella.functions.scoring import finite
 from tessella.operators.history import flag_anomalies, moments
-from tessella.session import discard, listed, materialize, new_folder, remove
+from tessella.session import discard, listed, materialize, new_folder, remove, settings
 from tessella.sources.labels import pds4_fields, telemetry
 
+#: Endings of the files that Spark's text reader unpacks.
+_PACKED = ("bz2", "deflate", "gz", "lz4", "snappy", "zst")
+
 SCORED = "id long, sensor_type string, rmse double, n_prior long, baseline_mean double, baseline_std double, anomalous boolean"
 
 
@@ -156,11 +159,16 @@ def telemetry_stream(spark, path: str) -> DataFrame:
     return telemetry(lines.select("value", F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+?)(?:\.[^.]*)?$", 1).alias("product_id")))
 
 
-def label_stream(spark, path: str, fields: Callable[[DataFrame], DataFrame] = pds4_fields) -> DataFrame:
+def label_stream(spark, path: str, fields: Callable[[DataFrame], DataFrame] = pds4_fields, per_trigger: int = 20_000) -> DataFrame:
     """New label files of a folder, each a whole text, as rows of ``fields``: ``labels.pds4_fields``, ``labels.pds3_fields`` for
-    detached keyword labels, or ``labels.footprint_rings``. None is left out, whatever fields it lacks."""
-    texts = spark.readStream.format("text").option("wholetext", True).load(path)
-    return fields(texts.select(F.col("_metadata.file_path").alias("path"), "value"))
+    detached keyword labels, or ``labels.footprint_rings``. None is left out, whatever fields it lacks. A trigger takes up to
+    ``per_trigger`` files, so the plan of one stays small; :func:`drain` takes all."""
+    # the binary reader opens a file without a copy of the whole Hadoop configuration, which takes the text reader most of its time;
+    # but only the text reader unpacks
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_trigger).load(path)
+    plain = files.where(~F.col("path").rlike(rf"\.({'|'.join(_PACKED)})$")).select("path", F.col("content").cast("string").alias("value"))
+    packed = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", f"*.{{{','.join(_PACKED)}}}").option("maxFilesPerTrigger", per_trigger).load(path)
+    return fields(plain.unionByName(packed.select(F.col("_metadata.file_path").alias("path"), "value")))
 
 
 def results_stream(spark, path: str, schema: str) -> DataFrame:
@@ -175,12 +183,17 @@ def enrich_stream(runs: DataFrame, products: DataFrame) -> DataFrame:
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that its source holds now and gives the rows it wrote: those of every trigger in append mode, those
-    of the last one in complete mode. State and rows are in the shared folder."""
-    at = new_folder(stream.sparkSession)
+    of the last one in complete mode. State and rows are in the shared folder.
+
+    While it runs, a task takes as many small files as large ones by their bytes, and the files of a trigger are looked up by a few
+    tasks; as Spark is set, that is a task for 32 files, and up to 10,000 tasks a trigger."""
+    spark = stream.sparkSession
+    at = new_folder(spark)
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
     if mode == "append":
         w = w.format("parquet").option("path", f"{at}/rows")
     else:
         w = w.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/rows"))
-    w.start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
+    with settings(spark, {"spark.sql.files.openCostInBytes": 1 << 14, "spark.sql.sources.parallelPartitionDiscovery.parallelism": 2 * spark.sparkContext.defaultParallelism}):
+        w.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
